@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from sievework.llm.bpe import op9_bpe
 from sievework.llm.media import op2_media_columns
 from sievework.llm.packing import op10_best_fit_packing
+from sievework.llm.quality import op7_quality
+from sievework.llm.secrets import op5_secret_scans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_columns": op2_media_columns,
+    "op5_secret_scans": op5_secret_scans,
+    "op7_quality": op7_quality,
     "op9_bpe": op9_bpe,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
