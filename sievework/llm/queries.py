@@ -7,15 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sievework.llm.bpe import op9_bpe
+from sievework.llm.embeddings import op6_embedding_near_dedup
 from sievework.llm.media import op2_media_columns
 from sievework.llm.packing import op10_best_fit_packing
+from sievework.llm.pii import op8_pii
 from sievework.llm.quality import op7_quality
 from sievework.llm.secrets import op5_secret_scans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_columns": op2_media_columns,
     "op5_secret_scans": op5_secret_scans,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_quality": op7_quality,
+    "op8_pii": op8_pii,
     "op9_bpe": op9_bpe,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
