@@ -27,7 +27,7 @@ from sievework.llm.shared import text_slices
 # Fixed value: the byte-level word pattern of the vocabulary.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose encodings a worker keeps; beyond it the store is emptied.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 NEVER = 1 << 60
 
 
@@ -55,14 +55,14 @@ class ByteBpe:
             left, right = self.ids[raw(a)], self.ids[raw(b)]
             self.rank[left, right] = rank
             self.parts.setdefault(self.ids[raw(a) + raw(b)], (left, right, rank))
-        self.apart = functools.lru_cache(maxsize=1 << 18)(self._apart)
+        self.apart = functools.lru_cache(maxsize=1 << 17)(self._apart)
         self.usable = dict(self.ids)
         for token, (left, right, rank) in self.parts.items():
             # a token that merging its own bytes never gives can't be in an encoding
             if not self._apart(left, right, rank):
                 self.usable.pop(self.bytes_of[token], None)
         self.longest = max(map(len, self.usable))
-        self.words: dict[str, tuple[int, str, bytes]] = {}
+        self.words: dict[str, tuple[str, bytes]] = {}
         self.find = regex.compile(WORD).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
 
@@ -87,7 +87,7 @@ class ByteBpe:
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode words by a walk over their trie: in byte order, each word goes on from what it shares with the one before."""
-        tokens, longest, apart = self.usable, self.longest, self.apart
+        tokens, longest, apart, bytes_of = self.usable, self.longest, self.apart, self.bytes_of
         before, states = b"", [-1]
         for word in sorted(w.encode() for w in words):
             shared = 0
@@ -102,12 +102,13 @@ class ByteBpe:
                     if token is not None and (start == 0 or apart(states[start], token)):
                         states.append(token)
                         break
-            ids, at = [], len(word)
+            at, ids, decoded = len(word), "", b""
             while at:
-                ids.append(states[at])
-                at -= len(self.bytes_of[states[at]])
-            ids.reverse()
-            self.words[word.decode()] = len(ids), ",".join(map(str, ids)), b"".join(self.bytes_of[i] for i in ids)
+                token = bytes_of[states[at]]
+                ids = f"{states[at]},{ids}" if ids else str(states[at])
+                decoded = token + decoded
+                at -= len(token)
+            self.words[word.decode()] = ids, decoded
             before = word
 
     def split(self, text: str) -> Iterator[list[str]]:
@@ -127,13 +128,15 @@ class ByteBpe:
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
         for s, i in self.special.items():
-            self.words[s] = 1, str(i), s.encode()
+            self.words[s] = str(i), s.encode()
         known = self.words
         self.learn({w for run in runs for words in run for w in words if w not in known})
         out = []
         for run in runs:
             found = [known[w] for words in run for w in words]
-            out.append((sum([f[0] for f in found]), ",".join([f[1] for f in found]), b"".join([f[2] for f in found])))
+            ids, decoded = zip(*found, strict=True) if found else ((), ())
+            ids = ",".join(ids)
+            out.append((ids.count(",") + 1 if ids else 0, ids, b"".join(decoded)))
         return out
 
 
