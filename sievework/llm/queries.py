@@ -12,10 +12,14 @@ from sievework.llm.media import op2_media_columns
 from sievework.llm.packing import op10_best_fit_packing
 from sievework.llm.pii import op8_pii
 from sievework.llm.quality import op7_quality
+from sievework.llm.recompression import op4_substring_dedup
 from sievework.llm.secrets import op5_secret_scans
+from sievework.llm.suffixes import op1_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_media_columns": op2_media_columns,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_secret_scans": op5_secret_scans,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_quality": op7_quality,

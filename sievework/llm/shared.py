@@ -71,29 +71,22 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-#: Bits of an id bitmap: 2 MB, whatever the input.
+#: Bits of a bitmap of marks.  As 64-bit words it has 2**18 rows at most, whatever the input, and is broadcast.
 BITMAP_BITS = 1 << 24
 
 
-def id_bitmap(ids: DataFrame, column: str) -> np.ndarray:
-    """A fixed-size bitmap (uint64 words) of hashed ids.  A clear bit proves that an id is absent."""
-    slot = F.pmod(F.xxhash64(F.col(column)), F.lit(BITMAP_BITS))
-    words = (
-        ids.select(F.shiftright(slot, 6).alias("word"), F.expr("shiftleft(1L, int(pmod(xxhash64(" + column + "), 64)))").alias("bit"))
-        .groupBy("word")
-        .agg(F.bit_or("bit").alias("bits"))
-        .toArrow()
-    )
-    out = np.zeros(BITMAP_BITS // 64, dtype=np.int64)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return out
+def bitmap(marks: DataFrame, column: str) -> DataFrame:
+    """word and bits: a fixed-size bitmap of a column of longs, in which a clear bit proves that a value is absent."""
+    slot = F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS))
+    words = marks.select(F.shiftright(slot, 6).alias("word"), slot.alias("slot")).selectExpr("word", "shiftleft(1L, cast(slot & 63 as int)) as bit")
+    return words.groupBy("word").agg(F.bit_or("bit").alias("bits"))
 
 
-def bitmap_hits(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    """Which of the slots (from bitmap_slot) have their bit set."""
-    return (bitmap[slots >> 6] >> (slots & 63)) & 1 == 1
-
-
-def bitmap_slot(column: str) -> "F.Column":
-    """The slot of an id, as a column."""
-    return F.pmod(F.xxhash64(F.col(column)), F.lit(BITMAP_BITS))
+def split_by(rows: DataFrame, marks: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose mark may be among marks, and rows whose mark surely is not.  Only the first need a join with them,
+    so that texts without a partner are not shuffled; where the bitmap is full, all rows are in the first."""
+    words = staged(bitmap(marks, column), "bitmap")
+    slot = F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS))
+    tested = rows.withColumn("word", F.shiftright(slot, 6)).withColumn("slot", slot).join(F.broadcast(words), "word", "left")
+    hit = F.expr("coalesce(shiftright(bits, cast(slot & 63 as int)) & 1, 0) = 1")
+    return tested.filter(hit).select(*rows.columns), tested.filter(~hit).select(*rows.columns)
