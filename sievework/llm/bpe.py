@@ -31,7 +31,7 @@ CACHE_WORDS = 100_000
 NEVER = 1 << 60
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The letters that a byte-level vocabulary writes for bytes: printable ones stand for themselves, others follow 255."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in set(plain)]
@@ -44,7 +44,7 @@ class ByteBpe:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        letters = _byte_letters()
+        letters = byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         self.ids = {raw(t): i for t, i in spec["model"]["vocab"].items()}
         self.bytes_of = {i: t for t, i in self.ids.items()}

@@ -13,6 +13,9 @@ rows are separate pieces; an empty table gives no rows; a null id is packed as a
 from __future__ import annotations
 
 import functools
+import json
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -22,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.llm.bpe import byte_letters
 from sievework.llm.shared import staged, text_slices
 
 SEQUENCE, END_ID = 4096, 1
@@ -32,28 +36,56 @@ CACHE_CHUNKS = 200_000
 
 
 class ChunkIds:
-    """Ids of texts from a vocabulary whose words never cross white space: each distinct chunk is encoded once."""
+    """Ids of texts from a vocabulary in lower case whose words never cross white space: each distinct chunk is
+    encoded once.  A chunk of letters, perhaps with closing punctuation, is one word for the vocabulary's model, which
+    then needs neither normalizing nor splitting; all other chunks take the whole way."""
+
+    CLOSING = b".,!?;:"
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.whole = Tokenizer.from_file(path)
+        self.whole.no_padding()
+        self.whole.no_truncation()
+        self.word = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": [], "padding": None, "truncation": None}))
+        self.letters = {b: c for c, b in byte_letters().items()}
         self.known: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {b"": b""}
+
+    def learn(self, chunks: list[bytes]) -> None:
+        plain, other = [], []
+        for c in chunks:
+            core = c.rstrip(self.CLOSING)
+            text = core.decode()
+            easy = text.isalpha() and text.lower() == text and unicodedata.is_normalized("NFC", text)
+            (plain if easy else other).append((c, core, c[len(core) :]))
+        for tail in {t for _, _, t in plain} - self.tails.keys():
+            self.tails[tail] = _little(self.whole.encode(tail.decode(), add_special_tokens=False).ids)
+        words = [core.decode("latin-1").translate(self.letters) for _, core, _ in plain]
+        for (c, _, tail), e in zip(plain, self.word.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.known[c] = _little(e.ids) + self.tails[tail]
+        for (c, _, _), e in zip(other, self.whole.encode_batch_fast([c.decode() for c, _, _ in other], add_special_tokens=False), strict=True):
+            self.known[c] = _little(e.ids)
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the end token."""
         if len(self.known) > CACHE_CHUNKS:
             self.known.clear()
-        known, chunks = self.known, [t.split() for t in texts]
-        new = list({c for own in chunks for c in own if c not in known})
-        for c, e in zip(new, self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False), strict=True):
-            known[c] = np.array(e.ids, dtype="<u4").tobytes()
-        end = END_ID.to_bytes(4, "little")
+            self.tails = {b"": b""}
+        # the vocabulary has no capitals, but special tokens are told apart before that
+        known, chunks = self.known, [(t if b"<|" in t else t.lower()).split() for t in texts]
+        self.learn(list({c for own in chunks for c in own if c not in known}))
+        end = _little([END_ID])
         return [b"".join([known[c] for c in own]) + end for own in chunks]
 
 
+def _little(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 @functools.lru_cache(maxsize=2)
 def chunk_ids(path: str) -> ChunkIds:
     return ChunkIds(path)
