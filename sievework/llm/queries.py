@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sievework.llm.bpe import op9_bpe
 from sievework.llm.embeddings import op6_embedding_near_dedup
+from sievework.llm.jaccard import op3_ngram_jaccard
 from sievework.llm.media import op2_media_columns
 from sievework.llm.packing import op10_best_fit_packing
 from sievework.llm.pii import op8_pii
@@ -19,6 +20,7 @@ from sievework.llm.suffixes import op1_suffix_dedup
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_media_columns": op2_media_columns,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_secret_scans": op5_secret_scans,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
