@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 19
 #: Spark deletes the shuffle files of a finished query when this is set.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
