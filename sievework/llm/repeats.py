@@ -267,7 +267,7 @@ def repeated_windows(docs: DataFrame, unit: Unit, buckets: int) -> DataFrame:
             owner = np.repeat(ids, counts)
             least, _ = _within(names, owner)
             later = owner > least
-            some = np.add.reduceat(later, np.cumsum(counts) - counts)
+            some = np.add.reduceat(later, np.cumsum(counts) - counts, dtype=np.int64)
             if later.any():
                 yield found(marks[some > 0], some[some > 0], places[later])
 
