@@ -234,9 +234,8 @@ def repeated_windows(docs: DataFrame, unit: Unit, buckets: int) -> DataFrame:
             texts, counts = _groups(owner[later])
             if len(texts):
                 yield _packed(int(marks[texts[0]]) % buckets, True, ids[:0], marks[texts], counts, place[later].astype(np.uint32).tobytes(), b"", ids[:0])
-            # of equal windows in one slice the first stands for all
+            # of equal windows in one slice those of the least id go on
             left = np.flatnonzero(~later)
-            left = np.sort(left[np.unique(names[left], return_index=True)[1]])
             bucket = bucket_of(names[left], buckets)
             order = np.argsort(bucket.astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")
             ends = np.searchsorted(bucket[order], np.arange(buckets), side="right")
