@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from sievework.llm import hashing as H
 from sievework.llm.graph import components
 from sievework.llm.repeats import PACKED, _groups, _packed, _rows, _within, bucket_of, keyed, starts_of
-from sievework.llm.shared import partitions, split_by, staged, text_bytes, text_slices
+from sievework.llm.shared import partitions, split_by, staged, text_bytes, text_slices, without
 
 WORDS, THRESHOLD, FRAGMENTS = 5, 80, 8
 
@@ -160,15 +160,14 @@ def links(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+    """doc_id, n_shingles, component_id and mark (of id and text) of every row."""
     own = keyed(docs, id_col, text_col).withColumn("print", F.unhex(F.md5("text")))
     known = own.filter("doc_id is not null")
     # nodes: the least id of each text
     classes = known.groupBy("print").agg(F.min(F.struct("doc_id", "mark")).alias("c")).select("print", F.col("c.doc_id").alias("node"), F.col("c.mark").alias("node_mark"))
     nodes = staged(known.select("doc_id", "mark", "print").distinct().join(classes, "print").select("doc_id", "mark", "node", "node_mark"), "nodes")
     copies = nodes.filter("mark != node_mark").select("mark")
-    perhaps, surely = split_by(known, copies, "mark")
-    firsts = surely.unionByName(perhaps.join(copies, "mark", "left_anti").select(*surely.columns)).select("doc_id", "mark", "text")
+    firsts = without(known.select("doc_id", "mark", "text"), copies, "mark")
     counts = staged(shared_counts(firsts, partitions(docs.sparkSession)), "counts")
     viable = counts.filter(f"n > 0 and 100 * shared >= {threshold} * n").select("mark")
     touched, _ = split_by(firsts, viable, "mark")
@@ -182,8 +181,16 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "
     without_id = own.filter("doc_id is null")
     counted = fragments(without_id.select(F.col("mark").alias("doc_id"), "text"), 1).select(F.col("node").alias("mark"), F.col("n").alias("n_shingles")).distinct().withColumn("component_id", F.lit(None).cast("long"))
     joined = own.select("doc_id", "mark").join(done.unionByName(counted), "mark", "left")
-    return joined.select("doc_id", F.coalesce("n_shingles", F.lit(0).cast("long")).alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return joined.select("doc_id", F.coalesce("n_shingles", F.lit(0).cast("long")).alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "mark")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("mark")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs (all columns) without those that are not the least id of their component."""
+    judged = near_duplicates(docs)
+    dropped = staged(judged.filter("component_id != doc_id").select(F.col("mark").alias("__mark")).distinct(), "dropped")
+    marked = docs.withColumn("__mark", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return without(marked, dropped, "__mark").select(*docs.columns)

@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import hashing as H
-from sievework.llm.shared import staged, text_bytes, text_slices
+from sievework.llm.repeats import keyed
+from sievework.llm.shared import staged, text_bytes, text_slices, without
 
 STATS = ["n_bytes", "n_words", "word_bytes", "upper", "digit", "symbol", "bar", "beyond_ascii", "repeated", "distinct", "noisy_words", "shouted_words", "line_words", "repeated_lines"]
 #: At most so many labelled rows are brought together for the fit, in the order of a hash of doc_id.
@@ -86,15 +87,14 @@ def statistics(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    kinds = pa.schema([("doc_id", pa.int64()), *((s, pa.float64()) for s in STATS)])
+    kinds = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), *((s, pa.float64()) for s in STATS)])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             found = statistics(*text_bytes(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, found.T)], schema=kinds)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *map(pa.array, found.T)], schema=kinds)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(task, "doc_id long, " + ", ".join(f"{s} double" for s in STATS))
+    return keyed(docs, id_col, text_col).mapInArrow(task, "doc_id long, mark long, " + ", ".join(f"{s} double" for s in STATS))
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, above, bound), all of which hold
@@ -180,14 +180,21 @@ def held_out(doc_id: Column) -> Column:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row."""
+    """doc_id, held_out, score, predicted and mark (of id and text) of every row."""
     stats = staged(with_statistics(docs), "statistics")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("_label")).filter(F.col("_label").isin(0, 1) & ~held_out(F.col("doc_id")))
     sample = stats.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), *STATS).limit(fit_rows).select(*STATS, "_label").toArrow()
     x = np.column_stack([sample[s].to_numpy() for s in STATS])
     intercept, rules = fit_rules(x, sample["_label"].to_numpy().astype(np.float64))
-    return stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score_column(intercept, rules).alias("score")).withColumn("predicted", (F.col("score") >= REJECT_BELOW).cast("int"))
+    return stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score_column(intercept, rules).alias("score"), "mark").withColumn("predicted", (F.col("score") >= REJECT_BELOW).cast("int"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("mark")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs (all columns) without those that the classifier rejects."""
+    rejected = staged(quality_scores(docs, labels).filter("predicted = 0").select(F.col("mark").alias("__mark")).distinct(), "rejected")
+    marked = docs.withColumn("__mark", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return without(marked, rejected, "__mark").select(*docs.columns)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.hashing import U64, fingerprints, prefix, row_of
-from sievework.llm.shared import partitions, split_by, staged, text_bytes, text_slices
+from sievework.llm.shared import partitions, split_by, staged, text_bytes, text_slices, without
 
 
 class Unit(Protocol):
@@ -298,7 +298,7 @@ def intervals(found: DataFrame, length: int) -> DataFrame:
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """doc_id, text (null: empty), mark and further columns.  Rows equal in id and text have one mark: they are treated alike."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more)  # a column of `more` may have any name but these
     return own.withColumn("mark", F.xxhash64("doc_id", "text"))
 
 
@@ -310,8 +310,7 @@ def repeat_intervals(docs: DataFrame, unit: Unit) -> DataFrame:
     prints = known.select("doc_id", "mark", F.unhex(F.md5("text")).alias("print"))
     first = prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
     copies = staged(prints.join(first, "print").filter("doc_id > first").select("mark").distinct(), "copies")
-    perhaps, surely = split_by(known, copies, "mark")
-    firsts = surely.unionByName(perhaps.join(copies, "mark", "left_anti").select("doc_id", "mark", "text"))
+    firsts = without(known, copies, "mark")
     replies = staged(shared_anchors(firsts, unit, buckets), "replies")
     touched, _ = split_by(firsts, replies, "mark")
     told = replies.groupBy("mark").agg(F.collect_list(F.struct("bucket", "local", "n", "bits")).alias("replies"))

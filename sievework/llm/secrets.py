@@ -146,3 +146,10 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     n = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *n, F.sha2(joined(*KINDS[:3]), 256).alias("base_sha256"), joined(*KINDS).alias("spans"))
+
+
+def hide_secrets(docs: DataFrame) -> DataFrame:
+    """docs (all columns) with every span of `text` replaced by a mark and n_chars counted anew."""
+    plain = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    found = scan(plain).withColumn("text", redact(F.col("text"), F.concat(*KINDS)))
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

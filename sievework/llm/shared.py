@@ -85,8 +85,14 @@ def bitmap(marks: DataFrame, column: str) -> DataFrame:
 def split_by(rows: DataFrame, marks: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """Rows whose mark may be among marks, and rows whose mark surely is not.  Only the first need a join with them,
     so that texts without a partner are not shuffled; where the bitmap is full, all rows are in the first."""
-    words = staged(bitmap(marks, column), "bitmap")
+    words = staged(bitmap(marks, column), "bitmap").toDF("__word", "__bits")
     slot = F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS))
-    tested = rows.withColumn("word", F.shiftright(slot, 6)).withColumn("slot", slot).join(F.broadcast(words), "word", "left")
-    hit = F.expr("coalesce(shiftright(bits, cast(slot & 63 as int)) & 1, 0) = 1")
+    tested = rows.withColumn("__word", F.shiftright(slot, 6)).withColumn("__slot", slot).join(F.broadcast(words), "__word", "left")
+    hit = F.expr("coalesce(shiftright(__bits, cast(__slot & 63 as int)) & 1, 0) = 1")
     return tested.filter(hit).select(*rows.columns), tested.filter(~hit).select(*rows.columns)
+
+
+def without(rows: DataFrame, marks: DataFrame, column: str) -> DataFrame:
+    """Rows whose mark is not among marks; those that surely are not are passed on without a shuffle."""
+    perhaps, surely = split_by(rows, marks, column)
+    return surely.unionByName(perhaps.join(marks.select(column), column, "left_anti").select(*rows.columns))

@@ -54,12 +54,15 @@ class Bytes:
         return before[windows + PERIOD] > before[windows]
 
 
-def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, text: the characters of which a byte is kept."""
-    own = keyed(docs, id_col, text_col)
+def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, text: the characters of which a byte is kept;
+    also the columns named in carry as they are."""
+    own = keyed(docs, id_col, text_col, *carry)
     parts = repeat_intervals(own, Bytes())
     touched, untouched = split_by(own, parts, "mark")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * keep_text
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * keep_text + "".join(f", `{c}` {t}" for c, t in docs.dtypes if c in carry)
+
+    ordered = [c for c in docs.columns if c in carry]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
@@ -77,10 +80,11 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 at = np.concatenate([[0], np.cumsum(~whole)])[bounds]
                 text = data[~whole].tobytes()
                 out.append(pa.array([text[a:b].decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], type=pa.string()))
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text"] * keep_text])
+            out += [batch.column(c) for c in ordered]
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text"] * keep_text, *ordered])
 
-    joined = touched.join(parts, "mark", "left").select("doc_id", "text", "starts", "ends")
-    return joined.mapInArrow(apply, schema).unionByName(untouched.select("doc_id", "text").mapInArrow(apply, schema))
+    joined = touched.join(parts, "mark", "left").select("doc_id", "text", "starts", "ends", *carry)
+    return joined.mapInArrow(apply, schema).unionByName(untouched.select("doc_id", "text", *carry).mapInArrow(apply, schema))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
