@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.graph import components
+from sievework.llm.graph import components, ties
 from sievework.llm.shared import staged
 
 COSINE = 0.9
@@ -71,22 +71,6 @@ def choose_pivots(x: np.ndarray, n: int, r: float) -> np.ndarray:
     return best[1]
 
 
-def _forest(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ties of each id to the smallest one it is connected with inside this block."""
-    keep_r, keep_c = linked.any(axis=1), linked.any(axis=0)
-    linked, rows, columns = linked[np.ix_(keep_r, keep_c)], rows[keep_r], columns[keep_c]
-    least_r, least_c = rows.copy(), columns.copy()
-    far = np.iinfo(np.int64).max
-    while len(rows):
-        new_c = np.minimum(least_c, np.where(linked, least_r[:, None], far).min(axis=0))
-        new_r = np.minimum(least_r, np.where(linked, new_c[None, :], far).min(axis=1))
-        if (new_r == least_r).all() and (new_c == least_c).all():
-            break
-        least_r, least_c = new_r, new_c
-    a, b = np.concatenate([rows, columns]), np.concatenate([least_r, least_c])
-    return a[a != b], b[a != b]
-
-
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     spark, r = vectors.sparkSession, float(np.sqrt(2 - 2 * cosine))
@@ -139,7 +123,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
         a, b = first, ~first
         linked = x[a] @ x[b].T >= cosine
         links = linked.astype(np.float64) @ n_of[b]
-        down, up = _forest(linked, ids[a], ids[b])
+        down, up = ties(linked, ids[a], ids[b])
         return pa.table({"a": np.concatenate([ids[a], down]), "b": np.concatenate([np.full(int(a.sum()), -1), up]), "links": np.concatenate([links.astype(np.int64), np.full(len(down), -1)]), "tie": np.concatenate([np.zeros(int(a.sum()), bool), np.ones(len(down), bool)])})
 
     found = staged(own.unionByName(other).groupBy("cell", "i", "j").applyInArrow(compare, "a long, b long, links long, tie boolean"), "found")

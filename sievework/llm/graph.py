@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,3 +30,19 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = now
     return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def ties(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ties of each id to the smallest one it is connected with inside this block."""
+    keep_r, keep_c = linked.any(axis=1), linked.any(axis=0)
+    linked, rows, columns = linked[np.ix_(keep_r, keep_c)], rows[keep_r], columns[keep_c]
+    least_r, least_c = rows.copy(), columns.copy()
+    far = np.iinfo(np.int64).max
+    while len(rows):
+        new_c = np.minimum(least_c, np.where(linked, least_r[:, None], far).min(axis=0))
+        new_r = np.minimum(least_r, np.where(linked, new_c[None, :], far).min(axis=1))
+        if (new_r == least_r).all() and (new_c == least_c).all():
+            break
+        least_r, least_c = new_r, new_c
+    a, b = np.concatenate([rows, columns]), np.concatenate([least_r, least_c])
+    return a[a != b], b[a != b]

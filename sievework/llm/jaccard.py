@@ -6,9 +6,10 @@
    the first n - ceil(t n) + 1 (prefix filter).
 3. Vertical partitioning: the order of shingle values is cut into fragments; each fragment counts the overlap of its
    part of a pair by itself, and the counts are summed for each pair.
-4. Texts that share a prefix shingle are first compared with the least id among them.  What links is one component;
-   then only texts outside of a shingle's largest component are compared with those of other components there.
-   So a group of near copies takes as many comparisons as it has members, and no link between components is lost.
+4. Texts that share a prefix shingle are compared with one of them; what links is one component.  Then the texts
+   outside of the largest component of a shingle are compared with all others of that shingle: pair by pair where
+   they are few, else by blocks, as matrices of partial overlaps that give ties and no pairs.  So a group of near
+   copies never makes rows of all its pairs, and no link between components is lost.
 
 Whole copies of a text are one node from the start.
 
@@ -27,11 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import hashing as H
-from sievework.llm.graph import components
+from sievework.llm.graph import components, ties
 from sievework.llm.repeats import PACKED, _groups, _packed, _rows, _within, bucket_of, keyed, starts_of
 from sievework.llm.shared import partitions, split_by, staged, text_bytes, text_slices, without
 
 WORDS, THRESHOLD, FRAGMENTS = 5, 80, 8
+#: Shingles of more texts than SMALL are compared by blocks of at most about BLOCK texts, others pair by pair.
+SMALL, BLOCK = 12, 1024
 
 
 def shingles(data: np.ndarray, bounds: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -130,8 +133,43 @@ def verified(pairs: DataFrame, parts: DataFrame, threshold: int) -> DataFrame:
 
 
 def _near(threshold: int, x: str, y: str) -> str:
-    """Sizes that a pair that links can have."""
-    return f"100 * {x} >= {threshold} * {y} and 100 * {y} >= {threshold} * {x}"
+    """What sizes (n) and numbers of shared shingles (s) a pair that links can have: its overlap is within both s."""
+    return f"{100 + threshold} * least({x}s, {y}s) >= {threshold} * ({x}n + {y}n)"
+
+
+def block_links(open_: DataFrame, parts: DataFrame, threshold: int) -> DataFrame:
+    """Ties (a, b) between texts outside of a shingle's largest component and the texts linked with them, by blocks:
+    each fragment gives a matrix of partial overlaps, and their sum tells the links.  No pair is a row."""
+    outside = F.col("component") != F.col("largest")
+    sizes = open_.groupBy("gram").agg(F.ceil(F.count_if(outside) / BLOCK).alias("down"), F.ceil(F.count("*") / BLOCK).alias("across"))
+    sized, deal, zero = open_.join(sizes, "gram"), F.pmod(F.xxhash64("node"), F.lit(1 << 30)), F.lit(0).cast("long")
+    rows = sized.filter(outside).select("gram", (deal % F.col("down")).alias("i"), F.explode(F.sequence(zero, F.col("across") - 1)).alias("j"), F.lit(True).alias("own"), "node")
+    columns = sized.select("gram", F.explode(F.sequence(zero, F.col("down") - 1)).alias("i"), (deal % F.col("across")).alias("j"), F.lit(False).alias("own"), "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        own, node, n = table["own"].to_numpy(), table["node"].to_numpy(), table["n"].to_numpy()
+        fragment, lists = table["fragment"].to_numpy(), table["part"].combine_chunks()
+        sizes, flat = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy()
+        line = np.repeat(np.arange(len(node)), sizes)
+        (a, ra), (b, rb) = (np.unique(node[own == side], return_index=True) for side in (True, False))
+        total = np.zeros((len(a), len(b)), dtype=np.float32)
+        for f in np.unique(fragment):
+            these = fragment[line] == f
+            gram, code = np.unique(flat[these], return_inverse=True)
+            place = line[these]
+            left, right = np.zeros((len(a), len(gram)), dtype=np.float32), np.zeros((len(b), len(gram)), dtype=np.float32)
+            mine = own[place]
+            left[np.searchsorted(a, node[place[mine]]), code[mine]] = 1
+            right[np.searchsorted(b, node[place[~mine]]), code[~mine]] = 1
+            total += left @ right.T
+        na, nb = n[own][ra], n[~own][rb]
+        linked = (100 * total >= threshold * (na[:, None] + nb[None, :] - total)) & (a[:, None] != b[None, :])
+        down, up = ties(linked, a, b)
+        return pa.table({"a": down, "b": up})
+
+    placed = rows.unionByName(columns).join(parts, "node")
+    return placed.groupBy("gram", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def links(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -142,21 +180,27 @@ def links(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     ranked = grams.join(common, "gram").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("r"))
     # shingles of one text alone come first in the order; the rest of the prefix is of shared ones
     spare = F.expr(f"n - ({threshold} * n + 99) div 100 + 1 - (n - size(r))")
-    prefix = staged(ranked.withColumn("take", spare.cast("int")).filter("take > 0").select("node", "n", F.explode(F.expr("slice(r.gram, 1, take)")).alias("gram")), "prefix")
-    least = prefix.groupBy("gram").agg(F.min(F.struct("node", "n")).alias("c"), F.count("*").alias("members")).filter("members > 1")
-    starred = prefix.join(least, "gram").filter("node != c.node and " + _near(threshold, "n", "c.n"))
-    first = staged(starred.select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    prefix = staged(ranked.withColumn("take", spare.cast("int")).filter("take > 0").select("node", "n", F.size("r").alias("s"), F.explode(F.expr("slice(r.gram, 1, take)")).alias("gram")), "prefix")
+    # every text is compared with one text of each of its shingles
+    centre = prefix.groupBy("gram").agg(F.min_by(F.struct("node", "n", "s"), F.xxhash64("node")).alias("c"), F.count("*").alias("k")).filter("k > 1")
+    met = prefix.join(centre, "gram").filter("node != c.node and " + _near(threshold, "", "c."))
+    first = staged(met.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct(), "pairs")
     found = staged(verified(first, parts, threshold), "links")
-    # what is left: texts with a prefix shingle in common that are in different components
-    own = components(found)
-    placed = prefix.join(own.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # what is left: texts with a shingle in common that are in different components
+    open_ = _open(prefix, found)
+    x, y = open_.filter(f"k <= {SMALL} and component != largest").alias("x"), open_.filter(f"k <= {SMALL}").alias("y")
+    crossed = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") != F.col("y.component")) & F.expr(_near(threshold, "x.", "y.")))
+    rest = crossed.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    by_block = block_links(open_.filter(f"k > {SMALL}"), parts, threshold)
+    return found.unionByName(verified(staged(rest, "pairs"), parts, threshold)).unionByName(by_block)
+
+
+def _open(prefix: DataFrame, found: DataFrame) -> DataFrame:
+    """gram, node, n, s, component, largest (component) and k (texts) of the shingles whose texts are in several components."""
+    placed = prefix.join(components(found).withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = placed.groupBy("gram", "component").agg(F.count("*").alias("k"))
-    largest = sizes.groupBy("gram").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1").select("gram", "largest")
-    open_ = staged(placed.join(largest, "gram"), "open")
-    x, y = open_.filter("component != largest").alias("x"), open_.alias("y")
-    crossed = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") != F.col("y.component")) & F.expr(_near(threshold, "x.n", "y.n")))
-    second = crossed.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    return found.unionByName(verified(staged(second, "pairs"), parts, threshold))
+    largest = sizes.groupBy("gram").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count("*").alias("parts"), F.sum("k").alias("k")).filter("parts > 1").select("gram", "largest", "k")
+    return staged(placed.join(largest, "gram"), "open")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
