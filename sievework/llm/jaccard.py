@@ -205,9 +205,11 @@ def _open(prefix: DataFrame, found: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and mark (of id and text) of every row."""
-    own = keyed(docs, id_col, text_col).withColumn("print", F.unhex(F.md5("text")))
+    # texts without a word link with nothing, so each is a node of its own
+    alone = F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), "").otherwise(F.col("doc_id").cast("string")).cast("binary")
+    own = keyed(docs, id_col, text_col).withColumn("print", F.concat(F.unhex(F.md5("text")), alone))
     known = own.filter("doc_id is not null")
-    # nodes: the least id of each text
+    # nodes: the least id of each text that has words
     classes = known.groupBy("print").agg(F.min(F.struct("doc_id", "mark")).alias("c")).select("print", F.col("c.doc_id").alias("node"), F.col("c.mark").alias("node_mark"))
     nodes = staged(known.select("doc_id", "mark", "print").distinct().join(classes, "print").select("doc_id", "mark", "node", "node_mark"), "nodes")
     copies = nodes.filter("mark != node_mark").select("mark")
