@@ -100,5 +100,8 @@ def with_audit_columns(curated: DataFrame, audit: DataFrame) -> DataFrame:
     """curated and three text columns: what was changed in the row, from what, and why."""
     entry = F.struct("column", "original", "new", "reason")
     told = audit.groupBy("_row_id").agg(F.array_sort(F.collect_list(entry)).alias("a"))
-    text = {n: F.array_join(F.transform("a", lambda x, k=k: F.concat_ws("=", x["column"], x[k])), "; ").alias(n) for n, k in (("_modified", "new"), ("_original", "original"), ("_reason", "reason"))}
-    return curated.join(told.select("_row_id", *text.values()), "_row_id", "left")
+
+    def text(field: str) -> Column:
+        return F.array_join(F.transform("a", lambda x: F.concat_ws("=", x["column"], x[field])), "; ")
+
+    return curated.join(told.select("_row_id", text("new").alias("_modified"), text("original").alias("_original"), text("reason").alias("_reason")), "_row_id", "left")
