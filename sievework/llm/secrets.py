@@ -19,6 +19,8 @@ from math import log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.llm.shared import hash_sample
+
 # The base rules; hexadecimal strings and tokens are runs of characters.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -27,7 +29,7 @@ KINDS = ["assign", "access", "hex", "markov"]
 #: Characters that the Markov models tell apart: letters, and one each for digits and symbols.
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0-"
 SIZE = len(LETTERS)
-#: Texts that the models learn from, in the order of a hash of doc_id; hashes added to the random strings.
+#: Texts that the models learn from, in the order of a hash of doc_id and text; hashes added to the random strings.
 SAMPLE_TEXTS, RANDOM_STRINGS = 2000, 2000
 #: A token is reported if its log-likelihood ratio is above this, and above a share of it a character.
 LEAST_RATIO, LEAST_PER_CHAR = 8.0, 0.35
@@ -82,7 +84,7 @@ def _transitions(tokens: DataFrame, token: str) -> DataFrame:
 def train(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, random_strings: int = RANDOM_STRINGS) -> list[float]:
     """For each pair of characters the log of how much likelier the step is in a random string than in an identifier."""
     spark = docs.sparkSession
-    sample = docs.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample_texts)
+    sample = hash_sample(docs, sample_texts, docs.count(), "doc_id", "text")
     words = sample.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z_]{4,}"), F.lit(0))).alias("token"))
     labelled = base_spans(sample).select("text", F.explode(F.concat("access", "hex", "assign")).alias("s")).select(F.expr("regexp_extract(substring(text, s.start + 1, s.end - s.start), '([A-Za-z0-9+/_-]+)$', 1)").alias("token"))
     digest = F.sha2(F.col("id").cast("string"), 256)

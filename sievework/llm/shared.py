@@ -48,6 +48,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hash_sample(df: DataFrame, rows: int, n: int, *keys: str) -> DataFrame:
+    """At most `rows` of the n rows of df, those of the least hash of keys.  A bound on the hash that about four times as
+    many pass goes first, so that no task brings forward more than its share of them."""
+    order = F.xxhash64(*keys)
+    bound = min((1 << 63) - 1, (rows << 66) // max(n, 1) - (1 << 63))
+    return df.filter(order <= bound).orderBy(order, *keys).limit(rows)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds at most about `most` bytes of text, or one row."""
     for batch in batches:
