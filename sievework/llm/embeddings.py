@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm.graph import components, ties
-from sievework.llm.shared import staged
+from sievework.llm.shared import hash_sample, staged
 
 COSINE = 0.9
 #: Rows of the sample that pivots are chosen on; bytes of pivots that tasks get; rows of a block.
@@ -82,7 +82,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     n, width = classes.agg(F.count("*"), F.max(F.size("embedding"))).first()
     if not n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    sample = classes.orderBy(F.xxhash64("id")).limit(SAMPLE).select("embedding").toArrow()
+    sample = hash_sample(classes, SAMPLE, n, "id").select("embedding").toArrow()
     pivots = choose_pivots(_matrix(sample["embedding"], width), n, r)
     between = _distances(pivots, pivots)
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sievework.llm import hashing as H
 from sievework.llm.repeats import keyed
-from sievework.llm.shared import staged, text_bytes, text_slices, without
+from sievework.llm.shared import hash_sample, staged, text_bytes, text_slices, without
 
 STATS = ["n_bytes", "n_words", "word_bytes", "upper", "digit", "symbol", "bar", "beyond_ascii", "repeated", "distinct", "noisy_words", "shouted_words", "line_words", "repeated_lines"]
 #: At most so many labelled rows are brought together for the fit, in the order of a hash of doc_id.
@@ -183,7 +183,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     """doc_id, held_out, score, predicted and mark (of id and text) of every row."""
     stats = staged(with_statistics(docs), "statistics")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("_label")).filter(F.col("_label").isin(0, 1) & ~held_out(F.col("doc_id")))
-    sample = stats.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), *STATS).limit(fit_rows).select(*STATS, "_label").toArrow()
+    drawn = hash_sample(known, fit_rows, known.count(), "doc_id", "_label")
+    sample = stats.join(drawn, "doc_id").orderBy(F.xxhash64("doc_id"), *STATS, "_label").limit(fit_rows).select(*STATS, "_label").toArrow()
     x = np.column_stack([sample[s].to_numpy() for s in STATS])
     intercept, rules = fit_rules(x, sample["_label"].to_numpy().astype(np.float64))
     return stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score_column(intercept, rules).alias("score"), "mark").withColumn("predicted", (F.col("score") >= REJECT_BELOW).cast("int"))
