@@ -33,8 +33,9 @@ from sievework.llm.repeats import PACKED, _groups, _packed, _rows, _within, buck
 from sievework.llm.shared import partitions, split_by, staged, text_bytes, text_slices, without
 
 WORDS, THRESHOLD, FRAGMENTS = 5, 80, 8
-#: Shingles of more texts than SMALL are compared by blocks of at most about BLOCK texts, others pair by pair.
-SMALL, BLOCK = 12, 1024
+#: Shingles of more texts than SMALL are compared by blocks of at most about BLOCK texts and BLOCK_SHINGLES shingles,
+#: by matrices of at most MATRIX_COLUMNS columns; others pair by pair.
+SMALL, BLOCK, BLOCK_SHINGLES, MATRIX_COLUMNS = 12, 1024, 1 << 19, 4096
 
 
 def shingles(data: np.ndarray, bounds: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -137,14 +138,38 @@ def _near(threshold: int, x: str, y: str) -> str:
     return f"{100 + threshold} * least({x}s, {y}s) >= {threshold} * ({x}n + {y}n)"
 
 
+def _blocks(entries: DataFrame) -> DataFrame:
+    """down and across: the number of blocks of each group's outside texts and of all its texts."""
+    weight = F.greatest(F.lit(1.0) / BLOCK, F.col("n") / BLOCK_SHINGLES)
+    return entries.groupBy("group").agg(F.ceil(F.sum(F.when(F.col("outside"), weight).otherwise(0.0))).cast("long").alias("down"), F.ceil(F.sum(weight)).cast("long").alias("across"), F.count_if("outside").alias("rows"), F.count("*").alias("columns"))
+
+
+def _deal(entries: DataFrame, sizes: DataFrame) -> DataFrame:
+    """group, i, j, own, node: every outside text with all blocks across, every text with all blocks down."""
+    sized, deal, zero = entries.join(sizes, "group"), F.pmod(F.xxhash64("node"), F.lit(1 << 30)), F.lit(0).cast("long")
+    rows = sized.filter("outside").select("group", (deal % F.col("down")).alias("i"), F.explode(F.sequence(zero, F.col("across") - 1)).alias("j"), F.lit(True).alias("own"), "node")
+    columns = sized.select("group", F.explode(F.sequence(zero, F.col("down") - 1)).alias("i"), (deal % F.col("across")).alias("j"), F.lit(False).alias("own"), "node")
+    return rows.unionByName(columns)
+
+
 def block_links(open_: DataFrame, parts: DataFrame, threshold: int) -> DataFrame:
     """Ties (a, b) between texts outside of a shingle's largest component and the texts linked with them, by blocks:
-    each fragment gives a matrix of partial overlaps, and their sum tells the links.  No pair is a row."""
+    each fragment gives a matrix of partial overlaps, and their sum tells the links.  No pair is a row.
+
+    Texts mostly meet in many shingles.  So the shingles whose texts hang together are compared as one cluster, each
+    text once, unless that makes more rows than going through these shingles one by one."""
     outside = F.col("component") != F.col("largest")
-    sizes = open_.groupBy("gram").agg(F.ceil(F.count_if(outside) / BLOCK).alias("down"), F.ceil(F.count("*") / BLOCK).alias("across"))
-    sized, deal, zero = open_.join(sizes, "gram"), F.pmod(F.xxhash64("node"), F.lit(1 << 30)), F.lit(0).cast("long")
-    rows = sized.filter(outside).select("gram", (deal % F.col("down")).alias("i"), F.explode(F.sequence(zero, F.col("across") - 1)).alias("j"), F.lit(True).alias("own"), "node")
-    columns = sized.select("gram", F.explode(F.sequence(zero, F.col("down") - 1)).alias("i"), (deal % F.col("across")).alias("j"), F.lit(False).alias("own"), "node")
+    by_gram = open_.select(F.col("gram").alias("group"), "node", "n", outside.alias("outside"))
+    least = open_.groupBy("gram").agg(F.min("node").alias("a"))
+    clusters = staged(components(open_.join(least, "gram").select("a", F.col("node").alias("b"))).toDF("node", "cluster"), "clusters")
+    by_cluster = open_.join(clusters, "node").groupBy("cluster", "node", "n").agg(F.max(outside).alias("outside")).select(F.xxhash64(F.lit("cluster"), "cluster").alias("group"), "node", "n", "outside", "cluster")
+    gram_blocks, cluster_blocks = staged(_blocks(by_gram), "blocks"), staged(_blocks(by_cluster), "blocks")
+    cost = F.col("rows") * F.col("across") + F.col("columns") * F.col("down")
+    of = least.select(F.col("gram").alias("group"), F.col("a").alias("node")).join(clusters, "node").select("group", F.xxhash64(F.lit("cluster"), "cluster").alias("cluster"))
+    each = gram_blocks.join(of, "group").groupBy("cluster").agg(F.sum(cost).alias("each")).withColumnRenamed("cluster", "group")
+    whole = staged(cluster_blocks.withColumn("cost", cost).join(each, "group").filter("cost <= each").select("group"), "whole")
+    single = of.join(whole.withColumnRenamed("group", "cluster"), "cluster", "left_anti").select("group")
+    dealt = _deal(by_cluster.drop("cluster"), cluster_blocks.join(whole, "group")).unionByName(_deal(by_gram, gram_blocks.join(single, "group")))
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -153,23 +178,27 @@ def block_links(open_: DataFrame, parts: DataFrame, threshold: int) -> DataFrame
         sizes, flat = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy()
         line = np.repeat(np.arange(len(node)), sizes)
         (a, ra), (b, rb) = (np.unique(node[own == side], return_index=True) for side in (True, False))
+        place = np.where(own, np.searchsorted(a, node), np.searchsorted(b, node))
         total = np.zeros((len(a), len(b)), dtype=np.float32)
         for f in np.unique(fragment):
             these = fragment[line] == f
-            gram, code = np.unique(flat[these], return_inverse=True)
-            place = line[these]
-            left, right = np.zeros((len(a), len(gram)), dtype=np.float32), np.zeros((len(b), len(gram)), dtype=np.float32)
-            mine = own[place]
-            left[np.searchsorted(a, node[place[mine]]), code[mine]] = 1
-            right[np.searchsorted(b, node[place[~mine]]), code[~mine]] = 1
-            total += left @ right.T
+            lines, grams = line[these], flat[these]
+            mine = own[lines]
+            both = np.intersect1d(grams[mine], grams[~mine])
+            code = np.searchsorted(both, grams)
+            known = (code < len(both)) & (both[np.minimum(code, len(both) - 1)] == grams) if len(both) else np.zeros(len(grams), dtype=bool)
+            for start in range(0, len(both), MATRIX_COLUMNS):
+                now = known & (code >= start) & (code < start + MATRIX_COLUMNS)
+                left, right = (np.zeros((len(x), min(MATRIX_COLUMNS, len(both) - start)), dtype=np.float32) for x in (a, b))
+                for side, matrix in ((now & mine, left), (now & ~mine, right)):
+                    matrix[place[lines[side]], code[side] - start] = 1
+                total += left @ right.T
         na, nb = n[own][ra], n[~own][rb]
         linked = (100 * total >= threshold * (na[:, None] + nb[None, :] - total)) & (a[:, None] != b[None, :])
         down, up = ties(linked, a, b)
         return pa.table({"a": down, "b": up})
 
-    placed = rows.unionByName(columns).join(parts, "node")
-    return placed.groupBy("gram", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return dealt.join(parts, "node").groupBy("group", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def links(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

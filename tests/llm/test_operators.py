@@ -81,6 +81,27 @@ def test_op3(case):
     same(rows(jaccard.near_duplicates(df), "doc_id", "n_shingles", "component_id"), brute.op3(docs))
 
 
+@pytest.mark.parametrize(("block", "shingles"), [(1024, 1 << 19), (7, 400), (1, 1)])
+def test_op3_by_blocks(spark, monkeypatch, block, shingles):
+    """Chains of near copies whose ends don't link, and unlike texts that share a passage, whole and cut into blocks."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    docs = []
+    for base in range(4):
+        text = [word() for _ in range(80)]
+        for k in range(30):
+            text = list(text)
+            text[(k * 13) % 80] = word() if k % 3 else text[0]
+            docs.append((base * 100 + k, " ".join(text)))
+    passage = [word() for _ in range(60)]
+    docs += [(1000 + k, " ".join([*passage, *(docs[k * 7][1].split()[: 5 + k % 9])])) for k in range(17)]
+    monkeypatch.setattr(jaccard, "SMALL", 2)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", shingles)
+    monkeypatch.setattr(jaccard, "MATRIX_COLUMNS", 16)
+    same(rows(jaccard.near_duplicates(frame(spark, docs)), "doc_id", "n_shingles", "component_id"), brute.op3(docs))
+
+
 def test_op4(case):
     docs, df = case
     same(rows(recompression.dedup_words(df), "doc_id", "n_words", "n_removed", "kept_sha256"), brute.op4(docs))
