@@ -122,3 +122,32 @@ def schema_profile(rows: DataFrame, values: DataFrame) -> DataFrame:
     bounds = values.filter("not missing").groupBy("column").agg(F.min(number).alias("low"), F.max(number).alias("high"))
     joined = counts(values).join(type_vote(values), "column", "left").join(bounds, "column", "left").join(string_profile(values), "column", "left")
     return joined.withColumn("semantic_type", semantic_type(F.col("inferred_type"), F.col("unique_count"), F.col("count") - F.col("null_count"), F.col("low"), F.col("high"))).withColumn("semantic_role", role_of(F.col("column")))
+
+
+def sample_values(values: DataFrame, k: int = 5) -> DataFrame:
+    """column and its first k distinct texts, in the order of the rows."""
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy("column").orderBy("first_row", "value"))
+    first = values.filter("not missing").withColumn("rank", rank).filter(F.col("rank") <= k)
+    return first.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("sample_values"))
+
+
+# Parts of a column's name that say something.
+HINTS = ["id", "date", "time", "count", "total", "mean", "avg", "sum", "min", "max", "std", "var", "pct", "percent", "num", "name", "type", "status", "group", "category"]
+
+
+def name_hints(name: Column) -> Column:
+    return F.filter(F.split(F.lower(name), r"[_\-.\s]"), lambda part: part.isin(HINTS))
+
+
+def constraints(values: DataFrame, most: int = 20) -> DataFrame:
+    """What could be required of a column: few enough values for a set, uniqueness, no missing value."""
+    return counts(values).select("column", (F.col("unique_count") <= most).alias("in_set"), "is_unique", (F.col("null_count") == 0).alias("not_null"))
+
+
+def z_outliers(df: DataFrame, column: str, limit: float = 3.0) -> DataFrame:
+    """column and the number of values that are more than `limit` standard deviations from the mean."""
+    v = F.col(f"`{column}`").cast("double")
+    stats = df.agg(F.avg(v).alias("_mean"), F.stddev_pop(v).alias("_std"))  # one row
+    return df.crossJoin(F.broadcast(stats)).agg(F.count_if(F.abs(v - F.col("_mean")) / F.col("_std") > limit).alias("occurrences")).select(F.lit(column).alias("column"), "occurrences")

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
-from sievework.operators import accession, profile, taxonomy
+from sievework.operators import accession, profile, samples, taxonomy
 from sievework.operators import validators as V
 from sievework.operators.values import frequent, to_text, value_dictionary
-from sievework.plans import curation
+from sievework.plans import curation, decisions
 from sievework.plans.analyze import quality_report
 from sievework.streaming.values import windowed_rates
 
@@ -210,6 +210,57 @@ _add("windowed_rates", lambda s, d: windowed_rates(_table(s, d, "events"), 1.0,
 _add("quality_report", lambda s, d: quality_report(s.sql(DIRTY_ORDERS.replace("FROM orders", "FROM {o}"), o=_table(s, d, "orders")), "order_id"))
 
 
+# sample tables
+DIRTY_SAMPLES = """
+SELECT c_custkey AS sample_id, CASE c_custkey % 4 WHEN 0 THEN 'Male' WHEN 1 THEN 'female' WHEN 2 THEN 'M' ELSE 'F' END AS sex,
+  CASE WHEN c_custkey % 6 = 0 THEN 'Yes' ELSE 'no' END AS pregnant, CAST(c_custkey % 70 AS STRING) AS age,
+  CASE c_custkey % 5 WHEN 0 THEN 'Type 2 Diabetes' WHEN 1 THEN 'asthma' ELSE 'none' END AS diagnosis,
+  CASE c_custkey % 7 WHEN 0 THEN '38.9N 77.1W' WHEN 1 THEN '95.0 10' WHEN 2 THEN 'not collected' WHEN 3 THEN 'here' WHEN 4 THEN '' ELSE '-12.5 130.25' END AS lat_lon,
+  CASE c_custkey % 6 WHEN 0 THEN '2020-05-06' WHEN 1 THEN '2020-05' WHEN 2 THEN '2020' WHEN 3 THEN '05/06/2020' WHEN 4 THEN 'missing' ELSE 'May 2020' END AS collection_date,
+  CASE c_custkey % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'TRUE' END AS consent
+FROM customer"""
+_SW = {"sql": DIRTY_SAMPLES, "source": "customer", "key": "sample_id"}
+_S = f"WITH dirty AS ({DIRTY_SAMPLES}), t AS (SELECT count(*) AS total FROM dirty) "
+_add("pregnant_males", _rows(lambda r, n: samples.pregnant_males(r, "sex", "pregnant", n), **_SW), _S + _obs("cross_column_inconsistency", "'error'", "cross_column_validator", "SELECT 'sex vs pregnant' AS c, count(*) AS o FROM dirty WHERE lower(sex) IN ('male', 'm') AND lower(pregnant) = 'yes' HAVING count(*) > 0"))
+_add("young_patients", _rows(lambda r, n: samples.young_patients(r, "age", "diagnosis", n), **_SW), _S + _obs("cross_column_inconsistency", "'warning'", "cross_column_validator", "SELECT 'age vs diagnosis' AS c, count(*) AS o FROM dirty WHERE CAST(age AS INTEGER) <= 12 AND lower(diagnosis) = 'type 2 diabetes' HAVING count(*) > 0"))
+_PLACE = "lower(trim({0})) IN ('missing', 'not collected', 'not applicable', 'na') OR coalesce(TRY_CAST(regexp_extract({0}, '^([+-]?[0-9.]+)', 1) AS DOUBLE) BETWEEN -90 AND 90 AND TRY_CAST(regexp_extract({0}, ' ([+-]?[0-9.]+)', 1) AS DOUBLE) BETWEEN -180 AND 180, false)"
+_DS = _d(["lat_lon", "collection_date", "consent"], DIRTY_SAMPLES, "sample_id")
+_add("lat_lon_format", lambda s, d: samples.invalid_values(value_dictionary(_dirty(s, d, **_SW), ["lat_lon"]), "lat_lon", samples.latitude_longitude(F.col("value"))), _DS + f"SELECT c AS \"column\", CAST(sum(CASE WHEN {_PLACE.format('v')} THEN 0 ELSE n END) AS BIGINT) AS n_invalid, CAST(sum(n) AS BIGINT) AS n FROM d WHERE c = 'lat_lon' AND NOT missing GROUP BY c")
+_add("collection_date_format", lambda s, d: samples.invalid_values(value_dictionary(_dirty(s, d, **_SW), ["collection_date"]), "collection_date", samples.collection_date(F.col("value"))), _DS + "SELECT c AS \"column\", CAST(sum(CASE WHEN v = 'missing' OR regexp_matches(v, '^(....-..-..|....-..|[0-9]{4})$') THEN 0 ELSE n END) AS BIGINT) AS n_invalid, CAST(sum(n) AS BIGINT) AS n FROM d WHERE c = 'collection_date' AND NOT missing GROUP BY c")
+_add("many_booleans", lambda s, d: samples.many_booleans(value_dictionary(_dirty(s, d, **_SW), ["consent"]), ["consent"]), _DS + "SELECT c AS \"column\", count(DISTINCT trim(v)) AS spellings FROM d WHERE c = 'consent' AND trim(v) <> '' GROUP BY c HAVING count(DISTINCT trim(v)) > 2")
+_READY = ["sex", "age", "diagnosis", "lat_lon", "collection_date"]
+_add("readiness", lambda s, d: samples.readiness(_dirty(s, d, **_SW), _READY, "collection_date", "lat_lon"), f"WITH dirty AS ({DIRTY_SAMPLES}), g AS (SELECT count(*) AS n FROM dirty GROUP BY {', '.join(f'lower(trim({c}))' for c in _READY)}), x AS (SELECT count(*) AS samples, count(*) FILTER (NOT regexp_matches(collection_date, '^[0-9]{{4}}(-[0-9]{{2}}(-[0-9]{{2}})?)?$')) AS n_bad_date, count(*) FILTER (lat_lon <> '' AND NOT ({_PLACE.format('lat_lon')})) AS n_bad_place FROM dirty), y AS (SELECT CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS n_duplicate FROM g) SELECT samples, n_duplicate, n_bad_date, n_bad_place, CAST(floor(greatest(0, 100 - (n_duplicate * 30 + n_bad_date * 10 + n_bad_place * 10) / CAST(samples AS DOUBLE))) AS INTEGER) AS score, n_duplicate = 0 AS is_ready FROM x, y")
+
+# profiles beyond counts
+_add("sample_values", lambda s, d: profile.sample_values(value_dictionary(_dirty(s, d), ["status", "priority"])), _d(["status", "priority"]) + 'SELECT c AS "column", list(v ORDER BY first_row) AS sample_values FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY first_row) AS k FROM d WHERE NOT missing) WHERE k <= 5 GROUP BY c')
+_add("name_hints", lambda s, d: _table(s, d, "lineitem").limit(1).unpivot([], ["l_quantity", "l_tax"], "column", "value").select(profile.name_hints(F.lit("order_Date.total-x count")).alias("hints")).distinct(), "SELECT ['date', 'total', 'count'] AS hints")
+_add("constraints", lambda s, d: profile.constraints(value_dictionary(_dirty(s, d), ["status", "url"])), _d(["status", "url"]) + "SELECT c AS \"column\", count(*) FILTER (NOT missing) <= 20 AS in_set, count(*) FILTER (NOT missing) = sum(CASE WHEN missing THEN 0 ELSE n END) AND count(*) FILTER (NOT missing) > 0 AS is_unique, sum(CASE WHEN missing THEN n ELSE 0 END) = 0 AS not_null FROM d GROUP BY c")
+_add("z_outliers", lambda s, d: profile.z_outliers(_table(s, d, "events"), "value"), "SELECT 'value' AS \"column\", count(*) AS occurrences FROM events, (SELECT avg(value) AS m, stddev_pop(value) AS s FROM events) WHERE abs(value - m) / s > 3")
+
+# decisions and summaries
+_add("observation_cube", lambda s, d: decisions.rollup(_observations(s, d)), f"SELECT severity, type, count(*) AS n FROM ({_UNION}) GROUP BY CUBE (severity, type)")
+_add("calibrated_confidence", lambda s, d: _observations(s, d).select("type", "column", decisions.calibrated("clinical").alias("calibrated")), f"SELECT type, \"column\", round(greatest(0, least(1, confidence + 0.1 + CASE WHEN type IN ('type_mismatch', 'constraint_violation') THEN CAST(0.1 AS DOUBLE) WHEN type = 'outlier' THEN CAST(-0.1 AS DOUBLE) ELSE 0 END + CASE WHEN occurrences > 5 THEN CAST(0.05 AS DOUBLE) ELSE 0 END)), 6) AS calibrated FROM ({_UNION})")
+
+
+def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    suggested = curation.suggestions(curation.number_observations(_observations(spark, sf_dir)))
+    first = decisions.decide(suggested, None, decisions.ACCEPTED, action="standardize")
+    return suggested, decisions.decide(suggested, first, decisions.REJECTED, column="PRICE")
+
+
+_DECIDED = f"SELECT observation_id, CASE WHEN action = 'standardize' THEN 'accepted' WHEN lower(\"column\") = 'price' THEN 'rejected' END AS status FROM ({_SUGGEST}) WHERE action IS NOT NULL"
+_add("batch_decisions", lambda s, d: _decided(s, d)[1], f"SELECT * FROM ({_DECIDED}) WHERE status IS NOT NULL")
+_add("decision_progress", lambda s, d: decisions.progress(*_decided(s, d)), f"SELECT count(*) AS n, count(*) FILTER (status = 'accepted') AS n_accepted, count(*) FILTER (status = 'rejected') AS n_rejected, CAST(0 AS BIGINT) AS n_modified, count(*) FILTER (status IS NULL) AS n_pending, round(count(status) / CAST(count(*) AS DOUBLE), 6) AS progress FROM ({_DECIDED})")
+
+
+def _recommended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = _observations(spark, sf_dir).agg(F.count_if(F.col("severity") == "error").alias("e"), F.count_if(F.col("severity") == "warning").alias("w"))
+    return seen.select(decisions.recommendation(F.col("e"), F.col("w"), F.lit(0.8)).alias("recommendation"))
+
+
+_add("recommendation", _recommended, f"SELECT CASE WHEN e > 0 THEN 'Address ' || e || ' error-level issues before proceeding with analysis.' WHEN w > 5 THEN 'Review ' || w || ' warning-level issues to improve data quality (score: 80%).' ELSE 'Data quality is acceptable. Consider addressing warnings.' END AS recommendation FROM (SELECT count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warning') AS w FROM ({_UNION}))")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality report of the orders table."""
     return quality_report(_table(spark, sf_dir, "orders"), "o_orderkey")
