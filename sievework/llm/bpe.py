@@ -27,7 +27,7 @@ from sievework.llm.shared import text_slices
 # Fixed value: the byte-level word pattern of the vocabulary.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose encodings a worker keeps; beyond it the store is emptied.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 500_000
 NEVER = 1 << 60
 
 
