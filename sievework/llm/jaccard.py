@@ -102,7 +102,10 @@ def shared_counts(docs: DataFrame, buckets: int) -> DataFrame:
                 yield told(marks[shared > 0], np.zeros(int((shared > 0).sum())), shared[shared > 0])
 
     dealt = docs.mapInArrow(deal, PACKED).repartitionById(buckets, "bucket")
-    return dealt.mapInArrow(settle, "mark long, n long, shared long").groupBy("mark").agg(F.sum("n").alias("n"), F.sum("shared").alias("shared"))
+    # a row that is repeated tells its n and its shared shingles once for each copy
+    copies = F.greatest(F.count_if(F.col("n") > 0), F.lit(1))
+    told_all = dealt.mapInArrow(settle, "mark long, n long, shared long").groupBy("mark")
+    return told_all.agg(F.max("n").alias("n"), F.sum("shared").alias("total"), copies.alias("copies")).select("mark", "n", F.expr("total div copies").alias("shared"))
 
 
 def fragments(docs: DataFrame, number: int = FRAGMENTS) -> DataFrame:

@@ -81,6 +81,13 @@ def test_op3(case):
     same(rows(jaccard.near_duplicates(df), "doc_id", "n_shingles", "component_id"), brute.op3(docs))
 
 
+def test_op3_repeated_rows(spark):
+    """Rows that are repeated, among them those of the least id of their text, count their shingles once."""
+    text = "a b c d e f g h i j k l m n o p q r s t u v w x"
+    docs = [(1, text)] * 3 + [(2, text)] + [(3, text + " y")] * 2 + [(4, "one two")] * 2 + [(5, "")] * 2 + [(None, text)] * 2
+    same(rows(jaccard.near_duplicates(frame(spark, docs)), "doc_id", "n_shingles", "component_id"), brute.op3(docs))
+
+
 @pytest.mark.parametrize(("block", "shingles"), [(1024, 1 << 19), (7, 400), (1, 1)])
 def test_op3_by_blocks(spark, monkeypatch, block, shingles):
     """Chains of near copies whose ends don't link, and unlike texts that share a passage, whole and cut into blocks."""
