@@ -4,7 +4,9 @@ Documents become token ids; longer ones than a sequence are cut.  Pieces are dea
 and each packs its own by best-fit decreasing.  A dual-feasible function f has sum f(x) <= 1 over any set of sizes
 that fits a bin, so the sum over all sizes is a lower bound of the bins.  A partition that meets its bound is proven
 optimal and closes all bins but its emptiest; one with a gap puts all its unfilled bins back.  What was put back is
-dealt out anew over fewer partitions and packed again, until one partition has held it all.
+dealt out anew over partitions of bounded size and packed again, until the bins stop falling or EXCHANGES rounds are
+over.  Then every partition closes all bins but its emptiest, as no two bins of a partition fit together; these last
+bins meet again, until one partition of bounded size holds what is left.
 
 Defined cases: a null or empty text is the end token alone; a piece of full length fills a sequence by itself; equal
 rows are separate pieces; an empty table gives no rows; a null id is packed as any other; other columns are ignored.
@@ -31,6 +33,8 @@ from sievework.llm.shared import staged, text_slices
 SEQUENCE, END_ID = 4096, 1
 #: Pieces a partition packs at once.
 GROUP_ROWS = 100_000
+#: Rounds in which partitions with a gap put back their unfilled bins.
+EXCHANGES = 8
 #: Chunks whose ids a worker keeps; beyond it the store is emptied.
 CACHE_CHUNKS = 200_000
 
@@ -158,7 +162,8 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
 def pack(pieces: DataFrame, capacity: int = SEQUENCE, group_rows: int = GROUP_ROWS) -> DataFrame:
     """pieces (staged, with a length of at most capacity) and sequence_id, offset."""
     columns = pieces.columns
-    schema = ", ".join(f"{n} {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long, closed boolean"
+    # again: 0 for a bin that is done, 1 for one that may be exchanged, 2 for the emptiest of its partition
+    schema = ", ".join(f"{n} {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long, again int"
 
     def packer(level: int):
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,29 +173,47 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE, group_rows: int = GROUP_RO
             table = pa.Table.from_batches(held).combine_chunks()
             sizes = table["length"].to_numpy()
             bins, offsets, room = best_fit_decreasing(sizes, capacity)
-            open_bin = np.zeros(len(room), dtype=bool)
+            again = np.zeros(len(room), dtype=np.int32)
             if len(room) > bin_bound(sizes, capacity):
-                open_bin |= room > 0
-            elif room.max() > 0:
-                open_bin[room.argmax()] = True
+                again[room > 0] = 1
+            if room.max() > 0:
+                again[room.argmax()] = 2
             group = (level << 56) | (TaskContext.get().partitionId() << 28)
-            table = table.append_column("sequence_id", pa.array(group + bins)).append_column("offset", pa.array(offsets)).append_column("closed", pa.array(~open_bin[bins]))
+            table = table.append_column("sequence_id", pa.array(group + bins)).append_column("offset", pa.array(offsets)).append_column("again", pa.array(again[bins]))
             yield from table.to_batches()
 
         return task
 
-    done, left, groups, level = None, pieces, 1 << 62, 0
-    while True:
-        groups = min(groups // 2, max(1, -(-left.count() // group_rows)))
+    def packed_in(left: DataFrame, groups: int, level: int) -> DataFrame:
         spread = F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level))
-        dealt = left.repartition(groups, spread) if groups > 1 else left.coalesce(1)
-        packed = staged(dealt.mapInArrow(packer(level), schema), "packed")
-        last = groups == 1
-        part = (packed if last else packed.filter("closed")).drop("closed")
-        done = part if done is None else done.unionByName(part)
-        if last:
-            return done
-        left, level = packed.filter("not closed").select(*columns), level + 1
+        dealt = left.select(*columns).repartition(groups, spread) if groups > 1 else left.select(*columns).coalesce(1)
+        return staged(dealt.mapInArrow(packer(level), schema), "packed")
+
+    def both(done: DataFrame | None, part: DataFrame) -> DataFrame:
+        return part.drop("again") if done is None else done.unionByName(part.drop("again"))
+
+    done, left, size, before, level = None, pieces, pieces.count(), None, 0
+    while True:
+        groups = max(1, -(-size // group_rows))
+        packed = packed_in(left, groups, level)
+        level += 1
+        if groups == 1:
+            return both(done, packed)
+        start, open_bin = F.col("offset") == 0, F.col("again") > 0  # every bin has one piece at its start
+        size, bins, put_back = packed.agg(F.count_if(open_bin), F.count_if(start), F.count_if(open_bin & start)).first()
+        if before is not None and bins >= before:
+            break  # the packing of the round before stays
+        done, left, before = both(done, packed.filter(~open_bin)), packed.filter(open_bin), put_back
+        if level == EXCHANGES:
+            break
+    while True:
+        # a last bin has up to `capacity` pieces, so halving makes sure that they meet
+        done, left = both(done, left.filter("again < 2")), left.filter("again = 2")
+        groups = min(max(1, groups // 2), max(1, -(-left.count() // group_rows)))
+        left = packed_in(left, groups, level)
+        level += 1
+        if groups == 1:
+            return both(done, left)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -198,6 +198,19 @@ def test_op10(case):
         assert bound <= bins <= bound + max(2, bound // 100)
 
 
+def test_op10_tasks_are_bounded(spark):
+    """Pieces that leave a gap in every bin go through partitions of bounded size, the last one too."""
+    r = random.Random(3)
+    sizes = [r.randint(1000, 1700) for _ in range(1500)]
+    pieces = spark.createDataFrame([(k, 0, 0, n, k) for k, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long").persist()
+    packed = packing.pack(pieces, group_rows=100).persist()
+    assert sorted(r.doc_id for r in packed.select("doc_id").collect()) == list(range(1500))
+    bins = brute.sound_packing(rows(packed, "sequence_id", "offset", "length"))
+    whole = len(packing.best_fit_decreasing(packing.np.array(sizes), 4096)[2])
+    assert bins <= 1.05 * whole
+    assert packed.groupBy(F.shiftright("sequence_id", 28)).count().agg(F.max("count")).first()[0] <= 200
+
+
 def vectors(sf_dir) -> list[tuple]:
     table = pq.read_table(os.path.join(sf_dir, "embeddings.parquet"), columns=["vec_id", "embedding"])
     return list(zip(*(c.to_pylist() for c in table.columns), strict=True))
