@@ -25,14 +25,14 @@ def _rows(rows: DataFrame, bad: Column, name: str, severity: str, total: int) ->
 
 
 def pregnant_males(rows: DataFrame, sex: str, pregnant: str, total: int) -> DataFrame:
-    s, p = F.lower(F.col(sex)), F.lower(F.col(pregnant))
+    s, p = F.lower(F.col(f"`{sex}`")), F.lower(F.col(f"`{pregnant}`"))
     male = (s.contains("male") & ~s.contains("female")) | (s == "m")
     return _rows(rows, male & p.isin(PREGNANT), f"{sex} vs {pregnant}", "error", total)
 
 
 def young_patients(rows: DataFrame, age: str, diagnosis: str, total: int) -> DataFrame:
     """Conditions of adults in children."""
-    years, d = as_integer(trim(F.col(age))), F.lower(F.col(diagnosis))
+    years, d = as_integer(trim(F.col(f"`{age}`"))), F.lower(F.col(f"`{diagnosis}`"))
     return _rows(rows, (years <= CHILD_AGE) & d.rlike("|".join(ADULT_CONDITIONS)), f"{age} vs {diagnosis}", "warning", total)
 
 

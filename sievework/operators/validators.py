@@ -6,6 +6,8 @@ what they group by.  Confidences are those of CONFIDENCE.
 
 from __future__ import annotations
 
+from math import floor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,6 +86,21 @@ def iqr_outliers(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count(v).alias("n"), F.count_if((v < low) | (v > high)).alias("occurrences")).select(F.lit(column).alias("column"), F.lit(stats.q1).alias("q1"), F.lit(stats.median).alias("median"), F.lit(stats.q3).alias("q3"), "n", "occurrences")
 
 
+def iqr_values(values: DataFrame, columns: list[str], total: int) -> DataFrame:
+    """Outliers of the numeric columns of a value dictionary: quartiles of the untrimmed numbers, all columns in one pass."""
+    v, there = as_number(F.col("value")), ~F.col("missing")
+    numbers = values.filter(there & F.col("column").isin(columns) & v.isNotNull())
+    n = {r["column"]: r.n for r in numbers.groupBy("column").agg(F.sum("n").alias("n")).collect()}
+    bounds = {}
+    if n:
+        ranks = {c: [floor(p * (k - 1) + 0.5) / max(k - 1, 1) for p in (0.25, 0.75)] for c, k in n.items()}
+        parts = [F.percentile(F.when(F.col("column") == c, v), F.array(*map(F.lit, r)), F.col("n")).alias(f"q{i}") for i, (c, r) in enumerate(ranks.items())]
+        for c, (q1, q3) in zip(n, numbers.agg(*parts).first(), strict=True):
+            bounds[c] = (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
+    found = out_of_range(values, bounds or {"": (0, 0)}, total)
+    return found.withColumns({"severity": F.when(F.col("occurrences") > 1, "warning").otherwise("info"), "detector": F.lit("statistical_outlier_validator"), "confidence": F.lit(CONFIDENCE["statistical_outlier_validator"])})
+
+
 def negative_values(values: DataFrame, total: int) -> DataFrame:
     named = F.col("column").rlike("(?i)" + "|".join(NON_NEGATIVE))
     found = values.filter(named & ~F.col("missing") & (as_number(trim(F.col("value"))) < 0)).groupBy("column").agg(F.sum("n").alias("occurrences"))
@@ -153,6 +170,12 @@ def date_formats(values: DataFrame, columns: list[str]) -> DataFrame:
     return votes.join(F.broadcast(mixed), "column")
 
 
+def mixed_dates(values: DataFrame, columns: list[str], total: int) -> DataFrame:
+    """Date columns that are written in more than one way, with all their dates of a known format (100 % by rule)."""
+    found = date_formats(values, columns).groupBy("column").agg(F.sum("n").alias("occurrences"))
+    return observation(found, "inconsistency", "warning", "date_format_validator", total).withColumn("percentage", F.lit(100.0))
+
+
 def missing_patterns(values: DataFrame, total: int) -> DataFrame:
     """One observation for each token that stands for a missing value and occurs at least twice in a column."""
     token = F.lower(trim(F.col("value")))
@@ -188,7 +211,7 @@ def late_start(rows: DataFrame, start: str, end: str, total: int) -> DataFrame:
     """Rows whose start date is after the end date, as text; empty cells are left out."""
 
     def plain(c: str) -> Column:
-        v = trim(F.col(c))
+        v = trim(F.col(f"`{c}`"))
         us = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})\z"
         return F.when(v.rlike(us), F.concat_ws("-", F.regexp_extract(v, us, 3), F.lpad(F.regexp_extract(v, us, 1), 2, "0"), F.lpad(F.regexp_extract(v, us, 2), 2, "0"))).otherwise(v)
 
@@ -198,7 +221,7 @@ def late_start(rows: DataFrame, start: str, end: str, total: int) -> DataFrame:
 
 def wrong_bmi(rows: DataFrame, bmi: str, weight: str, height: str, total: int) -> DataFrame:
     """Rows whose body mass index is over 10 % off; heights above 3 are in centimetres."""
-    b, w, h = (as_number(trim(F.col(c))) for c in (bmi, weight, height))
+    b, w, h = (as_number(trim(F.col(f"`{c}`"))) for c in (bmi, weight, height))
     metres = F.when(h > 3, h / 100).otherwise(h)
     own = w / (metres * metres)
     found = rows.agg(F.count_if((w > 0) & (h > 0) & (F.abs(b - own) / own > 0.1)).alias("occurrences")).withColumn("column", F.lit(bmi))
@@ -233,13 +256,13 @@ def duplicate_rows(rows: DataFrame, columns: list[str], total: int) -> DataFrame
 
 def near_duplicate_rows(rows: DataFrame, identifier: str, columns: list[str], total: int) -> DataFrame:
     """Groups of rows that agree on all but their identifiers."""
-    groups = rows.groupBy(_row_key(columns).alias("k")).agg(F.count_distinct(F.lower(trim(F.col(identifier)))).alias("ids")).filter("ids > 1")
+    groups = rows.groupBy(_row_key(columns).alias("k")).agg(F.count_distinct(F.lower(trim(F.col(f"`{identifier}`")))).alias("ids")).filter("ids > 1")
     found = groups.agg(F.count("*").alias("occurrences")).withColumn("column", F.lit("_table"))
     return observation(_some(found), "duplicate", "warning", "duplicate_row_validator", total)
 
 
 def conflicting_identifiers(rows: DataFrame, identifier: str, columns: list[str], total: int) -> DataFrame:
     """Identifiers that stand for more than one content."""
-    groups = rows.groupBy(F.lower(trim(F.col(identifier))).alias("i")).agg(F.count_distinct(_row_key(columns)).alias("contents")).filter("contents > 1")
+    groups = rows.groupBy(F.lower(trim(F.col(f"`{identifier}`"))).alias("i")).agg(F.count_distinct(_row_key(columns)).alias("contents")).filter("contents > 1")
     found = groups.agg(F.count("*").alias("occurrences")).withColumn("column", F.lit(identifier))
     return observation(_some(found), "duplicate", "error", "duplicate_row_validator", total)

@@ -8,11 +8,18 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievework.operators import samples
 from sievework.operators import validators as V
 from sievework.operators.profile import schema_profile
 from sievework.operators.values import to_text, value_dictionary
 from sievework.plans.curation import number_observations
 
+# What columns' names say about the checks that apply.
+DATE_PAIRS = [(["start_date", "start", "begin", "enrollment"], ["end_date", "end", "finish", "completion"]), (["birth", "dob", "date_of_birth"], ["death", "dod", "date_of_death"]), (["admission", "admit"], ["discharge"]), (["diagnosis_date", "dx_date"], ["treatment_date", "tx_date"])]
+ID_PARTS = ["id", "index", "uuid", "guid", "key"]
+ID_NAMES = ["sample_id", "id", "patient_id", "subject_id"]
+SET_VALUES = 20
+
 
 @dataclass
 class Analysis:
@@ -22,6 +29,42 @@ class Analysis:
     observations: DataFrame
 
 
+def _find(columns: list[str], parts: list[str]) -> str | None:
+    """The first column whose name holds the earliest part, so that 'height' is not taken for the 'ht' of 'weight'."""
+    return next((c for p in parts for c in columns if p in c.lower()), None)
+
+
+def _limit(name: str) -> float | None:
+    """90 for a latitude, 180 for a longitude."""
+    n = name.lower()
+    if n.endswith("name") or any(p in n for p in ("_name", "lat_lon", "latlon", "coordinates")):
+        return None
+    if n in ("lat", "latitude") or "_lat" in n or n.startswith("lat_"):
+        return 90
+    return 180 if n in ("lon", "lng", "long", "longitude") or "_lon" in n or "_lng" in n or n.startswith(("lon_", "lng_")) else None
+
+
+def _identifier(columns: list[str], ids: list[str]) -> str | None:
+    named = [c for c in columns if c.lower() in ID_NAMES]
+    first = [c for c in columns[:1] if any(p in c.lower() for p in ("id", "sample", "subject"))]
+    return next(iter([*ids, *named, *first]), None)
+
+
+def _cross_checks(rows: DataFrame, columns: list[str], total: int) -> list[DataFrame]:
+    """Checks of columns with each other, where all of their columns are there."""
+    found = []
+    for check, *parts in [
+        *[(V.late_start, *pair) for pair in DATE_PAIRS],
+        (V.wrong_bmi, ["bmi"], ["weight", "wt"], ["height", "ht"]),
+        (samples.pregnant_males, ["sex", "gender"], ["pregnant", "pregnancy"]),
+        (samples.young_patients, ["age"], ["diagnosis", "dx", "condition"]),
+    ]:
+        own = [_find(columns, p) for p in parts]
+        if None not in own and len(set(own)) == len(own):
+            found.append(check(rows, *own, total))
+    return found
+
+
 def analyze(df: DataFrame, key: str) -> Analysis:
     """Checks are chosen by the profile, which has one row for each column and is brought to the driver once."""
     rows = to_text(df, key)
@@ -48,6 +91,26 @@ def analyze(df: DataFrame, key: str) -> Analysis:
     ]
     if types:
         found.append(V.type_mismatch(values, types, total))
+    numeric = [c for c, t in types.items() if t in ("integer", "float")]
+    ranges = {c: (known[c].low, known[c].high) for c in numeric if known[c].low is not None}
+    if ranges:
+        found += [V.out_of_range(values, ranges, total), V.iqr_values(values, list(ranges), total)]
+    few = [c for c in types if known[c].semantic_type in ("categorical", "binary") and 0 < known[c].unique_count <= SET_VALUES]
+    sets: dict[str, list[str]] = {}
+    for r in values.filter(F.col("column").isin(few) & ~F.col("missing")).select("column", "value").collect():  # SET_VALUES a column
+        sets.setdefault(r["column"], []).append(r.value)
+    if sets:
+        found += [V.not_in_set(values, sets, total), V.inconsistent_case(values, sets, total)]
+    spelled = samples.many_booleans(values, [c for c, t in types.items() if t == "boolean"]).withColumnRenamed("spellings", "occurrences")
+    found.append(V.observation(spelled, "inconsistency", "warning", "consistency_validator", total).withColumn("confidence", F.lit(0.92)))
+    found.append(V.mixed_dates(values, [c for c, t in types.items() if t == "date"], total))
+    found += [V.bad_coordinates(values, c, limit, total) for c in columns if (limit := _limit(c))]
+    found += _cross_checks(rows, columns, total)
+    own = _identifier(df.columns, ids)
+    content = [c for c in columns if not any(p in c.lower() for p in ID_PARTS)]
+    if own and content:
+        named = rows.withColumn(key, F.col("_row_id").cast("string"))
+        found += [V.near_duplicate_rows(named, own, content, total), V.conflicting_identifiers(named, own, content, total)]
     return Analysis(rows, values, profile, number_observations(reduce(DataFrame.unionByName, found)))
 
 

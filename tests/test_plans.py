@@ -7,6 +7,7 @@ import importlib.util
 import sys
 
 from sievework.plans import decisions
+from sievework.plans.analyze import quality_report
 from sievework.sources import delimited, ontology
 
 
@@ -55,3 +56,23 @@ def test_entry_without_corpus_operators(monkeypatch):
     entry = importlib.import_module("__spark_entry__")
     assert set(entry.queries()) == set(sys.modules["sievework.queries"].QUERIES)
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_report_runs_every_check(spark):
+    rows = []
+    for i in range(12):
+        r = {"visit": i, "sample_id": f"S{min(i, 10):03}", "start_date": "2024-01-01", "end_date": "2024-06-01", "dose": str(10 + i), "site": "north" if i % 2 else "south", "latitude": "45.5", "consent": ("yes", "no", "TRUE")[i % 3], "sex": "M" if i == 2 else "F", "pregnant": "yes" if i == 2 else "no", "weight": "80", "height": "2", "bmi": "20"}
+        changed = {1: {"start_date": "05/06/2024"}, 2: {"start_date": "2025-01-01", "bmi": "30"}, 3: {"dose": "500"}, 4: {"dose": " 900"}, 6: {"site": " west"}, 7: {"site": " NORTH"}, 8: {"latitude": "95.5"}}
+        rows.append(r | changed.get(i, {}))
+    rows[9] = rows[0] | {"visit": 9, "sample_id": "S009"}
+    names = list(rows[0])
+    df = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], ", ".join(f"{n} {'long' if n == 'visit' else 'string'}" for n in names))
+    new = ("range_validator", "set_validator", "statistical_outlier_validator", "consistency_validator", "date_format_validator", "cross_column_validator", "coordinate_validator", "duplicate_row_validator")
+    found = {(r.detector, r.severity, r["column"], r.occurrences) for r in quality_report(df, "visit").collect() if r.detector in new}
+    assert found == {
+        ("range_validator", "info", "dose", 1), ("set_validator", "warning", "site", 2),
+        ("statistical_outlier_validator", "warning", "dose", 2), ("statistical_outlier_validator", "info", "latitude", 1), ("statistical_outlier_validator", "info", "bmi", 1),
+        ("consistency_validator", "warning", "site", 1), ("consistency_validator", "warning", "consent", 3), ("date_format_validator", "warning", "start_date", 12),
+        ("cross_column_validator", "warning", "start_date vs end_date", 1), ("cross_column_validator", "warning", "bmi", 1), ("cross_column_validator", "error", "sex vs pregnant", 1),
+        ("coordinate_validator", "error", "latitude", 1), ("duplicate_row_validator", "warning", "_table", 1), ("duplicate_row_validator", "error", "sample_id", 1),
+    }
