@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.text import as_integer, as_number, is_missing, trim
+from sievework.operators import taxonomy
 from sievework.operators.validators import observation
+from sievework.operators.values import value_dictionary
 
 # Fixed values.
 PREGNANT = ["yes", "y", "true", "1"]
@@ -15,8 +17,13 @@ CHILD_AGE = 12
 PLACEHOLDERS = ["missing", "not collected", "not applicable", "na"]
 PAIR = r"^([+-]?[0-9.]+)[NSEWnsew]*\s+([+-]?[0-9.]+)[NSEWnsew]*\z"
 COLLECTION_DATE = r"(?s)^(.{4}-.{2}-.{2}|.{4}-.{2}|[0-9]{4})\z"
+ACCEPTED_NULLS = ["missing", "not collected", "not applicable", "not provided", "restricted access", "missing: not collected", "missing: not provided", "missing: restricted access"]
+BAD_NULLS = ["n/a", "na", "null", "none", "unknown", "-", "--", ".", "?", "undefined", "empty", "blank", "nil"]
+#: Parts of organisms' names that suit the packages of human samples; mismatches of more rows are not reported.
+OF_HUMANS = ["homo", "human", "metagenome", "streptococcus", "staphylococcus", "bacteroides", "escherichia", "lactobacillus", "bifidobacterium", "clostridium", "prevotella", "faecalibacterium", "gut", "oral", "skin"]
+MISMATCHES = 5
 STRICT_DATE = r"^[0-9]{4}(-[0-9]{2}(-[0-9]{2})?)?\z"
-PENALTIES = {"duplicate": 30, "organism": 25, "date": 10, "coordinates": 10, "null": 5}
+PENALTIES = {"duplicate": 30, "organism": 25, "date": 10, "coordinates": 10, "null": 5, "mismatch": 5}
 
 
 def _rows(rows: DataFrame, bad: Column, name: str, severity: str, total: int) -> DataFrame:
@@ -60,7 +67,8 @@ def many_booleans(values: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def readiness(rows: DataFrame, content: list[str], date: str, place: str) -> DataFrame:
-    """One row: duplicate samples, bad dates and places, and the score of 0 to 100 left of them.  Duplicates block."""
+    """One row: duplicate samples, bad dates and places, and the score of 0 to 100 left of them.  Duplicates block.
+    submission_readiness is the whole check, with organisms and missing values."""
     total = F.count("*")
     key = F.concat_ws("|", *[F.lower(trim(F.col(c))) for c in content])
     groups = rows.groupBy(key.alias("k")).agg(
@@ -72,3 +80,28 @@ def readiness(rows: DataFrame, content: list[str], date: str, place: str) -> Dat
     lost = F.col("n_duplicate") * PENALTIES["duplicate"] + F.col("n_bad_date") * PENALTIES["date"] + F.col("n_bad_place") * PENALTIES["coordinates"]
     score = F.floor(F.greatest(F.lit(0.0), 100 - lost / F.col("samples"))).cast("int")
     return found.select("samples", "n_duplicate", "n_bad_date", "n_bad_place", F.coalesce(score, F.lit(0)).alias("score"), (F.col("n_duplicate") == 0).alias("is_ready"))
+
+
+def invalid_organisms(values: DataFrame, column: str) -> DataFrame:
+    """One row, n_bad_organism: rows whose organism is abbreviated or invalid.  An unknown name of two words is let pass."""
+    there = values.filter((F.col("column") == column) & (F.col("value") != "") & ~F.lower("value").isin(ACCEPTED_NULLS))
+    named = taxonomy.match(there, column).filter(~((F.col("status") == "valid") | ((F.col("status") == "unknown") & F.col("value").contains(" ") & (F.octet_length("value") >= 5))))
+    bad = named.select("n").unionByName(there.filter("missing").select("n"))
+    return bad.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_bad_organism"))
+
+
+def submission_readiness(rows: DataFrame, content: list[str], date: str, place: str, organism: str, human_package: bool = False) -> DataFrame:
+    """readiness, and bad organisms (which block), missing values that are not written as accepted (in all columns), and
+    organisms that do not suit a package of human samples.  Organisms and tokens come from the value dictionary."""
+    values = value_dictionary(rows)
+    nulls = values.agg(F.coalesce(F.sum(F.when(F.lower(trim(F.col("value"))).isin(BAD_NULLS), F.col("n"))), F.lit(0)).alias("n_bad_null"))
+    name = F.lower("value")
+    strange = (F.col("column") == organism) & (name != "") & ~name.isin(ACCEPTED_NULLS) & ~name.rlike("|".join(OF_HUMANS))
+    unlike = values.agg(F.coalesce(F.sum(F.when(strange & F.lit(human_package), F.col("n"))), F.lit(0)).alias("u")).select(F.when(F.col("u") <= MISMATCHES, F.col("u")).otherwise(0).alias("n_mismatch"))
+    base = readiness(rows, content, date, place).drop("score", "is_ready")
+    joined = base.crossJoin(invalid_organisms(values, organism)).crossJoin(nulls).crossJoin(unlike)  # one row each
+    kinds = {"n_duplicate": "duplicate", "n_bad_organism": "organism", "n_bad_date": "date", "n_bad_place": "coordinates", "n_bad_null": "null"}
+    lost = sum((F.col(c) * PENALTIES[k] for c, k in kinds.items()), F.lit(0)) / F.nullif(F.col("samples"), F.lit(0))
+    score = F.floor(F.greatest(F.lit(0.0), 100 - lost - F.when(F.col("n_mismatch") > 0, PENALTIES["mismatch"]).otherwise(0))).cast("int")
+    score = F.when(F.col("samples") > 0, score).otherwise(0)
+    return joined.select("*", score.alias("score"), ((F.col("n_duplicate") == 0) & (F.col("n_bad_organism") == 0)).alias("is_ready"))

@@ -233,6 +233,9 @@ _add("readiness", lambda s, d: samples.readiness(_dirty(s, d, **_SW), _READY, "c
 
 # profiles beyond counts
 _add("sample_values", lambda s, d: profile.sample_values(value_dictionary(_dirty(s, d), ["status", "priority"])), _d(["status", "priority"]) + 'SELECT c AS "column", list(v ORDER BY first_row) AS sample_values FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY first_row) AS k FROM d WHERE NOT missing) WHERE k <= 5 GROUP BY c')
+_ORGANISM = DIRTY_SAMPLES.replace("FROM customer", ", CASE c_custkey % 6 WHEN 0 THEN 'Homo sapiens' WHEN 1 THEN 'homo sapiens' WHEN 2 THEN 'E. coli' WHEN 3 THEN 'unknown' WHEN 4 THEN 'Mus muscullus' ELSE 'Gallus gallus' END AS organism FROM customer")
+_add("submission_readiness", lambda s, d: samples.submission_readiness(_dirty(s, d, **_SW | {"sql": _ORGANISM}), _READY, "collection_date", "lat_lon", "organism"))
+
 _add("name_hints", lambda s, d: _table(s, d, "lineitem").limit(1).unpivot([], ["l_quantity", "l_tax"], "column", "value").select(profile.name_hints(F.lit("order_Date.total-x count")).alias("hints")).distinct(), "SELECT ['date', 'total', 'count'] AS hints")
 _add("constraints", lambda s, d: profile.constraints(value_dictionary(_dirty(s, d), ["status", "url"])), _d(["status", "url"]) + "SELECT c AS \"column\", count(*) FILTER (NOT missing) <= 20 AS in_set, count(*) FILTER (NOT missing) = sum(CASE WHEN missing THEN 0 ELSE n END) AND count(*) FILTER (NOT missing) > 0 AS is_unique, sum(CASE WHEN missing THEN n ELSE 0 END) = 0 AS not_null FROM d GROUP BY c")
 _add("z_outliers", lambda s, d: profile.z_outliers(_table(s, d, "events"), "value"), "SELECT 'value' AS \"column\", count(*) AS occurrences FROM events, (SELECT avg(value) AS m, stddev_pop(value) AS s FROM events) WHERE abs(value - m) / s > 3")

@@ -6,6 +6,7 @@ import importlib
 import importlib.util
 import sys
 
+from sievework.operators import samples
 from sievework.plans import decisions
 from sievework.plans.analyze import quality_report
 from sievework.sources import delimited, ontology
@@ -76,3 +77,18 @@ def test_report_runs_every_check(spark):
         ("cross_column_validator", "warning", "start_date vs end_date", 1), ("cross_column_validator", "warning", "bmi", 1), ("cross_column_validator", "error", "sex vs pregnant", 1),
         ("coordinate_validator", "error", "latitude", 1), ("duplicate_row_validator", "warning", "_table", 1), ("duplicate_row_validator", "error", "sample_id", 1),
     }
+
+
+def test_readiness_of_organisms_and_nulls(spark):
+    names = ["Homo sapiens", "homo sapiens", "E. coli", "Mus muscullus", "unknown", "n/a", "Some thing", "Bogus", "not collected", ""]
+    rows = [(k, f"s{k}", o, "2020", "1 2", "N/A" if k == 1 else "missing") for k, o in enumerate(names)]
+    df = spark.createDataFrame(rows, "_row_id long, sample string, organism string, date string, place string, note string")
+    # bad organisms: homo sapiens, E. coli, Mus muscullus, unknown, n/a, Bogus; bad nulls: unknown, n/a, N/A
+    found = samples.submission_readiness(df, ["sample"], "date", "place", "organism").first()
+    assert (found.samples, found.n_duplicate, found.n_bad_organism, found.n_bad_null, found.n_mismatch, found.score, found.is_ready) == (10, 0, 6, 3, 0, 83, False)
+    # E. coli, Mus muscullus, unknown, Some thing and Bogus name no human or microbe of humans: 100 - (5 * 25 + 2 * 5) / 9 - 5
+    found = samples.submission_readiness(df.filter("_row_id <> 5"), ["sample"], "date", "place", "organism", True).first()
+    assert (found.samples, found.n_bad_organism, found.n_bad_null, found.n_mismatch, found.score, found.is_ready) == (9, 5, 2, 5, 80, False)
+    clean = samples.submission_readiness(df.filter("_row_id = 0"), ["sample"], "date", "place", "organism").first()
+    assert (clean.score, clean.is_ready) == (100, True)
+    assert samples.submission_readiness(df.limit(0), ["sample"], "date", "place", "organism").first().score == 0
