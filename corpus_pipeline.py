@@ -14,6 +14,16 @@ from sievework.llm import jaccard, packing, quality, secrets, suffixes
 from sievework.llm.shared import staged
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """doc_id, text, n_chars, and all other columns in one, so that their names meet none of a stage's."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    return docs.select("doc_id", "text", "n_chars", F.struct(F.lit(0).alias("__none"), *others).alias("__other"))
+
+
+def _together(done: DataFrame, docs: DataFrame) -> DataFrame:
+    return done.select(*[F.col(c) if c in ("doc_id", "text", "n_chars") else F.col(f"__other.`{c}`").alias(c) for c in docs.columns])
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble rejects go."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -26,13 +36,13 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Characters all of whose bytes lie in 50-byte repeats of earlier documents go; documents stay, if need be empty."""
-    kept = suffixes.dedup_bytes(docs, carry=("lang", "source"))
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    kept = suffixes.dedup_bytes(_apart(docs), carry=("__other",))
+    return _together(kept.withColumn("n_chars", F.length("text").cast("long")), docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark."""
-    return secrets.hide_secrets(docs)
+    return _together(secrets.hide_secrets(_apart(docs)), docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,3 +37,13 @@ def test_stages_keep_columns(spark, sf_dir):
     for docs_in in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, docs_in, sf_dir).columns == docs.columns
+
+
+def test_stages_keep_extra_and_clashing_columns(spark):
+    passage = "a passage that two of the documents have in common, longer than fifty bytes"
+    rows = [(1, passage + " one", "en", "web", 1, "x", 7), (2, passage + " token: abcDEF123456xyz", "en", "web", 2, "y", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, assign string, extra int")
+    for stage in (corpus_pipeline.suffix_dedup, corpus_pipeline.secret_scans):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        assert sorted((r.doc_id, r.lang, r.source, r.assign, r.extra) for r in out.collect()) == [(1, "en", "web", "x", 7), (2, "en", "web", "y", 8)]
