@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import numpy as np
 
@@ -71,9 +72,36 @@ def word_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, bounds)
 
 
-def word_prints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit fingerprint of each word."""
-    return fingerprints(prefix(byte_values()[data]), starts, ends)
+#: Bytes beyond which a word's name is made from its BLAKE2 digest.
+LONG_WORD = 256
+_ENDS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
+
+
+def word_prints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit name of each word: its 8-byte pieces are mixed in one after another, so that no algebra of the pieces
+    makes words meet; words of one length up to 8 never do.  Another seed gives names that are independent of these."""
+    eights = np.ndarray(len(data) + 1, dtype="<u8", buffer=np.append(data, np.zeros(8, dtype=np.uint8)), strides=(1,))
+    size = ends - starts
+    out = mix(size.astype(U64) + mix(np.array([seed + 1], dtype=U64)))
+    open_, at = np.flatnonzero(size <= LONG_WORD), starts
+    step = 0
+    while len(open_):
+        piece = eights[at[open_] + step] & _ENDS[np.minimum(size[open_] - step, 8)]
+        out[open_] = mix(out[open_] ^ piece)
+        step += 8
+        open_ = open_[size[open_] > step]
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little"))
+        out[k] = U64(int.from_bytes(digest.digest(), "little"))
+    return out
+
+
+def sequence_prints(names: np.ndarray, begin: np.ndarray, count: int) -> np.ndarray:
+    """A 64-bit name of each `count` names from begin on, mixed in one after another."""
+    out = np.full(len(begin), U64(count))
+    for k in range(count):
+        out = mix((out ^ names[begin + k]) * U64(_BASE) + U64(k))
+    return out
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

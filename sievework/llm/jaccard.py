@@ -1,21 +1,23 @@
 """N-gram Jaccard join over sets of word shingles, exact, for connected components.
 
 1. Viability: a text can link only if at least the threshold's share of its shingles occurs in another text.  All
-   shingles are dealt over buckets, packed, and each bucket counts for each text how many it shares.
-2. The viable texts' shingles are put in one global order, from rare to frequent.  Two texts that link share one of
+   names of shingles are dealt over buckets, and the answers (see names) tell each text in how many texts each is.
+2. The same answers give the global order of shingles, from rare to frequent.  Two texts that link share one of
    the first n - ceil(t n) + 1 (prefix filter).
-3. Vertical partitioning: the order of shingle values is cut into fragments; each fragment counts the overlap of its
+3. Vertical partitioning: the shingles are cut into fragments by their names; each fragment counts the overlap of its
    part of a pair by itself, and the counts are summed for each pair.
 4. Texts that share a prefix shingle are compared with one of them; what links is one component.  Then the texts
    outside of the largest component of a shingle are compared with all others of that shingle: pair by pair where
    they are few, else by blocks, as matrices of partial overlaps that give ties and no pairs.  So a group of near
    copies never makes rows of all its pairs, and no link between components is lost.
 
+Steps 1 and 2 go by names of 64 bits, which can only add candidates; links are decided by names of 128 bits.
 Whole copies of a text are one node from the start.
 
 Defined cases: a null or empty text, or one without words, has no shingles and links with nothing; fewer words than a
 shingle are one shingle; a null id gets no component; rows with one id are always in one component; equal rows give
-equal results; an empty table gives no rows; other columns are ignored.
+equal results; a very long text is one task's work, with 16 bytes for each of its shingles; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 
 from sievework.llm import hashing as H
 from sievework.llm.graph import components, ties
-from sievework.llm.repeats import PACKED, _groups, _packed, _rows, _within, bucket_of, keyed, starts_of
+from sievework.llm.names import Told, told_names
+from sievework.llm.repeats import MARK, keyed, mark_of, starts_of
 from sievework.llm.shared import partitions, split_by, staged, text_bytes, text_slices, without
 
 WORDS, THRESHOLD, FRAGMENTS = 5, 80, 8
@@ -38,102 +41,110 @@ WORDS, THRESHOLD, FRAGMENTS = 5, 80, 8
 SMALL, BLOCK, BLOCK_SHINGLES, MATRIX_COLUMNS = 12, 1024, 1 << 19, 4096
 
 
-def shingles(data: np.ndarray, bounds: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of each text, in the order of their fingerprints, and the text of each."""
+def shingles(data: np.ndarray, bounds: np.ndarray, words: int = WORDS, wide: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of the distinct shingles of each text, the text of each (in order), and with wide a second name."""
     data = H.lower_ascii(data)
     starts, ends, of = H.word_bounds(data, bounds)
-    sums = H.prefix(H.word_prints(data, starts, ends))
     size = np.diff(of)
-    short = np.flatnonzero((size > 0) & (size < words))
-    begin = np.concatenate([starts_of(of, words), of[:-1][short]])
-    end = np.concatenate([begin[: len(begin) - len(short)] + words, of[1:][short]])
-    owner = np.searchsorted(of, begin, side="right") - 1
-    prints = H.fingerprints(sums, begin, end)
-    order = np.lexsort((owner, prints))
+    begin, short = starts_of(of, words), np.flatnonzero((size > 0) & (size < words))
+
+    def names(seed: int) -> np.ndarray:
+        single = H.word_prints(data, starts, ends, seed)
+        few = [H.sequence_prints(single, of[k : k + 1], int(size[k])) for k in short.tolist()]
+        return np.concatenate([H.sequence_prints(single, begin, words), *few])
+
+    prints = names(0)
+    owner = np.searchsorted(of, np.concatenate([begin, of[short]]), side="right") - 1
+    order = np.lexsort((prints, owner))
     prints, owner = prints[order], owner[order]
     new = np.ones(len(prints), dtype=bool)
     new[1:] = (prints[1:] != prints[:-1]) | (owner[1:] != owner[:-1])
-    return prints[new], owner[new]
-
-
-def shared_counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """mark, n (number of shingles) and shared (how many of them occur in another text)."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
-            ids, marks = batch.column("doc_id").to_numpy(), batch.column("mark").to_numpy()
-            prints, owner = shingles(*text_bytes(batch.column("text")))
-            least, many = _within(prints, ids[owner])
-            n, here = np.bincount(owner, minlength=len(ids)), np.bincount(owner[many], minlength=len(ids))
-            yield _packed(int(marks[0]) % buckets, True, here, marks, n, b"", b"", ids[:0])
-            # what several texts of the slice have is known to be shared and goes on once
-            once, where = np.unique(prints[many], return_index=True)
-            first = least[many][where]
-            prints, owner = prints[~many], owner[~many]
-            bucket, its = bucket_of(prints, buckets), bucket_of(once, buckets)
-            order, other = np.lexsort((owner, bucket)), np.argsort(its, kind="stable")
-            ends, limits = (np.searchsorted(b, np.arange(buckets + 1)) for b in (bucket[order], its[other]))
-            for b in range(buckets):
-                own, more = order[ends[b] : ends[b + 1]], other[limits[b] : limits[b + 1]]
-                texts, counts = _groups(owner[own])
-                if len(own) or len(more):
-                    yield _packed(b, False, ids[texts], marks[texts], counts, prints[own].astype(np.uint32).tobytes(), once[more].astype(np.uint32).tobytes(), first[more])
-
-    def told(marks: np.ndarray, n: np.ndarray, shared: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (marks, n, shared)], names=["mark", "n", "shared"])
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[dict]] = {}
-        for batch in batches:
-            for row in _rows(batch):
-                if row["local"]:
-                    yield told(row["marks"], row["counts"], row["ids"])
-                else:
-                    held.setdefault(row["bucket"], []).append(row)
-        for rows in held.values():
-            names = np.concatenate([np.frombuffer(r[k], dtype=np.uint32) for k in ("names", "extra_names") for r in rows])
-            counts, marks, ids, extra = (np.concatenate([r[k] for r in rows]) for k in ("counts", "marks", "ids", "extra_ids"))
-            _, many = _within(names, np.concatenate([np.repeat(ids, counts), extra]))
-            n = len(names) - len(extra)
-            if len(extra):
-                many |= np.isin(names, names[n:])
-            if n:
-                shared = np.add.reduceat(many[:n], np.cumsum(counts) - counts, dtype=np.int64)
-                yield told(marks[shared > 0], np.zeros(int((shared > 0).sum())), shared[shared > 0])
-
-    dealt = docs.mapInArrow(deal, PACKED).repartitionById(buckets, "bucket")
-    # a row that is repeated tells its n and its shared shingles once for each copy
-    copies = F.greatest(F.count_if(F.col("n") > 0), F.lit(1))
-    told_all = dealt.mapInArrow(settle, "mark long, n long, shared long").groupBy("mark")
-    return told_all.agg(F.max("n").alias("n"), F.sum("shared").alias("total"), copies.alias("copies")).select("mark", "n", F.expr("total div copies").alias("shared"))
+    return prints[new], owner[new], names(1)[order][new] if wide else prints[:0]
+
+
+def shared_shingles(docs: DataFrame, buckets: int, threshold: int) -> DataFrame:
+    """Of each text with words mark, node (its id), n (number of shingles), s (how many of them occur in another text)
+    and prefix: those of the s that come first in the global order, if the text can link."""
+
+    def names_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        found, first = [], 0
+        for part in text_slices(iter([batch])):
+            names, owner, _ = shingles(*text_bytes(part.column("text")))
+            found.append((names, first + owner))
+            first += part.num_rows
+        return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+    def finish(told: Told) -> pa.RecordBatch:
+        n, text = told.counts, np.repeat(np.arange(len(told.counts)), told.counts)
+        shared = told.times > 1
+        s = np.bincount(text[shared], minlength=len(n))
+        take = np.where((n > 0) & (100 * s >= threshold * n), s - (threshold * n + 99) // 100 + 1, 0)
+        mine = np.flatnonzero(shared & (take[text] > 0))
+        order = mine[np.lexsort((told.names[mine], told.times[mine], text[mine]))]
+        own = text[order]
+        kept = order[np.arange(len(own)) - np.searchsorted(own, own) < take[own]]
+        prefix = pa.ListArray.from_arrays(pa.array(np.searchsorted(text[kept], np.arange(len(n) + 1)), type=pa.int32()), pa.array(told.names[kept].astype(np.int64)))
+        some = pa.array(np.flatnonzero(n > 0))
+        columns = [pa.array(told.marks, type=pa.binary()), pa.array(told.ids), pa.array(n), pa.array(s), prefix]
+        return pa.RecordBatch.from_arrays([c.take(some) for c in columns], names=["mark", "node", "n", "s", "prefix"])
+
+    return told_names(docs, names_of, buckets, finish, "mark binary, node long, n long, s long, prefix array<long>", keep_names=True)
 
 
 def fragments(docs: DataFrame, number: int = FRAGMENTS) -> DataFrame:
-    """node, n, fragment, part: the shingles of a text by fragment of their global order."""
-    kinds = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("fragment", pa.int32()), ("part", pa.list_(pa.int64()))])
+    """node, text (tells texts of one node apart), n, fragment, part: the names of a text's shingles by fragment, 16 bytes each."""
+    kinds = pa.schema([("node", pa.int64()), ("text", pa.int64()), ("n", pa.int64()), ("fragment", pa.int32()), ("part", pa.binary())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            prints, owner = shingles(*text_bytes(batch.column("text")))
+            prints, owner, second = shingles(*text_bytes(batch.column("text")), wide=True)
+            if not len(prints):
+                continue
             n = np.bincount(owner, minlength=batch.num_rows)
             fragment = (prints >> H.U64(32)) * H.U64(number) >> H.U64(32)
             key = owner * number + fragment.astype(np.int64)
             order = np.argsort(key, kind="stable")
-            groups, sizes = _groups(key[order])
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), type=pa.int32()), pa.array(prints[order].astype(np.int64)))
-            texts = groups // number
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column("doc_id").to_numpy()[texts]), pa.array(n[texts]), pa.array((groups % number).astype(np.int32)), lists], schema=kinds)
+            head = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+            both = np.stack([prints[order], second[order]], axis=1)
+            limits = pa.py_buffer((16 * np.append(head, len(order))).astype(np.int32).tobytes())
+            data = pa.Array.from_buffers(pa.binary(), len(head), [None, limits, pa.py_buffer(both.tobytes())])
+            own = key[order][head]
+            texts = own // number
+            marks = np.array([int.from_bytes(m[:8], "big", signed=True) for m in batch.column("mark").to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("doc_id").to_numpy()[texts]), pa.array(marks[texts]), pa.array(n[texts]), pa.array((own % number).astype(np.int32)), data], schema=kinds)
+
+    return docs.select("doc_id", "mark", "text").mapInArrow(task, "node long, text long, n long, fragment int, part binary")
 
-    return docs.mapInArrow(task, "node long, n long, fragment int, part array<long>")
+
+def _codes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each shingle, and a number that equal shingles have in common."""
+    pairs = np.frombuffer(b"".join(parts), dtype=H.U64).reshape(-1, 2)
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (pairs[order[1:]] != pairs[order[:-1]]).any(axis=1)
+    code = np.empty(len(order), dtype=np.int64)
+    code[order] = np.cumsum(new) - 1
+    return np.repeat(np.arange(len(parts)), [len(p) // 16 for p in parts]), code
 
 
 def verified(pairs: DataFrame, parts: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) whose Jaccard index is at least threshold percent: the overlap is counted in each fragment and summed."""
-    left = parts.select(F.col("node").alias("a"), F.col("n").alias("na"), "fragment", F.col("part").alias("pa"))
-    right = parts.select(F.col("node").alias("b"), F.col("n").alias("nb"), "fragment", F.col("part").alias("pb"))
-    counted = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("overlap"))
-    summed = counted.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
-    return summed.filter(F.expr(f"100 * overlap >= {threshold} * (na + nb - overlap)")).select("a", "b")
+    left, right = (parts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"), F.col("n").alias(f"n{x}"), "fragment", F.col("part").alias(f"p{x}")) for x in "ab")
+    keys = ["a", "b", "ta", "tb", "na", "nb"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "pa"):
+            if batch.num_rows:
+                both = [batch.column(c).to_pylist() for c in ("pa", "pb")]
+                line, code = _codes(both[0] + both[1])
+                # a shingle occurs once on each side of a pair
+                key = np.sort(code * batch.num_rows + line % batch.num_rows)
+                overlap = np.bincount(key[1:][key[1:] == key[:-1]] % batch.num_rows, minlength=batch.num_rows)
+                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array(overlap)], names=[*keys, "overlap"])
+
+    joined = pairs.join(left, "a").join(right, ["b", "fragment"]).select(*keys, "pa", "pb")
+    summed = joined.mapInArrow(count, ", ".join(f"{k} long" for k in [*keys, "overlap"])).groupBy(*keys).agg(F.sum("overlap").alias("overlap"))
+    return summed.filter(F.expr(f"100 * overlap >= {threshold} * (na + nb - overlap)")).select("a", "b").distinct()
 
 
 def _near(threshold: int, x: str, y: str) -> str:
@@ -176,27 +187,33 @@ def block_links(open_: DataFrame, parts: DataFrame, threshold: int) -> DataFrame
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        own, node, n = table["own"].to_numpy(), table["node"].to_numpy(), table["n"].to_numpy()
-        fragment, lists = table["fragment"].to_numpy(), table["part"].combine_chunks()
-        sizes, flat = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy()
-        line = np.repeat(np.arange(len(node)), sizes)
-        (a, ra), (b, rb) = (np.unique(node[own == side], return_index=True) for side in (True, False))
-        place = np.where(own, np.searchsorted(a, node), np.searchsorted(b, node))
+        own, node, text, n, fragment = (table[c].to_numpy() for c in ("own", "node", "text", "n", "fragment"))
+        # a line for each text on either side
+        order = np.lexsort((text, node, own))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (own[order[1:]] != own[order[:-1]]) | (node[order[1:]] != node[order[:-1]]) | (text[order[1:]] != text[order[:-1]])
+        first = order[new]
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.cumsum(new) - 1
+        across = int((~own[first]).sum())  # lines that are not its own come first
+        b, a, nb, na = *np.split(node[first], [across]), *np.split(n[first], [across])
         total = np.zeros((len(a), len(b)), dtype=np.float32)
+        lists = table["part"].to_pylist()
         for f in np.unique(fragment):
-            these = fragment[line] == f
-            lines, grams = line[these], flat[these]
-            mine = own[lines]
-            both = np.intersect1d(grams[mine], grams[~mine])
-            code = np.searchsorted(both, grams)
-            known = (code < len(both)) & (both[np.minimum(code, len(both) - 1)] == grams) if len(both) else np.zeros(len(grams), dtype=bool)
-            for start in range(0, len(both), MATRIX_COLUMNS):
-                now = known & (code >= start) & (code < start + MATRIX_COLUMNS)
-                left, right = (np.zeros((len(x), min(MATRIX_COLUMNS, len(both) - start)), dtype=np.float32) for x in (a, b))
-                for side, matrix in ((now & mine, left), (now & ~mine, right)):
-                    matrix[place[lines[side]], code[side] - start] = 1
+            these = np.flatnonzero(fragment == f)
+            line, code = _codes([lists[k] for k in these.tolist()])
+            line = place[these[line]]
+            mine = line >= across
+            there = np.zeros((2, int(code.max()) + 1 if len(code) else 0), dtype=bool)
+            there[mine.astype(int), code] = True
+            both = there.all(axis=0)
+            code = np.where(both[code], np.cumsum(both)[code] - 1, -1)
+            for start in range(0, int(both.sum()), MATRIX_COLUMNS):
+                now = (code >= start) & (code < start + MATRIX_COLUMNS)
+                left, right = (np.zeros((len(x), min(MATRIX_COLUMNS, int(both.sum()) - start)), dtype=np.float32) for x in (a, b))
+                left[line[now & mine] - across, code[now & mine] - start] = 1
+                right[line[now & ~mine], code[now & ~mine] - start] = 1
                 total += left @ right.T
-        na, nb = n[own][ra], n[~own][rb]
         linked = (100 * total >= threshold * (na[:, None] + nb[None, :] - total)) & (a[:, None] != b[None, :])
         down, up = ties(linked, a, b)
         return pa.table({"a": down, "b": up})
@@ -204,15 +221,11 @@ def block_links(open_: DataFrame, parts: DataFrame, threshold: int) -> DataFrame
     return dealt.join(parts, "node").groupBy("group", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def links(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs (a, b) of ids whose components are those of all links.  docs: doc_id (not null), mark, text; no copies."""
+def links(docs: DataFrame, told: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Pairs (a, b) of ids whose components are those of all links.  docs: doc_id (not null), mark, text of what can
+    link, without copies; told: node, n, s and prefix of the same."""
     parts = staged(fragments(docs), "fragments")
-    grams = parts.select("node", "n", F.explode("part").alias("gram"))
-    common = grams.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = grams.join(common, "gram").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("r"))
-    # shingles of one text alone come first in the order; the rest of the prefix is of shared ones
-    spare = F.expr(f"n - ({threshold} * n + 99) div 100 + 1 - (n - size(r))")
-    prefix = staged(ranked.withColumn("take", spare.cast("int")).filter("take > 0").select("node", "n", F.size("r").alias("s"), F.explode(F.expr("slice(r.gram, 1, take)")).alias("gram")), "prefix")
+    prefix = staged(told.select("node", "n", "s", F.explode("prefix").alias("gram")), "prefix")
     # every text is compared with one text of each of its shingles
     centre = prefix.groupBy("gram").agg(F.min_by(F.struct("node", "n", "s"), F.xxhash64("node")).alias("c"), F.count("*").alias("k")).filter("k > 1")
     met = prefix.join(centre, "gram").filter("node != c.node and " + _near(threshold, "", "c."))
@@ -239,27 +252,34 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "
     """doc_id, n_shingles, component_id and mark (of id and text) of every row."""
     # texts without a word link with nothing, so each is a node of its own
     alone = F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), "").otherwise(F.col("doc_id").cast("string")).cast("binary")
-    own = keyed(docs, id_col, text_col).withColumn("print", F.concat(F.unhex(F.md5("text")), alone))
+    own = keyed(docs, id_col, text_col).withColumn("print", F.concat(F.unhex(F.sha2("text", 256)), alone))
     known = own.filter("doc_id is not null")
     # nodes: the least id of each text that has words
     classes = known.groupBy("print").agg(F.min(F.struct("doc_id", "mark")).alias("c")).select("print", F.col("c.doc_id").alias("node"), F.col("c.mark").alias("node_mark"))
-    nodes = staged(known.select("doc_id", "mark", "print").distinct().join(classes, "print").select("doc_id", "mark", "node", "node_mark"), "nodes")
+    classes = staged(classes, "classes")
+    nodes = staged(known.select("doc_id", "mark", "print").join(classes, "print").select("doc_id", "mark", "node", "node_mark"), "nodes")
     copies = nodes.filter("mark != node_mark").select("mark")
     firsts = without(known.select("doc_id", "mark", "text"), copies, "mark")
-    counts = staged(shared_counts(firsts, partitions(docs.sparkSession)), "counts")
-    viable = counts.filter(f"n > 0 and 100 * shared >= {threshold} * n").select("mark")
+    told = staged(shared_shingles(firsts, partitions(docs.sparkSession), threshold).dropDuplicates(["mark"]), "told")
+    viable = told.filter("size(prefix) > 0")
     touched, _ = split_by(firsts, viable, "mark")
-    ties = links(touched.join(viable, "mark", "left_semi").dropDuplicates(["doc_id", "mark"]), threshold)
+    ties = links(touched.join(viable.select("mark"), "mark", "left_semi").dropDuplicates(["mark"]), viable, threshold)
     # rows of one id are one node: the least nodes of its texts are tied
-    many = nodes.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("k")).filter("k > 1")
+    many = nodes.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b or a < doc_id")
     same = nodes.join(many.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).unionByName(many.select(F.col("doc_id").alias("a"), F.col("a").alias("b")))
     labels = components(ties.unionByName(same))
-    out = nodes.join(counts.select(F.col("mark").alias("node_mark"), "n"), "node_mark").join(labels.withColumnRenamed("id", "node"), "node", "left")
-    done = out.select("mark", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
-    without_id = own.filter("doc_id is null")
-    counted = fragments(without_id.select(F.col("mark").alias("doc_id"), "text"), 1).select(F.col("node").alias("mark"), F.col("n").alias("n_shingles")).distinct().withColumn("component_id", F.lit(None).cast("long"))
-    joined = own.select("doc_id", "mark").join(done.unionByName(counted), "mark", "left")
-    return joined.select("doc_id", F.coalesce("n_shingles", F.lit(0).cast("long")).alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "mark")
+    sized = nodes.dropDuplicates(["mark"]).join(told.select(F.col("mark").alias("node_mark"), "n"), "node_mark", "left")
+    done = sized.join(labels.withColumnRenamed("id", "node"), "node", "left").select("mark", F.coalesce("n", F.lit(0).cast("long")).alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            n = np.bincount(shingles(*text_bytes(batch.column("text")))[1], minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(n), pa.nulls(batch.num_rows, pa.int64())], names=["doc_id", "mark", "n_shingles", "component_id"])
+
+    unknown = own.filter("doc_id is null").select("doc_id", "mark", "text")
+    alone = unknown.mapInArrow(counted, "doc_id long, mark binary, n_shingles long, component_id long")
+    out = known.select("doc_id", "mark").join(done, "mark").unionByName(alone)
+    return out.select("doc_id", "n_shingles", "component_id", "mark")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,6 +289,6 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs (all columns) without those that are not the least id of their component."""
     judged = near_duplicates(docs)
-    dropped = staged(judged.filter("component_id != doc_id").select(F.col("mark").alias("__mark")).distinct(), "dropped")
-    marked = docs.withColumn("__mark", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return without(marked, dropped, "__mark").select(*docs.columns)
+    dropped = staged(judged.filter("component_id != doc_id").select(F.col("mark").alias(MARK)).distinct(), "dropped")
+    marked = docs.withColumn(MARK, mark_of(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return without(marked, dropped, MARK).select(*docs.columns)

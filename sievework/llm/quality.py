@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import hashing as H
-from sievework.llm.repeats import keyed
+from sievework.llm.repeats import MARK, keyed, mark_of
 from sievework.llm.shared import hash_sample, staged, text_bytes, text_slices, without
 
 STATS = ["n_bytes", "n_words", "word_bytes", "upper", "digit", "symbol", "bar", "beyond_ascii", "repeated", "distinct", "noisy_words", "shouted_words", "line_words", "repeated_lines"]
@@ -87,14 +87,14 @@ def statistics(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    kinds = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), *((s, pa.float64()) for s in STATS)])
+    kinds = pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), *((s, pa.float64()) for s in STATS)])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             found = statistics(*text_bytes(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *map(pa.array, found.T)], schema=kinds)
 
-    return keyed(docs, id_col, text_col).mapInArrow(task, "doc_id long, mark long, " + ", ".join(f"{s} double" for s in STATS))
+    return keyed(docs, id_col, text_col).mapInArrow(task, "doc_id long, mark binary, " + ", ".join(f"{s} double" for s in STATS))
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, above, bound), all of which hold
@@ -196,6 +196,6 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs (all columns) without those that the classifier rejects."""
-    rejected = staged(quality_scores(docs, labels).filter("predicted = 0").select(F.col("mark").alias("__mark")).distinct(), "rejected")
-    marked = docs.withColumn("__mark", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return without(marked, rejected, "__mark").select(*docs.columns)
+    rejected = staged(quality_scores(docs, labels).filter("predicted = 0").select(F.col("mark").alias(MARK)).distinct(), "rejected")
+    marked = docs.withColumn(MARK, mark_of(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return without(marked, rejected, MARK).select(*docs.columns)

@@ -5,11 +5,13 @@ its name).  Names are fingerprints of what they stand for, so that every task gi
 name without asking, and equal passages get equal symbols inside.  Near a passage's ends symbols depend on what
 stands outside it; a symbol is interior to a window if the words that it depends on lie in the window.  A window's
 anchor is its leftmost interior symbol of the highest round that has one.  Equal windows have equal anchors; anchors
-that documents share reveal repeats, which are verified window by window (see repeats).
+that documents share reveal repeats (see repeats).  They are verified in the bucket of their anchor, where words and
+pairs of symbols get exact names in rounds: whole numbers that stand for one word, or one pair, and no other.  Two
+windows are equal if and only if the names of their first and last 32 words are.
 
 Defined cases: a null text has no words; a null id neither loses words nor makes others lose any; rows with one id
-never count as earlier than each other; equal rows give equal results; texts below 50 words are kept whole; an empty
-table gives no rows.
+never count as earlier than each other; equal rows give equal results; texts below 50 words are kept whole; a very
+long text is worked on in parts; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,12 +20,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from sievework.llm import hashing as H
-from sievework.llm.repeats import keyed, removed_units, repeat_intervals, starts_of
-from sievework.llm.shared import split_by, text_bytes, text_slices
+from sievework.llm.repeats import keyed, least_of, removed, repeat_intervals, starts_of
+from sievework.llm.shared import split_by
 
 LENGTH, ROUNDS = 50, 7
 _RUN, _PAIR, _ROUND = H.U64(0xD6E8FEB86659FD93), H.U64(0xA0761D6478BD642F), H.U64(0xE7037ED1A0B428DB)
@@ -87,71 +90,73 @@ class Symbols:
 class Words:
     length = LENGTH
 
-    def values(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        starts, ends, words = H.word_bounds(data, bounds)
-        return H.word_prints(data, starts, ends), words
-
-    def anchors(self, values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, object]:
-        windows = starts_of(bounds, LENGTH)
-        place = np.arange(len(values))
-        levels = [Symbols(values, H.row_of(bounds), place, place + 1, place, place + 1)]
-        for number in range(1, ROUNDS + 1 if len(values) else 1):
-            levels.append(levels[-1].runs(values, bounds).pairs(number, bounds))
-        names, owners, first = [], [], []
-        which = np.full(len(windows), -1)
+    def canonical(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Each word with a space after it."""
+        texts = [b" ".join([*t.encode().split(), b""]) for t in column.to_pylist()]
+        return np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)])
+
+    def units(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.concatenate([[0], np.flatnonzero(data == 32) + 1])
+        return at, np.searchsorted(at, bounds)
+
+    def anchors(self, data: np.ndarray, at: np.ndarray, bounds: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        words, place = H.word_prints(data, at[:-1], at[1:]), np.arange(len(at) - 1)
+        levels = [Symbols(words, H.row_of(bounds), place, place + 1, place, place + 1)]
+        for number in range(1, ROUNDS + 1 if len(windows) else 1):
+            levels.append(levels[-1].runs(words, bounds).pairs(number, bounds))
+        names, open_ = np.zeros(len(windows), dtype=H.U64), np.arange(len(windows))
         for number in range(len(levels) - 1, -1, -1):
-            s, open_ = levels[number], np.flatnonzero(which < 0)
-            w = windows[open_]
-            at = np.minimum(np.searchsorted(s.low, w), len(s.low) - 1)  # the leftmost symbol that depends on nothing before the window
-            fits = (s.low[at] >= w) & (s.high[at] <= w + LENGTH) if len(w) else np.zeros(0, dtype=bool)
-            used, back = np.unique(at[fits], return_inverse=True)
-            which[open_[fits]] = back + sum(map(len, names))
-            names.append(H.mix(s.name[used] + H.mix(np.array([number], dtype=np.uint64) * _ROUND)))
-            owners.append(s.owner[used])
-            first.append(s.start[used])
-        name, owner, start = map(np.concatenate, (names, owners, first))
-        order = np.lexsort((start, owner))
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
-        return name[order], owner[order], rank[which]
-
-    def candidates(self, windows: np.ndarray, shared: np.ndarray, kept: object) -> np.ndarray:
-        return shared[kept]
+            if not len(open_):
+                break
+            s, w = levels[number], windows[open_]
+            k = np.minimum(np.searchsorted(s.low, w), len(s.low) - 1)  # the leftmost symbol that depends on nothing before the window
+            fits = (s.low[k] >= w) & (s.high[k] <= w + LENGTH)
+            names[open_[fits]] = H.mix(s.name[k[fits]] + H.mix(np.array([number], dtype=np.uint64) * _ROUND))
+            open_ = open_[~fits]
+        return names
+
+    def later(self, data: np.ndarray, bounds: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        names, words = pd.factorize(np.array(data.tobytes().split(b" ")[:-1], dtype=object))
+        at = np.searchsorted(np.concatenate([[0], np.flatnonzero(data == 32) + 1]), bounds)
+        number, width = len(words), 1
+        while 2 * width < LENGTH:  # names of twice as many words
+            pair = names[:-width] * number + names[width:]
+            order = np.argsort(pair)
+            new = np.concatenate([[True], pair[order][1:] != pair[order][:-1]])
+            names = np.empty_like(pair)
+            names[order] = np.cumsum(new) - 1
+            number, width = int(new.sum()), 2 * width
+        windows = starts_of(at, LENGTH)
+        owner = np.repeat(owner, np.diff(at) - LENGTH + 1)
+        pair = names[windows] * number + names[windows + LENGTH - width]
+        order = np.argsort(pair)
+        least, _ = least_of(order, np.concatenate([[True], pair[order][1:] != pair[order][:-1]]), owner)
+        return owner > least
 
 
 def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, with keep_text, text: the kept words joined by one space."""
     own = keyed(docs, id_col, text_col)
-    parts = repeat_intervals(own, Words())
-    touched, untouched = split_by(own, parts, "mark")
+    found = repeat_intervals(own, Words())
+    touched, untouched = split_by(own, found, "mark")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
-            data, bounds = text_bytes(batch.column("text"))
-            starts, ends, words = H.word_bounds(data, bounds)
-            n = len(bounds) - 1
-            lists = [batch.column(c).to_pylist() if c in batch.schema.names else [None] * n for c in ("starts", "ends")]
-            gone, _ = removed_units(words, *lists, LENGTH)
-            # each kept word with a space before it; a text's first space is left out below
-            begin, end = starts[~gone], ends[~gone]
-            size = end - begin + 1
-            out = np.full(int(size.sum()), 32, dtype=np.uint8)
-            at = np.cumsum(size) - size
-            place = np.repeat(begin - at - 1, size) + np.arange(len(out))
-            inside = np.ones(len(out), dtype=bool)
-            inside[at] = False
-            out[inside] = data[place[inside]]
-            number = np.concatenate([[0], np.cumsum(~gone)])[words]
-            limit = np.concatenate([at, [len(out)]])[number].tolist()
-            kept = out.tobytes()
-            texts = [kept[a + 1 : b] for a, b in zip(limit[:-1], limit[1:], strict=True)]
-            columns = [batch.column("doc_id"), pa.array(np.diff(words)), pa.array(np.diff(words) - np.diff(number)), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
-            if keep_text:
-                columns.append(pa.array([t.decode() for t in texts], type=pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256", *["text"] * keep_text])
-
-    joined = touched.join(parts, "mark", "left").select("doc_id", "text", "starts", "ends")
+        for batch in batches:
+            lists = [batch.column(c).to_pylist() if c in batch.schema.names else [None] * batch.num_rows for c in ("starts", "ends")]
+            rows: list[tuple] = []
+            for text, starts, ends in zip(batch.column("text").to_pylist(), *lists, strict=True):
+                words = text.encode().split()
+                n, gone = len(words), removed(starts, ends, len(words), LENGTH)
+                for a, b in reversed(gone):
+                    del words[a:b]
+                kept = b" ".join(words)
+                rows.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), *([kept.decode()] if keep_text else [])))
+            if rows:
+                out = [pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.string(), pa.string()], strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *out], names=["doc_id", "n_words", "n_removed", "kept_sha256", *["text"] * keep_text])
+
+    joined = touched.join(found, "mark", "left").select("doc_id", "text", "starts", "ends")
     return joined.mapInArrow(apply, schema).unionByName(untouched.select("doc_id", "text").mapInArrow(apply, schema))
 
 

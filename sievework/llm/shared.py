@@ -22,13 +22,18 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="sievework-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A folder to be written, which goes when the driver ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -93,10 +98,10 @@ def bitmap(marks: DataFrame, column: str) -> DataFrame:
 def split_by(rows: DataFrame, marks: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """Rows whose mark may be among marks, and rows whose mark surely is not.  Only the first need a join with them,
     so that texts without a partner are not shuffled; where the bitmap is full, all rows are in the first."""
-    words = staged(bitmap(marks, column), "bitmap").toDF("__word", "__bits")
+    words = staged(bitmap(marks, column), "bitmap").toDF("__sievework_word", "__sievework_bits")
     slot = F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS))
-    tested = rows.withColumn("__word", F.shiftright(slot, 6)).withColumn("__slot", slot).join(F.broadcast(words), "__word", "left")
-    hit = F.expr("coalesce(shiftright(__bits, cast(__slot & 63 as int)) & 1, 0) = 1")
+    tested = rows.withColumn("__sievework_word", F.shiftright(slot, 6)).withColumn("__sievework_slot", slot).join(F.broadcast(words), "__sievework_word", "left")
+    hit = F.expr("coalesce(shiftright(__sievework_bits, cast(__sievework_slot & 63 as int)) & 1, 0) = 1")
     return tested.filter(hit).select(*rows.columns), tested.filter(~hit).select(*rows.columns)
 
 
