@@ -66,13 +66,12 @@ def shared_shingles(docs: DataFrame, buckets: int, threshold: int) -> DataFrame:
     """Of each text with words mark, node (its id), n (number of shingles), s (how many of them occur in another text)
     and prefix: those of the s that come first in the global order, if the text can link."""
 
-    def names_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        found, first = [], 0
+    def names_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        first = 0
         for part in text_slices(iter([batch])):
             names, owner, _ = shingles(*text_bytes(part.column("text")))
-            found.append((names, first + owner))
+            yield first, names, np.bincount(owner, minlength=part.num_rows)
             first += part.num_rows
-        return tuple(map(np.concatenate, zip(*found, strict=True)))
 
     def finish(told: Told) -> pa.RecordBatch:
         n, text = told.counts, np.repeat(np.arange(len(told.counts)), told.counts)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from sievework.llm.hashing import U64
 
 #: Names that a task gathers before it deals them.
-LOAD_NAMES = 3 << 19
+LOAD_NAMES = 1 << 20
 FIELDS = "abcdef"
 PACKED = "key long, bucket int, local boolean, marks array<binary>, " + ", ".join(f"{f} binary" for f in FIELDS)
 _PACKED = pa.schema([("key", pa.int64()), ("bucket", pa.int32()), ("local", pa.bool_()), ("marks", pa.list_(pa.binary())), *((f, pa.binary()) for f in FIELDS)])
@@ -105,8 +105,9 @@ class Told:
         self.names = field(row, "d", U64)[rank] if row["d"] else None
 
 
-def told_names(docs: DataFrame, names_of: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], buckets: int, finish: Callable[[Told], pa.RecordBatch], schema: str, keep_names: bool = False) -> DataFrame:
-    """finish() of every load of docs (doc_id, mark, text).  names_of gives the names of a batch, text by text, and the row of each."""
+def told_names(docs: DataFrame, names_of: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray, np.ndarray]]], buckets: int, finish: Callable[[Told], pa.RecordBatch], schema: str, keep_names: bool = False) -> DataFrame:
+    """finish() of every load of docs (doc_id, mark, text).  names_of yields, of a part of a
+    batch at a time, its first row, the names, text by text, and the number of them in each row."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held = 0, []
@@ -137,16 +138,18 @@ def told_names(docs: DataFrame, names_of: Callable[[pa.RecordBatch], tuple[np.nd
 
         size = 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            names, row = names_of(batch)
-            counts = np.bincount(row, minlength=batch.num_rows)
-            held.append((names, counts, batch.column("doc_id").to_numpy(), batch.column("mark").to_pylist()))
-            size += len(names)
-            if size > LOAD_NAMES:
-                yield from load()
-                number, size = number + 1, 0
-                held.clear()
+            before = -1
+            for first, names, counts in names_of(batch):
+                if first == before:  # another part of the same text
+                    held[-1] = np.concatenate([held[-1][0], names]), held[-1][1] + counts, *held[-1][2:]
+                else:
+                    if size > LOAD_NAMES:
+                        yield from load()
+                        number, size = number + 1, 0
+                        held.clear()
+                    own = batch.slice(first, len(counts))
+                    held.append((names, counts, own.column("doc_id").to_numpy(), own.column("mark").to_pylist()))
+                size, before = size + len(names), first
         if size:
             yield from load()
 
