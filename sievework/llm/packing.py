@@ -6,7 +6,7 @@ that fits a bin, so the sum over all sizes is a lower bound of the bins.  A part
 optimal and closes all bins but its emptiest; one with a gap puts all its unfilled bins back.  What was put back is
 dealt out anew over partitions of bounded size and packed again, until the bins stop falling or EXCHANGES rounds are
 over.  Then every partition closes all bins but its emptiest, as no two bins of a partition fit together; these last
-bins meet again, until one partition of bounded size holds what is left.
+bins meet again in as many partitions of bounded size as they fill, until these grow no fewer.
 
 Defined cases: a null or empty text is the end token alone; a piece of full length fills a sequence by itself; equal
 rows are separate pieces; an empty table gives no rows; a null id is packed as any other; other columns are ignored.
@@ -35,7 +35,7 @@ SEQUENCE, END_ID = 4096, 1
 GROUP_ROWS = 100_000
 #: Rounds in which partitions with a gap put back their unfilled bins.
 EXCHANGES = 8
-#: Chunks whose ids a worker keeps; beyond it the store is emptied.
+#: Chunks after which a worker's store of ids is set aside; it is looked up, and the one set aside before it is left.
 CACHE_CHUNKS = 200_000
 
 
@@ -57,31 +57,36 @@ class ChunkIds:
         self.word = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": [], "padding": None, "truncation": None}))
         self.letters = {b: c for c, b in byte_letters().items()}
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.tails: dict[bytes, bytes] = {b"": b""}
 
     def learn(self, chunks: list[bytes]) -> None:
-        plain, other = [], []
+        tokenize, known, rest = self.word.model.tokenize, self.known, []
         for c in chunks:
             core = c.rstrip(self.CLOSING)
-            text = core.decode()
-            easy = text.isalpha() and text.lower() == text and unicodedata.is_normalized("NFC", text)
-            (plain if easy else other).append((c, core, c[len(core) :]))
-        for tail in {t for _, _, t in plain} - self.tails.keys():
-            self.tails[tail] = _little(self.whole.encode(tail.decode(), add_special_tokens=False).ids)
-        words = [core.decode("latin-1").translate(self.letters) for _, core, _ in plain]
-        for (c, _, tail), e in zip(plain, self.word.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[c] = _little(e.ids) + self.tails[tail]
-        for (c, _, _), e in zip(other, self.whole.encode_batch_fast([c.decode() for c, _, _ in other], add_special_tokens=False), strict=True):
-            self.known[c] = _little(e.ids)
+            text, tail = core.decode(), c[len(core) :]
+            if not (text.isalpha() and text.lower() == text and unicodedata.is_normalized("NFC", text)):
+                rest.append(c)
+                continue
+            if tail not in self.tails:
+                self.tails[tail] = _little(self.whole.encode(tail.decode(), add_special_tokens=False).ids)
+            known[c] = _little([t.id for t in tokenize(core.decode("latin-1").translate(self.letters))]) + self.tails[tail]
+        for c, e in zip(rest, self.whole.encode_batch_fast([c.decode() for c in rest], add_special_tokens=False), strict=True):
+            known[c] = _little(e.ids)
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the end token."""
         if len(self.known) > CACHE_CHUNKS:
-            self.known.clear()
+            # what was of use since the store was last full stays
+            self.before, self.known = self.known, {}
             self.tails = {b"": b""}
+        known, before = self.known, self.before
         # the vocabulary has no capitals, but special tokens are told apart before that
-        known, chunks = self.known, [(t if b"<|" in t else t.lower()).split() for t in texts]
-        self.learn(list({c for own in chunks for c in own if c not in known}))
+        chunks = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        new = {c for own in chunks for c in own if c not in known}
+        old = [c for c in new if c in before]
+        known.update(zip(old, map(before.__getitem__, old), strict=True))
+        self.learn(list(new.difference(old)))
         end = _little([END_ID])
         return [b"".join([known[c] for c in own]) + end for own in chunks]
 
@@ -185,8 +190,9 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE, group_rows: int = GROUP_RO
         return task
 
     def packed_in(left: DataFrame, groups: int, level: int) -> DataFrame:
-        spread = F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level))
-        dealt = left.select(*columns).repartition(groups, spread) if groups > 1 else left.select(*columns).coalesce(1)
+        # dealt in turn, so that equal pieces meet no more than others
+        own = left.select(*columns)
+        dealt = own.repartition(groups) if groups > 1 else own.coalesce(1)
         return staged(dealt.mapInArrow(packer(level), schema), "packed")
 
     def both(done: DataFrame | None, part: DataFrame) -> DataFrame:
@@ -207,13 +213,12 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE, group_rows: int = GROUP_RO
         if level == EXCHANGES:
             break
     while True:
-        # a last bin has up to `capacity` pieces, so halving makes sure that they meet
         done, left = both(done, left.filter("again < 2")), left.filter("again = 2")
-        groups = min(max(1, groups // 2), max(1, -(-left.count() // group_rows)))
+        before, groups = groups, max(1, -(-left.count() // group_rows))
+        if groups >= before:
+            return both(done, left)
         left = packed_in(left, groups, level)
         level += 1
-        if groups == 1:
-            return both(done, left)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
