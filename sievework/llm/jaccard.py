@@ -1,7 +1,8 @@
 """N-gram Jaccard join over sets of word shingles, exact, for connected components.
 
-1. Viability: a text can link only if at least the threshold's share of its shingles occurs in another text.  All
-   names of shingles are dealt over buckets, and the answers (see names) tell each text in how many texts each is.
+1. Viability: a text can link only if at least the threshold's share of its shingles occurs in another text.  Names of
+   shingles are dealt over buckets, and the answers (see names) tell each text in how many texts each is; for all texts
+   those of the first fragments, in which no more may be missing than in all, then for what is left those of all fragments.
 2. The same answers give the global order of shingles, from rare to frequent.  Two texts that link share one of
    the first n - ceil(t n) + 1 (prefix filter).
 3. Vertical partitioning: the shingles are cut into fragments by their names; each fragment counts the overlap of its
@@ -36,6 +37,8 @@ from sievework.llm.repeats import MARK, keyed, mark_of, starts_of
 from sievework.llm.shared import partitions, split_by, staged, text_bytes, text_slices, without
 
 WORDS, THRESHOLD, FRAGMENTS = 5, 80, 8
+#: Fragments by which all texts are judged first; those that can link by them are judged by all fragments.
+ASKED = 3
 #: Shingles of more texts than SMALL are compared by blocks of at most about BLOCK texts and BLOCK_SHINGLES shingles,
 #: by matrices of at most MATRIX_COLUMNS columns; others pair by pair.
 SMALL, BLOCK, BLOCK_SHINGLES, MATRIX_COLUMNS = 12, 1024, 1 << 19, 4096
@@ -62,32 +65,41 @@ def shingles(data: np.ndarray, bounds: np.ndarray, words: int = WORDS, wide: boo
     return prints[new], owner[new], names(1)[order][new] if wide else prints[:0]
 
 
-def shared_shingles(docs: DataFrame, buckets: int, threshold: int) -> DataFrame:
-    """Of each text with words mark, node (its id), n (number of shingles), s (how many of them occur in another text)
-    and prefix: those of the s that come first in the global order, if the text can link."""
+def _fragment(names: np.ndarray, number: int) -> np.ndarray:
+    return ((names >> H.U64(32)) * H.U64(number) >> H.U64(32)).astype(np.int64)
 
-    def names_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+
+def shared_shingles(docs: DataFrame, buckets: int, threshold: int, asked: int = FRAGMENTS) -> DataFrame:
+    """Of each text mark, node (its id), n (number of shingles), able (whether it can link, judged by the first `asked`
+    fragments), s (how many shingles of these occur in another text) and, if all fragments are asked for, prefix: of the
+    s those that come first in the global order, if the text is able."""
+
+    def names_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         first = 0
         for part in text_slices(iter([batch])):
             names, owner, _ = shingles(*text_bytes(part.column("text")))
-            yield first, names, np.bincount(owner, minlength=part.num_rows)
+            some = _fragment(names, FRAGMENTS) < asked
+            yield first, names[some], np.bincount(owner[some], minlength=part.num_rows), np.bincount(owner, minlength=part.num_rows)
             first += part.num_rows
 
     def finish(told: Told) -> pa.RecordBatch:
-        n, text = told.counts, np.repeat(np.arange(len(told.counts)), told.counts)
+        n, m, text = told.totals, told.counts, np.repeat(np.arange(len(told.counts)), told.counts)
         shared = told.times > 1
-        s = np.bincount(text[shared], minlength=len(n))
-        take = np.where((n > 0) & (100 * s >= threshold * n), s - (threshold * n + 99) // 100 + 1, 0)
-        mine = np.flatnonzero(shared & (take[text] > 0))
-        order = mine[np.lexsort((told.names[mine], told.times[mine], text[mine]))]
-        own = text[order]
-        kept = order[np.arange(len(own)) - np.searchsorted(own, own) < take[own]]
-        prefix = pa.ListArray.from_arrays(pa.array(np.searchsorted(text[kept], np.arange(len(n) + 1)), type=pa.int32()), pa.array(told.names[kept].astype(np.int64)))
-        some = pa.array(np.flatnonzero(n > 0))
-        columns = [pa.array(told.marks, type=pa.binary()), pa.array(told.ids), pa.array(n), pa.array(s), prefix]
-        return pa.RecordBatch.from_arrays([c.take(some) for c in columns], names=["mark", "node", "n", "s", "prefix"])
-
-    return told_names(docs, names_of, buckets, finish, "mark binary, node long, n long, s long, prefix array<long>", keep_names=True)
+        s, least = np.bincount(text[shared], minlength=len(n)), (threshold * n + 99) // 100
+        # all but n - least of its shingles are in a text that it links with
+        able = (n > 0) & (m - s <= n - least)
+        columns = [pa.array(told.marks, type=pa.binary()), pa.array(told.ids), pa.array(n), pa.array(able), pa.array(s)]
+        if asked == FRAGMENTS:
+            take = np.where(able, s - least + 1, 0)
+            mine = np.flatnonzero(shared & (take[text] > 0))
+            order = mine[np.lexsort((told.names[mine], told.times[mine], text[mine]))]
+            own = text[order]
+            kept = order[np.arange(len(own)) - np.searchsorted(own, own) < take[own]]
+            columns.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(text[kept], np.arange(len(n) + 1)), type=pa.int32()), pa.array(told.names[kept].astype(np.int64))))
+        return pa.RecordBatch.from_arrays(columns, names=["mark", "node", "n", "able", "s", "prefix"][: len(columns)])
+
+    schema = "mark binary, node long, n long, able boolean, s long" + ", prefix array<long>" * (asked == FRAGMENTS)
+    return told_names(docs, names_of, buckets, finish, schema, keep_names=asked == FRAGMENTS)
 
 
 def fragments(docs: DataFrame, number: int = FRAGMENTS) -> DataFrame:
@@ -100,8 +112,7 @@ def fragments(docs: DataFrame, number: int = FRAGMENTS) -> DataFrame:
             if not len(prints):
                 continue
             n = np.bincount(owner, minlength=batch.num_rows)
-            fragment = (prints >> H.U64(32)) * H.U64(number) >> H.U64(32)
-            key = owner * number + fragment.astype(np.int64)
+            key = owner * number + _fragment(prints, number)
             order = np.argsort(key, kind="stable")
             head = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
             both = np.stack([prints[order], second[order]], axis=1)
@@ -251,6 +262,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "
     """doc_id, n_shingles, component_id and mark (of id and text) of every row."""
     # texts without a word link with nothing, so each is a node of its own
     alone = F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), "").otherwise(F.col("doc_id").cast("string")).cast("binary")
+    buckets = partitions(docs.sparkSession)
     own = keyed(docs, id_col, text_col).withColumn("print", F.concat(F.unhex(F.sha2("text", 256)), alone))
     known = own.filter("doc_id is not null")
     # nodes: the least id of each text that has words
@@ -259,10 +271,12 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "
     nodes = staged(known.select("doc_id", "mark", "print").join(classes, "print").select("doc_id", "mark", "node", "node_mark"), "nodes")
     copies = nodes.filter("mark != node_mark").select("mark")
     firsts = without(known.select("doc_id", "mark", "text"), copies, "mark")
-    told = staged(shared_shingles(firsts, partitions(docs.sparkSession), threshold).dropDuplicates(["mark"]), "told")
-    viable = told.filter("size(prefix) > 0")
-    touched, _ = split_by(firsts, viable, "mark")
-    ties = links(touched.join(viable.select("mark"), "mark", "left_semi").dropDuplicates(["mark"]), viable, threshold)
+    told = staged(shared_shingles(firsts, buckets, threshold, ASKED).dropDuplicates(["mark"]), "told")
+    able = told.filter("able").select("mark")
+    perhaps, _ = split_by(firsts, able, "mark")
+    candidates = staged(perhaps.join(able, "mark", "left_semi").dropDuplicates(["mark"]), "candidates")
+    ranked = staged(shared_shingles(candidates, buckets, threshold), "ranked").filter("able")
+    ties = links(candidates.join(ranked.select("mark"), "mark", "left_semi"), ranked, threshold)
     # rows of one id are one node: the least nodes of its texts are tied
     many = nodes.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b or a < doc_id")
     same = nodes.join(many.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).unionByName(many.select(F.col("doc_id").alias("a"), F.col("a").alias("b")))

@@ -99,27 +99,27 @@ class Told:
 
     def __init__(self, row: dict, answers: list[tuple[int, bytes]]) -> None:
         self.marks, self.counts, self.ids = row["marks"], field(row, "a", np.uint32).astype(np.int64), field(row, "e", np.int64)
-        rank = field(row, "b", np.uint32)
+        self.totals, rank = field(row, "f", np.int64), field(row, "b", np.uint32)
         times = np.frombuffer(b"".join(a for _, a in answers), dtype=np.uint8)
         self.times = times[rank]
         self.names = field(row, "d", U64)[rank] if row["d"] else None
 
 
-def told_names(docs: DataFrame, names_of: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray, np.ndarray]]], buckets: int, finish: Callable[[Told], pa.RecordBatch], schema: str, keep_names: bool = False) -> DataFrame:
+def told_names(docs: DataFrame, names_of: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]], buckets: int, finish: Callable[[Told], pa.RecordBatch], schema: str, keep_names: bool = False) -> DataFrame:
     """finish() of every load of docs (doc_id, mark, text).  names_of yields, of a part of a
-    batch at a time, its first row, the names, text by text, and the number of them in each row."""
+    batch at a time, its first row, the names, text by text, the number of them in each row, and another
+    number for each row, which Told has as totals."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held = 0, []
 
         def load() -> Iterator[pa.RecordBatch]:
-            names = np.concatenate([h[0] for h in held])
-            counts = np.concatenate([h[1] for h in held])
+            names, counts, totals = (np.concatenate([h[k] for h in held]) for k in (0, 1, 4))
             of_text = np.concatenate([h[2] for h in held])
             ids = np.repeat(of_text, counts)
             marks = [m for h in held for m in h[3]]
             order = np.argsort(names)
-            head = np.flatnonzero(np.concatenate([[True], names[order][1:] != names[order][:-1]]))
+            head = np.flatnonzero(np.append(True, names[order][1:] != names[order][:-1])[: len(names)])
             owner = ids[order]
             times = np.where(np.minimum.reduceat(owner, head) == np.maximum.reduceat(owner, head), 1, np.diff(np.append(head, len(names))))
             distinct = names[order][head]
@@ -134,23 +134,23 @@ def told_names(docs: DataFrame, names_of: Callable[[pa.RecordBatch], Iterator[tu
             for b, at, end in cuts(bucket):
                 sizes.append((b, end - at))
                 yield packed(key, b, [distinct[at:end].astype(np.uint32), times[at:end]])
-            yield packed(key, key % buckets, [counts.astype(np.uint32), rank, np.array(sizes, dtype=np.int64), distinct if keep_names else np.zeros(0), of_text], marks)
+            yield packed(key, key % buckets, [counts.astype(np.uint32), rank, np.array(sizes, dtype=np.int64), distinct if keep_names else np.zeros(0), of_text, totals], marks)
 
         size = 0
         for batch in batches:
             before = -1
-            for first, names, counts in names_of(batch):
+            for first, names, counts, totals in names_of(batch):
                 if first == before:  # another part of the same text
-                    held[-1] = np.concatenate([held[-1][0], names]), held[-1][1] + counts, *held[-1][2:]
+                    held[-1] = np.concatenate([held[-1][0], names]), held[-1][1] + counts, *held[-1][2:4], held[-1][4] + totals
                 else:
                     if size > LOAD_NAMES:
                         yield from load()
                         number, size = number + 1, 0
                         held.clear()
                     own = batch.slice(first, len(counts))
-                    held.append((names, counts, own.column("doc_id").to_numpy(), own.column("mark").to_pylist()))
+                    held.append((names, counts, own.column("doc_id").to_numpy(), own.column("mark").to_pylist(), totals))
                 size, before = size + len(names), first
-        if size:
+        if held:
             yield from load()
 
     def answer(rows: list[dict]) -> list[np.ndarray]:

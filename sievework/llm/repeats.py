@@ -101,9 +101,10 @@ def parts(column: pa.Array, unit: Unit, most: int = SLICE_BYTES) -> Iterator[Par
 def shared_runs(docs: DataFrame, unit: Unit, buckets: int) -> DataFrame:
     """mark and bits: of the documents that share anchors, which of their runs have a shared name."""
 
-    def names_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def names_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         for part in parts(batch.column("text"), unit):
-            yield part.first, part.names, np.bincount(part.owner, minlength=len(part.bounds) - 1)
+            counts = np.bincount(part.owner, minlength=len(part.bounds) - 1)
+            yield part.first, part.names, counts, counts
 
     def finish(told: Told) -> pa.RecordBatch:
         shared, ends = told.times > 1, np.cumsum(told.counts)
