@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from sievework.llm.hashing import U64
 
 #: Names that a task gathers before it deals them.
-LOAD_NAMES = 1 << 20
+LOAD_NAMES = 3 << 18
 FIELDS = "abcdef"
 PACKED = "key long, bucket int, local boolean, marks array<binary>, " + ", ".join(f"{f} binary" for f in FIELDS)
 _PACKED = pa.schema([("key", pa.int64()), ("bucket", pa.int32()), ("local", pa.bool_()), ("marks", pa.list_(pa.binary())), *((f, pa.binary()) for f in FIELDS)])

@@ -30,7 +30,7 @@ from sievework.llm.names import PACKED, Told, bucket_of, by_bucket, by_load, cut
 from sievework.llm.shared import SLICE_BYTES, partitions, split_by, staged, text_bytes, without
 
 #: Bytes of distinct segments in a load, and windows that a bucket compares at once.
-LOAD_BYTES, WINDOWS = 16 << 20, 1 << 20
+LOAD_BYTES, WINDOWS = 12 << 20, 1 << 19
 #: A name that no column of documents has.
 MARK = "__sievework_mark"
 

@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at once.
-SLICE_BYTES = 3 << 19
-#: Spark deletes the shuffle files of a finished query when this is set.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+SLICE_BYTES = 1 << 19
+#: Options of a staged write: Spark deletes the shuffle files of a finished query, and sends a task's Python worker this
+#: many texts at once.
+_OPTIONS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -40,12 +41,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends, and the shuffles behind it are freed."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in _OPTIONS}
+    for k, v in _OPTIONS.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
