@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 # Tokens that stand for a missing value.
 MISSING = ["na", "n/a", "null", "none", "nil", ".", "-"]
-MISSING_PATTERNS = ["na", "n/a", "null", "none", "nil", "missing", "unknown", "undefined", ".", "-", "--", "?", "999", "-999"]
+MISSING_PATTERNS = ["missing", "unknown", "not available", "not recorded", "n.a.", "n.a", "na.", "#n/a", "#null", "undefined", "-999", "-9999", "999", "9999"]
 BOOLEAN_TYPE_WORDS = ["true", "false", "yes", "no"]
 BOOLEAN_WORDS = ["true", "false", "yes", "no", "t", "f", "y", "n", "1", "0"]
 INTEGER = r"^[+-]?[0-9]+\z"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.text import as_integer, as_number, is_missing, trim
 from sievework.operators import taxonomy
-from sievework.operators.validators import observation
+from sievework.operators.validators import PREGNANT_MALE, YOUNG_PATIENT, observation
 from sievework.operators.values import value_dictionary
 
 # Fixed values.
@@ -26,21 +26,21 @@ STRICT_DATE = r"^[0-9]{4}(-[0-9]{2}(-[0-9]{2})?)?\z"
 PENALTIES = {"duplicate": 30, "organism": 25, "date": 10, "coordinates": 10, "null": 5, "mismatch": 5}
 
 
-def _rows(rows: DataFrame, bad: Column, name: str, severity: str, total: int) -> DataFrame:
+def _rows(rows: DataFrame, bad: Column, name: str, severity: str, total: int, confidence: float) -> DataFrame:
     found = rows.agg(F.count_if(bad).alias("occurrences")).withColumn("column", F.lit(name)).filter("occurrences > 0")
-    return observation(found, "cross_column_inconsistency", severity, "cross_column_validator", total)
+    return observation(found, "cross_column_inconsistency", severity, "cross_column_validator", total, confidence=confidence)
 
 
 def pregnant_males(rows: DataFrame, sex: str, pregnant: str, total: int) -> DataFrame:
     s, p = F.lower(F.col(f"`{sex}`")), F.lower(F.col(f"`{pregnant}`"))
     male = (s.contains("male") & ~s.contains("female")) | (s == "m")
-    return _rows(rows, male & p.isin(PREGNANT), f"{sex} vs {pregnant}", "error", total)
+    return _rows(rows, male & p.isin(PREGNANT), f"{sex} vs {pregnant}", "error", total, PREGNANT_MALE)
 
 
 def young_patients(rows: DataFrame, age: str, diagnosis: str, total: int) -> DataFrame:
     """Conditions of adults in children."""
     years, d = as_integer(trim(F.col(f"`{age}`"))), F.lower(F.col(f"`{diagnosis}`"))
-    return _rows(rows, (years <= CHILD_AGE) & d.rlike("|".join(ADULT_CONDITIONS)), f"{age} vs {diagnosis}", "warning", total)
+    return _rows(rows, (years <= CHILD_AGE) & d.rlike("|".join(ADULT_CONDITIONS)), f"{age} vs {diagnosis}", "warning", total, YOUNG_PATIENT)
 
 
 def latitude_longitude(c: Column) -> Column:

@@ -15,7 +15,11 @@ from sievework.functions.text import MISSING_PATTERNS, any_contains, as_number,
 from sievework.operators.profile import quartiles
 
 # Fixed values.
-CONFIDENCE = {"type_validator": 0.90, "range_validator": 0.85, "set_validator": 0.85, "uniqueness_validator": 0.95, "identifier_duplicate_validator": 0.95, "statistical_outlier_validator": 0.85, "completeness_validator": 0.95, "consistency_validator": 0.88, "case_variant_validator": 0.90, "typo_validator": 0.75, "semantic_equivalence_validator": 0.85, "date_format_validator": 0.90, "missing_pattern_validator": 0.88, "regex_pattern_validator": 0.75, "cross_column_validator": 0.85, "title_case_validator": 0.85, "coordinate_validator": 0.95, "duplicate_row_validator": 0.98}
+CONFIDENCE = {"type_validator": 0.90, "range_validator": 0.85, "set_validator": 0.85, "uniqueness_validator": 0.95, "identifier_duplicate_validator": 0.95, "statistical_outlier_validator": 0.85, "completeness_validator": 0.95, "consistency_validator": 0.88, "case_variant_validator": 0.90, "typo_validator": 0.75, "semantic_equivalence_validator": 0.85, "date_format_validator": 0.90, "missing_pattern_validator": 0.88, "regex_pattern_validator": 0.75, "cross_column_validator": 0.85, "title_case_validator": 0.85, "coordinate_validator": 0.95, "duplicate_row_validator": 0.98, "mixs_compliance": 0.95}
+# Checks that are more or less certain than their detector.
+NEGATIVE, ID_SHAPE, BMI, PREGNANT_MALE, YOUNG_PATIENT, NEAR_ROW, ID_CONFLICT = 0.95, 0.80, 0.70, 0.95, 0.70, 0.85, 0.95
+MIXED_COORDINATES, SWAPPED_COORDINATES, UNREAD_COORDINATES = 0.85, 0.75, 0.80
+NO_PLACE = ["missing", "not collected", "not applicable"]
 NON_NEGATIVE = ["age", "weight", "height", "bmi", "count", "reads", "read_count", "concentration", "conc", "length", "size", "distance", "duration", "price", "cost", "amount", "quantity", "score", "rating"]
 TITLE_NAMES = ["treatment", "drug", "medication", "medicine", "therapy", "rx"]
 NAME_PATTERNS = [(["email", "e_mail"], r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\z"), (["url", "website", "link"], r"^https?://[^\s]+\z"), (["phone", "tel", "mobile"], r"^\+?[0-9\s\-\(\)]{7,}\z"), (["zip", "postal"], r"^[0-9]{5}(-[0-9]{4})?\z")]
@@ -34,10 +38,10 @@ SYNONYMS = [
 ]
 
 
-def observation(found: DataFrame, kind: str, severity: Column | str, detector: str, total: int, column: Column | None = None, occurrences: str = "occurrences") -> DataFrame:
+def observation(found: DataFrame, kind: str, severity: Column | str, detector: str, total: int, column: Column | None = None, occurrences: str = "occurrences", confidence: float | None = None) -> DataFrame:
     level = F.lit(severity) if isinstance(severity, str) else severity
     share = F.round(F.col(occurrences) * 100.0 / max(total, 1), 4)
-    return found.select(F.lit(kind).alias("type"), level.alias("severity"), (F.col("column") if column is None else column).alias("column"), F.lit(detector).alias("detector"), F.lit(CONFIDENCE[detector]).alias("confidence"), F.col(occurrences).cast("long").alias("occurrences"), share.alias("percentage"))
+    return found.select(F.lit(kind).alias("type"), level.alias("severity"), (F.col("column") if column is None else column).alias("column"), F.lit(detector).alias("detector"), F.lit(CONFIDENCE[detector] if confidence is None else confidence).alias("confidence"), F.col(occurrences).cast("long").alias("occurrences"), share.alias("percentage"))
 
 
 def _some(df: DataFrame) -> DataFrame:
@@ -104,7 +108,7 @@ def iqr_values(values: DataFrame, columns: list[str], total: int) -> DataFrame:
 def negative_values(values: DataFrame, total: int) -> DataFrame:
     named = F.col("column").rlike("(?i)" + "|".join(NON_NEGATIVE))
     found = values.filter(named & ~F.col("missing") & (as_number(trim(F.col("value"))) < 0)).groupBy("column").agg(F.sum("n").alias("occurrences"))
-    return observation(found, "outlier", "error", "statistical_outlier_validator", total)
+    return observation(found, "outlier", "error", "statistical_outlier_validator", total, confidence=NEGATIVE)
 
 
 def completeness(values: DataFrame, total: int) -> DataFrame:
@@ -204,7 +208,7 @@ def id_shapes(values: DataFrame, columns: list[str], total: int) -> DataFrame:
     shapes = values.filter(F.col("column").isin(columns) & ~F.col("missing")).groupBy("column", shape(trim(F.col("value"))).alias("s")).agg(F.sum("n").alias("n"))
     votes = shapes.groupBy("column").agg(F.max("n").alias("most"), F.sum("n").alias("there"), F.count("*").alias("k"))
     found = votes.filter((F.col("k") > 1) & (F.col("most") >= 0.7 * F.col("there"))).withColumn("occurrences", F.col("there") - F.col("most"))
-    return observation(found, "inconsistency", "warning", "regex_pattern_validator", total)
+    return observation(found, "inconsistency", "warning", "regex_pattern_validator", total, confidence=ID_SHAPE)
 
 
 def late_start(rows: DataFrame, start: str, end: str, total: int) -> DataFrame:
@@ -225,7 +229,7 @@ def wrong_bmi(rows: DataFrame, bmi: str, weight: str, height: str, total: int) -
     metres = F.when(h > 3, h / 100).otherwise(h)
     own = w / (metres * metres)
     found = rows.agg(F.count_if((w > 0) & (h > 0) & (F.abs(b - own) / own > 0.1)).alias("occurrences")).withColumn("column", F.lit(bmi))
-    return observation(_some(found), "cross_column_inconsistency", "warning", "cross_column_validator", total)
+    return observation(_some(found), "cross_column_inconsistency", "warning", "cross_column_validator", total, confidence=BMI)
 
 
 def small_titles(values: DataFrame, columns: list[str], total: int) -> DataFrame:
@@ -244,6 +248,39 @@ def bad_coordinates(values: DataFrame, column: str, limit: float, total: int) ->
     return observation(found, "outlier", "error", "coordinate_validator", total)
 
 
+def _degrees(c: Column) -> tuple[Column, Column]:
+    """A number with or without a letter for its direction, or null; and degrees, minutes and seconds, or null."""
+    plain = as_number(trim(F.regexp_replace(c, r"(?i)[nsew]\z", "")))
+    decimal = F.when(c.rlike(r"(?i)[sw]\z"), -F.abs(plain)).when(c.rlike(r"(?i)[ne]\z"), F.abs(plain)).otherwise(plain)
+    parts = F.filter(F.split(F.regexp_replace(c, "[°'\":]", " "), " "), lambda x: x != "")
+    turned = as_number(F.get(parts, F.lit(0))) + as_number(F.get(parts, F.lit(1))) / 60 + F.coalesce(as_number(F.get(parts, F.lit(2))), F.lit(0.0)) / 3600
+    signed = F.when(F.element_at(parts, -1).rlike("(?i)^[sw]"), -turned).otherwise(turned)
+    return decimal, F.when(decimal.isNull() & (F.size(parts) >= 3), signed)
+
+
+def combined_coordinates(values: DataFrame, column: str, total: int) -> DataFrame:
+    """Places as one text of a latitude and a longitude: out of range, written in two ways, perhaps swapped, unreadable."""
+    text = trim(F.col("value"))
+    pair = F.filter(F.split(text, r"[\p{IsWhite_Space},;]"), lambda x: x != "")
+    there = values.filter((F.col("column") == column) & ~F.col("missing") & ~F.lower(text).isin(NO_PLACE)).select("column", "n", pair.alias("p"))
+    (lat, lat_turned), (lon, lon_turned) = (_degrees(F.get("p", F.lit(k))) for k in (0, 1))
+    two = F.size("p") == 2
+    read = there.select("column", "n", F.when(two, F.coalesce(lat, lat_turned)).alias("lat"), F.when(two, F.coalesce(lon, lon_turned)).alias("lon"), (lat_turned.isNotNull() | lon_turned.isNotNull()).alias("turned"))
+    known = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    wide, far = F.abs("lat") > 90, F.abs("lon") > 180
+
+    def rows(c: Column, name: str) -> Column:
+        return F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(name)
+
+    found = read.groupBy("column").agg(rows(known & (wide | far), "out"), rows(known, "known"), rows(known & F.col("turned"), "turned"), rows(known & wide & (F.abs("lat") <= 180) & (F.abs("lon") <= 90), "swapped"), rows(~known, "unread"))
+    mixed = _some(found.select("column", F.when((F.col("turned") > 0) & (F.col("turned") < F.col("known")), F.col("known")).otherwise(0).alias("occurrences")))
+    checks = [("out", "outlier", "error", None), ("swapped", "inconsistency", "warning", SWAPPED_COORDINATES), ("unread", "pattern_violation", "warning", UNREAD_COORDINATES)]
+    out = observation(mixed, "inconsistency", "warning", "coordinate_validator", total, confidence=MIXED_COORDINATES)
+    for name, kind, severity, confidence in checks:
+        out = out.unionByName(observation(_some(found.select("column", F.col(name).alias("occurrences"))), kind, severity, "coordinate_validator", total, confidence=confidence))
+    return out
+
+
 def _row_key(columns: list[str]) -> Column:
     return F.concat_ws("\0", *[F.lower(trim(F.col(f"`{c}`"))) for c in columns])
 
@@ -258,11 +295,11 @@ def near_duplicate_rows(rows: DataFrame, identifier: str, columns: list[str], to
     """Groups of rows that agree on all but their identifiers."""
     groups = rows.groupBy(_row_key(columns).alias("k")).agg(F.count_distinct(F.lower(trim(F.col(f"`{identifier}`")))).alias("ids")).filter("ids > 1")
     found = groups.agg(F.count("*").alias("occurrences")).withColumn("column", F.lit("_table"))
-    return observation(_some(found), "duplicate", "warning", "duplicate_row_validator", total)
+    return observation(_some(found), "duplicate", "warning", "duplicate_row_validator", total, confidence=NEAR_ROW)
 
 
 def conflicting_identifiers(rows: DataFrame, identifier: str, columns: list[str], total: int) -> DataFrame:
     """Identifiers that stand for more than one content."""
     groups = rows.groupBy(F.lower(trim(F.col(f"`{identifier}`"))).alias("i")).agg(F.count_distinct(_row_key(columns)).alias("contents")).filter("contents > 1")
     found = groups.agg(F.count("*").alias("occurrences")).withColumn("column", F.lit(identifier))
-    return observation(_some(found), "duplicate", "error", "duplicate_row_validator", total)
+    return observation(_some(found), "duplicate", "error", "duplicate_row_validator", total, confidence=ID_CONFLICT)

@@ -44,6 +44,12 @@ def _limit(name: str) -> float | None:
     return 180 if n in ("lon", "lng", "long", "longitude") or "_lon" in n or "_lng" in n or n.startswith(("lon_", "lng_")) else None
 
 
+def _combined(name: str) -> bool:
+    """Whether a column holds latitude and longitude as one text."""
+    n = name.lower()
+    return not n.endswith("name") and "_name" not in n and (any(p in n for p in ("lat_lon", "latlon", "coordinates")) or n in ("geo_loc", "location"))
+
+
 def _identifier(columns: list[str], ids: list[str]) -> str | None:
     named = [c for c in columns if c.lower() in ID_NAMES]
     first = [c for c in columns[:1] if any(p in c.lower() for p in ("id", "sample", "subject"))]
@@ -105,6 +111,7 @@ def analyze(df: DataFrame, key: str) -> Analysis:
     found.append(V.observation(spelled, "inconsistency", "warning", "consistency_validator", total).withColumn("confidence", F.lit(0.92)))
     found.append(V.mixed_dates(values, [c for c, t in types.items() if t == "date"], total))
     found += [V.bad_coordinates(values, c, limit, total) for c in columns if (limit := _limit(c))]
+    found += [V.combined_coordinates(values, c, total) for c in columns if _combined(c)]
     found += _cross_checks(rows, columns, total)
     own = _identifier(df.columns, ids)
     content = [c for c in columns if not any(p in c.lower() for p in ID_PARTS)]

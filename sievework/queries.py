@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
-from sievework.operators import accession, profile, samples, taxonomy
+from sievework.operators import accession, checklist, profile, samples, taxonomy
 from sievework.operators import validators as V
 from sievework.operators.values import frequent, to_text, value_dictionary
 from sievework.plans import curation, decisions
 from sievework.plans.analyze import quality_report
+from sievework.sources import delimited
 from sievework.streaming.values import windowed_rates
 
 _Y, _M, _D = "CAST(year(o_orderdate) AS STRING)", "lpad(CAST(month(o_orderdate) AS STRING), 2, '0')", "lpad(CAST(day(o_orderdate) AS STRING), 2, '0')"
@@ -72,9 +73,9 @@ def _d(columns: list[str], dirty: str = DIRTY_ORDERS, key: str = "order_id") ->
     return f"WITH dirty AS ({dirty}), t AS (SELECT count(*) AS total FROM dirty), d AS (SELECT c, v, count(*) AS n, min(id) AS first_row, {missing} AS missing FROM ({long}) GROUP BY c, v) "
 
 
-def _obs(kind: str, severity: str, detector: str, found: str) -> str:
+def _obs(kind: str, severity: str, detector: str, found: str, confidence: str | None = None) -> str:
     """An observation over a subquery with c (column) and o (occurrences)."""
-    return f"SELECT '{kind}' AS type, {severity} AS severity, c AS \"column\", '{detector}' AS detector, CAST({V.CONFIDENCE[detector]} AS DOUBLE) AS confidence, CAST(o AS BIGINT) AS occurrences, round(o * CAST(100 AS DOUBLE) / total, 4) AS percentage FROM ({found}) f, t"
+    return f"SELECT '{kind}' AS type, {severity} AS severity, c AS \"column\", '{detector}' AS detector, CAST({confidence or V.CONFIDENCE[detector]} AS DOUBLE) AS confidence, CAST(o AS BIGINT) AS occurrences, round(o * CAST(100 AS DOUBLE) / total, 4) AS percentage FROM ({found}) f, t"
 
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$"
@@ -112,7 +113,7 @@ _add("unique_violation", _check(["customer_code", "url"], lambda v, n: V.not_uni
 _add("identifier_duplicates", _check(["status"], lambda v, n: V.duplicate_identifiers(v, ["status"], n)), _d(["status"]) + _obs("duplicate", "'error'", "identifier_duplicate_validator", "SELECT c, sum(n - 1) AS o FROM (SELECT c, trim(v) AS w, sum(n) AS n FROM d WHERE NOT missing GROUP BY 1, 2) WHERE n > 1 GROUP BY c"))
 for _c, _t in (("o_totalprice", "orders"), ("value", "events"), ("c_acctbal", "customer")):
     _add(f"iqr_outliers_{_t}", lambda s, d, c=_c, t=_t: V.iqr_outliers(_table(s, d, t), c), f"WITH r AS (SELECT {_c} AS v, row_number() OVER (ORDER BY {_c}) - 1 AS k, count(*) OVER () AS n FROM {_t} WHERE {_c} IS NOT NULL), q AS (SELECT max(CASE WHEN k = floor(0.25 * (n - 1) + 0.5) THEN v END) AS q1, max(CASE WHEN k = floor(0.5 * (n - 1) + 0.5) THEN v END) AS median, max(CASE WHEN k = floor(0.75 * (n - 1) + 0.5) THEN v END) AS q3 FROM r) SELECT '{_c}' AS \"column\", q1, median, q3, count(*) AS n, count(*) FILTER (v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS occurrences FROM r, q GROUP BY q1, median, q3")
-_add("negative_values", _check(["price"], V.negative_values), _d(["price"]) + _obs("outlier", "'error'", "statistical_outlier_validator", f"SELECT c, sum(n) AS o FROM d WHERE NOT missing AND {_NUM} < 0 GROUP BY c"))
+_add("negative_values", _check(["price"], V.negative_values), _d(["price"]) + _obs("outlier", "'error'", "statistical_outlier_validator", f"SELECT c, sum(n) AS o FROM d WHERE NOT missing AND {_NUM} < 0 GROUP BY c", "0.95"))
 _add("case_inconsistency", _check(["status"], lambda v, n: V.inconsistent_case(v, {"status": ["O", "F", "P"]}, n)), _d(["status"]) + _obs("inconsistency", "'warning'", "consistency_validator", "SELECT c, count(DISTINCT trim(v)) AS o FROM d WHERE NOT missing AND trim(v) NOT IN ('O','F','P') AND lower(trim(v)) IN ('o','f','p') GROUP BY c"))
 _add("case_variants", _check(["status", "priority"], lambda v, n: V.case_variants(v, ["status", "priority"], n)), _d(["status", "priority"]) + _obs("inconsistency", "'warning'", "case_variant_validator", "SELECT c, sum(n) AS o FROM (SELECT c, lower(trim(v)) AS g, count(DISTINCT trim(v)) AS k, sum(n) AS n FROM d WHERE NOT missing GROUP BY 1, 2) WHERE k > 1 GROUP BY c"))
 _CLOSE = "SELECT a.c, a.v AS typo, arg_max(b.v, (b.n, -b.first_row)) AS suggestion, max(b.n) AS n FROM d a JOIN d b ON a.c = b.c AND a.n = 1 AND b.n > 1 AND strlen(a.v) >= 4 AND strlen(b.v) >= 4 AND NOT a.missing AND NOT b.missing AND levenshtein(a.v, b.v) BETWEEN 1 AND 2 AND levenshtein(a.v, b.v) < strlen(a.v) // 2 GROUP BY 1, 2"
@@ -127,10 +128,10 @@ _add("synonyms", _check(["answer"], lambda v, n: V.synonyms(v, ["answer"], n)),
 _WAY = "CASE WHEN regexp_matches(trim(v), '^[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN 'iso' WHEN regexp_matches(trim(v), '^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$') THEN 'ymd_slash' WHEN regexp_matches(trim(v), '^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$') THEN 'mdy_slash' WHEN regexp_matches(trim(v), '^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$') THEN 'mdy_dash' WHEN regexp_matches(v, '(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)') THEN 'month_name' END"
 _add("date_formats", lambda s, d: V.date_formats(value_dictionary(_dirty(s, d), ["order_date"]), ["order_date"]), _d(["order_date"]) + f'SELECT c AS "column", {_WAY} AS format, CAST(sum(n) AS BIGINT) AS n FROM d WHERE NOT missing GROUP BY 1, 2')
 _add("date_standardize", lambda s, d: _dirty(s, d).select(F.col("_row_id").alias("order_id"), T.iso_date(F.col("order_date")).alias("iso")), "SELECT o_orderkey AS order_id, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders")
-_add("missing_patterns", _check(["status", "price"], V.missing_patterns), _d(["status", "price"]) + _obs("missing_pattern", "'warning'", "missing_pattern_validator", "SELECT c || '=' || lower(trim(v)) AS c, sum(n) AS o FROM d WHERE lower(trim(v)) IN (" + ", ".join(f"'{p}'" for p in T.MISSING_PATTERNS) + ") GROUP BY 1 HAVING sum(n) >= 2"))
+_add("missing_patterns", _check(["status", "price"], V.missing_patterns), _d(["status", "price"]) + _obs("missing_pattern", "'warning'", "missing_pattern_validator", "SELECT c || '=' || lower(trim(v)) AS c, sum(n) AS o FROM d WHERE lower(trim(v)) IN (" + "'missing','unknown','not available','not recorded','n.a.','n.a','na.','#n/a','#null','undefined','-999','-9999','999','9999'" + ") GROUP BY 1 HAVING sum(n) >= 2"))
 _add("url_pattern", _check(["url"], lambda v, n: V.name_patterns(v, ["url"], n)), _d(["url"]) + _obs("pattern_violation", "CASE WHEN o * 100.0 / there > 10 THEN 'warning' ELSE 'info' END", "regex_pattern_validator", r"SELECT c, sum(CASE WHEN regexp_matches(trim(v), '^https?://[^\s]+$') THEN 0 ELSE n END) AS o, sum(n) AS there FROM d WHERE NOT missing GROUP BY c HAVING o > 0 AND o * 2 <= there"))
 _SHAPE = "regexp_replace(regexp_replace(regexp_replace(trim(v), '[a-z]', 'a', 'g'), '[A-Z]', 'A', 'g'), '[0-9]', '#', 'g')"
-_add("id_shape", _check(["customer_code"], lambda v, n: V.id_shapes(v, ["customer_code"], n)), _d(["customer_code"]) + _obs("inconsistency", "'warning'", "regex_pattern_validator", f"SELECT c, sum(n) - max(n) AS o FROM (SELECT c, {_SHAPE} AS s, sum(n) AS n FROM d WHERE NOT missing GROUP BY 1, 2) GROUP BY c HAVING count(*) > 1 AND max(n) >= 0.7 * sum(n)"))
+_add("id_shape", _check(["customer_code"], lambda v, n: V.id_shapes(v, ["customer_code"], n)), _d(["customer_code"]) + _obs("inconsistency", "'warning'", "regex_pattern_validator", f"SELECT c, sum(n) - max(n) AS o FROM (SELECT c, {_SHAPE} AS s, sum(n) AS n FROM d WHERE NOT missing GROUP BY 1, 2) GROUP BY c HAVING count(*) > 1 AND max(n) >= 0.7 * sum(n)", "0.80"))
 _add("title_case", _check(["treatment"], lambda v, n: V.small_titles(v, ["treatment"], n)), _d(["treatment"]) + _obs("inconsistency", "'info'", "title_case_validator", "SELECT c, sum(n) AS o FROM d WHERE NOT missing AND regexp_matches(v, '^[a-z]') GROUP BY c"))
 _add("latitude_range", _check(["latitude"], lambda v, n: V.bad_coordinates(v, "latitude", 90, n)), _d(["latitude"]) + _obs("outlier", "'error'", "coordinate_validator", "SELECT c, sum(n) AS o FROM d WHERE NOT missing AND abs(CAST(regexp_replace(trim(v), '\\s*[NSEW]$', '') AS DOUBLE)) > 90 GROUP BY c"))
 
@@ -149,14 +150,14 @@ def _rows(check: Callable[[DataFrame, int], DataFrame], **where: str) -> Callabl
 _P = f"WITH dirty AS ({DIRTY_PEOPLE}), t AS (SELECT count(*) AS total FROM dirty) "
 _PLAIN = "CASE WHEN regexp_matches({0}, '^[0-9]+/[0-9]+/[0-9]{{4}}$') THEN split_part({0}, '/', 3) || '-' || lpad(split_part({0}, '/', 1), 2, '0') || '-' || lpad(split_part({0}, '/', 2), 2, '0') ELSE {0} END"
 _add("date_order", _rows(lambda r, n: V.late_start(r, "start_date", "end_date", n), **_PEOPLE), _P + _obs("cross_column_inconsistency", "'warning'", "cross_column_validator", f"SELECT 'start_date vs end_date' AS c, count(*) AS o FROM dirty WHERE {_PLAIN.format('start_date')} > {_PLAIN.format('end_date')} HAVING count(*) > 0"))
-_add("bmi", _rows(lambda r, n: V.wrong_bmi(r, "bmi", "weight", "height", n), **_PEOPLE), _P + _obs("cross_column_inconsistency", "'warning'", "cross_column_validator", "SELECT 'bmi' AS c, count(*) AS o FROM (SELECT CAST(bmi AS DOUBLE) AS b, CAST(weight AS DOUBLE) / power(CASE WHEN CAST(height AS DOUBLE) > 3 THEN CAST(height AS DOUBLE) / 100 ELSE CAST(height AS DOUBLE) END, 2) AS own FROM dirty) WHERE abs(b - own) / own > 0.1 HAVING count(*) > 0"))
+_add("bmi", _rows(lambda r, n: V.wrong_bmi(r, "bmi", "weight", "height", n), **_PEOPLE), _P + _obs("cross_column_inconsistency", "'warning'", "cross_column_validator", "SELECT 'bmi' AS c, count(*) AS o FROM (SELECT CAST(bmi AS DOUBLE) AS b, CAST(weight AS DOUBLE) / power(CASE WHEN CAST(height AS DOUBLE) > 3 THEN CAST(height AS DOUBLE) / 100 ELSE CAST(height AS DOUBLE) END, 2) AS own FROM dirty) WHERE abs(b - own) / own > 0.1 HAVING count(*) > 0", "0.70"))
 _LINE = ["l_partkey", "l_suppkey", "l_quantity", "l_returnflag"]
 _LINES = f"SELECT l_orderkey * 10 + l_linenumber AS line_id, {', '.join(f'{c} % 40 AS {c}' if c.endswith('key') else c for c in _LINE)} FROM lineitem"
 _LW = {"sql": _LINES, "source": "lineitem", "key": "line_id"}
 _L = f"WITH dirty AS ({_LINES}), t AS (SELECT count(*) AS total FROM dirty) "
 _add("dup_exact", _rows(lambda r, n: V.duplicate_rows(r, _LINE, n), **_LW), _L + _obs("duplicate", "'error'", "duplicate_row_validator", f"SELECT '_table' AS c, sum(n - 1) AS o FROM (SELECT count(*) AS n FROM dirty GROUP BY {', '.join(_LINE)}) WHERE n > 1 HAVING sum(n - 1) > 0"))
-_add("dup_near", _rows(lambda r, n: V.near_duplicate_rows(r, "l_partkey", _LINE[1:], n), **_LW), _L + _obs("duplicate", "'warning'", "duplicate_row_validator", "SELECT '_table' AS c, count(*) AS o FROM (SELECT 1 FROM dirty GROUP BY l_suppkey, l_quantity, l_returnflag HAVING count(DISTINCT l_partkey) > 1) HAVING count(*) > 0"))
-_add("id_conflict", _rows(lambda r, n: V.conflicting_identifiers(r, "l_partkey", _LINE[1:], n), **_LW), _L + _obs("duplicate", "'error'", "duplicate_row_validator", "SELECT 'l_partkey' AS c, count(*) AS o FROM (SELECT l_partkey FROM dirty GROUP BY l_partkey HAVING count(DISTINCT (l_suppkey, l_quantity, l_returnflag)) > 1) HAVING count(*) > 0"))
+_add("dup_near", _rows(lambda r, n: V.near_duplicate_rows(r, "l_partkey", _LINE[1:], n), **_LW), _L + _obs("duplicate", "'warning'", "duplicate_row_validator", "SELECT '_table' AS c, count(*) AS o FROM (SELECT 1 FROM dirty GROUP BY l_suppkey, l_quantity, l_returnflag HAVING count(DISTINCT l_partkey) > 1) HAVING count(*) > 0", "0.85"))
+_add("id_conflict", _rows(lambda r, n: V.conflicting_identifiers(r, "l_partkey", _LINE[1:], n), **_LW), _L + _obs("duplicate", "'error'", "duplicate_row_validator", "SELECT 'l_partkey' AS c, count(*) AS o FROM (SELECT l_partkey FROM dirty GROUP BY l_partkey HAVING count(DISTINCT (l_suppkey, l_quantity, l_returnflag)) > 1) HAVING count(*) > 0", "0.95"))
 
 # life-science vocabularies
 _ACC = "CASE " + " ".join(f"WHEN regexp_matches(upper(trim(v)), '{p.replace(chr(92) + 'z', '$')}') THEN '{n}'" for n, p in accession.PATTERNS) + " ELSE 'invalid' END"
@@ -221,8 +222,8 @@ SELECT c_custkey AS sample_id, CASE c_custkey % 4 WHEN 0 THEN 'Male' WHEN 1 THEN
 FROM customer"""
 _SW = {"sql": DIRTY_SAMPLES, "source": "customer", "key": "sample_id"}
 _S = f"WITH dirty AS ({DIRTY_SAMPLES}), t AS (SELECT count(*) AS total FROM dirty) "
-_add("pregnant_males", _rows(lambda r, n: samples.pregnant_males(r, "sex", "pregnant", n), **_SW), _S + _obs("cross_column_inconsistency", "'error'", "cross_column_validator", "SELECT 'sex vs pregnant' AS c, count(*) AS o FROM dirty WHERE lower(sex) IN ('male', 'm') AND lower(pregnant) = 'yes' HAVING count(*) > 0"))
-_add("young_patients", _rows(lambda r, n: samples.young_patients(r, "age", "diagnosis", n), **_SW), _S + _obs("cross_column_inconsistency", "'warning'", "cross_column_validator", "SELECT 'age vs diagnosis' AS c, count(*) AS o FROM dirty WHERE CAST(age AS INTEGER) <= 12 AND lower(diagnosis) = 'type 2 diabetes' HAVING count(*) > 0"))
+_add("pregnant_males", _rows(lambda r, n: samples.pregnant_males(r, "sex", "pregnant", n), **_SW), _S + _obs("cross_column_inconsistency", "'error'", "cross_column_validator", "SELECT 'sex vs pregnant' AS c, count(*) AS o FROM dirty WHERE lower(sex) IN ('male', 'm') AND lower(pregnant) = 'yes' HAVING count(*) > 0", "0.95"))
+_add("young_patients", _rows(lambda r, n: samples.young_patients(r, "age", "diagnosis", n), **_SW), _S + _obs("cross_column_inconsistency", "'warning'", "cross_column_validator", "SELECT 'age vs diagnosis' AS c, count(*) AS o FROM dirty WHERE CAST(age AS INTEGER) <= 12 AND lower(diagnosis) = 'type 2 diabetes' HAVING count(*) > 0", "0.70"))
 _PLACE = "lower(trim({0})) IN ('missing', 'not collected', 'not applicable', 'na') OR coalesce(TRY_CAST(regexp_extract({0}, '^([+-]?[0-9.]+)', 1) AS DOUBLE) BETWEEN -90 AND 90 AND TRY_CAST(regexp_extract({0}, ' ([+-]?[0-9.]+)', 1) AS DOUBLE) BETWEEN -180 AND 180, false)"
 _DS = _d(["lat_lon", "collection_date", "consent"], DIRTY_SAMPLES, "sample_id")
 _add("lat_lon_format", lambda s, d: samples.invalid_values(value_dictionary(_dirty(s, d, **_SW), ["lat_lon"]), "lat_lon", samples.latitude_longitude(F.col("value"))), _DS + f"SELECT c AS \"column\", CAST(sum(CASE WHEN {_PLACE.format('v')} THEN 0 ELSE n END) AS BIGINT) AS n_invalid, CAST(sum(n) AS BIGINT) AS n FROM d WHERE c = 'lat_lon' AND NOT missing GROUP BY c")
@@ -236,7 +237,18 @@ _add("sample_values", lambda s, d: profile.sample_values(value_dictionary(_dirty
 _ORGANISM = DIRTY_SAMPLES.replace("FROM customer", ", CASE c_custkey % 6 WHEN 0 THEN 'Homo sapiens' WHEN 1 THEN 'homo sapiens' WHEN 2 THEN 'E. coli' WHEN 3 THEN 'unknown' WHEN 4 THEN 'Mus muscullus' ELSE 'Gallus gallus' END AS organism FROM customer")
 _add("submission_readiness", lambda s, d: samples.submission_readiness(_dirty(s, d, **_SW | {"sql": _ORGANISM}), _READY, "collection_date", "lat_lon", "organism"))
 
-_add("name_hints", lambda s, d: _table(s, d, "lineitem").limit(1).unpivot([], ["l_quantity", "l_tax"], "column", "value").select(profile.name_hints(F.lit("order_Date.total-x count")).alias("hints")).distinct(), "SELECT ['date', 'total', 'count'] AS hints")
+_HINTED = "id,date,time,count,total,mean,avg,sum,min,max,std,var,pct,percent,num,name,type,status,group,category".split(",")
+
+
+def _column_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of all columns of the tables, and some that are written in other ways."""
+    names = [c for t in ("orders", "lineitem", "customer", "part", "events", "labels") for c in _table(spark, sf_dir, t).columns]
+    return spark.createDataFrame([(c,) for c in dict.fromkeys([*names, *_ODD_NAMES])], "column string")
+
+
+_ODD_NAMES = ["order_Date.total-x count", "Sample ID", "MEAN.value", "pct-group"]
+_COLUMNS_SQL = "(SELECT DISTINCT column_name AS \"column\" FROM information_schema.columns WHERE table_name IN ('orders', 'lineitem', 'customer', 'part', 'events', 'labels') UNION SELECT unnest(" + str(_ODD_NAMES) + "))"
+_add("name_hints", lambda s, d: _column_names(s, d).select("column", F.array_join(profile.name_hints(F.col("column")), ",").alias("hints")), f"SELECT \"column\", array_to_string(list_filter(regexp_split_to_array(lower(\"column\"), '[-_. ]'), x -> list_contains({_HINTED}, x)), ',') AS hints FROM {_COLUMNS_SQL}")
 _add("constraints", lambda s, d: profile.constraints(value_dictionary(_dirty(s, d), ["status", "url"])), _d(["status", "url"]) + "SELECT c AS \"column\", count(*) FILTER (NOT missing) <= 20 AS in_set, count(*) FILTER (NOT missing) = sum(CASE WHEN missing THEN 0 ELSE n END) AND count(*) FILTER (NOT missing) > 0 AS is_unique, sum(CASE WHEN missing THEN n ELSE 0 END) = 0 AS not_null FROM d GROUP BY c")
 _add("z_outliers", lambda s, d: profile.z_outliers(_table(s, d, "events"), "value"), "SELECT 'value' AS \"column\", count(*) AS occurrences FROM events, (SELECT avg(value) AS m, stddev_pop(value) AS s FROM events) WHERE abs(value - m) / s > 3")
 
@@ -257,13 +269,45 @@ _add("decision_progress", lambda s, d: decisions.progress(*_decided(s, d)), f"SE
 
 
 def _recommended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = _observations(spark, sf_dir).agg(F.count_if(F.col("severity") == "error").alias("e"), F.count_if(F.col("severity") == "warning").alias("w"))
-    return seen.select(decisions.recommendation(F.col("e"), F.col("w"), F.lit(0.8)).alias("recommendation"))
+    observed = _observations(spark, sf_dir)
+    seen = observed.agg(F.count_if(F.col("severity") == "error").alias("e"), F.count_if(F.col("severity") == "warning").alias("w"))
+    return seen.crossJoin(curation.quality_score(observed, len(TEXT))).select(decisions.recommendation(F.col("e"), F.col("w"), F.col("score")).alias("recommendation"))
+
+
+_SCORE = f"SELECT greatest(0, least(1, 1 - count(DISTINCT \"column\") / CAST({len(TEXT)} AS DOUBLE) - least(0.5, CAST(0.1 AS DOUBLE) * count(*) FILTER (severity = 'error') + CAST(0.02 AS DOUBLE) * count(*) FILTER (severity = 'warning') + CAST(0.005 AS DOUBLE) * count(*) FILTER (severity = 'info')))) AS score FROM ({_UNION})"
+_add("recommendation", _recommended, f"SELECT CASE WHEN e > 0 THEN 'Address ' || e || ' error-level issues before proceeding with analysis.' WHEN w > 5 THEN 'Review ' || w || ' warning-level issues to improve data quality (score: ' || CAST(round(score * 100) AS INTEGER) || '%).' ELSE 'Data quality is acceptable. Consider addressing warnings.' END AS recommendation FROM (SELECT count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warning') AS w FROM ({_UNION})), ({_SCORE})")
+
+# places and checklists of samples
+DIRTY_SITES = """
+SELECT c_custkey AS site_id,
+  CASE c_custkey % 9 WHEN 0 THEN '38.9N 77.1W' WHEN 1 THEN '95.0 10' WHEN 2 THEN 'not collected' WHEN 3 THEN 'here' WHEN 4 THEN '' WHEN 5 THEN '38:58:48;77:06:36' WHEN 6 THEN '12.5,190.25' WHEN 7 THEN 'n/a' ELSE '-12.5 130.25' END AS lat_lon,
+  CASE c_custkey % 5 WHEN 0 THEN 'Human-Gut' WHEN 1 THEN 'stool' WHEN 2 THEN 'marine' WHEN 3 THEN 'elsewhere' ELSE 'plant associated' END AS package
+FROM customer"""
+_SITES = {"sql": DIRTY_SITES, "source": "customer", "key": "site_id"}
+_DSITES = _d(["lat_lon", "package"], DIRTY_SITES, "site_id")
+
+
+def _sites(kind: str, severity: str, values: str, confidence: str) -> str:
+    return _obs(kind, f"'{severity}'", "coordinate_validator", f"SELECT c, sum(n) AS o FROM d WHERE c = 'lat_lon' AND v IN ({values}) GROUP BY c", confidence)
+
+
+_add("combined_coordinates", _check(["lat_lon"], lambda v, n: V.combined_coordinates(v, "lat_lon", n), **_SITES), _DSITES + " UNION ALL ".join(f"({q})" for q in [
+    _sites("outlier", "error", "'95.0 10', '12.5,190.25'", "0.95"), _sites("inconsistency", "warning", "'38.9N 77.1W', '95.0 10', '38:58:48;77:06:36', '12.5,190.25', '-12.5 130.25'", "0.85"),
+    _sites("inconsistency", "warning", "'95.0 10'", "0.75"), _sites("pattern_violation", "warning", "'here'", "0.80")]))
+_add("packages", lambda s, d: checklist.packages_of_samples(value_dictionary(_dirty(s, d, **_SITES), ["package"]), "package"), _DSITES + "SELECT CASE lower(v) WHEN 'human-gut' THEN 'human-gut' WHEN 'stool' THEN 'human-gut' WHEN 'marine' THEN 'water' ELSE 'plant-associated' END AS package, CAST(sum(n) AS BIGINT) AS n FROM d WHERE c = 'package' AND lower(v) IN ('human-gut', 'stool', 'marine', 'plant associated') GROUP BY 1")
+_HELD = ["Sample-Date", "lat_lon", "Study Name", "patient_id", "age", "depth", "Country", "weight"]
+
+
+def _held(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(c,) for c in _HELD], "column string")
 
 
-_add("recommendation", _recommended, f"SELECT CASE WHEN e > 0 THEN 'Address ' || e || ' error-level issues before proceeding with analysis.' WHEN w > 5 THEN 'Review ' || w || ' warning-level issues to improve data quality (score: 80%).' ELSE 'Data quality is acceptable. Consider addressing warnings.' END AS recommendation FROM (SELECT count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warning') AS w FROM ({_UNION}))")
+_add("checklist_columns", lambda s, d: checklist.matched(_held(s), "human-gut"), "SELECT * FROM (VALUES ('Sample-Date', 'collection_date', 'mandatory'), ('lat_lon', 'lat_lon', 'mandatory'), ('Study Name', 'project_name', 'mandatory'), ('patient_id', 'host_subject_id', 'mandatory'), ('age', 'host_age', 'recommended'), ('Country', 'geo_loc_name', 'mandatory')) t(\"column\", field, requirement)")
+_add("checklist_compliance", lambda s, d: checklist.compliance(_held(s), "human-gut"), "SELECT CAST(10 AS BIGINT) AS n_mandatory, CAST(5 AS BIGINT) AS n_found, CAST(0.5 AS DOUBLE) AS score")
+_add("checklist_missing", lambda s, d: checklist.missing_fields(_held(s), "soil", _table(s, d, "customer").count()), "WITH t AS (SELECT count(*) AS total FROM customer) " + _obs("completeness", "'error'", "mixs_compliance", "SELECT unnest(['investigation_type', 'env_broad_scale', 'env_local_scale', 'env_medium', 'elev']) AS c, (SELECT total FROM t) AS o"))
+_add("json_rows", lambda s, d: _dirty(s, d).select("_row_id", delimited.typed_json(["status", "price", "answer"]).alias("json")).withColumnRenamed("_row_id", "order_id"), f"SELECT order_id, '{{\"status\":' || CASE WHEN trim(status) = '' THEN 'null' ELSE '\"' || status || '\"' END || ',\"price\":' || CASE WHEN price = 'n/a' THEN 'null' WHEN price = 'abc' THEN '\"abc\"' ELSE price END || ',\"answer\":\"' || answer || '\"}}' AS json FROM ({DIRTY_ORDERS})")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality report of the orders table."""
-    return quality_report(_table(spark, sf_dir, "orders"), "o_orderkey")
+    """Quality report of the orders table with planted defects."""
+    return QUERIES["quality_report"](spark, sf_dir)
