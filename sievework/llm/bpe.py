@@ -102,13 +102,12 @@ class ByteBpe:
                     if token is not None and (start == 0 or apart(states[start], token)):
                         states.append(token)
                         break
-            at, ids, decoded = len(word), "", b""
+            at, taken = len(word), []
             while at:
-                token = bytes_of[states[at]]
-                ids = f"{states[at]},{ids}" if ids else str(states[at])
-                decoded = token + decoded
-                at -= len(token)
-            self.words[word.decode()] = ids, decoded
+                taken.append(states[at])
+                at -= len(bytes_of[states[at]])
+            taken.reverse()
+            self.words[word.decode()] = ",".join(map(str, taken)), b"".join(bytes_of[t] for t in taken)
             before = word
 
     def split(self, text: str) -> Iterator[list[str]]:
