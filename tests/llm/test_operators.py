@@ -178,6 +178,23 @@ def test_op8_coreference(spark):
     assert pii.luhn(pii.normal("card", by_kind["card"][0]))
 
 
+@pytest.mark.parametrize("number, kept", [("+44 20 7946 0958", "+44"), ("+358 40 123 4567", "+358"), ("+1 202-555-0147", "+1"), ("+7 495 123-45-67", "+7")])
+def test_op8_country_codes(number, kept):
+    entity = pii.normal("phone", number)
+    for attempt in range(20):
+        new = pii.render("phone", number, pii.surrogate("phone", entity, b"key", attempt))
+        assert pii.normal("phone", new).startswith(kept) and len(new) == len(number)
+
+
+def test_op8_spaces_grow():
+    """Short entities get more surrogates on later attempts, of the same kind."""
+    found = pii._compiled()
+    for kind, entity in (("ip", "8.8.8.8"), ("email", "a@b.org")):
+        drawn = {pii.surrogate(kind, entity, b"key", k) for k in range(40)}
+        assert len(drawn) > 30
+        assert all(pii.detect(d, found) == [(0, len(d), kind)] for d in drawn)
+
+
 def test_op9(case):
     docs, df = case
     path = public_tokenizers.path(BYTE_BPE)
