@@ -10,6 +10,7 @@ from sievework.llm.bpe import op9_bpe
 from sievework.llm.embeddings import op6_embedding_near_dedup
 from sievework.llm.jaccard import op3_ngram_jaccard
 from sievework.llm.media import op2_media_columns
+from sievework.llm.oracle import ORACLE_SQL
 from sievework.llm.packing import op10_best_fit_packing
 from sievework.llm.pii import op8_pii
 from sievework.llm.quality import op7_quality
@@ -30,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
