@@ -46,3 +46,13 @@ def match(values: DataFrame, column: str, dictionary: DataFrame | None = None) -
     best = near.groupBy("value").agg(F.min_by("near", F.struct("edits", "near")).alias("near"))
     status = F.when(F.col("full").isNotNull(), "abbreviation").when(F.col("name") == F.col("value"), "valid").when(F.col("name").isNotNull(), "case_error").when(F.col("near").isNotNull(), "possible_typo").otherwise("unknown")
     return placed.join(best, "value", "left").select("value", "n", status.alias("status"), F.coalesce("full", "name", "near").alias("name"))
+
+
+def nearest(values: DataFrame, column: str, edits: int = 3, dictionary: DataFrame | None = None) -> DataFrame:
+    """value, name, edits: the nearest known name of each text within some edits, the least name of equals.  Names of so
+    many edits differ in length by no more, so candidates meet on their length."""
+    known = dictionary if dictionary is not None else names(values.sparkSession)
+    own = values.filter((F.col("column") == column) & ~F.col("missing")).select(trim(F.col("value")).alias("value")).distinct()
+    sized = own.select("value", F.explode(F.sequence(F.length("value") - edits, F.length("value") + edits)).alias("size"))
+    met = sized.join(known.select("name", F.length("name").alias("size")), "size").withColumn("edits", F.levenshtein(F.lower("value"), F.lower("name"), edits)).filter("edits >= 0")
+    return met.groupBy("value").agg(F.min_by(F.struct("name", "edits"), F.struct("edits", "name")).alias("b")).select("value", "b.name", "b.edits")

@@ -31,6 +31,16 @@ def decide(suggested: DataFrame, decisions: DataFrame | None, status: str, actio
     return decisions.unionByName(new.join(decisions.select("observation_id"), "observation_id", "left_anti"))
 
 
+def decide_one(suggested: DataFrame, decisions: DataFrame | None, observation_id: int, status: str) -> DataFrame:
+    """decisions and one more; an unknown suggestion or one that is decided already is an error."""
+    own = suggested.filter(F.col("observation_id") == observation_id)
+    if own.isEmpty():
+        raise KeyError(f"no suggestion for {observation_id}")
+    if decisions is not None and not decisions.filter(F.col("observation_id") == observation_id).isEmpty():
+        raise ValueError(f"{observation_id} is decided already")
+    return decide(own, decisions, status)
+
+
 def reset(decisions: DataFrame, observation_ids: list[int]) -> DataFrame:
     return decisions.filter(~F.col("observation_id").isin(observation_ids))
 

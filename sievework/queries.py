@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
-from sievework.operators import accession, checklist, profile, samples, taxonomy
+from sievework.operators import accession, checklist, domain, inference, profile, samples, taxonomy
 from sievework.operators import validators as V
 from sievework.operators.values import frequent, to_text, value_dictionary
-from sievework.plans import curation, decisions
+from sievework.plans import apply, curation, decisions
 from sievework.plans.analyze import quality_report
 from sievework.sources import delimited
 from sievework.streaming.values import windowed_rates
@@ -309,6 +309,121 @@ _add("checklist_missing", lambda s, d: checklist.missing_fields(_held(s), "soil"
 _add("json_rows", lambda s, d: _dirty(s, d).select("_row_id", delimited.typed_json(["status", "price", "answer"]).alias("json")).withColumnRenamed("_row_id", "order_id"), f"SELECT order_id, '{{\"status\":' || CASE WHEN trim(status) = '' THEN 'null' ELSE '\"' || status || '\"' END || ',\"price\":' || CASE WHEN price = 'n/a' THEN 'null' WHEN price = 'abc' THEN '\"abc\"' ELSE price END || ',\"answer\":\"' || answer || '\"}}' AS json FROM ({DIRTY_ORDERS})")
 
 
+# inference beyond counts
+_CODES = """
+SELECT c_custkey AS row_id, lpad(CAST(c_custkey % 10000 AS STRING), 5, '0') AS digits, CASE WHEN c_custkey % 3 = 0 THEN 'ABC' ELSE 'XYZ' END AS letters,
+  concat('ab-', lpad(CAST(c_custkey % 1000 AS STRING), 3, '0')) AS mixed, CASE WHEN c_custkey % 50 = 7 THEN 'X1' ELSE concat('S', lpad(CAST(c_custkey % 900 AS STRING), 3, '0')) END AS most,
+  CASE c_custkey % 4 WHEN 0 THEN '-1' WHEN 1 THEN '999' WHEN 2 THEN 'n/a' ELSE 'x y' END AS odd, concat('u', CAST(c_custkey AS STRING), '@example.org') AS contact
+FROM customer"""
+_CW = {"sql": _CODES, "source": "customer", "key": "row_id"}
+_CCOLS = ["digits", "letters", "mixed", "most", "odd", "contact"]
+_DC = _d(_CCOLS, _CODES, "row_id")
+_MINED = "SELECT 'digits' AS c, '^\\d{5}$' AS pattern, CAST(1 AS DOUBLE) AS score UNION ALL SELECT 'letters', '^[A-Z]{3}$', 1 UNION ALL SELECT 'mixed', '^[a-z]{2}-\\d{3}$', 1 UNION ALL SELECT 'most', '^[A-Z]\\d{3}$', round(sum(CASE WHEN v = 'X1' THEN 0 ELSE n END) / CAST(sum(n) AS DOUBLE), 6) FROM d WHERE c = 'most'"
+_add("value_patterns", lambda s, d: inference.value_patterns(value_dictionary(_dirty(s, d, **_CW), _CCOLS)), _DC + f'SELECT c AS "column", pattern, score FROM ({_MINED})')
+_add("kept_value_counts", lambda s, d: inference.kept_counts(value_dictionary(_dirty(s, d), TEXT)), _d(TEXT) + 'SELECT c AS "column", v AS value, n FROM d WHERE NOT missing AND c IN (SELECT c FROM d WHERE NOT missing GROUP BY c HAVING count(*) <= 40)')
+_add("missing_statistics", lambda s, d: inference.missing_statistics(value_dictionary(_dirty(s, d, **_CW), _CCOLS)), _DC + "SELECT c AS \"column\", v AS pattern, CAST(n AS BIGINT) AS n FROM d WHERE v IN ('-1', '999', '9999') AND n >= 2")
+_DTYPE = f"k AS (SELECT c, {_TYPE} AS t, sum(n) AS n FROM d WHERE NOT missing GROUP BY 1, 2), w AS (SELECT c, arg_max(t, n * 10 - list_position(['integer','float','boolean','date','datetime','string'], t)) AS t0, max(n) AS n, sum(n) AS total, max(CASE WHEN t = 'float' THEN 1 ELSE 0 END) AS floats FROM k GROUP BY c), y AS (SELECT c, CASE WHEN t0 = 'integer' AND floats = 1 THEN 'float' ELSE t0 END AS t, CAST(n AS DOUBLE) / total * CASE WHEN t0 = 'integer' AND floats = 1 THEN CAST(0.95 AS DOUBLE) ELSE 1 END AS sure FROM w)"
+_DSEM = _DTYPE + f", x AS (SELECT c, count(*) FILTER (NOT missing) AS k, sum(CASE WHEN missing THEN n ELSE 0 END) AS gone, sum(n) AS total, min(CASE WHEN regexp_matches(v, '{_NUMBER}') THEN CAST(v AS DOUBLE) END) AS low, max(CASE WHEN regexp_matches(v, '{_NUMBER}') THEN CAST(v AS DOUBLE) END) AS high FROM d GROUP BY c), z AS (SELECT x.c, t, sure, k, gone > 0 AS nullable, k = total - gone AND k > 0 AS is_unique, low, high, CASE WHEN t = 'boolean' THEN 'binary' WHEN t = 'integer' AND low >= 0 THEN 'count' WHEN t IN ('integer', 'float') AND low >= 0 AND high <= 1 THEN 'proportion' WHEN t <> 'string' THEN 'continuous' WHEN k = 2 THEN 'binary' WHEN k <= 20 THEN 'categorical' WHEN k = total THEN 'identifier' ELSE 'free_text' END AS semantic_type FROM x JOIN y USING (c))"
+_add("semantic_types", lambda s, d: inference.semantic_types(value_dictionary(_dirty(s, d, **_CW), _CCOLS)).select("column", "inferred_type", "semantic_type", "is_unique", "nullable"), _DC.rstrip() + f", {_DSEM} SELECT c AS \"column\", t AS inferred_type, semantic_type, is_unique, nullable FROM z")
+_RULES = f"SELECT c, 'set' AS kind, CAST(NULL AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high, CAST(NULL AS VARCHAR) AS pattern, CAST(0.9 AS DOUBLE) AS confidence FROM z WHERE semantic_type IN ('categorical', 'binary') AND k <= 20 UNION ALL SELECT c, 'range', low, high, NULL, 0.85 FROM z WHERE t IN ('integer', 'float') UNION ALL SELECT c, 'unique', NULL, NULL, NULL, 0.95 FROM z WHERE is_unique UNION ALL SELECT c, 'not_null', NULL, NULL, NULL, 0.9 FROM z WHERE NOT nullable UNION ALL SELECT c, 'pattern', NULL, NULL, pattern, score FROM ({_MINED})"
+_add("inferred_constraints", lambda s, d: inference.inferred_constraints(value_dictionary(_dirty(s, d, **_CW), _CCOLS)), _DC.rstrip() + f", {_DSEM} SELECT c AS \"column\", kind, low, high, pattern, confidence FROM ({_RULES})")
+_ROLED = "CASE c WHEN 'contact' THEN 'identifier' ELSE 'unknown' END"
+_add("fused_schema", lambda s, d: inference.fused(value_dictionary(_dirty(s, d, **_CW), _CCOLS)), _DC.rstrip() + f", {_DSEM}, rules AS ({_RULES}), f AS (SELECT z.*, {_ROLED} AS role, ((CASE c WHEN 'contact' THEN CAST(0.6 AS DOUBLE) ELSE 0 END) + coalesce(score, 0)) / 2 AS semantic, (SELECT string_agg(DISTINCT kind, ',' ORDER BY kind) FROM rules WHERE rules.c = z.c AND confidence >= 0.7) AS kinds FROM z LEFT JOIN ({_MINED}) m USING (c)) SELECT c AS \"column\", t AS inferred_type, semantic_type, CASE WHEN semantic <= 0.6 AND is_unique AND NOT nullable THEN 'identifier' ELSE role END AS role, nullable, is_unique, coalesce(kinds, '') AS constraints, round(sure * CAST(0.6 AS DOUBLE) + semantic * CAST(0.4 AS DOUBLE), 4) AS confidence, CASE WHEN semantic > 0.3 THEN 'statistical,semantic' ELSE 'statistical' END AS sources FROM f")
+_QUART = ", ".join(f"max(CASE WHEN k = floor({p} * (n - 1) + 0.5) THEN v END) AS {q}" for p, q in ((0.25, "q1"), (0.75, "q3")))
+_add("far_values", lambda s, d: inference.far_values(_table(s, d, "events"), "value"), f"WITH r AS (SELECT value AS v, row_number() OVER (ORDER BY value) - 1 AS k, count(*) OVER () AS n FROM events WHERE value IS NOT NULL), q AS (SELECT {_QUART}, avg(v) AS m, stddev_pop(v) AS s FROM r), b AS (SELECT v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1) AS i, abs(v - m) / s > 3 AS z FROM r, q) SELECT 'value' AS \"column\", count(*) FILTER (i) AS n_iqr, count(*) FILTER (z) AS n_z, count(*) FILTER (i OR z) AS occurrences FROM b")
+
+# columns of life science
+_SCIENCE = ["organism", "host_taxid", "Sample_Species", "order", "env_broad_scale", "my_env_scale_2", "body_site_left", "tissue", "diagnosis", "health_status", "biosample_accession", "sample_accession", "run_accession", "accession", "uniprot", "gene_id", "terror", "price", "age"]
+
+
+def _science(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(c,) for c in _SCIENCE], "column string")
+
+
+_add("column_kinds", lambda s, d: _science(s).select("column", domain.holds_organisms(F.col("column")).alias("organisms"), domain.ontology_of(F.col("column")).alias("ontology"), domain.accession_of(F.col("column")).alias("accession")), "SELECT * FROM (VALUES ('organism', true, NULL, NULL), ('host_taxid', true, NULL, NULL), ('Sample_Species', true, NULL, NULL), ('order', true, NULL, NULL), ('env_broad_scale', false, 'ENVO', NULL), ('my_env_scale_2', false, 'ENVO', NULL), ('body_site_left', false, 'UBERON', NULL), ('tissue', false, 'UBERON', NULL), ('diagnosis', false, 'MONDO', NULL), ('health_status', false, 'MONDO', NULL), ('biosample_accession', false, NULL, 'biosample'), ('sample_accession', false, NULL, 'biosample'), ('run_accession', false, NULL, 'sra_run'), ('accession', false, NULL, 'genbank'), ('uniprot', false, NULL, 'uniprot'), ('gene_id', false, NULL, 'gene_id'), ('terror', false, NULL, 'sra_run'), ('price', false, NULL, NULL), ('age', false, NULL, NULL)) t(\"column\", organisms, ontology, accession)")
+
+
+def _organisms(kind: str, severity: str, value: str, sure: str) -> str:
+    return "SELECT * FROM (" + _obs(kind, f"'{severity}'", "taxonomy_validator", f"SELECT c, sum(n) AS o FROM d WHERE c = 'organism' AND v = '{value}' GROUP BY c", sure) + ")"
+
+
+_add("organism_checks", _check(["organism"], lambda v, n: domain.organism_observations(v, "organism", n), **_PEOPLE), _d(["organism"], DIRTY_PEOPLE, "person_id") + " UNION ALL ".join([_organisms("inconsistency", "warning", "E. coli", "0.95"), _organisms("inconsistency", "warning", "homo sapiens", "0.9"), _organisms("inconsistency", "warning", "Mus muscullus", "0.7")]))
+_add("organism_nearest", lambda s, d: taxonomy.nearest(value_dictionary(_dirty(s, d, **_PEOPLE), ["organism"]), "organism"), f"WITH dirty AS ({DIRTY_PEOPLE}), names(name) AS (VALUES {_NAMES}), o AS (SELECT DISTINCT organism AS value FROM dirty) SELECT value, arg_min(name, (e, name)) AS name, CAST(min(e) AS INTEGER) AS edits FROM (SELECT value, name, levenshtein(lower(value), lower(name)) AS e FROM o, names) WHERE e <= 3 GROUP BY value")
+_add("accession_checks", _check(["accession"], lambda v, n: domain.accession_observations(v, "accession", "genbank", n), **_PEOPLE), _d(["accession"], DIRTY_PEOPLE, "person_id") + _obs("pattern_violation", "'warning'", "accession_validator", f"SELECT c, sum(n) AS o FROM d WHERE {_ACC} <> 'genbank' GROUP BY c", "0.9"))
+_add("accession_urls", lambda s, d: _dirty(s, d, **_PEOPLE).select(F.col("_row_id").alias("person_id"), domain.accession_url(F.col("accession")).alias("url")), f"SELECT person_id, CASE accession WHEN 'SAMN00000001' THEN 'https://www.ncbi.nlm.nih.gov/biosample/SAMN00000001' WHEN 'srr123456' THEN 'https://www.ncbi.nlm.nih.gov/sra/SRR123456' WHEN 'NM_000014.5' THEN 'https://www.ncbi.nlm.nih.gov/nuccore/NM_000014.5' WHEN 'P12345' THEN 'https://www.uniprot.org/uniprotkb/P12345' WHEN '1ABC' THEN 'https://www.rcsb.org/structure/1ABC' WHEN '12345' THEN 'https://www.ncbi.nlm.nih.gov/gene/12345' WHEN 'PRJNA1234' THEN 'https://www.ncbi.nlm.nih.gov/bioproject/PRJNA1234' END AS url FROM ({DIRTY_PEOPLE})")
+_TERMS = [("ENVO:00000446", "terrestrial biome", ["land biome"]), ("ENVO:00000447", "marine biome", ["ocean biome"]), ("ENVO:00002007", "sediment", [])]
+DIRTY_BIOMES = """
+SELECT c_custkey AS biome_id, CASE c_custkey % 9 WHEN 0 THEN 'ENVO:00000446' WHEN 1 THEN 'envo:00000447' WHEN 2 THEN 'ENVO:99999999' WHEN 3 THEN 'XYZ:1' WHEN 4 THEN 'Marine Biome' WHEN 5 THEN 'ocean biome' WHEN 6 THEN 'biome marine' WHEN 7 THEN 'moon base' ELSE 'missing' END AS biome
+FROM customer"""
+_BW = {"sql": DIRTY_BIOMES, "source": "customer", "key": "biome_id"}
+_DB = _d(["biome"], DIRTY_BIOMES, "biome_id")
+
+
+def _terms(values: DataFrame) -> DataFrame:
+    return values.sparkSession.createDataFrame(_TERMS, "id string, label string, synonyms array<string>")
+
+
+_add("term_status", lambda s, d: domain.term_status(v := value_dictionary(_dirty(s, d, **_BW), ["biome"]), "biome", _terms(v)), _DB + "SELECT v AS value, CAST(n AS BIGINT) AS n, s AS status, i AS id FROM d JOIN (VALUES ('ENVO:00000446', 'valid', 'ENVO:00000446'), ('envo:00000447', 'valid', 'ENVO:00000447'), ('ENVO:99999999', 'unknown_term', NULL), ('XYZ:1', 'invalid_format', NULL), ('Marine Biome', 'mapped', 'ENVO:00000447'), ('ocean biome', 'mapped', 'ENVO:00000447'), ('biome marine', 'mapped', 'ENVO:00000447'), ('moon base', 'unmapped', NULL)) t(v, s, i) USING (v)")
+
+
+def _biomes(kind: str, severity: str, values: str, sure: str) -> str:
+    return "SELECT * FROM (" + _obs(kind, f"'{severity}'", "ontology_validator", f"SELECT c, sum(n) AS o FROM d WHERE v IN ({values}) GROUP BY c", sure) + ")"
+
+
+_add("ontology_checks", _check(["biome"], lambda v, n: domain.ontology_observations(v, "biome", _terms(v), n), **_BW), _DB + " UNION ALL ".join([_biomes("inconsistency", "warning", "'Marine Biome', 'ocean biome', 'biome marine'", "0.8"), _biomes("constraint_violation", "info", "'moon base'", "0.5"), _biomes("pattern_violation", "error", "'ENVO:99999999', 'XYZ:1'", "0.9")]))
+_BODIES = "SELECT c_custkey AS subject_id, CASE WHEN c_custkey % 3 = 0 THEN 'Stool sample' ELSE 'elsewhere' END AS body_site, '1' AS ph FROM customer"
+_add("detected_package", lambda s, d: domain.detected_package(rows := _dirty(s, d, sql=_BODIES, source="customer", key="subject_id"), ["subject_id", *rows.columns[1:]]), f"SELECT coalesce(arg_min('human-gut', subject_id) FILTER (contains(body_site, 'Stool')), 'human-associated') AS package FROM (SELECT * FROM ({_BODIES}) ORDER BY subject_id LIMIT 10)")
+_add("readiness_findings", lambda s, d: domain.readiness_observations(QUERIES["readiness"](s, d)), f"SELECT type, severity, \"column\", 'sample_validator' AS detector, confidence, o AS occurrences, round(o * CAST(100 AS DOUBLE) / samples, 4) AS percentage FROM (SELECT samples, unnest(['inconsistency', 'pattern_violation', 'pattern_violation']) AS type, unnest(['error', 'warning', 'warning']) AS severity, unnest(['duplicate', 'bad_date', 'bad_place']) AS \"column\", unnest([CAST(0.95 AS DOUBLE), 0.85, 0.85]) AS confidence, unnest([n_duplicate, n_bad_date, n_bad_place]) AS o FROM ({ORACLE_SQL['readiness']})) WHERE o > 0")
+
+
+# from decisions to the curated table
+def _planned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Observations, suggestions and decisions: whatever standardizes, coerces or empties is accepted."""
+    observed = curation.number_observations(_observations(spark, sf_dir)).persist()
+    suggested = curation.suggestions(observed)
+    decided = None
+    for action in ("standardize", "coerce", "convert_na"):
+        decided = decisions.decide(suggested, decided, decisions.ACCEPTED, action=action)
+    return observed, suggested, decided
+
+
+def _curated(spark: SparkSession, sf_dir: str) -> apply.Curated:
+    observed, suggested, decided = _planned(spark, sf_dir)
+    rows = _dirty(spark, sf_dir)
+    plan = apply.resolved(decided, suggested, observed)
+    return apply.apply_decided(rows, plan, apply.mappings(value_dictionary(rows, ["status", "price", "priority", "answer"])), {"price": "integer"})
+
+
+_GROUPS = "SELECT c, lower(trim(v)) AS g, trim(v) AS v, sum(n) AS n FROM d WHERE NOT missing AND c IN ('status', 'priority') GROUP BY 1, 2, 3 UNION ALL SELECT c, CASE WHEN v IN ('yes', 'Y') THEN 'yes' WHEN v IN ('no', 'N') THEN 'no' ELSE 'mild' END, v, n FROM d WHERE c = 'answer'"
+_MAPPED = f"m AS (SELECT c, v, first_value(v) OVER (PARTITION BY c, g ORDER BY n DESC, v) AS new FROM ({_GROUPS})), gone AS (SELECT c, lower(trim(v)) AS token FROM d WHERE c IN ('status', 'price') AND lower(trim(v)) IN ('missing', '999', '9999', '-999', '-9999') GROUP BY 1, 2 HAVING sum(n) >= 2)"
+_CURED = _d(["status", "price", "priority", "answer"]).rstrip() + f", {_MAPPED}, cured AS (SELECT order_id, dirty.status AS status0, dirty.price AS price0, dirty.priority AS priority0, dirty.answer AS answer0, coalesce(a.new, dirty.status) AS status1, coalesce(b.new, dirty.priority) AS priority, coalesce(e.new, dirty.answer) AS answer, CASE WHEN dirty.price IN ('abc', '12.5') OR lower(dirty.price) IN (SELECT token FROM gone WHERE c = 'price') THEN '' ELSE dirty.price END AS price FROM dirty LEFT JOIN m a ON a.c = 'status' AND a.v = dirty.status LEFT JOIN m b ON b.c = 'priority' AND b.v = dirty.priority LEFT JOIN m e ON e.c = 'answer' AND e.v = dirty.answer), done AS (SELECT *, CASE WHEN lower(status1) IN (SELECT token FROM gone WHERE c = 'status') THEN '' ELSE status1 END AS status FROM cured) "
+_add("curated_table", lambda s, d: _curated(s, d).rows.select(F.col("_row_id").alias("order_id"), "status", "price", "priority", "answer"), _CURED + "SELECT order_id, status, price, priority, answer FROM done")
+_add("curated_log", lambda s, d: apply.change_log(_curated(s, d).audit), _CURED + "SELECT \"column\", reason, count(*) AS cells, count(*) AS rows FROM (SELECT 'status' AS \"column\", 'standardize' AS reason FROM done WHERE status0 <> status1 UNION ALL SELECT 'status', 'convert_na' FROM done WHERE status1 <> status UNION ALL SELECT 'priority', 'standardize' FROM done WHERE priority0 <> priority UNION ALL SELECT 'answer', 'standardize' FROM done WHERE answer0 <> answer UNION ALL SELECT 'price', CASE WHEN price0 IN ('abc', '12.5') THEN 'coerce' ELSE 'convert_na' END FROM done WHERE price0 <> price) GROUP BY 1, 2")
+_PARAMS = f"SELECT s.observation_id, s.action, CASE WHEN s.action = 'flag' THEN s.\"column\" || CASE type WHEN 'outlier' THEN '_flagged' WHEN 'type_mismatch' THEN '_type_error' WHEN 'constraint_violation' THEN '_constraint_violation' END END AS flag_column, CASE WHEN type = 'missing_pattern' THEN split_part(s.\"column\", '=', 1) ELSE s.\"column\" END AS target, CASE WHEN type = 'missing_pattern' THEN split_part(s.\"column\", '=', 2) END AS pattern, round(confidence * CASE WHEN s.action = 'coerce' THEN CAST(0.9 AS DOUBLE) ELSE 1 END, 6) AS confidence, occurrences AS affected_rows FROM ({_SUGGEST}) s JOIN ({_NUMBERED}) o USING (observation_id) WHERE s.action IS NOT NULL"
+
+
+def _parametrized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    observed, suggested, _ = _planned(spark, sf_dir)
+    return apply.parameters(suggested, observed).select("observation_id", "action", "flag_column", "target", "pattern", F.round("confidence", 6).alias("confidence"), "affected_rows")
+
+
+def _previewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    observed, suggested, decided = _planned(spark, sf_dir)
+    return apply.preview(decided, suggested, observed)
+
+
+def _reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    observed, suggested, decided = _planned(spark, sf_dir)
+    return apply.status_report(observed, suggested, decided, len(TEXT))
+
+
+_add("suggestion_parameters", _parametrized, _PARAMS)
+_add("decision_preview", _previewed, f"SELECT s.observation_id, s.\"column\", s.action, type, detector, occurrences AS affected_rows FROM ({_SUGGEST}) s JOIN ({_NUMBERED}) o USING (observation_id) WHERE s.action IN ('standardize', 'coerce', 'convert_na')")
+_ACC_N = "count(*) FILTER (action IN ('standardize', 'coerce', 'convert_na'))"
+_add("status_report", _reported, f"SELECT 'observations' AS measure, severity AS key, CAST(count(*) AS DOUBLE) AS value FROM ({_UNION}) GROUP BY severity UNION ALL SELECT measure, key, value FROM (SELECT unnest(['suggestions', 'decisions', 'decisions', 'decisions', 'decisions', 'progress']) AS measure, unnest(['all', 'accepted', 'rejected', 'modified', 'pending', 'all']) AS key, unnest([CAST(count(*) AS DOUBLE), {_ACC_N}, 0, 0, count(*) - {_ACC_N}, round({_ACC_N} / CAST(count(*) AS DOUBLE), 6)]) AS value FROM ({_SUGGEST}) WHERE action IS NOT NULL) UNION ALL SELECT 'score', 'all', round(score, 6) FROM ({_SCORE})")
+_add("observation_profiles", lambda s, d: apply.with_profile(QUERIES["case_variants"](s, d).select("column", "detector"), inference.semantic_types(value_dictionary(_dirty(s, d), TEXT)).withColumn("semantic_role", profile.role_of(F.col("column")))), f"SELECT f.\"column\", detector, 'string' AS inferred_type, 'categorical' AS semantic_type, {_ROLE.replace(chr(34) + 'column' + chr(34), 'f.' + chr(34) + 'column' + chr(34))} AS semantic_role FROM ({ORACLE_SQL['case_variants']}) f")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality report of the orders table with planted defects."""
     return QUERIES["quality_report"](spark, sf_dir)
