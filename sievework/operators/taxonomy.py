@@ -6,19 +6,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions.text import trim
+from sievework.operators.organisms import ORGANISMS
 
-# Common abbreviations and names.
+# Common abbreviations.
 ABBREVIATIONS = [
     ("E. coli", "Escherichia coli"), ("S. aureus", "Staphylococcus aureus"), ("B. subtilis", "Bacillus subtilis"), ("P. aeruginosa", "Pseudomonas aeruginosa"),
     ("S. cerevisiae", "Saccharomyces cerevisiae"), ("C. elegans", "Caenorhabditis elegans"), ("D. melanogaster", "Drosophila melanogaster"),
     ("M. musculus", "Mus musculus"), ("H. sapiens", "Homo sapiens"), ("A. thaliana", "Arabidopsis thaliana"), ("B. fragilis", "Bacteroides fragilis"),
     ("C. difficile", "Clostridioides difficile"), ("F. prausnitzii", "Faecalibacterium prausnitzii"), ("L. reuteri", "Limosilactobacillus reuteri"), ("B. longum", "Bifidobacterium longum"),
 ]
-NAMES = [(9606, "Homo sapiens"), (10090, "Mus musculus"), (10116, "Rattus norvegicus"), (9031, "Gallus gallus"), (7955, "Danio rerio"), (8364, "Xenopus tropicalis"), (7227, "Drosophila melanogaster"), (6239, "Caenorhabditis elegans"), (4932, "Saccharomyces cerevisiae"), (4896, "Schizosaccharomyces pombe"), (3702, "Arabidopsis thaliana"), (562, "Escherichia coli"), (287, "Pseudomonas aeruginosa"), (573, "Klebsiella pneumoniae")]
+ENTRIES = [tuple(part.strip() for part in line.split("|")) for line in ORGANISMS.strip().splitlines()]
+NAMES = [(int(taxid), name) for taxid, name, _, _ in ENTRIES]
 
 
 def names(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(NAMES, "taxid long, name string")
+    """taxid, name, rank, common_names of the organisms that are built in."""
+    rows = [(int(taxid), name, rank, [c for c in common.split("; ") if c]) for taxid, name, rank, common in ENTRIES]
+    return spark.createDataFrame(rows, "taxid long, name string, rank string, common_names array<string>")
+
+
+def keys(dictionary: DataFrame) -> DataFrame:
+    """key (a name or common name in small letters) and name; a name goes before a common name, then the least name."""
+    own = dictionary.select(F.lower("name").alias("key"), "name", F.lit(0).alias("kind"))
+    if "common_names" in dictionary.columns:
+        own = own.unionByName(dictionary.select(F.explode("common_names").alias("key"), "name").select(F.lower("key").alias("key"), "name", F.lit(1).alias("kind")))
+    return own.groupBy("key").agg(F.min_by("name", F.struct("kind", "name")).alias("name"))
+
+
+def by_rank(dictionary: DataFrame) -> DataFrame:
+    return dictionary.groupBy("rank").agg(F.count("*").alias("n"))
 
 
 def read_dump(spark: SparkSession, names_path: str, nodes_path: str | None = None) -> DataFrame:
@@ -34,15 +50,18 @@ def read_dump(spark: SparkSession, names_path: str, nodes_path: str | None = Non
 
 
 def match(values: DataFrame, column: str, dictionary: DataFrame | None = None) -> DataFrame:
-    """value, n, status (valid, case_error, abbreviation, possible_typo, unknown) and name.  Only distinct values meet the
+    """value, n, status (valid, case_error, abbreviation, possible_typo, unknown) and name.  A common name is a
+    case error, an abbreviation of a name that is not listed is looked up as it is.  Only distinct values meet the
     dictionary; names of two edits away differ by at most two characters, so candidates meet on their length."""
     spark = values.sparkSession
-    known = (dictionary if dictionary is not None else names(spark)).select("name", F.lower("name").alias("key"))
+    listed = dictionary if dictionary is not None else names(spark)
+    known = keys(listed)
     short = spark.createDataFrame([(k, full) for a, full in ABBREVIATIONS for k in (a.lower(), a.replace(".", "").lower())], "key string, full string")
+    short = short.join(listed.select(F.col("name").alias("full")), "full", "left_semi")  # others are looked up as they are
     own = values.filter((F.col("column") == column) & ~F.col("missing")).groupBy(trim(F.col("value")).alias("value")).agg(F.sum("n").alias("n")).withColumn("key", F.lower("value"))
     placed = own.join(F.broadcast(short), "key", "left").join(known, "key", "left")
     left = placed.filter("full is null and name is null").select("value", F.explode(F.sequence(F.length("value") - 2, F.length("value") + 2)).alias("size"))
-    near = left.join(known.select(F.col("name").alias("near"), F.length("name").alias("size")), "size").withColumn("edits", F.levenshtein(F.lower("value"), F.lower("near"), 2)).filter("edits between 1 and 2")
+    near = left.join(listed.select(F.col("name").alias("near"), F.length("name").alias("size")).distinct(), "size").withColumn("edits", F.levenshtein(F.lower("value"), F.lower("near"), 2)).filter("edits between 1 and 2")
     best = near.groupBy("value").agg(F.min_by("near", F.struct("edits", "near")).alias("near"))
     status = F.when(F.col("full").isNotNull(), "abbreviation").when(F.col("name") == F.col("value"), "valid").when(F.col("name").isNotNull(), "case_error").when(F.col("near").isNotNull(), "possible_typo").otherwise("unknown")
     return placed.join(best, "value", "left").select("value", "n", status.alias("status"), F.coalesce("full", "name", "near").alias("name"))

@@ -27,3 +27,14 @@ def frequent(values: DataFrame, k: int) -> DataFrame:
 
     rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "first_row"))
     return values.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+#: Rows of one page at most, as the feature asks.
+PAGE = 500
+
+
+def page(rows: DataFrame, offset: int = 0, limit: int = 100) -> DataFrame:
+    """Rows of a page in the order of _row_id, with total_rows and has_more (rows follow the page)."""
+    size = min(limit, PAGE)
+    total = rows.count()
+    return rows.orderBy("_row_id").offset(offset).limit(size).withColumn("total_rows", F.lit(total).cast("long")).withColumn("has_more", F.lit(offset + size < total))

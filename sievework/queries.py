@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
-from sievework.operators import accession, checklist, domain, inference, profile, samples, taxonomy
+from sievework.operators import accession, checklist, domain, inference, profile, samples, taxonomy, values
 from sievework.operators import validators as V
 from sievework.operators.values import frequent, to_text, value_dictionary
 from sievework.plans import apply, curation, decisions
@@ -376,6 +376,12 @@ _add("detected_package", lambda s, d: domain.detected_package(rows := _dirty(s,
 _add("readiness_findings", lambda s, d: domain.readiness_observations(QUERIES["readiness"](s, d)), f"SELECT type, severity, \"column\", 'sample_validator' AS detector, confidence, o AS occurrences, round(o * CAST(100 AS DOUBLE) / samples, 4) AS percentage FROM (SELECT samples, unnest(['inconsistency', 'pattern_violation', 'pattern_violation']) AS type, unnest(['error', 'warning', 'warning']) AS severity, unnest(['duplicate', 'bad_date', 'bad_place']) AS \"column\", unnest([CAST(0.95 AS DOUBLE), 0.85, 0.85]) AS confidence, unnest([n_duplicate, n_bad_date, n_bad_place]) AS o FROM ({ORACLE_SQL['readiness']})) WHERE o > 0")
 
 
+_LOOKED = [("human", "case_error", "Homo sapiens"), ("Homo sapiens", "valid", "Homo sapiens"), ("HIV", "case_error", "Human immunodeficiency virus 1"), ("L. reuteri", "case_error", "Lactobacillus reuteri"), ("C difficile", "abbreviation", "Clostridioides difficile"), ("candida", "case_error", "Candida"), ("Zea may", "possible_typo", "Zea mays"), ("rocks", "unknown", None)]
+_add("organism_lookup", lambda s, d: taxonomy.match(value_dictionary(s.createDataFrame([(k, v) for k, (v, _, _) in enumerate(_LOOKED)], "_row_id long, organism string")), "organism").drop("n"), "SELECT * FROM (VALUES ('human', 'case_error', 'Homo sapiens'), ('Homo sapiens', 'valid', 'Homo sapiens'), ('HIV', 'case_error', 'Human immunodeficiency virus 1'), ('L. reuteri', 'case_error', 'Lactobacillus reuteri'), ('C difficile', 'abbreviation', 'Clostridioides difficile'), ('candida', 'case_error', 'Candida'), ('Zea may', 'possible_typo', 'Zea mays'), ('rocks', 'unknown', NULL)) t(value, status, name)")
+_add("organism_ranks", lambda s, d: taxonomy.by_rank(taxonomy.names(s)).filter("rank <> 'species'"), "SELECT rank, CAST(n AS BIGINT) AS n FROM (VALUES ('class', 1), ('family', 1), ('genus', 20), ('kingdom', 1), ('no rank', 15), ('phylum', 4), ('subspecies', 1), ('superkingdom', 2)) t(rank, n)")
+_add("table_page", lambda s, d: values.page(_dirty(s, d), 200, 1000).select(F.col("_row_id").alias("order_id"), "status", "total_rows", "has_more"), f"SELECT order_id, status, total_rows, total_rows > 700 AS has_more FROM (SELECT order_id, status, count(*) OVER () AS total_rows, row_number() OVER (ORDER BY order_id) AS k FROM ({DIRTY_ORDERS})) WHERE k BETWEEN 201 AND 700")
+
+
 # from decisions to the curated table
 def _planned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Observations, suggestions and decisions: whatever standardizes, coerces or empties is accepted."""

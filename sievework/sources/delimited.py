@@ -87,3 +87,15 @@ def typed_json(columns: list[str]) -> Column:
 def write_json(rows: DataFrame, path: str) -> None:
     """One JSON object a line."""
     rows.select(typed_json([c for c in rows.columns if c != "_row_id"]).alias("value")).write.text(path)
+
+
+def resolve(stored: str, beside: str) -> str:
+    """Where a source lies: at the stored path, or beside another file under its name or stem (tsv, csv, txt)."""
+    from pathlib import Path
+
+    first = Path(stored)
+    near = Path(beside).parent / first.name
+    for path in (first, near, *[near.with_suffix(f".{end}") for end in ("tsv", "csv", "txt")]):
+        if path.exists():
+            return str(path)
+    raise FileNotFoundError(stored)

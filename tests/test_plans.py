@@ -6,8 +6,12 @@ import importlib
 import importlib.util
 import sys
 
-from sievework.operators import samples
-from sievework.plans import decisions
+import pytest
+from pyspark.sql import functions as F
+
+from sievework.operators import inference, samples
+from sievework.operators.values import value_dictionary
+from sievework.plans import apply, curation, decisions
 from sievework.plans.analyze import quality_report
 from sievework.sources import delimited, ontology
 
@@ -92,3 +96,51 @@ def test_readiness_of_organisms_and_nulls(spark):
     clean = samples.submission_readiness(df.filter("_row_id = 0"), ["sample"], "date", "place", "organism").first()
     assert (clean.score, clean.is_ready) == (100, True)
     assert samples.submission_readiness(df.limit(0), ["sample"], "date", "place", "organism").first().score == 0
+
+
+def test_source_beside_another_file(tmp_path):
+    (tmp_path / "a.csv").write_text("x\n1\n")
+    assert delimited.resolve("/nowhere/a.tsv", str(tmp_path / "curation.json")) == str(tmp_path / "a.csv")
+    with pytest.raises(FileNotFoundError):
+        delimited.resolve("/nowhere/b.tsv", str(tmp_path / "curation.json"))
+
+
+def test_single_decisions(spark):
+    suggested = spark.createDataFrame([(1, "a", "flag"), (2, "b", "flag")], "observation_id long, column string, action string")
+    one = decisions.decide_one(suggested, None, 1, decisions.ACCEPTED)
+    both = decisions.decide_one(suggested, one, 2, decisions.REJECTED)
+    assert sorted(tuple(r) for r in both.collect()) == [(1, "accepted"), (2, "rejected")]
+    with pytest.raises(ValueError):
+        decisions.decide_one(suggested, both, 1, decisions.REJECTED)
+    with pytest.raises(KeyError):
+        decisions.decide_one(suggested, both, 9, decisions.REJECTED)
+
+
+OBSERVED = "observation_id long, type string, severity string, column string, detector string, confidence double, occurrences long, percentage double"
+
+
+def test_apply_decided(spark):
+    rows = spark.createDataFrame([(1, "a", "-5", "x"), (2, "A", "7", ""), (3, "A", "n/a", "y"), (4, "gone", "z", "y"), (5, "gone", "8", "y")], "_row_id long, kind string, price string, `odd name` string")
+    observed = spark.createDataFrame(
+        [(1, "outlier", "error", "price", "statistical_outlier_validator", 0.95, 1, 20.0), (2, "inconsistency", "warning", "kind", "case_variant_validator", 0.9, 3, 60.0), (3, "missing_pattern", "warning", "kind=gone", "missing_pattern_validator", 0.88, 2, 40.0), (4, "type_mismatch", "warning", "price", "type_validator", 0.9, 1, 5.0), (5, "duplicate", "error", "_table", "duplicate_row_validator", 0.98, 1, 20.0), (6, "completeness", "error", "odd name", "completeness_validator", 0.95, 1, 20.0)], OBSERVED)
+    suggested = curation.suggestions(observed)
+    decided = decisions.decide(suggested, None, decisions.ACCEPTED)
+    plan = apply.resolved(decided, suggested, observed)
+    done = apply.apply_decided(rows, plan, apply.mappings(value_dictionary(rows, ["kind"])), {"price": "integer"})
+    assert sorted(tuple(r) for r in done.rows.collect()) == [(1, "A", "-5", "x", "invalid_value"), (2, "A", "7", "", ""), (3, "A", "n/a", "y", ""), (4, "", "", "y", ""), (5, "", "8", "y", "")]
+    assert sorted((r._row_id, r.column, r.original, r.new, r.reason) for r in done.audit.collect()) == [(1, "kind", "a", "A", "standardize"), (4, "kind", "gone", "", "convert_na"), (4, "price", "z", "", "coerce"), (5, "kind", "gone", "", "convert_na")]
+    rejected = apply.apply_decided(rows, plan.filter("false"), apply.mappings(value_dictionary(rows, ["kind"])), {})
+    assert rejected.rows.exceptAll(rows).isEmpty() and rejected.audit.isEmpty()
+    with pytest.raises(ValueError):
+        apply.resolved(spark.createDataFrame([(99, "accepted")], "observation_id long, status string"), suggested, observed)
+    with pytest.raises(ValueError):
+        apply.apply_decided(rows.withColumn("__step_0", F.lit(1)), plan, apply.mappings(value_dictionary(rows, ["kind"])), {})
+
+
+def test_inference_of_empty_and_odd_columns(spark):
+    empty = value_dictionary(spark.createDataFrame([], "_row_id long, a string"), ["a"])
+    assert inference.value_patterns(empty).isEmpty() and inference.fused(empty).isEmpty()
+    rows = spark.createDataFrame([(1, "", "É1"), (2, "NA", "É2"), (3, "", "É3")], "_row_id long, none string, odd string")
+    found = {r.column: r for r in inference.fused(value_dictionary(rows)).collect()}
+    assert found["none"].nullable and found["none"].inferred_type is None and found["none"].constraints == "set"
+    assert found["odd"].constraints == "not_null,set,unique"
