@@ -96,8 +96,8 @@ def organism_observations(values: DataFrame, column: str, total: int, dictionary
 
 
 def term_status(values: DataFrame, column: str, terms: DataFrame) -> DataFrame:
-    """value, n, status (valid, unknown_term or invalid_format of ids; mapped or unmapped texts) and id."""
-    v = trim(F.col("value"))
+    """value, n, status (valid, unknown_term or invalid_format of ids; mapped or unmapped texts) and id.
+    Ids may be of any ontology; texts are mapped to the one that the column's name asks for."""
     own = _there(values, column).select("value", "n")
     is_id = F.col("value").contains(":") & F.col("value").rlike("[0-9]")
     known = terms.select(F.upper("id").alias("key"), F.lit(True).alias("known"))
@@ -105,7 +105,8 @@ def term_status(values: DataFrame, column: str, terms: DataFrame) -> DataFrame:
     family = one_of([F.upper("value").startswith(f"{name}:") for name, _, _ in ONTOLOGY_NAMES])
     of_ids = ids.select("value", "n", F.when(F.col("known"), "valid").when(family, "unknown_term").otherwise("invalid_format").alias("status"), F.when(F.col("known"), F.col("key")).alias("id"))
     texts = own.filter(~is_id)
-    of_texts = texts.join(suggest(texts, terms), "value", "left").select("value", "n", F.when(F.col("id").isNotNull(), "mapped").otherwise("unmapped").alias("status"), "id")
+    own_terms = terms.filter(F.col("id").startswith(F.coalesce(F.concat(ontology_of(F.lit(column)), F.lit(":")), F.lit(""))))
+    of_texts = texts.join(suggest(texts, own_terms), "value", "left").select("value", "n", F.when(F.col("id").isNotNull(), "mapped").otherwise("unmapped").alias("status"), "id")
     return of_ids.unionByName(of_texts)
 
 
@@ -137,6 +138,16 @@ def accession_observations(values: DataFrame, column: str, expected: str, total:
     return _told(_there(values, column), accession.accession_type(F.col("value")) != expected, "pattern_violation", "warning", "accession_validator", 0.9, column, total)
 
 
+def column_observations(values: DataFrame, columns: list[str], total: int, terms: DataFrame) -> DataFrame:
+    """All checks of the columns whose names ask for organisms, ontology terms or accessions."""
+    named = values.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    kinds = named.select("column", holds_organisms(F.col("column")).alias("organisms"), ontology_of(F.col("column")).alias("ontology"), accession_of(F.col("column")).alias("accession")).collect()  # names of columns
+    found = [organism_observations(values, k.column, total) for k in kinds if k.organisms]
+    found += [ontology_observations(values, k.column, terms, total) for k in kinds if k.ontology]
+    found += [accession_observations(values, k.column, k.accession, total) for k in kinds if k.accession]
+    return reduce(DataFrame.unionByName, found) if found else observation(values.filter("false").select("column", F.col("n").alias("occurrences")), "none", "info", "taxonomy_validator", total, confidence=0.0)
+
+
 # What the first values of a body-site column say about the package.
 BODY_SITES = [("human-gut", ["gut", "stool", "fecal", "intestin"]), ("human-skin", ["skin", "dermal"]), ("human-oral", ["oral", "saliva", "mouth"])]
 

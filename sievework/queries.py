@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
-from sievework.operators import accession, checklist, domain, inference, profile, samples, taxonomy, values
+from sievework.operators import accession, checklist, domain, inference, profile, samples, taxonomy, terms, values
 from sievework.operators import validators as V
 from sievework.operators.values import frequent, to_text, value_dictionary
 from sievework.plans import apply, curation, decisions
@@ -378,6 +378,10 @@ _add("readiness_findings", lambda s, d: domain.readiness_observations(QUERIES["r
 
 _LOOKED = [("human", "case_error", "Homo sapiens"), ("Homo sapiens", "valid", "Homo sapiens"), ("HIV", "case_error", "Human immunodeficiency virus 1"), ("L. reuteri", "case_error", "Lactobacillus reuteri"), ("C difficile", "abbreviation", "Clostridioides difficile"), ("candida", "case_error", "Candida"), ("Zea may", "possible_typo", "Zea mays"), ("rocks", "unknown", None)]
 _add("organism_lookup", lambda s, d: taxonomy.match(value_dictionary(s.createDataFrame([(k, v) for k, (v, _, _) in enumerate(_LOOKED)], "_row_id long, organism string")), "organism").drop("n"), "SELECT * FROM (VALUES ('human', 'case_error', 'Homo sapiens'), ('Homo sapiens', 'valid', 'Homo sapiens'), ('HIV', 'case_error', 'Human immunodeficiency virus 1'), ('L. reuteri', 'case_error', 'Lactobacillus reuteri'), ('C difficile', 'abbreviation', 'Clostridioides difficile'), ('candida', 'case_error', 'Candida'), ('Zea may', 'possible_typo', 'Zea mays'), ('rocks', 'unknown', NULL)) t(value, status, name)")
+_add("term_counts", lambda s, d: terms.by_ontology(terms.terms(s)), "SELECT ontology, CAST(n AS BIGINT) AS n FROM (VALUES ('ENVO', 53), ('UBERON', 49), ('MONDO', 52)) t(ontology, n)")
+_TEXTS = ["Prairie", "ocean biome", "forest", "colitis ulcerative", "nothing known"]
+_add("term_lookup", lambda s, d: domain.suggest(s.createDataFrame([(t,) for t in _TEXTS], "value string"), terms.terms(s).filter("id LIKE 'ENVO:%'")), "SELECT value, id, CAST(c AS DOUBLE) AS confidence FROM (VALUES ('Prairie', 'ENVO:01000177', 0.95), ('ocean biome', 'ENVO:00000447', 0.95), ('forest', 'ENVO:01000174', 0.95)) t(value, id, c)")
+_add("science_report", lambda s, d: domain.column_observations(v := value_dictionary(rows := _dirty(s, d, **_PEOPLE)), rows.columns[1:], rows.count(), terms.terms(s)), f"SELECT * FROM ({ORACLE_SQL['organism_checks']}) UNION ALL SELECT * FROM ({ORACLE_SQL['accession_checks']})")
 _add("organism_ranks", lambda s, d: taxonomy.by_rank(taxonomy.names(s)).filter("rank <> 'species'"), "SELECT rank, CAST(n AS BIGINT) AS n FROM (VALUES ('class', 1), ('family', 1), ('genus', 20), ('kingdom', 1), ('no rank', 15), ('phylum', 4), ('subspecies', 1), ('superkingdom', 2)) t(rank, n)")
 _add("table_page", lambda s, d: values.page(_dirty(s, d), 200, 1000).select(F.col("_row_id").alias("order_id"), "status", "total_rows", "has_more"), f"SELECT order_id, status, total_rows, total_rows > 700 AS has_more FROM (SELECT order_id, status, count(*) OVER () AS total_rows, row_number() OVER (ORDER BY order_id) AS k FROM ({DIRTY_ORDERS})) WHERE k BETWEEN 201 AND 700")
 
