@@ -200,3 +200,63 @@ def sound_packing(rows, most: int = 4096) -> int:
             at += length
         assert at <= most
     return len(bins)
+
+
+def op12(rows) -> list[tuple]:
+    """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 of every node, by whole prefixes."""
+    own: dict = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            own[conv].append((turn is not None, turn or 0, hashlib.sha256(f"{len(role.encode())}:{role}{text}".encode()).digest(), role, text))
+    own = {c: [t[3:] for t in sorted(turns, key=lambda t: t[:3])] for c, turns in own.items()}
+    whole = {}
+    for c, turns in own.items():
+        base, h = c - (abs(c) % 5) * (1 if c > 0 else -1), zlib.crc32(str(c).encode()) % 9
+        whole[c] = tuple(own.get(base, [])[:h] + turns[h:])
+    members, ends, children = defaultdict(set), defaultdict(list), defaultdict(set)
+    for c, turns in sorted(whole.items()):
+        ends[turns].append(c)
+        for d in range(len(turns) + 1):
+            members[turns[:d]].add(c)
+            if d:
+                children[turns[: d - 1]].add(turns[:d])
+    leaves, saved = defaultdict(int), defaultdict(int)
+    for node in members:
+        for d in range(len(node) + 1):
+            leaves[node[:d]] += not children[node]
+            saved[node[:d]] += (len(members[node]) - 1) * len(node[-1][1].encode()) if node else 0
+    return [(min(m), len(n), min(members[n[:-1]]) if n else None, len(m), len(children[n]), leaves[n], saved[n], sha(",".join(map(str, ends[n])))) for n, m in members.items()]
+
+
+def op11(rows) -> list[tuple]:
+    """lang, source, part, item, value, rank, with a sum over all kept terms for every pair."""
+    term = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+    counts: dict = defaultdict(lambda: defaultdict(lambda: defaultdict(int)))
+    docs: dict = defaultdict(lambda: defaultdict(int))
+    for lang, source, text in rows:
+        lang, source = lang or "", source or ""
+        found = term.findall((text or "").translate({k: k + 32 for k in range(65, 91)}))
+        counts[lang][source]
+        for t in found:
+            counts[lang][source][t] += 1
+        for t in set(found):
+            docs[lang][t] += 1
+    out = []
+    for lang, groups in counts.items():
+        kept = [t for t, n in docs[lang].items() if n >= 10]
+        whole = {t: sum(g[t] for g in groups.values() if t in g) for t in kept}
+
+        def p(group, kept=kept) -> dict:
+            n = sum(group.get(t, 0) for t in kept)
+            return {t: 1 + 10**9 * (group.get(t, 0) + 2) // (n + 2 * len(kept)) for t in kept}
+
+        f = lambda x, y: (x - y) ** 2 // (x + y)
+        q = p(whole)
+        ps = {s: p(g) for s, g in groups.items()}
+        for s, g in groups.items():
+            pairs = [(-sum(f(ps[s][t], ps[o][t]) for t in kept), o.encode()) for o in groups if o != s]
+            terms = [(-f(ps[s][t], q[t]), t.encode()) for t in kept if g.get(t, 0) > 0 and ps[s][t] > q[t]]
+            out += [(lang, s, "pair", o.decode(), -v, k + 1) for k, (v, o) in enumerate(sorted(pairs))]
+            out += [(lang, s, "term", t.decode(), -v, k + 1) for k, (v, t) in enumerate(sorted(terms)[:10])]
+    return out

@@ -242,7 +242,7 @@ def test_op6(spark, sf_dir, kind):
     same(rows(embeddings.near_duplicates(df), "vec_id", "n_links", "component_id", "kept"), brute.op6(data))
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(q for q in QUERIES if not q.startswith(("op11", "op12"))))
 def test_query_covers_every_row(spark, sf_dir, name):
     table = "embeddings" if name.startswith("op6") else "documents"
     n = QUERIES[name](spark, sf_dir).count()
