@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.text import MISSING_PATTERNS, as_number, trim
-from sievework.operators import profile
+from sievework.operators import profile, ranks
 
 # How sure each finding is, and how much of it is kept.
 BY_NAME, BY_FORMAT = 0.85, 0.6
@@ -125,8 +125,9 @@ def far_values(df: DataFrame, column: str, width: float = 1.5, limit: float = 3.
     """column, n_iqr, n_z, occurrences: values outside the quartiles by `width` ranges, by more than `limit` standard
     deviations, or either.  Quartiles are order statistics; one row of statistics meets the table."""
     v = F.col(f"`{column}`").cast("double")
-    stats = df.agg(F.avg(v).alias("m"), F.stddev_pop(v).alias("s"), profile.quartiles(df, column, df.filter(v.isNotNull()).count()).alias("q"))
-    wide = (F.col("q")[2] - F.col("q")[0]) * width
-    far = (v < F.col("q")[0] - wide) | (v > F.col("q")[2] + wide)
+    q1, _, q3 = ranks.quartiles(df, column) or (0.0, 0.0, 0.0)
+    wide = (q3 - q1) * width
+    far = (v < q1 - wide) | (v > q3 + wide)
+    stats = df.agg(F.avg(v).alias("m"), F.stddev_pop(v).alias("s"))
     odd = F.when(F.col("s") > 0, F.abs(v - F.col("m")) / F.col("s") > limit).otherwise(F.lit(False))
     return df.crossJoin(F.broadcast(stats)).agg(F.count_if(far).alias("n_iqr"), F.count_if(odd).alias("n_z"), F.count_if(far | odd).alias("occurrences")).select(F.lit(column).alias("column"), "n_iqr", "n_z", "occurrences")

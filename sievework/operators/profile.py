@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,14 +72,6 @@ def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.array(*parts).alias("p")).select(F.inline("p"))
 
 
-def quartiles(df: DataFrame, column: str, n: int) -> Column:
-    """q1, median and q3 as order statistics of rank round(p * (n - 1))."""
-    from math import floor
-
-    ranks = [floor(p * (n - 1) + 0.5) / max(n - 1, 1) for p in (0.25, 0.5, 0.75)]
-    return F.percentile(F.col(column).cast("double"), F.array(*[F.lit(r) for r in ranks]))
-
-
 def string_profile(values: DataFrame) -> DataFrame:
     """column, min_length, max_length, avg_length in bytes of the texts that are there."""
     size = F.octet_length("value")
@@ -97,6 +91,11 @@ def semantic_type(kind: Column, unique: Column, total: Column, low: Column, high
     )
 
 
+def named_role(name: str) -> str:
+    """role_of for a name at hand."""
+    return next((role for pattern, role in ROLE_PATTERNS if re.search(pattern.replace("$", r"\Z"), name)), "unknown")
+
+
 def role_of(name: Column) -> Column:
     out = F.lit("unknown")
     for pattern, role in reversed(ROLE_PATTERNS):
@@ -116,12 +115,26 @@ def format_vote(values: DataFrame) -> DataFrame:
     return won.join(F.broadcast(total), "column").filter(F.col("n") >= F.floor(F.col("total") * 0.8)).select("column", "format", "n")
 
 
-def schema_profile(rows: DataFrame, values: DataFrame) -> DataFrame:
-    """A row for each column of a table in text form: counts, type, semantic type and role."""
-    number = F.coalesce(as_integer(F.col("value")).cast("double"), as_number(F.col("value")))
-    bounds = values.filter("not missing").groupBy("column").agg(F.min(number).alias("low"), F.max(number).alias("high"))
-    joined = counts(values).join(type_vote(values), "column", "left").join(bounds, "column", "left").join(string_profile(values), "column", "left")
-    return joined.withColumn("semantic_type", semantic_type(F.col("inferred_type"), F.col("unique_count"), F.col("count") - F.col("null_count"), F.col("low"), F.col("high"))).withColumn("semantic_role", role_of(F.col("column")))
+def schema_profile(values: DataFrame) -> DataFrame:
+    """A row for each column of a value dictionary, by one aggregation: counts, type, semantic type and role."""
+    there, n = ~F.col("missing"), F.col("n")
+    number = F.when(there, F.coalesce(as_integer(F.col("value")).cast("double"), as_number(F.col("value"))))
+    read = values.select("column", "n", "missing", F.when(there, value_type(F.col("value"))).alias("t"), number.alias("number"), F.when(there, F.octet_length("value")).alias("size"))
+    votes = [F.struct(F.coalesce(F.sum(F.when(F.col("t") == t, n)), F.lit(0)).alias("n"), F.lit(-k).alias("order"), F.lit(t).alias("t")) for k, t in enumerate(TYPE_ORDER)]
+    sums = read.groupBy("column").agg(
+        F.sum("n").alias("count"), F.sum(F.when(F.col("missing"), n).otherwise(0)).alias("null_count"), F.sum(there.cast("long")).alias("unique_count"), F.array(*votes).alias("votes"),
+        F.min("number").alias("low"), F.max("number").alias("high"), F.min("size").alias("min_length"), F.max("size").alias("max_length"), F.sum(F.col("size") * n).alias("bytes"),
+    )
+    kept = F.col("count") - F.col("null_count")
+    won = sums.withColumn("won", F.when(kept > 0, F.array_max("votes")))
+    mixed = (F.col("won.t") == "integer") & (F.col("votes")[TYPE_ORDER.index("float")]["n"] > 0)
+    share = F.col("won.n") / kept
+    typed = won.select(
+        "column", "count", "null_count", "unique_count", ((F.col("unique_count") == kept) & (F.col("unique_count") > 0)).alias("is_unique"),
+        F.when(mixed, "float").otherwise(F.col("won.t")).alias("inferred_type"), F.round(F.when(mixed, share * 0.95).otherwise(share), 6).alias("confidence"),
+        "low", "high", "min_length", "max_length", F.round(F.when(kept > 0, F.col("bytes") / kept), 6).alias("avg_length"),
+    )
+    return typed.withColumn("semantic_type", semantic_type(F.col("inferred_type"), F.col("unique_count"), kept, F.col("low"), F.col("high"))).withColumn("semantic_role", role_of(F.col("column")))
 
 
 def sample_values(values: DataFrame, k: int = 5) -> DataFrame:

@@ -31,16 +31,24 @@ def _rows(rows: DataFrame, bad: Column, name: str, severity: str, total: int, co
     return observation(found, "cross_column_inconsistency", severity, "cross_column_validator", total, confidence=confidence)
 
 
-def pregnant_males(rows: DataFrame, sex: str, pregnant: str, total: int) -> DataFrame:
+def is_pregnant_male(sex: str, pregnant: str) -> Column:
     s, p = F.lower(F.col(f"`{sex}`")), F.lower(F.col(f"`{pregnant}`"))
     male = (s.contains("male") & ~s.contains("female")) | (s == "m")
-    return _rows(rows, male & p.isin(PREGNANT), f"{sex} vs {pregnant}", "error", total, PREGNANT_MALE)
+    return male & p.isin(PREGNANT)
 
 
-def young_patients(rows: DataFrame, age: str, diagnosis: str, total: int) -> DataFrame:
-    """Conditions of adults in children."""
+def pregnant_males(rows: DataFrame, sex: str, pregnant: str, total: int) -> DataFrame:
+    return _rows(rows, is_pregnant_male(sex, pregnant), f"{sex} vs {pregnant}", "error", total, PREGNANT_MALE)
+
+
+def is_young_patient(age: str, diagnosis: str) -> Column:
+    """Whether a child has a condition of adults."""
     years, d = as_integer(trim(F.col(f"`{age}`"))), F.lower(F.col(f"`{diagnosis}`"))
-    return _rows(rows, (years <= CHILD_AGE) & d.rlike("|".join(ADULT_CONDITIONS)), f"{age} vs {diagnosis}", "warning", total, YOUNG_PATIENT)
+    return (years <= CHILD_AGE) & d.rlike("|".join(ADULT_CONDITIONS))
+
+
+def young_patients(rows: DataFrame, age: str, diagnosis: str, total: int) -> DataFrame:
+    return _rows(rows, is_young_patient(age, diagnosis), f"{age} vs {diagnosis}", "warning", total, YOUNG_PATIENT)
 
 
 def latitude_longitude(c: Column) -> Column:

@@ -6,13 +6,12 @@ what they group by.  Confidences are those of CONFIDENCE.
 
 from __future__ import annotations
 
-from math import floor
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.text import MISSING_PATTERNS, any_contains, as_number, date_format, parses_as, shape, trim
-from sievework.operators.profile import quartiles
+from sievework.operators import ranks
+from sievework.operators.typos import close_pairs
 
 # Fixed values.
 CONFIDENCE = {"type_validator": 0.90, "range_validator": 0.85, "set_validator": 0.85, "uniqueness_validator": 0.95, "identifier_duplicate_validator": 0.95, "statistical_outlier_validator": 0.85, "completeness_validator": 0.95, "consistency_validator": 0.88, "case_variant_validator": 0.90, "typo_validator": 0.75, "semantic_equivalence_validator": 0.85, "date_format_validator": 0.90, "missing_pattern_validator": 0.88, "regex_pattern_validator": 0.75, "cross_column_validator": 0.85, "title_case_validator": 0.85, "coordinate_validator": 0.95, "duplicate_row_validator": 0.98, "mixs_compliance": 0.95}
@@ -80,28 +79,23 @@ def duplicate_identifiers(values: DataFrame, columns: list[str], total: int) ->
 
 
 def iqr_outliers(df: DataFrame, column: str) -> DataFrame:
-    """One row: quartiles, bounds, number of values outside.  Two passes: order statistics, then the filter."""
-    n = df.select(F.count(column)).first()[0]
-    q = df.agg(quartiles(df, column, n).alias("q"))
-    stats = q.select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")).first()
-    iqr = stats.q3 - stats.q1
-    low, high = stats.q1 - 1.5 * iqr, stats.q3 + 1.5 * iqr
-    v = F.col(column).cast("double")
-    return df.agg(F.count(v).alias("n"), F.count_if((v < low) | (v > high)).alias("occurrences")).select(F.lit(column).alias("column"), F.lit(stats.q1).alias("q1"), F.lit(stats.median).alias("median"), F.lit(stats.q3).alias("q3"), "n", "occurrences")
+    """One row: quartiles, bounds, number of values outside.  Rounds of histograms find the quartiles, one pass counts."""
+    q1, median, q3 = ranks.quartiles(df, column) or (None, None, None)
+    v = F.col(f"`{column}`").cast("double")
+    outside = F.lit(False) if q1 is None else (v < q1 - 1.5 * (q3 - q1)) | (v > q3 + 1.5 * (q3 - q1))
+    given = [F.lit(x).cast("double").alias(name) for name, x in (("q1", q1), ("median", median), ("q3", q3))]
+    return df.agg(F.count(v).alias("n"), F.count_if(outside).alias("occurrences")).select(F.lit(column).alias("column"), *given, "n", "occurrences")
+
+
+def iqr_bounds(values: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
+    """Of each numeric column what lies 1.5 ranges of the quartiles outside them; the numbers are not trimmed."""
+    numbers = values.filter(~F.col("missing") & F.col("column").isin(columns)).select("column", as_number(F.col("value")).alias("v"), "n")
+    return {c: (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)) for c, (q1, _, q3) in ranks.order_statistics(numbers).items()}
 
 
 def iqr_values(values: DataFrame, columns: list[str], total: int) -> DataFrame:
-    """Outliers of the numeric columns of a value dictionary: quartiles of the untrimmed numbers, all columns in one pass."""
-    v, there = as_number(F.col("value")), ~F.col("missing")
-    numbers = values.filter(there & F.col("column").isin(columns) & v.isNotNull())
-    n = {r["column"]: r.n for r in numbers.groupBy("column").agg(F.sum("n").alias("n")).collect()}
-    bounds = {}
-    if n:
-        ranks = {c: [floor(p * (k - 1) + 0.5) / max(k - 1, 1) for p in (0.25, 0.75)] for c, k in n.items()}
-        parts = [F.percentile(F.when(F.col("column") == c, v), F.array(*map(F.lit, r)), F.col("n")).alias(f"q{i}") for i, (c, r) in enumerate(ranks.items())]
-        for c, (q1, q3) in zip(n, numbers.agg(*parts).first(), strict=True):
-            bounds[c] = (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
-    found = out_of_range(values, bounds or {"": (0, 0)}, total)
+    """Outliers of the numeric columns of a value dictionary, all columns at once."""
+    found = out_of_range(values, iqr_bounds(values, columns) or {"": (0, 0)}, total)
     return found.withColumns({"severity": F.when(F.col("occurrences") > 1, "warning").otherwise("info"), "detector": F.lit("statistical_outlier_validator"), "confidence": F.lit(CONFIDENCE["statistical_outlier_validator"])})
 
 
@@ -134,14 +128,16 @@ def case_variants(values: DataFrame, columns: list[str], total: int) -> DataFram
 
 
 def typo_pairs(values: DataFrame, columns: list[str]) -> DataFrame:
-    """column, typo, suggestion, n: texts seen once that are at most two edits from a frequent one.  Candidates meet on
-    their length: texts at distance 2 differ by at most 2 characters."""
+    """column, typo, suggestion, n: texts seen once that are at most two edits from a frequent one (the most frequent, then
+    the earliest).  Candidates meet in an index of deletions."""
     there = values.filter(F.col("column").isin(columns) & ~F.col("missing")).select("column", F.col("value").alias("v"), "n", "first_row").filter(F.octet_length("v") >= 4)
-    rare = there.filter("n = 1").select("column", F.col("v").alias("typo"), F.explode(F.sequence(F.length("v") - 2, F.length("v") + 2)).alias("size"))
-    common = there.filter("n > 1").select("column", F.col("v").alias("suggestion"), "n", "first_row", F.length("v").alias("size"))
-    edits = F.levenshtein("typo", "suggestion", 2)
-    close = rare.join(common, ["column", "size"]).filter((edits > 0) & (edits < F.floor(F.octet_length("typo") / 2)))
-    best = close.groupBy("column", "typo").agg(F.max_by(F.struct("suggestion", "n"), F.struct("n", -F.col("first_row"))).alias("b"))
+    rare = there.filter("n = 1").select("column", F.col("v").alias("typo"))
+    common = there.filter("n > 1").select("column", F.col("v").alias("suggestion"), "n", "first_row")
+    # Only lengths within two of a frequent text's can hold a typo of it.
+    sizes = common.select("column", F.explode(F.sequence(F.length("suggestion") - 2, F.length("suggestion") + 2)).alias("size")).distinct()
+    perhaps = rare.withColumn("size", F.length("typo")).join(sizes, ["column", "size"], "left_semi").select("column", "typo")
+    near = close_pairs(perhaps, common, "typo", "suggestion")
+    best = near.filter((F.col("edits") > 0) & (F.col("edits") < F.floor(F.octet_length("typo") / 2))).groupBy("column", "typo").agg(F.max_by(F.struct("suggestion", "n"), F.struct("n", -F.col("first_row"))).alias("b"))
     return best.select("column", "typo", "b.suggestion", "b.n")
 
 
@@ -211,24 +207,32 @@ def id_shapes(values: DataFrame, columns: list[str], total: int) -> DataFrame:
     return observation(found, "inconsistency", "warning", "regex_pattern_validator", total, confidence=ID_SHAPE)
 
 
-def late_start(rows: DataFrame, start: str, end: str, total: int) -> DataFrame:
-    """Rows whose start date is after the end date, as text; empty cells are left out."""
+def starts_late(start: str, end: str) -> Column:
+    """Whether a start date is after the end date, as text; empty cells are left out."""
 
     def plain(c: str) -> Column:
         v = trim(F.col(f"`{c}`"))
         us = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})\z"
         return F.when(v.rlike(us), F.concat_ws("-", F.regexp_extract(v, us, 3), F.lpad(F.regexp_extract(v, us, 1), 2, "0"), F.lpad(F.regexp_extract(v, us, 2), 2, "0"))).otherwise(v)
 
-    found = rows.agg(F.count_if((plain(start) != "") & (plain(end) != "") & (plain(start) > plain(end))).alias("occurrences")).withColumn("column", F.lit(f"{start} vs {end}"))
+    return (plain(start) != "") & (plain(end) != "") & (plain(start) > plain(end))
+
+
+def late_start(rows: DataFrame, start: str, end: str, total: int) -> DataFrame:
+    found = rows.agg(F.count_if(starts_late(start, end)).alias("occurrences")).withColumn("column", F.lit(f"{start} vs {end}"))
     return observation(_some(found), "cross_column_inconsistency", "warning", "cross_column_validator", total)
 
 
-def wrong_bmi(rows: DataFrame, bmi: str, weight: str, height: str, total: int) -> DataFrame:
-    """Rows whose body mass index is over 10 % off; heights above 3 are in centimetres."""
+def bmi_is_off(bmi: str, weight: str, height: str) -> Column:
+    """Whether a body mass index is over 10 % off; heights above 3 are in centimetres."""
     b, w, h = (as_number(trim(F.col(f"`{c}`"))) for c in (bmi, weight, height))
     metres = F.when(h > 3, h / 100).otherwise(h)
     own = w / (metres * metres)
-    found = rows.agg(F.count_if((w > 0) & (h > 0) & (F.abs(b - own) / own > 0.1)).alias("occurrences")).withColumn("column", F.lit(bmi))
+    return (w > 0) & (h > 0) & (F.abs(b - own) / own > 0.1)
+
+
+def wrong_bmi(rows: DataFrame, bmi: str, weight: str, height: str, total: int) -> DataFrame:
+    found = rows.agg(F.count_if(bmi_is_off(bmi, weight, height)).alias("occurrences")).withColumn("column", F.lit(bmi))
     return observation(_some(found), "cross_column_inconsistency", "warning", "cross_column_validator", total, confidence=BMI)
 
 
@@ -239,12 +243,15 @@ def small_titles(values: DataFrame, columns: list[str], total: int) -> DataFrame
     return observation(found, "inconsistency", "info", "title_case_validator", total)
 
 
+def signed_degrees(v: Column) -> Column:
+    """A number that may end in the letter of its direction, or null."""
+    number = as_number(F.regexp_replace(v, r"(?i)\s*[nsew]\z", ""))
+    return F.when(v.rlike(r"(?i)[sw]\z"), -number).otherwise(number)
+
+
 def bad_coordinates(values: DataFrame, column: str, limit: float, total: int) -> DataFrame:
     """Values of a latitude (limit 90) or longitude (limit 180) column that are out of range."""
-    v = trim(F.col("value"))
-    number = as_number(F.regexp_replace(v, r"(?i)\s*[nsew]\z", ""))
-    signed = F.when(v.rlike(r"(?i)[sw]\z"), -number).otherwise(number)
-    found = values.filter((F.col("column") == column) & ~F.col("missing") & (F.abs(signed) > limit)).groupBy("column").agg(F.sum("n").alias("occurrences"))
+    found = values.filter((F.col("column") == column) & ~F.col("missing") & (F.abs(signed_degrees(trim(F.col("value")))) > limit)).groupBy("column").agg(F.sum("n").alias("occurrences"))
     return observation(found, "outlier", "error", "coordinate_validator", total)
 
 
@@ -258,14 +265,20 @@ def _degrees(c: Column) -> tuple[Column, Column]:
     return decimal, F.when(decimal.isNull() & (F.size(parts) >= 3), signed)
 
 
+def pair_of_degrees(text: Column) -> tuple[Column, Column, Column, Column]:
+    """Latitude and longitude of a text (null where they can't be read), whether one is written in degrees, minutes and
+    seconds, and whether there are two parts."""
+    pair = F.filter(F.split(text, r"[\p{IsWhite_Space},;]"), lambda x: x != "")
+    (lat, lat_turned), (lon, lon_turned) = (_degrees(F.get(pair, F.lit(k))) for k in (0, 1))
+    return F.coalesce(lat, lat_turned), F.coalesce(lon, lon_turned), lat_turned.isNotNull() | lon_turned.isNotNull(), F.size(pair) == 2
+
+
 def combined_coordinates(values: DataFrame, column: str, total: int) -> DataFrame:
     """Places as one text of a latitude and a longitude: out of range, written in two ways, perhaps swapped, unreadable."""
     text = trim(F.col("value"))
-    pair = F.filter(F.split(text, r"[\p{IsWhite_Space},;]"), lambda x: x != "")
-    there = values.filter((F.col("column") == column) & ~F.col("missing") & ~F.lower(text).isin(NO_PLACE)).select("column", "n", pair.alias("p"))
-    (lat, lat_turned), (lon, lon_turned) = (_degrees(F.get("p", F.lit(k))) for k in (0, 1))
-    two = F.size("p") == 2
-    read = there.select("column", "n", F.when(two, F.coalesce(lat, lat_turned)).alias("lat"), F.when(two, F.coalesce(lon, lon_turned)).alias("lon"), (lat_turned.isNotNull() | lon_turned.isNotNull()).alias("turned"))
+    lat, lon, turned, two = pair_of_degrees(text)
+    there = values.filter((F.col("column") == column) & ~F.col("missing") & ~F.lower(text).isin(NO_PLACE))
+    read = there.select("column", "n", F.when(two, lat).alias("lat"), F.when(two, lon).alias("lon"), turned.alias("turned"))
     known = F.col("lat").isNotNull() & F.col("lon").isNotNull()
     wide, far = F.abs("lat") > 90, F.abs("lon") > 180
 
@@ -281,25 +294,25 @@ def combined_coordinates(values: DataFrame, column: str, total: int) -> DataFram
     return out
 
 
-def _row_key(columns: list[str]) -> Column:
+def row_key(columns: list[str]) -> Column:
     return F.concat_ws("\0", *[F.lower(trim(F.col(f"`{c}`"))) for c in columns])
 
 
 def duplicate_rows(rows: DataFrame, columns: list[str], total: int) -> DataFrame:
-    groups = rows.groupBy(_row_key(columns).alias("k")).agg(F.count("*").alias("n")).filter("n > 1")
+    groups = rows.groupBy(row_key(columns).alias("k")).agg(F.count("*").alias("n")).filter("n > 1")
     found = groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("occurrences")).withColumn("column", F.lit("_table"))
     return observation(_some(found), "duplicate", "error", "duplicate_row_validator", total)
 
 
 def near_duplicate_rows(rows: DataFrame, identifier: str, columns: list[str], total: int) -> DataFrame:
     """Groups of rows that agree on all but their identifiers."""
-    groups = rows.groupBy(_row_key(columns).alias("k")).agg(F.count_distinct(F.lower(trim(F.col(f"`{identifier}`")))).alias("ids")).filter("ids > 1")
+    groups = rows.groupBy(row_key(columns).alias("k")).agg(F.count_distinct(F.lower(trim(F.col(f"`{identifier}`")))).alias("ids")).filter("ids > 1")
     found = groups.agg(F.count("*").alias("occurrences")).withColumn("column", F.lit("_table"))
     return observation(_some(found), "duplicate", "warning", "duplicate_row_validator", total, confidence=NEAR_ROW)
 
 
 def conflicting_identifiers(rows: DataFrame, identifier: str, columns: list[str], total: int) -> DataFrame:
     """Identifiers that stand for more than one content."""
-    groups = rows.groupBy(F.lower(trim(F.col(f"`{identifier}`"))).alias("i")).agg(F.count_distinct(_row_key(columns)).alias("contents")).filter("contents > 1")
+    groups = rows.groupBy(F.lower(trim(F.col(f"`{identifier}`"))).alias("i")).agg(F.count_distinct(row_key(columns)).alias("contents")).filter("contents > 1")
     found = groups.agg(F.count("*").alias("occurrences")).withColumn("column", F.lit(identifier))
     return observation(_some(found), "duplicate", "error", "duplicate_row_validator", total, confidence=ID_CONFLICT)

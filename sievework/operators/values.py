@@ -14,6 +14,12 @@ def to_text(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("_row_id"), *cells)
 
 
+def spread_out(rows: DataFrame) -> DataFrame:
+    """rows over as many partitions as the session works on at once, where a small file gives fewer."""
+    least = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(least) if rows.rdd.getNumPartitions() < least else rows
+
+
 def value_dictionary(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column, value, n, first_row, missing: a row for each distinct text of each column."""
     columns = columns or [c for c in rows.columns if c != "_row_id"]

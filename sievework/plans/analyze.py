@@ -1,126 +1,108 @@
-"""The whole analysis of one table: value dictionary, profile, every check that applies, observations."""
+"""The whole analysis of one table: value dictionary, profile, every check that applies, observations.
+
+Rows are read once: their cells and what the checks of rows ask are grouped together.  The groups are kept for as long as
+the analysis runs.  Then follow one aggregation for the profile, the rounds that find quartiles, and one pass for all
+checks of values.  What comes to the driver has a row for each column and check; observations are few and local.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.operators import samples
+from sievework.functions.text import is_missing
+from sievework.operators import profile, values
 from sievework.operators import validators as V
-from sievework.operators.profile import schema_profile
-from sievework.operators.values import to_text, value_dictionary
+from sievework.plans import checks as K
 from sievework.plans.curation import number_observations
 
-# What columns' names say about the checks that apply.
-DATE_PAIRS = [(["start_date", "start", "begin", "enrollment"], ["end_date", "end", "finish", "completion"]), (["birth", "dob", "date_of_birth"], ["death", "dod", "date_of_death"]), (["admission", "admit"], ["discharge"]), (["diagnosis_date", "dx_date"], ["treatment_date", "tx_date"])]
-ID_PARTS = ["id", "index", "uuid", "guid", "key"]
-ID_NAMES = ["sample_id", "id", "patient_id", "subject_id"]
-SET_VALUES = 20
+OBSERVED = "type string, severity string, column string, detector string, confidence double, occurrences long, share double"
 
 
 @dataclass
 class Analysis:
+    """rows in text form (with the key, where it names rows), their value dictionary, the profile of columns, observations,
+    and what the checks were chosen by."""
+
     rows: DataFrame
     values: DataFrame
     profile: DataFrame
     observations: DataFrame
+    table: K.Table
+    checks: list[K.Check]
+    row_checks: list[K.RowCheck]
 
 
-def _find(columns: list[str], parts: list[str]) -> str | None:
-    """The first column whose name holds the earliest part, so that 'height' is not taken for the 'ht' of 'weight'."""
-    return next((c for p in parts for c in columns if p in c.lower()), None)
-
-
-def _limit(name: str) -> float | None:
-    """90 for a latitude, 180 for a longitude."""
-    n = name.lower()
-    if n.endswith("name") or any(p in n for p in ("_name", "lat_lon", "latlon", "coordinates")):
-        return None
-    if n in ("lat", "latitude") or "_lat" in n or n.startswith("lat_"):
-        return 90
-    return 180 if n in ("lon", "lng", "long", "longitude") or "_lon" in n or "_lng" in n or n.startswith(("lon_", "lng_")) else None
-
+def _seen(check: K.Check | K.RowCheck, label: str, occurrences: int, severity: str, share: float | None = None) -> tuple:
+    certain = V.CONFIDENCE[check.detector] if check.confidence is None else check.confidence
+    return check.kind, severity, label, check.detector, certain, occurrences, share
 
-def _combined(name: str) -> bool:
-    """Whether a column holds latitude and longitude as one text."""
-    n = name.lower()
-    return not n.endswith("name") and "_name" not in n and (any(p in n for p in ("lat_lon", "latlon", "coordinates")) or n in ("geo_loc", "location"))
 
+def _observed(spark: SparkSession, found: list[tuple], total: int) -> DataFrame:
+    share = F.coalesce("share", F.round(F.col("occurrences") * 100.0 / max(total, 1), 4))
+    return number_observations(spark.createDataFrame([f for f in found if f[5] > 0], OBSERVED).withColumn("percentage", share).drop("share"))
 
-def _identifier(columns: list[str], ids: list[str]) -> str | None:
-    named = [c for c in columns if c.lower() in ID_NAMES]
-    first = [c for c in columns[:1] if any(p in c.lower() for p in ("id", "sample", "subject"))]
-    return next(iter([*ids, *named, *first]), None)
 
-
-def _cross_checks(rows: DataFrame, columns: list[str], total: int) -> list[DataFrame]:
-    """Checks of columns with each other, where all of their columns are there."""
+def analyze(df: DataFrame, key: str, checks: list[K.Check] | None = None, row_checks: list[K.RowCheck] | None = None) -> Analysis:
+    """Checks are chosen by names and by the profile, which has a row for each column; `checks` and `row_checks` replace
+    those of the registry."""
+    checks, row_checks = checks or K.CHECKS, row_checks or K.ROW_CHECKS
+    rows = values.to_text(values.spread_out(df), key)
+    columns = [c for c in rows.columns if c != "_row_id"]
+    ids = [c for c in columns if profile.named_role(c) == "identifier"]
+    table = K.Table(columns, ids, K.identifier_of(df.columns, ids))
+    if table.identifier == key:
+        rows = rows.withColumn(key, F.col("_row_id").cast("string"))
+    spark = df.sparkSession
+    groups = K.grouped(K.entries(rows, table, row_checks))
+    held = groups.persist()
+    try:
+        dictionary = held.filter("check = ''").select("column", "value", "n", "first_row").withColumn("missing", is_missing(F.col("value")))
+        profiled = profile.schema_profile(dictionary)
+        table.profile = {r["column"]: r for r in profiled.collect()}
+        table.total = max((p["count"] for p in table.profile.values()), default=0)
+        found = _rows_checked(held, table, row_checks) + _values_checked(dictionary, table, checks)
+        schema = profiled.schema
+    finally:
+        held.unpersist()
+    plain = groups.filter("check = ''").select("column", "value", "n", "first_row").withColumn("missing", is_missing(F.col("value")))
+    return Analysis(rows, plain, spark.createDataFrame(list(table.profile.values()), schema), _observed(spark, found, table.total), table, checks, row_checks)
+
+
+def _rows_checked(groups: DataFrame, table: K.Table, row_checks: list[K.RowCheck]) -> list[tuple]:
+    n = F.col("n")
+    sums = groups.filter("check <> ''").groupBy("check", "column").agg(F.count("*").alias("groups"), F.sum(n).alias("total"), F.max(n).alias("most"), F.sum(F.when(F.col("differs"), 1).otherwise(0)).alias("spelled"), F.sum(n - 1).alias("repeated"))
+    got = {(r.check, r["column"]): K.Tally(*r[2:]) for r in sums.collect()}
+    return [_seen(c, label, *f) for c in row_checks for label in c.columns(table) if (c.name, label) in got for f in c.findings(got[c.name, label], table, label)]
+
+
+def _values_checked(dictionary: DataFrame, table: K.Table, checks: list[K.Check]) -> list[tuple]:
+    few = [c for c in table.profile if table.profile[c].semantic_type in ("categorical", "binary") and 0 < table.profile[c].unique_count <= K.SET_VALUES]
+    for r in dictionary.filter(F.col("column").isin(few) & ~F.col("missing")).select("column", "value").collect() if few else []:  # SET_VALUES a column
+        table.sets.setdefault(r["column"], []).append(r.value)
+    numeric = [c for c in table.of_type("integer", "float") if table.profile[c].low is not None]
+    table.bounds = V.iqr_bounds(dictionary, numeric) if numeric else {}
+    by_check = K.tallies(K.groups_of(K.spread(dictionary, table, checks)))
+    wrong = V.typo_pairs(dictionary, [c for c in table.of_type("string") if c not in table.ids]).groupBy("column").agg(F.count("*").alias("total"))
+    zero = F.lit(0).cast("long")
+    both = by_check.unionByName(wrong.select(F.lit("typo").alias("check"), F.col("column").alias("label"), F.col("total").alias("groups"), "total", zero.alias("most"), zero.alias("spelled"), zero.alias("repeated")))
+    by_name = {c.name: c for c in checks}
     found = []
-    for check, *parts in [
-        *[(V.late_start, *pair) for pair in DATE_PAIRS],
-        (V.wrong_bmi, ["bmi"], ["weight", "wt"], ["height", "ht"]),
-        (samples.pregnant_males, ["sex", "gender"], ["pregnant", "pregnancy"]),
-        (samples.young_patients, ["age"], ["diagnosis", "dx", "condition"]),
-    ]:
-        own = [_find(columns, p) for p in parts]
-        if None not in own and len(set(own)) == len(own):
-            found.append(check(rows, *own, total))
+    for r in both.collect():
+        tally = K.Tally(*r[2:])
+        if r.check == "typo":
+            found.append(("inconsistency", "warning", r.label, "typo_validator", V.CONFIDENCE["typo_validator"], tally.total, None))
+        else:
+            check = by_name[r.check]
+            found += [_seen(check, r.label, *f, share=check.percentage) for f in check.findings(tally, table, r.label)]
+    for c, p in table.profile.items():
+        if p["count"] and table.share(p.null_count) >= 5:
+            found.append(("completeness", "error" if table.share(p.null_count) >= 20 else "warning", c, "completeness_validator", V.CONFIDENCE["completeness_validator"], p.null_count, None))
     return found
 
 
-def analyze(df: DataFrame, key: str) -> Analysis:
-    """Checks are chosen by the profile, which has one row for each column and is brought to the driver once."""
-    rows = to_text(df, key)
-    columns = [c for c in rows.columns if c != "_row_id"]
-    values = value_dictionary(rows).persist()
-    profile = schema_profile(rows, values).persist()
-    known = {r["column"]: r for r in profile.collect()}
-    total = rows.count()
-    types = {c: known[c].inferred_type or "string" for c in columns if c in known}
-    text = [c for c, t in types.items() if t == "string"]
-    ids = [c for c in columns if c in known and known[c].semantic_role == "identifier"]
-    found = [
-        V.completeness(values, total),
-        V.negative_values(values, total),
-        V.missing_patterns(values, total),
-        V.case_variants(values, text, total),
-        V.synonyms(values, text, total),
-        V.typos(values, [c for c in text if c not in ids], total),
-        V.small_titles(values, columns, total),
-        V.name_patterns(values, text, total),
-        V.id_shapes(values, ids, total),
-        V.duplicate_identifiers(values, [c for c in ids if not known[c].is_unique], total),
-        V.duplicate_rows(rows, columns, total),
-    ]
-    if types:
-        found.append(V.type_mismatch(values, types, total))
-    numeric = [c for c, t in types.items() if t in ("integer", "float")]
-    ranges = {c: (known[c].low, known[c].high) for c in numeric if known[c].low is not None}
-    if ranges:
-        found += [V.out_of_range(values, ranges, total), V.iqr_values(values, list(ranges), total)]
-    few = [c for c in types if known[c].semantic_type in ("categorical", "binary") and 0 < known[c].unique_count <= SET_VALUES]
-    sets: dict[str, list[str]] = {}
-    for r in values.filter(F.col("column").isin(few) & ~F.col("missing")).select("column", "value").collect():  # SET_VALUES a column
-        sets.setdefault(r["column"], []).append(r.value)
-    if sets:
-        found += [V.not_in_set(values, sets, total), V.inconsistent_case(values, sets, total)]
-    spelled = samples.many_booleans(values, [c for c, t in types.items() if t == "boolean"]).withColumnRenamed("spellings", "occurrences")
-    found.append(V.observation(spelled, "inconsistency", "warning", "consistency_validator", total).withColumn("confidence", F.lit(0.92)))
-    found.append(V.mixed_dates(values, [c for c, t in types.items() if t == "date"], total))
-    found += [V.bad_coordinates(values, c, limit, total) for c in columns if (limit := _limit(c))]
-    found += [V.combined_coordinates(values, c, total) for c in columns if _combined(c)]
-    found += _cross_checks(rows, columns, total)
-    own = _identifier(df.columns, ids)
-    content = [c for c in columns if not any(p in c.lower() for p in ID_PARTS)]
-    if own and content:
-        named = rows.withColumn(key, F.col("_row_id").cast("string"))
-        found += [V.near_duplicate_rows(named, own, content, total), V.conflicting_identifiers(named, own, content, total)]
-    return Analysis(rows, values, profile, number_observations(reduce(DataFrame.unionByName, found)))
-
-
 def quality_report(df: DataFrame, key: str) -> DataFrame:
     """observation_id, type, severity, column, detector, occurrences, percentage of a table."""
     return analyze(df, key).observations.select("observation_id", "type", "severity", F.col("column"), "detector", "occurrences", "percentage")

@@ -209,7 +209,43 @@ def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("audit_columns", _audited, f"WITH dirty AS ({DIRTY_ORDERS}), x AS (SELECT order_id, price AS old, {_PRICE} AS price FROM dirty) SELECT order_id, price, CASE WHEN old <> price THEN 'price=' || price END AS _modified, CASE WHEN old <> price THEN 'price=' || old END AS _original, CASE WHEN old <> price THEN 'price=coerce' END AS _reason FROM x")
 _add("page_slice", lambda s, d: _table(s, d, "orders").orderBy("o_orderkey").offset(200).limit(100).select("o_orderkey", "o_orderstatus"), "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 200")
 _add("windowed_rates", lambda s, d: windowed_rates(_table(s, d, "events"), 1.0, 50.0), "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, count(*) FILTER (value IS NULL) AS n_missing, count(*) FILTER (value < 1 OR value > 50) AS n_outside FROM events GROUP BY 1, 2")
-_add("quality_report", lambda s, d: quality_report(s.sql(DIRTY_ORDERS.replace("FROM orders", "FROM {o}"), o=_table(s, d, "orders")), "order_id"))
+
+
+def _report_sql() -> str:
+    """Every check that the dirty orders call for, by hand: which columns are numbers, texts, sets and dates is known."""
+    words, few = "c IN ('status', 'priority', 'answer', 'url', 'treatment', 'customer_code')", "c IN ('status', 'priority', 'answer', 'treatment')"
+    error, warning, info = "'error'", "'warning'", "'info'"
+    pattern = r"^https?://[^\s]+$"
+    content = ", ".join(f"lower(trim({c}))" for c in TEXT)
+    far = f"SELECT d.c, sum(d.n) AS o FROM d JOIN q ON q.c = d.c WHERE NOT missing AND ({_NUM} < q1 - 1.5 * (q3 - q1) OR {_NUM} > q3 + 1.5 * (q3 - q1)) GROUP BY d.c"
+    pieces = [
+        _obs("outlier", error, "coordinate_validator", "SELECT c, sum(n) AS o FROM d WHERE c = 'latitude' AND abs(CAST(regexp_replace(trim(v), '\\s*[NSEW]$', '') AS DOUBLE)) > 90 GROUP BY c"),
+        _obs("outlier", error, "statistical_outlier_validator", f"SELECT c, sum(n) AS o FROM d WHERE c = 'price' AND NOT missing AND {_NUM} < 0 GROUP BY c", "0.95"),
+        _obs("outlier", "CASE WHEN o > 1 THEN 'warning' ELSE 'info' END", "statistical_outlier_validator", far),
+        _obs("outlier", info, "range_validator", f"SELECT d.c, sum(d.n) AS o FROM d JOIN q ON q.c = d.c WHERE NOT missing AND ({_NUM} < low OR {_NUM} > high) GROUP BY d.c"),
+        _obs("type_mismatch", "CASE WHEN o * 100.0 / total > 10 THEN 'error' ELSE 'warning' END", "type_validator", f"SELECT c, sum(n) AS o FROM d WHERE c IN ('price', 'latitude') AND NOT missing AND NOT regexp_matches(trim(v), '{_NUMBER}') GROUP BY c"),
+        _obs("completeness", "CASE WHEN o * 100.0 / total >= 20 THEN 'error' ELSE 'warning' END", "completeness_validator", "SELECT c, sum(n) AS o FROM d, t WHERE missing GROUP BY c, total HAVING sum(n) * 100.0 / total >= 5"),
+        _obs("missing_pattern", warning, "missing_pattern_validator", "SELECT c || '=' || lower(trim(v)) AS c, sum(n) AS o FROM d WHERE lower(trim(v)) IN ('missing','unknown','not available','not recorded','n.a.','n.a','na.','#n/a','#null','undefined','-999','-9999','999','9999') GROUP BY 1 HAVING sum(n) >= 2"),
+        _obs("inconsistency", warning, "case_variant_validator", f"SELECT c, sum(n) AS o FROM (SELECT c, lower(trim(v)) AS g, count(DISTINCT trim(v)) AS k, sum(n) AS n FROM d WHERE NOT missing AND {words} GROUP BY 1, 2) WHERE k > 1 GROUP BY c"),
+        _obs("inconsistency", warning, "semantic_equivalence_validator", f"SELECT c, sum(n) AS o FROM (SELECT c, canonical, count(DISTINCT v) AS k, sum(n) AS n FROM d JOIN y ON lower(trim(v)) = term WHERE NOT missing AND {words} GROUP BY 1, 2) WHERE k > 1 GROUP BY c"),
+        _obs("inconsistency", warning, "typo_validator", f"SELECT c, count(*) AS o FROM ({_CLOSE}) WHERE {words} GROUP BY c"),
+        _obs("inconsistency", info, "title_case_validator", "SELECT c, sum(n) AS o FROM d WHERE c = 'treatment' AND NOT missing AND regexp_matches(v, '^[a-z]') GROUP BY c"),
+        _obs("inconsistency", warning, "consistency_validator", f"SELECT c, count(DISTINCT trim(v)) AS o FROM d WHERE NOT missing AND {few} AND NOT EXISTS (SELECT 1 FROM d e WHERE e.c = d.c AND NOT e.missing AND e.v = trim(d.v)) AND EXISTS (SELECT 1 FROM d e WHERE e.c = d.c AND NOT e.missing AND lower(e.v) = lower(trim(d.v))) GROUP BY c"),
+        _obs("constraint_violation", warning, "set_validator", f"SELECT c, sum(n) AS o FROM d WHERE NOT missing AND {few} AND NOT EXISTS (SELECT 1 FROM d e WHERE e.c = d.c AND NOT e.missing AND e.v = trim(d.v)) GROUP BY c"),
+        _obs("pattern_violation", "CASE WHEN o * 100.0 / there > 10 THEN 'warning' ELSE 'info' END", "regex_pattern_validator", f"SELECT c, sum(CASE WHEN regexp_matches(trim(v), '{pattern}') THEN 0 ELSE n END) AS o, sum(n) AS there FROM d WHERE c = 'url' AND NOT missing GROUP BY c HAVING o > 0 AND o * 2 <= there"),
+        _obs("duplicate", error, "duplicate_row_validator", f"SELECT '_table' AS c, sum(n - 1) AS o FROM (SELECT count(*) AS n FROM dirty GROUP BY {content}) HAVING sum(n - 1) > 0"),
+        _obs("duplicate", warning, "duplicate_row_validator", f"SELECT '_table' AS c, count(*) AS o FROM (SELECT 1 FROM dirty GROUP BY {content} HAVING count(DISTINCT order_id) > 1) HAVING count(*) > 0", "0.85"),
+        _obs("inconsistency", warning, "date_format_validator", f"SELECT c, sum(n) AS o FROM (SELECT c, {_WAY} AS way, sum(n) AS n FROM d WHERE c = 'order_date' AND NOT missing GROUP BY 1, 2) WHERE way IS NOT NULL GROUP BY c HAVING count(*) > 1").replace("round(o * CAST(100 AS DOUBLE) / total, 4)", "CAST(100 AS DOUBLE)"),
+    ]
+    ranked = "r AS (SELECT c, x, n, sum(n) OVER (PARTITION BY c ORDER BY x) AS upto, sum(n) OVER (PARTITION BY c) AS all_n FROM (SELECT c, CAST(v AS DOUBLE) AS x, sum(n) AS n FROM d WHERE c IN ('price', 'latitude') AND NOT missing AND regexp_matches(v, '" + _NUMBER + "') GROUP BY 1, 2))"
+    at = lambda p: f"min(CASE WHEN upto > floor({p} * (all_n - 1) + 0.5) THEN x END)"
+    quartiles = f"q AS (SELECT c, {at(0.25)} AS q1, {at(0.75)} AS q3, min(x) AS low, max(x) AS high FROM r GROUP BY c)"
+    union = " UNION ALL ".join(f"(SELECT type, severity, \"column\", detector, occurrences, percentage FROM ({p}))" for p in pieces)
+    order = "CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, detector, \"column\", type, occurrences"
+    return _d(TEXT) + f", {ranked}, {quartiles}, y(term, canonical) AS (VALUES {_SYN_ROWS}) SELECT row_number() OVER (ORDER BY {order}) AS observation_id, * FROM ({union})"
+
+
+_add("quality_report", lambda s, d: quality_report(s.sql(DIRTY_ORDERS.replace("FROM orders", "FROM {o}"), o=_table(s, d, "orders")), "order_id"), _report_sql())
 
 
 # sample tables
