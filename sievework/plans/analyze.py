@@ -18,7 +18,7 @@ from sievework.operators import validators as V
 from sievework.plans import checks as K
 from sievework.plans.curation import number_observations
 
-OBSERVED = "type string, severity string, column string, detector string, confidence double, occurrences long, share double"
+OBSERVED = "check string, type string, severity string, column string, detector string, confidence double, occurrences long, share double"
 
 
 @dataclass
@@ -37,12 +37,12 @@ class Analysis:
 
 def _seen(check: K.Check | K.RowCheck, label: str, occurrences: int, severity: str, share: float | None = None) -> tuple:
     certain = V.CONFIDENCE[check.detector] if check.confidence is None else check.confidence
-    return check.kind, severity, label, check.detector, certain, occurrences, share
+    return check.name, check.kind, severity, label, check.detector, certain, occurrences, share
 
 
 def _observed(spark: SparkSession, found: list[tuple], total: int) -> DataFrame:
     share = F.coalesce("share", F.round(F.col("occurrences") * 100.0 / max(total, 1), 4))
-    return number_observations(spark.createDataFrame([f for f in found if f[5] > 0], OBSERVED).withColumn("percentage", share).drop("share"))
+    return number_observations(spark.createDataFrame([f for f in found if f[6] > 0], OBSERVED).withColumn("percentage", share).drop("share"))
 
 
 def analyze(df: DataFrame, key: str, checks: list[K.Check] | None = None, row_checks: list[K.RowCheck] | None = None) -> Analysis:
@@ -93,13 +93,13 @@ def _values_checked(dictionary: DataFrame, table: K.Table, checks: list[K.Check]
     for r in both.collect():
         tally = K.Tally(*r[2:])
         if r.check == "typo":
-            found.append(("inconsistency", "warning", r.label, "typo_validator", V.CONFIDENCE["typo_validator"], tally.total, None))
+            found.append(("typo", "inconsistency", "warning", r.label, "typo_validator", V.CONFIDENCE["typo_validator"], tally.total, None))
         else:
             check = by_name[r.check]
             found += [_seen(check, r.label, *f, share=check.percentage) for f in check.findings(tally, table, r.label)]
     for c, p in table.profile.items():
         if p["count"] and table.share(p.null_count) >= 5:
-            found.append(("completeness", "error" if table.share(p.null_count) >= 20 else "warning", c, "completeness_validator", V.CONFIDENCE["completeness_validator"], p.null_count, None))
+            found.append(("completeness", "completeness", "error" if table.share(p.null_count) >= 20 else "warning", c, "completeness_validator", V.CONFIDENCE["completeness_validator"], p.null_count, None))
     return found
 
 

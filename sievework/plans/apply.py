@@ -61,7 +61,12 @@ def resolved(decided: DataFrame, suggested: DataFrame, observations: DataFrame)
     stray = [r.observation_id for r in lost.limit(5).collect()]
     if stray:
         raise ValueError(f"no suggestion or observation for {stray}")
-    return decided.select("observation_id", "status").join(parameters(suggested, observations), "observation_id")
+    joined = decided.join(parameters(suggested, observations), "observation_id")
+    if "changed" not in decided.columns:
+        return joined.withColumn("kind", F.lit(None).cast("string"))
+    # What a modification says goes before what was suggested.
+    own = {c: F.coalesce(F.col("changed")[c], F.col(c)).alias(c) for c in ("flag_column", "flag_value", "pattern")}
+    return joined.select(*[own.get(c, F.col(c)) for c in joined.columns if c != "changed"], F.col("changed")["kind"].alias("kind"))
 
 
 def preview(decided: DataFrame, suggested: DataFrame, observations: DataFrame) -> DataFrame:
@@ -96,32 +101,47 @@ def _fault(kind: str, c: Column, expected: str | None) -> Column | None:
     return {"outlier": F.coalesce(as_number(trim(c)) < 0, F.lit(False)), "completeness": is_missing(c)}.get(kind)
 
 
-def apply_decided(rows: DataFrame, plan: DataFrame, mapping: DataFrame, types: dict[str, str]) -> Curated:
+def _changed(step, decision_changes: DataFrame | None) -> DataFrame | None:
+    """The mapping of a decision that was modified, if it has its own."""
+    return None if decision_changes is None or step.status != decisions.MODIFIED else decision_changes.filter(F.col("observation_id") == step.observation_id)
+
+
+def apply_decided(rows: DataFrame, plan: DataFrame, mapping: DataFrame, types: dict[str, str], marks: dict[int, str] | None = None, changes_of: DataFrame | None = None) -> Curated:
     """The rows after all accepted decisions of plan (from resolved), by priority, then observation, each step seeing what
     those before did, and the audit: _row_id, step, column, original, new, reason.  Coercions change the cells that fail
-    their type only.  Flags are set where the cell tells the fault (type, negative number, missing); others, and
-    decisions on columns that are not there, change nothing.  Columns whose names start with __step are refused."""
+    their type only.  `marks` names, by observation, columns of rows that say which rows it is about (from
+    plans.evidence.marked); they go, and each flag is set on its rows.  Without marks flags are set where the cell tells
+    the fault (type, negative number, missing).  A modified decision takes its mapping from changes_of (observation_id,
+    value, new) and its other parameters from the plan.  Decisions on columns that are not there change nothing.  Columns
+    whose names start with __step are refused."""
+    marks = marks or {}
     if any(c.startswith(PREFIX) for c in rows.columns):
         raise ValueError(f"columns may not start with {PREFIX}")
     accepted = plan.filter(F.col("status").isin(decisions.ACCEPTED, decisions.MODIFIED))
     out, changes = rows, []
     for k, step in enumerate(accepted.orderBy("priority", "observation_id").collect()):  # a row for each decision
+        if step.action == "flag" and step.observation_id in marks:
+            old = F.col(f"`{step.flag_column}`") if step.flag_column in out.columns else F.lit("")
+            out = out.withColumn(step.flag_column, F.when(F.col(f"`{marks[step.observation_id]}`"), step.flag_value).otherwise(old))
+            continue
         if step.target not in rows.columns:
             continue
-        c, fault = F.col(f"`{step.target}`"), _fault(step.type, F.col(f"`{step.target}`"), types.get(step.target))
+        kind = step.kind or types.get(step.target)
+        c, fault = F.col(f"`{step.target}`"), _fault(step.type, F.col(f"`{step.target}`"), kind)
         if step.action == "flag":
             if step.flag_column and fault is not None:
                 old = F.col(f"`{step.flag_column}`") if step.flag_column in out.columns else F.lit("")
                 out = out.withColumn(step.flag_column, F.when(fault, step.flag_value).otherwise(old))
             continue
         if step.action == "standardize":
-            own = mapping.filter((F.col("column") == step.target) & (F.col("detector") == step.detector)).select(F.col("value").alias(f"{PREFIX}_v"), F.col("new").alias(f"{PREFIX}_n"))
+            given = _changed(step, changes_of)
+            own = (mapping.filter((F.col("column") == step.target) & (F.col("detector") == step.detector)) if given is None else given).select(F.col("value").alias(f"{PREFIX}_v"), F.col("new").alias(f"{PREFIX}_n"))
             out = out.join(own, c == F.col(f"{PREFIX}_v"), "left")
             new = F.coalesce(F.col(f"{PREFIX}_n"), c)
         elif step.action == "convert_na":
             new = curation.convert_na(c, [step.pattern])
         elif step.action == "coerce" and fault is not None:
-            new = F.when(fault, curation.coerce(c, types[step.target])).otherwise(c)
+            new = F.when(fault, curation.coerce(c, kind)).otherwise(c)
         elif step.action == "convert_date":
             new = iso_date(c)
         else:
@@ -132,8 +152,8 @@ def apply_decided(rows: DataFrame, plan: DataFrame, mapping: DataFrame, types: d
         out = out.withColumn(changes[-1], change).withColumn(step.target, F.col(f"{PREFIX}_new")).drop(f"{PREFIX}_new", f"{PREFIX}_v", f"{PREFIX}_n")
     if not changes:
         none = rows.sparkSession.createDataFrame([], "_row_id long, step int, column string, original string, new string, reason string")
-        return Curated(out, none)
-    return Curated(out.drop(*changes), out.select("_row_id", F.inline(F.array_compact(F.array(*changes)))))
+        return Curated(out.drop(*marks.values()), none)
+    return Curated(out.drop(*changes, *marks.values()), out.select("_row_id", F.inline(F.array_compact(F.array(*changes)))))
 
 
 def change_log(audit: DataFrame) -> DataFrame:

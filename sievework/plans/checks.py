@@ -83,6 +83,8 @@ class Check:
     part: str | None = None
     missing: bool = False
     percentage: float | None = None
+    #: Which groups it is about: those of more than one spelling, of more than one row, or all but the largest.
+    group: str | None = None
 
 
 @dataclass(frozen=True)
@@ -192,12 +194,12 @@ def _place(part: str, kind: str, severity: str, confidence: float | None = None)
 CHECKS: list[Check] = [
     Check("negative", "statistical_outlier_validator", "outlier", lambda t: _each(c for c in t.columns if any_contains(c, V.NON_NEGATIVE)), lambda _: as_number(F.col("text")) < 0, _some("error"), confidence=V.NEGATIVE),
     Check("missing_pattern", "missing_pattern_validator", "missing_pattern", lambda t: _each(t.columns), lambda _: F.col("small").isin(MISSING_PATTERNS), lambda t, table, c: [(t.total, "warning")] if t.total >= 2 else [], part="small", missing=True),
-    Check("case_variant", "case_variant_validator", "inconsistency", lambda t: _each(t.of_type("string")), lambda _: F.lit(True), _rule("spelled", "warning"), lambda _: F.col("small")),
-    Check("synonym", "semantic_equivalence_validator", "inconsistency", lambda t: _each(t.of_type("string")), lambda _: _canonical().isNotNull(), _rule("spelled", "warning"), lambda _: _canonical(), "value"),
+    Check("case_variant", "case_variant_validator", "inconsistency", lambda t: _each(t.of_type("string")), lambda _: F.lit(True), _rule("spelled", "warning"), lambda _: F.col("small"), group="spelled"),
+    Check("synonym", "semantic_equivalence_validator", "inconsistency", lambda t: _each(t.of_type("string")), lambda _: _canonical().isNotNull(), _rule("spelled", "warning"), lambda _: _canonical(), "value", group="spelled"),
     Check("title_case", "title_case_validator", "inconsistency", lambda t: _each(c for c in t.columns if any_contains(c, V.TITLE_NAMES)), lambda _: F.col("value").rlike("^[a-z]"), _some("info")),
     Check("name_pattern", "regex_pattern_validator", "pattern_violation", _patterns, lambda p: ~F.col("text").rlike(p), _broken),
-    Check("id_shape", "regex_pattern_validator", "inconsistency", lambda t: _each(c for c in t.ids if c in t.profile), lambda _: F.lit(True), _minority, lambda _: shape(F.col("text")), confidence=V.ID_SHAPE),
-    Check("identifier", "identifier_duplicate_validator", "duplicate", lambda t: _each(c for c in t.ids if c in t.profile and not t.profile[c].is_unique), lambda _: F.lit(True), _rule("repeated", "error"), lambda _: F.col("text")),
+    Check("id_shape", "regex_pattern_validator", "inconsistency", lambda t: _each(c for c in t.ids if c in t.profile), lambda _: F.lit(True), _minority, lambda _: shape(F.col("text")), confidence=V.ID_SHAPE, group="minority"),
+    Check("identifier", "identifier_duplicate_validator", "duplicate", lambda t: _each(c for c in t.ids if c in t.profile and not t.profile[c].is_unique), lambda _: F.lit(True), _rule("repeated", "error"), lambda _: F.col("text"), group="repeated"),
     Check("type", "type_validator", "type_mismatch", lambda t: {c: k for k in ("integer", "float", "boolean") for c in t.of_type(k)}, lambda kind: ~parses_as(F.col("value"), F.lit(kind)), lambda t, table, c: [(t.total, "error" if t.total * 100.0 / table.total > 10 else "warning")]),
     Check("range", "range_validator", "outlier", _numeric, _outside, _some("info")),
     Check("quartile", "statistical_outlier_validator", "outlier", lambda t: t.bounds, _outside, lambda t, table, c: [(t.total, "warning" if t.total > 1 else "info")]),

@@ -28,7 +28,7 @@ def decide(suggested: DataFrame, decisions: DataFrame | None, status: str, actio
     new = suggested.filter(wanted).select("observation_id", F.lit(status).alias("status"))
     if decisions is None:
         return new
-    return decisions.unionByName(new.join(decisions.select("observation_id"), "observation_id", "left_anti"))
+    return decisions.unionByName(new.join(decisions.select("observation_id"), "observation_id", "left_anti"), allowMissingColumns=True)
 
 
 def decide_one(suggested: DataFrame, decisions: DataFrame | None, observation_id: int, status: str) -> DataFrame:
@@ -41,6 +41,22 @@ def decide_one(suggested: DataFrame, decisions: DataFrame | None, observation_id
     return decide(own, decisions, status)
 
 
+#: What a modification may say of a suggestion: where and how a flag is set, which text is missing, what cells become.
+CHANGES = ("flag_column", "flag_value", "pattern", "kind")
+
+
+def modify(suggested: DataFrame, decisions: DataFrame | None, observation_id: int, **changed: str) -> DataFrame:
+    """decisions and one that accepts a suggestion with other parameters (of CHANGES), in a column `changed`; the mapping of a
+    standardization is a table, see plans.apply.apply_decided."""
+    unknown = sorted(set(changed) - set(CHANGES))
+    if unknown:
+        raise ValueError(f"no such parameters: {unknown}")
+    one = decide_one(suggested, decisions if decisions is None else decisions.select("observation_id", "status"), observation_id, MODIFIED).filter(F.col("observation_id") == observation_id)
+    words = [F.lit(x) for kv in changed.items() for x in kv]
+    new = one.withColumn("changed", (F.create_map(*words) if words else F.create_map()).cast("map<string,string>"))
+    return new if decisions is None else decisions.unionByName(new, allowMissingColumns=True)
+
+
 def reset(decisions: DataFrame, observation_ids: list[int]) -> DataFrame:
     return decisions.filter(~F.col("observation_id").isin(observation_ids))
 

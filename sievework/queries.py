@@ -15,8 +15,8 @@ from sievework.functions import text as T
 from sievework.operators import accession, checklist, domain, inference, profile, samples, taxonomy, terms, values
 from sievework.operators import validators as V
 from sievework.operators.values import frequent, to_text, value_dictionary
-from sievework.plans import apply, curation, decisions
-from sievework.plans.analyze import quality_report
+from sievework.plans import apply, curation, decisions, evidence
+from sievework.plans.analyze import Analysis, analyze, quality_report
 from sievework.sources import delimited
 from sievework.streaming.values import windowed_rates
 
@@ -211,6 +211,9 @@ _add("page_slice", lambda s, d: _table(s, d, "orders").orderBy("o_orderkey").off
 _add("windowed_rates", lambda s, d: windowed_rates(_table(s, d, "events"), 1.0, 50.0), "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, count(*) FILTER (value IS NULL) AS n_missing, count(*) FILTER (value < 1 OR value > 50) AS n_outside FROM events GROUP BY 1, 2")
 
 
+_QUARTILES = ""
+
+
 def _report_sql() -> str:
     """Every check that the dirty orders call for, by hand: which columns are numbers, texts, sets and dates is known."""
     words, few = "c IN ('status', 'priority', 'answer', 'url', 'treatment', 'customer_code')", "c IN ('status', 'priority', 'answer', 'treatment')"
@@ -239,15 +242,81 @@ def _report_sql() -> str:
     ]
     ranked = "r AS (SELECT c, x, n, sum(n) OVER (PARTITION BY c ORDER BY x) AS upto, sum(n) OVER (PARTITION BY c) AS all_n FROM (SELECT c, CAST(v AS DOUBLE) AS x, sum(n) AS n FROM d WHERE c IN ('price', 'latitude') AND NOT missing AND regexp_matches(v, '" + _NUMBER + "') GROUP BY 1, 2))"
     at = lambda p: f"min(CASE WHEN upto > floor({p} * (all_n - 1) + 0.5) THEN x END)"
-    quartiles = f"q AS (SELECT c, {at(0.25)} AS q1, {at(0.75)} AS q3, min(x) AS low, max(x) AS high FROM r GROUP BY c)"
+    quartiles = f"q AS MATERIALIZED (SELECT c, {at(0.25)} AS q1, {at(0.75)} AS q3, min(x) AS low, max(x) AS high FROM r GROUP BY c)"
     union = " UNION ALL ".join(f"(SELECT type, severity, \"column\", detector, occurrences, percentage FROM ({p}))" for p in pieces)
     order = "CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, detector, \"column\", type, occurrences"
+    global _QUARTILES
+    _QUARTILES = f"{ranked}, {quartiles}"
     return _d(TEXT) + f", {ranked}, {quartiles}, y(term, canonical) AS (VALUES {_SYN_ROWS}) SELECT row_number() OVER (ORDER BY {order}) AS observation_id, * FROM ({union})"
 
 
 _add("quality_report", lambda s, d: quality_report(s.sql(DIRTY_ORDERS.replace("FROM orders", "FROM {o}"), o=_table(s, d, "orders")), "order_id"), _report_sql())
 
 
+def _analyzed(spark: SparkSession, sf_dir: str) -> Analysis:
+    return analyze(spark.sql(DIRTY_ORDERS.replace("FROM orders", "FROM {o}"), o=_table(spark, sf_dir, "orders")), "order_id")
+
+
+def _about(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows each observation is about, and which."""
+    found = _analyzed(spark, sf_dir)
+    rows = evidence.about(found, found.observations).join(found.observations, "observation_id")
+    return rows.groupBy("detector", "column", "confidence").agg(F.count("*").alias("n"), F.min("_row_id").alias("first_row"), F.sum("_row_id").alias("row_sum"))
+
+
+_WORDS = ["status", "priority", "answer", "url", "treatment", "customer_code"]
+_OUT = lambda c: f"({_NUM.replace('trim(v)', f'trim({c})')} < (SELECT q1 - 1.5 * (q3 - q1) FROM q WHERE c = '{c}') OR {_NUM.replace('trim(v)', f'trim({c})')} > (SELECT q3 + 1.5 * (q3 - q1) FROM q WHERE c = '{c}'))"
+_BAD_LATITUDE = "abs(CAST(regexp_replace(trim(latitude), '\\s*[NSEW]$', '') AS DOUBLE)) > 90"
+_SPELT = "l.v <> '' AND lower(trim(l.v)) NOT IN ('na','n/a','null','none','nil','.','-')"
+_ABOUT = [
+    ("coordinate_validator", "latitude", "0.95", f"SELECT order_id FROM dirty WHERE {_BAD_LATITUDE}"),
+    ("statistical_outlier_validator", "price", "0.95", "SELECT order_id FROM dirty WHERE price = '-5'"),
+    *[("statistical_outlier_validator", c, "0.85", f"SELECT order_id FROM dirty WHERE {_OUT(c)}") for c in ("price", "latitude")],
+    ("type_validator", "price", "0.9", "SELECT order_id FROM dirty WHERE price = 'abc'"),
+    ("type_validator", "latitude", "0.9", "SELECT order_id FROM dirty WHERE latitude = '91 S'"),
+    ("missing_pattern_validator", "status=missing", "0.88", "SELECT order_id FROM dirty WHERE status = 'missing'"),
+    *[("case_variant_validator", c, "0.9", f"SELECT order_id FROM dirty WHERE trim({c}) <> '' AND lower(trim({c})) IN (SELECT lower(trim({c})) FROM dirty GROUP BY 1 HAVING count(DISTINCT trim({c})) > 1)") for c in _WORDS],
+    *[("semantic_equivalence_validator", c, "0.85", f"SELECT order_id FROM (SELECT order_id, min({c}) OVER (PARTITION BY canonical) <> max({c}) OVER (PARTITION BY canonical) AS mixed FROM dirty JOIN y ON lower(trim({c})) = term) WHERE mixed") for c in _WORDS],
+    ("title_case_validator", "treatment", "0.85", "SELECT order_id FROM dirty WHERE treatment = 'aspirin'"),
+    ("regex_pattern_validator", "url", "0.75", "SELECT order_id FROM dirty WHERE url = 'not a link'"),
+    ("date_format_validator", "order_date", "0.9", "SELECT order_id FROM dirty"),
+]
+_ABOUT_WITH = _d(TEXT) + f", {_QUARTILES}, y(term, canonical) AS (VALUES {_SYN_ROWS}) "
+_add("observed_rows", _about, _ABOUT_WITH + " UNION ALL ".join(f"SELECT '{v}' AS detector, '{c}' AS \"column\", CAST({sure} AS DOUBLE) AS confidence, count(*) AS n, min(order_id) AS first_row, CAST(sum(order_id) AS BIGINT) AS row_sum FROM ({sql}) HAVING count(*) > 0" for v, c, sure, sql in _ABOUT))
+
+
+def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dirty orders with the flags that all suggestions to flag set."""
+    found = _analyzed(spark, sf_dir)
+    suggested = curation.suggestions(found.observations).filter("action = 'flag'")
+    plan = apply.resolved(decisions.decide(suggested, None, decisions.ACCEPTED), suggested, found.observations)
+    rows, marks = evidence.marked(found, found.observations.join(suggested.select("observation_id"), "observation_id", "left_semi"))
+    done = apply.apply_decided(rows, plan, apply.mappings(found.values), {}, marks).rows
+    return done.select(F.col("_row_id").alias("order_id"), "price_flagged", "latitude_flagged", "url_invalid_format")
+
+
+_add("flagged_table", _flagged, _ABOUT_WITH + f"SELECT order_id, CASE WHEN coalesce({_OUT('price')}, false) THEN 'outlier' WHEN price = '-5' THEN 'invalid_value' ELSE '' END AS price_flagged, CASE WHEN coalesce({_OUT('latitude')}, false) THEN 'outlier' WHEN {_BAD_LATITUDE} THEN 'invalid_value' ELSE '' END AS latitude_flagged, CASE WHEN url = 'not a link' THEN 'pattern_violation' ELSE '' END AS url_invalid_format FROM dirty")
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First rows of each observation, and the first spellings of the first group where spellings are compared."""
+    found = evidence.evidence(_analyzed(spark, sf_dir)).filter("check in ('case_variant', 'title_case', 'name_pattern', 'missing_pattern')")
+    return found.select("detector", "column", F.array_join("sample_rows", ",").alias("sample_rows"), F.to_json("value_counts").alias("value_counts"))
+
+
+def _first_rows(sql: str) -> str:
+    return f"(SELECT string_agg(order_id::VARCHAR, ',' ORDER BY order_id) FROM (SELECT order_id FROM ({sql}) ORDER BY order_id LIMIT 5))"
+
+
+_KEYED = {"case_variant_validator": "lower(trim({0}))", "title_case_validator": "''", "regex_pattern_validator": "''", "missing_pattern_validator": "''"}
+_PROOF = []
+for _v, _c, _, _sql in _ABOUT:
+    if _v in _KEYED:
+        _own = _c.partition("=")[0]
+        _k = _KEYED[_v].format(_own)
+        _PROOF.append(f"SELECT '{_v}' AS detector, '{_c}' AS \"column\", {_first_rows(_sql)} AS sample_rows, (SELECT '{{' || string_agg('\"' || k || '\":{{' || counts || '}}', ',' ORDER BY k) || '}}' FROM (SELECT k, string_agg('\"' || s || '\":' || n, ',' ORDER BY s) AS counts FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY f, s) AS j FROM (SELECT {_k} AS k, trim({_own}) AS s, count(*) AS n, min(order_id) AS f FROM dirty WHERE order_id IN ({_sql}) GROUP BY 1, 2)) WHERE j <= 5 AND k IN (SELECT k FROM (SELECT {_k} AS k, min(order_id) AS f FROM dirty WHERE order_id IN ({_sql}) GROUP BY 1) ORDER BY f, k LIMIT 5) GROUP BY k)) AS value_counts")
+_add("evidence", _evidence, _ABOUT_WITH + "SELECT * FROM (" + " UNION ALL ".join(_PROOF) + ") WHERE sample_rows IS NOT NULL")
+
 # sample tables
 DIRTY_SAMPLES = """
 SELECT c_custkey AS sample_id, CASE c_custkey % 4 WHEN 0 THEN 'Male' WHEN 1 THEN 'female' WHEN 2 THEN 'M' ELSE 'F' END AS sex,

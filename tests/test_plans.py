@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from sievework.operators import inference, samples
 from sievework.operators.values import value_dictionary
-from sievework.plans import apply, curation, decisions
-from sievework.plans.analyze import quality_report
+from sievework.plans import apply, checks, curation, decisions, evidence
+from sievework.plans.analyze import analyze, quality_report
 from sievework.sources import delimited, ontology
 
 
@@ -144,3 +144,95 @@ def test_inference_of_empty_and_odd_columns(spark):
     found = {r.column: r for r in inference.fused(value_dictionary(rows)).collect()}
     assert found["none"].nullable and found["none"].inferred_type is None and found["none"].constraints == "set"
     assert found["odd"].constraints == "not_null,set,unique"
+
+
+def _visits(spark):
+    rows = [(k, f"S{k:02}", "north", "2024-01-01", "2024-02-01", "5") for k in range(12)]
+    rows[3] = (3, "S02", "north", "2024-01-01", "2024-02-01", "5")  # S02 again, with the same content
+    rows[4] = (4, "S01", "south", "2024-01-01", "2024-02-01", "6")  # S01 again, with another
+    rows[5] = (5, "x-5", "South", "2024-03-01", "2024-02-01", "5")  # another shape, a late start
+    rows[6] = (6, "S06", "north", "2024-01-01", "2024-02-01", "-7")
+    return spark.createDataFrame(rows, "visit long, sample_id string, value string, start_date string, end_date string, count string")
+
+
+def test_rows_that_observations_are_about(spark):
+    found = analyze(_visits(spark), "visit")
+    rows = {}
+    for r in evidence.about(found, found.observations).join(found.observations, "observation_id").collect():
+        rows.setdefault((r.check, r["column"]), set()).add(r._row_id)
+    assert rows["identifier", "sample_id"] == {3, 4}
+    assert rows["same_row", "_table"] == {3}
+    assert rows["near_row", "_table"] == {0, 1, 2, 3, 7, 8, 9, 10, 11}
+    assert rows["id_conflict", "sample_id"] == {1, 4}
+    assert rows["id_shape", "sample_id"] == {5}
+    assert rows["case_variant", "value"] == {4, 5}
+    assert rows["late_start_0", "start_date vs end_date"] == {5}
+    assert rows["negative", "count"] == {6}
+    counted = {r.observation_id: r.n for r in evidence.about(found, found.observations).groupBy("observation_id").agg(F.count("*").alias("n")).collect()}
+    for o in found.observations.filter("check not in ('near_row', 'id_conflict', 'typo')").collect():
+        assert counted[o.observation_id] == o.occurrences, o
+
+
+def test_evidence_of_groups(spark):
+    found = {(r.check, r["column"]): r for r in evidence.evidence(analyze(_visits(spark), "visit")).withColumn("counts", F.to_json("value_counts")).collect()}
+    assert found["case_variant", "value"].counts == '{"south":{"South":1,"south":1}}'
+    assert list(found["case_variant", "value"].sample_rows) == [4, 5]
+    assert list(found["near_row", "_table"].sample_rows) == [0, 1, 2, 3, 7]
+    assert found["same_row", "_table"].value_counts is None
+
+
+def test_flags_of_all_checks(spark):
+    found = analyze(_visits(spark), "visit")
+    suggested = curation.suggestions(found.observations).filter("action = 'flag'")
+    plan = apply.resolved(decisions.decide(suggested, None, decisions.ACCEPTED), suggested, found.observations)
+    rows, marks = evidence.marked(found, found.observations)
+    done = {r._row_id: r for r in apply.apply_decided(rows, plan, apply.mappings(found.values), {}, marks).rows.collect()}
+    assert {k for k, r in done.items() if r._table_duplicate} == {0, 1, 2, 3, 7, 8, 9, 10, 11}
+    assert {k for k, r in done.items() if r.sample_id_duplicate} == {1, 3, 4}
+    assert {k for k, r in done.items() if r.cross_column_issue} == {5}
+    # -7 is negative, but the later flag of quartiles is written over it.
+    assert {k: r.count_flagged for k, r in done.items() if r.count_flagged} == {4: "outlier", 6: "outlier"}
+    assert not [c for c in done[0].asDict() if c.startswith("__")]
+
+
+def test_checks_of_a_user(spark):
+    """A check that is registered runs with the others and marks its rows."""
+    mine = checks.Check("shouted", "consistency_validator", "inconsistency", lambda t: dict.fromkeys(t.of_type("string")), lambda _: F.col("value").rlike("^[A-Z]{3,}"), lambda t, table, c: [(t.total, "info")])
+    df = spark.createDataFrame([(1, "LOUD"), (2, "calm"), (3, "NA"), (4, "LOUDER")], "visit long, word string")
+    found = analyze(df, "visit", [*checks.CHECKS, mine])
+    seen = found.observations.filter("check = 'shouted'")
+    assert [(r["column"], r.occurrences, r.severity) for r in seen.collect()] == [("word", 2, "info")]
+    assert sorted(r._row_id for r in evidence.about(found, seen).collect()) == [1, 4]
+
+
+def test_analysis_of_empty_tables(spark):
+    for kind in ("visit long, sample_id string, price string", "visit long"):
+        found = analyze(spark.createDataFrame([], kind), "visit")
+        assert found.observations.isEmpty()
+        assert evidence.evidence(found).isEmpty() and evidence.about(found, found.observations).isEmpty()
+
+
+def test_clashing_names_of_columns(spark):
+    df = spark.createDataFrame([(k, "a" if k else "A", "x", "y", f"k{k}") for k in range(4)], "visit long, value string, text string, `column` string, check string")
+    found = analyze(df, "visit")
+    seen = found.observations.filter("check = 'case_variant'")
+    assert [(r["column"], r.occurrences) for r in seen.collect()] == [("value", 4)]
+    assert evidence.about(found, seen).count() == 4
+
+
+def test_modified_decisions(spark):
+    rows = spark.createDataFrame([(1, "a", "-5"), (2, "A", "7.9"), (3, "A", "z")], "_row_id long, kind string, price string")
+    observed = spark.createDataFrame([(1, "inconsistency", "warning", "kind", "case_variant_validator", 0.9, 3, 60.0), (2, "outlier", "error", "price", "statistical_outlier_validator", 0.95, 1, 20.0), (3, "type_mismatch", "warning", "price", "type_validator", 0.9, 1, 5.0)], OBSERVED)
+    suggested = curation.suggestions(observed)
+    decided = decisions.modify(suggested, None, 1)
+    decided = decisions.modify(suggested, decided, 2, flag_column="review", flag_value="look")
+    decided = decisions.modify(suggested, decided, 3, kind="integer")
+    with pytest.raises(ValueError):
+        decisions.modify(suggested, decided, 3, kind="float")
+    with pytest.raises(ValueError):
+        decisions.modify(suggested, None, 3, colour="red")
+    plan = apply.resolved(decided, suggested, observed)
+    own = spark.createDataFrame([(1, "a", "alpha"), (1, "A", "alpha"), (9, "A", "other")], "observation_id long, value string, new string")
+    done = apply.apply_decided(rows, plan, apply.mappings(value_dictionary(rows, ["kind"])), {"price": "float"}, changes_of=own)
+    assert sorted(tuple(r) for r in done.rows.collect()) == [(1, "alpha", "-5", "look"), (2, "alpha", "", ""), (3, "alpha", "", "")]
+    assert decisions.progress(suggested, decided).first().n_modified == 3
