@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions.text import trim
+from sievework.operators.nearest import nearest_names
 from sievework.operators.organisms import ORGANISMS
 
 # Common abbreviations.
@@ -52,7 +53,7 @@ def read_dump(spark: SparkSession, names_path: str, nodes_path: str | None = Non
 def match(values: DataFrame, column: str, dictionary: DataFrame | None = None) -> DataFrame:
     """value, n, status (valid, case_error, abbreviation, possible_typo, unknown) and name.  A common name is a
     case error, an abbreviation of a name that is not listed is looked up as it is.  Only distinct values meet the
-    dictionary; names of two edits away differ by at most two characters, so candidates meet on their length."""
+    dictionary; those that it doesn't have walk tries of its names."""
     spark = values.sparkSession
     listed = dictionary if dictionary is not None else names(spark)
     known = keys(listed)
@@ -60,18 +61,14 @@ def match(values: DataFrame, column: str, dictionary: DataFrame | None = None) -
     short = short.join(listed.select(F.col("name").alias("full")), "full", "left_semi")  # others are looked up as they are
     own = values.filter((F.col("column") == column) & ~F.col("missing")).groupBy(trim(F.col("value")).alias("value")).agg(F.sum("n").alias("n")).withColumn("key", F.lower("value"))
     placed = own.join(F.broadcast(short), "key", "left").join(known, "key", "left")
-    left = placed.filter("full is null and name is null").select("value", F.explode(F.sequence(F.length("value") - 2, F.length("value") + 2)).alias("size"))
-    near = left.join(listed.select(F.col("name").alias("near"), F.length("name").alias("size")).distinct(), "size").withColumn("edits", F.levenshtein(F.lower("value"), F.lower("near"), 2)).filter("edits between 1 and 2")
-    best = near.groupBy("value").agg(F.min_by("near", F.struct("edits", "near")).alias("near"))
+    left = placed.filter("full is null and name is null").select("key")
+    best = nearest_names(left, listed, 2).select("key", F.col("name").alias("near"))
     status = F.when(F.col("full").isNotNull(), "abbreviation").when(F.col("name") == F.col("value"), "valid").when(F.col("name").isNotNull(), "case_error").when(F.col("near").isNotNull(), "possible_typo").otherwise("unknown")
-    return placed.join(best, "value", "left").select("value", "n", status.alias("status"), F.coalesce("full", "name", "near").alias("name"))
+    return placed.join(best, "key", "left").select("value", "n", status.alias("status"), F.coalesce("full", "name", "near").alias("name"))
 
 
 def nearest(values: DataFrame, column: str, edits: int = 3, dictionary: DataFrame | None = None) -> DataFrame:
-    """value, name, edits: the nearest known name of each text within some edits, the least name of equals.  Names of so
-    many edits differ in length by no more, so candidates meet on their length."""
+    """value, name, edits: the nearest known name of each text within some edits, the least name of equals."""
     known = dictionary if dictionary is not None else names(values.sparkSession)
-    own = values.filter((F.col("column") == column) & ~F.col("missing")).select(trim(F.col("value")).alias("value")).distinct()
-    sized = own.select("value", F.explode(F.sequence(F.length("value") - edits, F.length("value") + edits)).alias("size"))
-    met = sized.join(known.select("name", F.length("name").alias("size")), "size").withColumn("edits", F.levenshtein(F.lower("value"), F.lower("name"), edits)).filter("edits >= 0")
-    return met.groupBy("value").agg(F.min_by(F.struct("name", "edits"), F.struct("edits", "name")).alias("b")).select("value", "b.name", "b.edits")
+    own = values.filter((F.col("column") == column) & ~F.col("missing")).select(trim(F.col("value")).alias("value")).distinct().withColumn("key", F.lower("value"))
+    return own.join(nearest_names(own, known, edits), "key").select("value", "name", "edits")
