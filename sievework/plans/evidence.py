@@ -108,8 +108,10 @@ def first_groups(analysis: Analysis) -> DataFrame:
     return whole.select("check", F.col("label").alias("column"), F.parse_json(F.to_json("counts")).alias("value_counts"))
 
 
-def evidence(analysis: Analysis) -> DataFrame:
-    """observations with sample_rows (the first rows they are about, in order) and value_counts (VARIANT, or null)."""
-    first = _ranked(about(analysis, analysis.observations), ["observation_id"], ["_row_id"])
+def evidence(analysis: Analysis, observations: DataFrame | None = None) -> DataFrame:
+    """observations (all, or some of the analysis) with sample_rows (the first rows they are about, in order) and
+    value_counts (VARIANT, or null)."""
+    asked = analysis.observations if observations is None else observations
+    first = _ranked(about(analysis, asked), ["observation_id"], ["_row_id"])
     rows = first.groupBy("observation_id").agg(F.array_sort(F.collect_list("_row_id")).alias("sample_rows"))
-    return analysis.observations.join(rows, "observation_id", "left").join(first_groups(analysis), ["check", "column"], "left")
+    return asked.join(rows, "observation_id", "left").join(first_groups(analysis), ["check", "column"], "left")

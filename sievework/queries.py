@@ -15,9 +15,10 @@ from sievework.functions import text as T
 from sievework.operators import accession, checklist, domain, inference, profile, samples, taxonomy, terms, values
 from sievework.operators import validators as V
 from sievework.operators.values import frequent, to_text, value_dictionary
-from sievework.plans import apply, curation, decisions, evidence
+from sievework.plans import apply, curation, decisions, evidence, fallback
 from sievework.plans.analyze import Analysis, analyze, quality_report
-from sievework.sources import delimited
+from sievework.sources import delimited, quoted
+from sievework.sources.shared import new_folder
 from sievework.streaming.values import windowed_rates
 
 _Y, _M, _D = "CAST(year(o_orderdate) AS STRING)", "lpad(CAST(month(o_orderdate) AS STRING), 2, '0')", "lpad(CAST(day(o_orderdate) AS STRING), 2, '0')"
@@ -317,6 +318,33 @@ for _v, _c, _, _sql in _ABOUT:
         _PROOF.append(f"SELECT '{_v}' AS detector, '{_c}' AS \"column\", {_first_rows(_sql)} AS sample_rows, (SELECT '{{' || string_agg('\"' || k || '\":{{' || counts || '}}', ',' ORDER BY k) || '}}' FROM (SELECT k, string_agg('\"' || s || '\":' || n, ',' ORDER BY s) AS counts FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY f, s) AS j FROM (SELECT {_k} AS k, trim({_own}) AS s, count(*) AS n, min(order_id) AS f FROM dirty WHERE order_id IN ({_sql}) GROUP BY 1, 2)) WHERE j <= 5 AND k IN (SELECT k FROM (SELECT {_k} AS k, min(order_id) AS f FROM dirty WHERE order_id IN ({_sql}) GROUP BY 1) ORDER BY f, k LIMIT 5) GROUP BY k)) AS value_counts")
 _add("evidence", _evidence, _ABOUT_WITH + "SELECT * FROM (" + " UNION ALL ".join(_PROOF) + ") WHERE sample_rows IS NOT NULL")
 
+def _fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mappings of standardizations without parameters: of status by evidence, of priority by data, of typos by their text."""
+    found = _analyzed(spark, sf_dir)
+    seen = evidence.evidence(found, found.observations.filter("check = 'case_variant' and column in ('status', 'priority')"))
+    told = seen.select("observation_id", "type", "column", F.lit("Case variants of values").alias("description"), F.when(F.col("column") == "status", F.col("value_counts")).alias("value_counts"))
+    pairs = V.typo_pairs(found.values, ["priority"]).groupBy("column").agg(F.concat(F.lit("Possible typos: "), F.array_join(F.collect_list(F.concat(F.lit("'"), "typo", F.lit("' → '"), "suggestion", F.lit("'"))), ", ")).alias("description"))
+    typos = pairs.select(F.lit(-1).cast("long").alias("observation_id"), F.lit("inconsistency").alias("type"), "column", "description", F.lit(None).cast("variant").alias("value_counts"))
+    asked = told.unionByName(typos)
+    return fallback.fallback_mapping(asked, found.values).join(asked.select("observation_id", "column"), "observation_id").select("column", "value", "new", "source")
+
+
+_SPELLINGS = "SELECT c, lower(trim(v)) AS g, trim(v) AS v, sum(n) AS n, min(first_row) AS f FROM d WHERE NOT missing AND c = '{0}' GROUP BY 1, 2, 3"
+_VARIED = "(SELECT *, count(*) OVER (PARTITION BY g) AS k FROM ({0}))"
+_add("fallback_mapping", _fallback, _d(TEXT) + f"SELECT c AS \"column\", v AS value, new, 'evidence' AS source FROM (SELECT *, first_value(v) OVER (PARTITION BY g ORDER BY n DESC, v) AS new FROM {_VARIED.format(_SPELLINGS.format('status'))} WHERE k > 1) WHERE v <> new UNION ALL SELECT c, v, new, 'data' FROM (SELECT *, first_value(v) OVER (PARTITION BY g ORDER BY n DESC, f DESC) AS new FROM {_VARIED.format(_SPELLINGS.format('priority'))} WHERE k > 1) WHERE v <> new UNION ALL SELECT c, typo, suggestion, 'text' FROM ({_CLOSE}) WHERE c = 'priority'")
+
+
+def _quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as files with quoted cells, line feeds and quotes in them, and read again by blocks."""
+    path = new_folder(spark, "quoted")
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("doc_id", "lang", "source", "text")]
+    _table(spark, sf_dir, "documents").select(*cells).write.option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").csv(path)
+    return quoted.read_quoted(spark, path, ",").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", "text")
+
+
+_add("quoted_rows", _quoted, "SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents")
+
+
 # sample tables
 DIRTY_SAMPLES = """
 SELECT c_custkey AS sample_id, CASE c_custkey % 4 WHEN 0 THEN 'Male' WHEN 1 THEN 'female' WHEN 2 THEN 'M' ELSE 'F' END AS sex,
