@@ -137,6 +137,9 @@ _add("id_shape", _check(["customer_code"], lambda v, n: V.id_shapes(v, ["custome
 _add("title_case", _check(["treatment"], lambda v, n: V.small_titles(v, ["treatment"], n)), _d(["treatment"]) + _obs("inconsistency", "'info'", "title_case_validator", "SELECT c, sum(n) AS o FROM d WHERE NOT missing AND regexp_matches(v, '^[a-z]') GROUP BY c"))
 _add("latitude_range", _check(["latitude"], lambda v, n: V.bad_coordinates(v, "latitude", 90, n)), _d(["latitude"]) + _obs("outlier", "'error'", "coordinate_validator", "SELECT c, sum(n) AS o FROM d WHERE NOT missing AND abs(CAST(regexp_replace(trim(v), '\\s*[NSEW]$', '') AS DOUBLE)) > 90 GROUP BY c"))
 
+_PLACES = DIRTY_ORDERS.replace("'95.5'", "'181.5'").replace("'91 S'", "'190 W'").replace(" AS latitude", " AS longitude")
+_add("longitude_range", _check(["longitude"], lambda v, n: V.bad_coordinates(v, "longitude", 180, n), sql=_PLACES), _d(["longitude"], _PLACES) + _obs("outlier", "'error'", "coordinate_validator", "SELECT c, sum(n) AS o FROM d WHERE v IN ('181.5', '190 W') GROUP BY c"))
+
 # row checks
 _PEOPLE = {"sql": DIRTY_PEOPLE, "source": "customer", "key": "person_id"}
 
@@ -429,16 +432,32 @@ _add("combined_coordinates", _check(["lat_lon"], lambda v, n: V.combined_coordin
     _sites("outlier", "error", "'95.0 10', '12.5,190.25'", "0.95"), _sites("inconsistency", "warning", "'38.9N 77.1W', '95.0 10', '38:58:48;77:06:36', '12.5,190.25', '-12.5 130.25'", "0.85"),
     _sites("inconsistency", "warning", "'95.0 10'", "0.75"), _sites("pattern_violation", "warning", "'here'", "0.80")]))
 _add("packages", lambda s, d: checklist.packages_of_samples(value_dictionary(_dirty(s, d, **_SITES), ["package"]), "package"), _DSITES + "SELECT CASE lower(v) WHEN 'human-gut' THEN 'human-gut' WHEN 'stool' THEN 'human-gut' WHEN 'marine' THEN 'water' ELSE 'plant-associated' END AS package, CAST(sum(n) AS BIGINT) AS n FROM d WHERE c = 'package' AND lower(v) IN ('human-gut', 'stool', 'marine', 'plant associated') GROUP BY 1")
+
+
+def _listed(spark: SparkSession, sf_dir: str, names: list[str], column: str) -> DataFrame:
+    """_row_id and a column in which every customer names one of some things."""
+    pick = F.element_at(F.array(*map(F.lit, names)), (F.col("c_custkey") % len(names) + 1).cast("int"))
+    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("_row_id"), pick.alias(column))
+
+
+def _named(names: list[str], found: str, key: str) -> str:
+    """Rows of a subquery and how many customers name their key."""
+    quoted = ", ".join("'" + n.replace("'", "''") + "'" for n in names)
+    return f"SELECT x.*, named.n FROM ({found}) x JOIN (SELECT list_value({quoted})[c_custkey % {len(names)} + 1] AS v, count(*) AS n FROM customer GROUP BY 1) named ON named.v = x.\"{key}\""
+
+
 _HELD = ["Sample-Date", "lat_lon", "Study Name", "patient_id", "age", "depth", "Country", "weight"]
 
 
-def _held(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(c,) for c in _HELD], "column string")
+def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """column and n: the columns that a table of the parts of samples names."""
+    return _listed(spark, sf_dir, _HELD, "column").groupBy("column").agg(F.count("*").alias("n"))
 
 
-_add("checklist_columns", lambda s, d: checklist.matched(_held(s), "human-gut"), "SELECT * FROM (VALUES ('Sample-Date', 'collection_date', 'mandatory'), ('lat_lon', 'lat_lon', 'mandatory'), ('Study Name', 'project_name', 'mandatory'), ('patient_id', 'host_subject_id', 'mandatory'), ('age', 'host_age', 'recommended'), ('Country', 'geo_loc_name', 'mandatory')) t(\"column\", field, requirement)")
-_add("checklist_compliance", lambda s, d: checklist.compliance(_held(s), "human-gut"), "SELECT CAST(10 AS BIGINT) AS n_mandatory, CAST(5 AS BIGINT) AS n_found, CAST(0.5 AS DOUBLE) AS score")
-_add("checklist_missing", lambda s, d: checklist.missing_fields(_held(s), "soil", _table(s, d, "customer").count()), "WITH t AS (SELECT count(*) AS total FROM customer) " + _obs("completeness", "'error'", "mixs_compliance", "SELECT unnest(['investigation_type', 'env_broad_scale', 'env_local_scale', 'env_medium', 'elev']) AS c, (SELECT total FROM t) AS o"))
+_MATCHED = "SELECT * FROM (VALUES ('Sample-Date', 'collection_date', 'mandatory'), ('lat_lon', 'lat_lon', 'mandatory'), ('Study Name', 'project_name', 'mandatory'), ('patient_id', 'host_subject_id', 'mandatory'), ('age', 'host_age', 'recommended'), ('Country', 'geo_loc_name', 'mandatory')) t(\"column\", field, requirement)"
+_add("checklist_columns", lambda s, d: checklist.matched(h := _held(s, d), "human-gut").join(h, "column"), _named(_HELD, _MATCHED, "column"))
+_add("checklist_compliance", lambda s, d: checklist.compliance(h := _held(s, d), "human-gut").crossJoin(checklist.matched(h, "human-gut").filter("requirement = 'mandatory'").join(h, "column").agg(F.sum("n").alias("rows"))), f"SELECT CAST(10 AS BIGINT) AS n_mandatory, CAST(5 AS BIGINT) AS n_found, CAST(0.5 AS DOUBLE) AS score, CAST(sum(n) AS BIGINT) AS rows FROM ({_named(_HELD, _MATCHED, 'column')}) WHERE requirement = 'mandatory'")
+_add("checklist_missing", lambda s, d: checklist.missing_fields(_held(s, d), "soil", _table(s, d, "customer").count()), "WITH t AS (SELECT count(*) AS total FROM customer) " + _obs("completeness", "'error'", "mixs_compliance", "SELECT unnest(['investigation_type', 'env_broad_scale', 'env_local_scale', 'env_medium', 'elev']) AS c, (SELECT total FROM t) AS o"))
 _add("json_rows", lambda s, d: _dirty(s, d).select("_row_id", delimited.typed_json(["status", "price", "answer"]).alias("json")).withColumnRenamed("_row_id", "order_id"), f"SELECT order_id, '{{\"status\":' || CASE WHEN trim(status) = '' THEN 'null' ELSE '\"' || status || '\"' END || ',\"price\":' || CASE WHEN price = 'n/a' THEN 'null' WHEN price = 'abc' THEN '\"abc\"' ELSE price END || ',\"answer\":\"' || answer || '\"}}' AS json FROM ({DIRTY_ORDERS})")
 
 
@@ -469,11 +488,11 @@ _add("far_values", lambda s, d: inference.far_values(_table(s, d, "events"), "va
 _SCIENCE = ["organism", "host_taxid", "Sample_Species", "order", "env_broad_scale", "my_env_scale_2", "body_site_left", "tissue", "diagnosis", "health_status", "biosample_accession", "sample_accession", "run_accession", "accession", "uniprot", "gene_id", "terror", "price", "age"]
 
 
-def _science(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(c,) for c in _SCIENCE], "column string")
+def _science(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listed(spark, sf_dir, _SCIENCE, "column").groupBy("column").agg(F.count("*").alias("n"))
 
 
-_add("column_kinds", lambda s, d: _science(s).select("column", domain.holds_organisms(F.col("column")).alias("organisms"), domain.ontology_of(F.col("column")).alias("ontology"), domain.accession_of(F.col("column")).alias("accession")), "SELECT * FROM (VALUES ('organism', true, NULL, NULL), ('host_taxid', true, NULL, NULL), ('Sample_Species', true, NULL, NULL), ('order', true, NULL, NULL), ('env_broad_scale', false, 'ENVO', NULL), ('my_env_scale_2', false, 'ENVO', NULL), ('body_site_left', false, 'UBERON', NULL), ('tissue', false, 'UBERON', NULL), ('diagnosis', false, 'MONDO', NULL), ('health_status', false, 'MONDO', NULL), ('biosample_accession', false, NULL, 'biosample'), ('sample_accession', false, NULL, 'biosample'), ('run_accession', false, NULL, 'sra_run'), ('accession', false, NULL, 'genbank'), ('uniprot', false, NULL, 'uniprot'), ('gene_id', false, NULL, 'gene_id'), ('terror', false, NULL, 'sra_run'), ('price', false, NULL, NULL), ('age', false, NULL, NULL)) t(\"column\", organisms, ontology, accession)")
+_add("column_kinds", lambda s, d: _science(s, d).select("column", "n", domain.holds_organisms(F.col("column")).alias("organisms"), domain.ontology_of(F.col("column")).alias("ontology"), domain.accession_of(F.col("column")).alias("accession")), _named(_SCIENCE, "SELECT * FROM (VALUES ('organism', true, NULL, NULL), ('host_taxid', true, NULL, NULL), ('Sample_Species', true, NULL, NULL), ('order', true, NULL, NULL), ('env_broad_scale', false, 'ENVO', NULL), ('my_env_scale_2', false, 'ENVO', NULL), ('body_site_left', false, 'UBERON', NULL), ('tissue', false, 'UBERON', NULL), ('diagnosis', false, 'MONDO', NULL), ('health_status', false, 'MONDO', NULL), ('biosample_accession', false, NULL, 'biosample'), ('sample_accession', false, NULL, 'biosample'), ('run_accession', false, NULL, 'sra_run'), ('accession', false, NULL, 'genbank'), ('uniprot', false, NULL, 'uniprot'), ('gene_id', false, NULL, 'gene_id'), ('terror', false, NULL, 'sra_run'), ('price', false, NULL, NULL), ('age', false, NULL, NULL)) t(\"column\", organisms, ontology, accession)", "column"))
 
 
 def _organisms(kind: str, severity: str, value: str, sure: str) -> str:
@@ -510,12 +529,26 @@ _add("readiness_findings", lambda s, d: domain.readiness_observations(QUERIES["r
 
 
 _LOOKED = [("human", "case_error", "Homo sapiens"), ("Homo sapiens", "valid", "Homo sapiens"), ("HIV", "case_error", "Human immunodeficiency virus 1"), ("L. reuteri", "case_error", "Lactobacillus reuteri"), ("C difficile", "abbreviation", "Clostridioides difficile"), ("candida", "case_error", "Candida"), ("Zea may", "possible_typo", "Zea mays"), ("rocks", "unknown", None)]
-_add("organism_lookup", lambda s, d: taxonomy.match(value_dictionary(s.createDataFrame([(k, v) for k, (v, _, _) in enumerate(_LOOKED)], "_row_id long, organism string")), "organism").drop("n"), "SELECT * FROM (VALUES ('human', 'case_error', 'Homo sapiens'), ('Homo sapiens', 'valid', 'Homo sapiens'), ('HIV', 'case_error', 'Human immunodeficiency virus 1'), ('L. reuteri', 'case_error', 'Lactobacillus reuteri'), ('C difficile', 'abbreviation', 'Clostridioides difficile'), ('candida', 'case_error', 'Candida'), ('Zea may', 'possible_typo', 'Zea mays'), ('rocks', 'unknown', NULL)) t(value, status, name)")
-_add("term_counts", lambda s, d: terms.by_ontology(terms.terms(s)), "SELECT ontology, CAST(n AS BIGINT) AS n FROM (VALUES ('ENVO', 53), ('UBERON', 49), ('MONDO', 52)) t(ontology, n)")
-_TEXTS = ["Prairie", "ocean biome", "forest", "colitis ulcerative", "nothing known"]
-_add("term_lookup", lambda s, d: domain.suggest(s.createDataFrame([(t,) for t in _TEXTS], "value string"), terms.terms(s).filter("id LIKE 'ENVO:%'")), "SELECT value, id, CAST(c AS DOUBLE) AS confidence FROM (VALUES ('Prairie', 'ENVO:01000177', 0.95), ('ocean biome', 'ENVO:00000447', 0.95), ('forest', 'ENVO:01000174', 0.95)) t(value, id, c)")
+_ASKED = [name for name, _, _ in _LOOKED]
+
+
+def _looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taxonomy.match(value_dictionary(_listed(spark, sf_dir, _ASKED, "organism")), "organism")
+
+
+_add("organism_lookup", _looked_up, _named(_ASKED, "SELECT * FROM (VALUES ('human', 'case_error', 'Homo sapiens'), ('Homo sapiens', 'valid', 'Homo sapiens'), ('HIV', 'case_error', 'Human immunodeficiency virus 1'), ('L. reuteri', 'case_error', 'Lactobacillus reuteri'), ('C difficile', 'abbreviation', 'Clostridioides difficile'), ('candida', 'case_error', 'Candida'), ('Zea may', 'possible_typo', 'Zea mays'), ('rocks', 'unknown', NULL)) t(value, status, name)", "value"))
+_TEXTS = ["Prairie", "ocean biome", "forest", "colitis ulcerative", "nothing known", "lung carcinoma", "asthma"]
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listed(spark, sf_dir, _TEXTS, "value").groupBy("value").agg(F.count("*").alias("n"))
+
+
+_ENVO = "SELECT value, id, CAST(c AS DOUBLE) AS confidence FROM (VALUES ('Prairie', 'ENVO:01000177', 0.95), ('ocean biome', 'ENVO:00000447', 0.95), ('forest', 'ENVO:01000174', 0.95)) t(value, id, c)"
+_add("term_lookup", lambda s, d: domain.suggest((t := _texts(s, d)).select("value"), terms.terms(s).filter("id LIKE 'ENVO:%'")).join(t, "value"), _named(_TEXTS, _ENVO, "value"))
+_add("term_counts", lambda s, d: terms.by_ontology(domain.suggest(_texts(s, d).filter("value <> 'colitis ulcerative'").select("value"), terms.terms(s))), "SELECT ontology, CAST(n AS BIGINT) AS n FROM (VALUES ('ENVO', 3), ('MONDO', 2)) t(ontology, n) WHERE EXISTS (SELECT 1 FROM customer)")
 _add("science_report", lambda s, d: domain.column_observations(v := value_dictionary(rows := _dirty(s, d, **_PEOPLE)), rows.columns[1:], rows.count(), terms.terms(s)), f"SELECT * FROM ({ORACLE_SQL['organism_checks']}) UNION ALL SELECT * FROM ({ORACLE_SQL['accession_checks']})")
-_add("organism_ranks", lambda s, d: taxonomy.by_rank(taxonomy.names(s)).filter("rank <> 'species'"), "SELECT rank, CAST(n AS BIGINT) AS n FROM (VALUES ('class', 1), ('family', 1), ('genus', 20), ('kingdom', 1), ('no rank', 15), ('phylum', 4), ('subspecies', 1), ('superkingdom', 2)) t(rank, n)")
+_add("organism_ranks", lambda s, d: taxonomy.by_rank(taxonomy.names(s).join(_looked_up(s, d).select("name"), "name", "left_semi")), "SELECT rank, CAST(n AS BIGINT) AS n FROM (VALUES ('species', 5), ('genus', 1)) t(rank, n) WHERE EXISTS (SELECT 1 FROM customer)")
 _add("table_page", lambda s, d: values.page(_dirty(s, d), 200, 1000).select(F.col("_row_id").alias("order_id"), "status", "total_rows", "has_more"), f"SELECT order_id, status, total_rows, total_rows > 700 AS has_more FROM (SELECT order_id, status, count(*) OVER () AS total_rows, row_number() OVER (ORDER BY order_id) AS k FROM ({DIRTY_ORDERS})) WHERE k BETWEEN 201 AND 700")
 
 

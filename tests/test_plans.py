@@ -63,6 +63,21 @@ def test_entry_without_corpus_operators(monkeypatch):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_entry_without_a_library(monkeypatch):
+    """Where a module of the corpus operators can't be imported, the engine's queries stay."""
+    own = importlib.import_module
+
+    def lost(name, *a):
+        if name.startswith(("sievework.llm", "corpus_pipeline")):
+            raise ImportError(name)
+        return own(name, *a)
+
+    entry = own("__spark_entry__")
+    monkeypatch.setattr(importlib, "import_module", lost)
+    assert set(entry.queries()) == set(sys.modules["sievework.queries"].QUERIES)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_report_runs_every_check(spark):
     rows = []
     for i in range(12):
