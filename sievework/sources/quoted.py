@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.sources.delimited import sniff
+from sievework.sources.shared import staged
 
 PARTS = "file string, block long, at long, position long, whole boolean, text string"
 
@@ -52,20 +53,22 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(value)
             inside ^= value.count('"') % 2 == 1
             if not inside:
-                rows.append(row(file, block, begun))
-                position, held, begun = position + begun, [], True
+                if not begun or held not in ([""], ["\r"]):  # an empty line is no record
+                    rows.append(row(file, block, begun))
+                    position += begun
+                held, begun = [], True
         yield batch_of(rows)
     if held:
         yield batch_of([row(*here, False)])
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """file, position (from 0 in its file) and text of every record of the files."""
+    """file, position (from 0 in its file) and text of every record of the files but empty lines."""
     lines = _lines(spark, path)
     counted = lines.groupBy("file", "block").agg(F.sum(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("quotes"))
     before = F.sum("quotes").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     starts = counted.select("file", "block", (F.coalesce(before, F.lit(0)) % 2 == 1).alias("inside"))
-    parts = lines.join(F.broadcast(starts), ["file", "block"]).select("file", "block", "value", "inside").mapInArrow(_records, PARTS)
+    parts = staged(lines.join(F.broadcast(starts), ["file", "block"]).select("file", "block", "value", "inside").mapInArrow(_records, PARTS), "records")
     # A part that begins in no block here belongs to the last record that begins before it.
     begins = parts.filter("not whole and at >= 0").select("file", "block", "position")
     blocks = parts.groupBy("file", "block").agg(F.count_if(F.col("at") >= 0).alias("n"))
@@ -84,37 +87,23 @@ def read_quoted(spark: SparkSession, path: str, delimiter: str | None = None, he
     names and their records; of these rows the first max_rows.  Each file's first record names its columns (header), the
     first file's hold for all."""
     d = delimiter or sniff(spark, path)
-    found = records(spark, path).withColumn("text", F.regexp_replace("text", r"\r\z", "")).filter("text <> ''")
-    top = found.orderBy("file", "position").select("file", "text").first()
+    found = records(spark, path).withColumn("text", F.regexp_replace("text", r"\r\z", ""))
+    per_file = found.groupBy("file").agg(F.count("*").alias("n"))
+    top = found.filter("position = 0").orderBy("file").select("text").first()
     if top is None:
         raise ValueError(f"{path}: empty")
     options = {"sep": d, "quote": '"', "escape": '"', "multiLine": "true"}
     cells = next(csv.reader([top.text], delimiter=d))
     n = len(cells)
     names = [c or f"column_{k + 1}" for k, c in enumerate(cells)] if header else [f"column_{k + 1}" for k in range(n)]
-    per_file = found.groupBy("file").agg(F.min("position").alias("head"), F.count("*").alias("n"))
     lost = 1 if header else 0
     first = F.coalesce(F.sum(F.col("n") - lost).over(Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rank = _ranks(found)
-    numbered = rank.join(F.broadcast(per_file.withColumn("first", first)), "file").filter(F.col("rank") >= lost)
-    read = numbered.select((F.col("first") + F.col("rank") - lost).alias("_row_id"), F.from_csv("text", ", ".join(f"c{k} string" for k in range(n)), options).alias("c"))
+    numbered = found.join(F.broadcast(per_file.withColumn("first", first)), "file").filter(F.col("position") >= lost)
+    read = numbered.select((F.col("first") + F.col("position") - lost).alias("_row_id"), F.from_csv("text", ", ".join(f"c{k} string" for k in range(n)), options).alias("c"))
     rows = read.select("_row_id", *[F.coalesce(F.col(f"c.c{k}"), F.lit("")).alias(name) for k, name in enumerate(names)])
     return rows if max_rows is None else rows.filter(F.col("_row_id") < max_rows)
 
 
-#: Records of a file that are numbered together where empty lines were left out.
-STRETCH = 1 << 16
-
-
-def _ranks(found: DataFrame) -> DataFrame:
-    """found with rank, from 0 in each file: positions have gaps where empty lines were."""
-    cut = found.withColumn("stretch", F.floor(F.col("position") / STRETCH))
-    sizes = cut.groupBy("file", "stretch").count()
-    before = sizes.select("file", "stretch", F.coalesce(F.sum("count").over(Window.partitionBy("file").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inner = F.row_number().over(Window.partitionBy("file", "stretch").orderBy("position")) - 1
-    return cut.withColumn("inner", inner).join(before, ["file", "stretch"]).withColumn("rank", F.col("before") + F.col("inner")).drop("stretch", "inner", "before")
-
-
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     file, digest, size, total = None, None, 0, 0
 
