@@ -7,7 +7,8 @@ them in Arrow batches.  Each member is read by its offset and retried on its own
 
 Defined cases: a null text is stored as an empty one; a payload is padded to a positive multiple of 64 bytes, so an
 empty text gives 64 zero bytes; a null id stays null; equal rows give one member each; an empty table gives one
-empty set of archives and no rows; other columns are ignored.
+empty set of archives and no rows; rows that tie in id and text are members of their own; a text of any length is one
+member, which one task holds whole with its payload; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ over.  Then every partition closes all bins but its emptiest, as no two bins of
 bins meet again in as many partitions of bounded size as they fill, until these grow no fewer.
 
 Defined cases: a null or empty text is the end token alone; a piece of full length fills a sequence by itself; equal
-rows are separate pieces; an empty table gives no rows; a null id is packed as any other; other columns are ignored.
+rows are separate pieces; pieces that tie in length are placed in the order they come; an empty table gives no rows; a
+null id is packed as any other; texts of any length are cut into pieces, one task holding the ids of one text; other
+columns are ignored.
 """
 
 from __future__ import annotations

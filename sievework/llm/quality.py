@@ -6,7 +6,8 @@ gives most rules the weight 0; the rest become one Spark column expression.
 
 Defined cases: null and empty texts have all statistics 0 and a score like any other; labels that are null or
 neither 0 nor 1 are not used; without labelled rows every score is 0.5, with one class only it is that class's
-smoothed share; a row counts as often as it is labelled; an empty table gives no rows; other columns are ignored.
+smoothed share; a row counts as often as it is labelled; an empty table gives no rows; splits of equal gain go to the
+later statistic, then the greater cut; statistics are taken over whole texts of any length; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ Positions are code points, ends exclusive.  A match's place is the length of wha
 by a pattern gives the pieces between the matches.
 
 Defined cases: null text is empty and has no spans; spans of different kinds may overlap, a Markov span overlaps no
-base span; equal rows give equal results; an empty table gives no rows; other columns are ignored.
+base span; spans that tie in their start go by kind; equal rows give equal results; an empty table gives no rows; texts of
+any length are scanned whole, at a cost that grows with the square of the matches of one text, as spans are appended one
+by one; other columns are ignored, but `scan` replaces columns that are called as the kinds (`hide_secrets` keeps them).
 """
 
 from __future__ import annotations
@@ -151,7 +153,10 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hide_secrets(docs: DataFrame) -> DataFrame:
-    """docs (all columns) with every span of `text` replaced by a mark and n_chars counted anew."""
-    plain = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    found = scan(plain).withColumn("text", redact(F.col("text"), F.concat(*KINDS)))
-    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """docs (all columns, whatever their names) with every span of `text` replaced by a mark and n_chars counted anew.  Null
+    text becomes empty; repeated rows stay and are treated alike; an empty table gives no rows."""
+    own = ("text", "n_chars")
+    others = F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in docs.columns if c not in own])
+    found = scan(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), others.alias("__row")))
+    done = {"text": F.col("text"), "n_chars": F.length("text").cast("long").alias("n_chars")}
+    return found.withColumn("text", redact(F.col("text"), F.concat(*KINDS))).select(*[done.get(c, F.col(f"__row.`{c}`").alias(c)) for c in docs.columns])
