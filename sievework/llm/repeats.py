@@ -274,7 +274,9 @@ def repeat_intervals(docs: DataFrame, unit: Unit) -> DataFrame:
     firsts = without(known, copies, "mark")
     told = staged(shared_runs(firsts, unit, buckets).dropDuplicates(["mark"]), "told")
     touched, _ = split_by(firsts, told, "mark")
-    found = staged(repeated_windows(touched.join(told, "mark").select("doc_id", "mark", "text", "bits"), unit, buckets), "found")
+    # in the order of marks, so that a task that runs again deals the same loads
+    marked = touched.join(told, "mark").select("doc_id", "mark", "text", "bits").sortWithinPartitions("mark")
+    found = staged(repeated_windows(marked, unit, buckets), "found")
     whole = copies.select("mark", F.array(F.lit(0).cast("long")).alias("starts"), F.array(F.lit(1 << 40)).alias("ends"))
     joined = found.unionByName(whole).groupBy("mark")
     return staged(joined.agg(F.collect_set(F.struct("starts", "ends")).alias("p")).select("mark", F.flatten("p.starts").alias("starts"), F.flatten("p.ends").alias("ends")), "intervals")

@@ -109,6 +109,8 @@ def split_by(rows: DataFrame, marks: DataFrame, column: str) -> tuple[DataFrame,
 
 
 def without(rows: DataFrame, marks: DataFrame, column: str) -> DataFrame:
-    """Rows whose mark is not among marks; those that surely are not are passed on without a shuffle."""
+    """Rows whose mark is not among marks; those that surely are not are passed on without a shuffle.  What was joined is in
+    the order of the column, whatever join was chosen, so that a task that runs again gets its rows as before (a sort
+    that a merge join makes anyway is not repeated)."""
     perhaps, surely = split_by(rows, marks, column)
-    return surely.unionByName(perhaps.join(marks.select(column), column, "left_anti").select(*rows.columns))
+    return surely.unionByName(perhaps.join(marks.select(column), column, "left_anti").select(*rows.columns).sortWithinPartitions(column))

@@ -7,8 +7,9 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from sievework.llm import jaccard, recompression, repeats, suffixes
+from sievework.llm import jaccard, recompression, repeats, shared, suffixes
 from tests.llm import brute
 from tests.llm.test_operators import frame, rows, same
 
@@ -88,3 +89,14 @@ def test_parts_of_long_texts(unit):
 
     assert len(list(repeats.parts(column, unit, 300))) > 5
     assert named(300) == named(1 << 20)
+
+
+def test_rows_that_are_dealt_again_come_in_order(spark, monkeypatch):
+    """A task that runs again after its executor was lost must deal the loads that it dealt before."""
+    monkeypatch.setattr(shared, "BITMAP_BITS", 64)  # so few bits that every row is joined
+    marked = spark.range(3000).select(F.md5(F.col("id").cast("string")).alias("mark"), "id")
+    kept = shared.without(marked.repartition(5), marked.filter("id % 3 = 0"), "mark")
+    found = kept.select("id", "mark", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("place")).collect()
+    assert sorted(r.id for r in found) == [k for k in range(3000) if k % 3]
+    by_place = [(r.p, r.mark) for r in sorted(found, key=lambda r: r.place)]
+    assert by_place == sorted(by_place)
