@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.text import MISSING_PATTERNS, as_number, trim
 from sievework.operators import profile, ranks
+from sievework.sources.shared import staged
 
 # How sure each finding is, and how much of it is kept.
 BY_NAME, BY_FORMAT = 0.85, 0.6
@@ -68,6 +69,21 @@ def missing_statistics(values: DataFrame) -> DataFrame:
     return values.filter(token.isin([*MISSING_PATTERNS, "-1"])).groupBy("column", token.alias("pattern")).agg(F.sum("n").alias("n")).filter("n >= 2")
 
 
+def text_moments(values: DataFrame) -> DataFrame:
+    """column, n, low, high, mean, std (of the population) and quartiles of the numbers among a column's texts, which are
+    read untrimmed.  A column without numbers has no row.  The dictionary is read once; what follows has a row for each
+    distinct number, and quartiles come from rounds of histograms.  Deviations are taken from the mean, not from sums of
+    squares, so that large numbers of small spread keep their digits."""
+    v, n = F.col("v"), F.col("n")
+    read = values.filter("not missing").select("column", as_number(F.col("value")).alias("v"), "n").filter("v is not null")
+    numbers = staged(read.groupBy("column", "v").agg(F.sum("n").alias("n")), "numbers")
+    sums = numbers.groupBy("column").agg(F.sum("n").alias("count"), F.min("v").alias("low"), F.max("v").alias("high"), (F.sum(v * n) / F.sum("n")).alias("mean"))
+    spread = numbers.join(F.broadcast(sums), "column").groupBy("column").agg(F.sqrt(F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))) / F.sum("n")).alias("std"))  # a row a column
+    found = [(c, *q) for c, q in ranks.order_statistics(numbers).items()]
+    quarters = values.sparkSession.createDataFrame(found, "column string, q1 double, median double, q3 double")
+    return sums.join(spread, "column").join(quarters, "column").select("column", F.col("count").alias("n"), "low", "high", "mean", "std", "q1", "median", "q3")
+
+
 def semantic_types(values: DataFrame) -> DataFrame:
     """column, inferred_type, type_confidence, semantic_type, is_unique, nullable, unique_count, low, high."""
     number = as_number(F.col("value"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.functions.text import trim
+from sievework.functions.text import as_integer, trim
 from sievework.operators.nearest import nearest_names
 from sievework.operators.organisms import ORGANISMS
 
@@ -67,6 +67,14 @@ def match(values: DataFrame, column: str, dictionary: DataFrame | None = None) -
     return placed.join(best, "key", "left").select("value", "n", status.alias("status"), F.coalesce("full", "name", "near").alias("name"))
 
 
+def by_taxid(values: DataFrame, column: str, dictionary: DataFrame | None = None) -> DataFrame:
+    """taxid, n, name and rank of the whole numbers among a column's texts; name and rank are null where a number is not
+    listed, other texts have no row.  Only distinct numbers meet the dictionary."""
+    listed = dictionary if dictionary is not None else names(values.sparkSession)
+    asked = values.filter((F.col("column") == column) & ~F.col("missing")).groupBy(as_integer(trim(F.col("value"))).alias("taxid")).agg(F.sum("n").alias("n"))
+    return asked.filter("taxid is not null").join(listed.select("taxid", "name", "rank"), "taxid", "left").select("taxid", "n", "name", "rank")
+
+
 def nearest(values: DataFrame, column: str, edits: int = 3, dictionary: DataFrame | None = None) -> DataFrame:
     """value, name, edits: the nearest known name of each text within some edits, the least name of equals."""
     known = dictionary if dictionary is not None else names(values.sparkSession)

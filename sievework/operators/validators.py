@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.functions.text import MISSING_PATTERNS, any_contains, as_number, date_format, parses_as, shape, trim
+from sievework.functions.text import MISSING_PATTERNS, any_contains, as_number, date_format, is_missing, parses_as, shape, trim
 from sievework.operators import ranks
 from sievework.operators.typos import close_pairs
 
@@ -110,6 +110,13 @@ def completeness(values: DataFrame, total: int) -> DataFrame:
     return observation(found, "completeness", F.when(F.col("occurrences") * 100.0 / total >= 20, "error").otherwise("warning"), "completeness_validator", total)
 
 
+def row_completeness(rows: DataFrame, columns: list[str], total: int) -> DataFrame:
+    """completeness, counted in one pass over the rows: nothing but a row a column is shuffled, however many texts differ."""
+    counted = rows.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.count_if(is_missing(F.col(f"`{c}`"))).alias("occurrences")) for c in columns]).alias("c")).select(F.inline("c"))
+    found = counted.filter(F.col("occurrences") * 100.0 / max(total, 1) >= 5)
+    return observation(found, "completeness", F.when(F.col("occurrences") * 100.0 / max(total, 1) >= 20, "error").otherwise("warning"), "completeness_validator", total)
+
+
 def inconsistent_case(values: DataFrame, allowed: dict[str, list[str]], total: int) -> DataFrame:
     """Distinct spellings that are in the expected set but for their case."""
     exact = F.create_map(*[x for c, a in allowed.items() for x in (F.lit(c), F.array(*map(F.lit, a)))])[F.col("column")]

@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from sievework.functions.text import as_number, is_missing, iso_date, parses_as, title_case, trim
 from sievework.operators import validators as V
 from sievework.plans import curation, decisions
+from sievework.sources.shared import staged
 
 # What the column of flags is called, by type of observation, and how sure a coercion is.
 FLAG_ENDS = {"outlier": "_flagged", "duplicate": "_duplicate", "type_mismatch": "_type_error", "constraint_violation": "_constraint_violation", "pattern_violation": "_invalid_format"}
 CROSS_FLAG, COERCE_CERTAINTY = "cross_column_issue", 0.9
-PREFIX = "__step"
+PREFIX = curation.STEP
+#: A mapping of at most so many bytes is broadcast to the rows; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
 
 
 def parameters(suggested: DataFrame, observations: DataFrame) -> DataFrame:
@@ -106,6 +109,14 @@ def _changed(step, decision_changes: DataFrame | None) -> DataFrame | None:
     return None if decision_changes is None or step.status != decisions.MODIFIED else decision_changes.filter(F.col("observation_id") == step.observation_id)
 
 
+def _hinted(mapping: DataFrame) -> DataFrame:
+    """A mapping that is broadcast if it is small.  Cells hold few and frequent texts, and a shuffle by text would send
+    all rows of a frequent one to one task."""
+    texts = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in mapping.columns), F.lit(32))
+    size = mapping.agg(F.coalesce(F.sum(texts), F.lit(0)).alias("bytes")).first().bytes
+    return F.broadcast(mapping) if size <= BROADCAST_BYTES else mapping
+
+
 def apply_decided(rows: DataFrame, plan: DataFrame, mapping: DataFrame, types: dict[str, str], marks: dict[int, str] | None = None, changes_of: DataFrame | None = None) -> Curated:
     """The rows after all accepted decisions of plan (from resolved), by priority, then observation, each step seeing what
     those before did, and the audit: _row_id, step, column, original, new, reason.  Coercions change the cells that fail
@@ -119,7 +130,10 @@ def apply_decided(rows: DataFrame, plan: DataFrame, mapping: DataFrame, types: d
         raise ValueError(f"columns may not start with {PREFIX}")
     accepted = plan.filter(F.col("status").isin(decisions.ACCEPTED, decisions.MODIFIED))
     out, changes = rows, []
-    for k, step in enumerate(accepted.orderBy("priority", "observation_id").collect()):  # a row for each decision
+    steps = accepted.orderBy("priority", "observation_id").collect()  # a row for each decision
+    if any(s.action == "standardize" for s in steps):
+        mapping = staged(mapping, "mapping")  # made once, not once for each step and again for rows and audit
+    for k, step in enumerate(steps):
         if step.action == "flag" and step.observation_id in marks:
             old = F.col(f"`{step.flag_column}`") if step.flag_column in out.columns else F.lit("")
             out = out.withColumn(step.flag_column, F.when(F.col(f"`{marks[step.observation_id]}`"), step.flag_value).otherwise(old))
@@ -136,7 +150,7 @@ def apply_decided(rows: DataFrame, plan: DataFrame, mapping: DataFrame, types: d
         if step.action == "standardize":
             given = _changed(step, changes_of)
             own = (mapping.filter((F.col("column") == step.target) & (F.col("detector") == step.detector)) if given is None else given).select(F.col("value").alias(f"{PREFIX}_v"), F.col("new").alias(f"{PREFIX}_n"))
-            out = out.join(own, c == F.col(f"{PREFIX}_v"), "left")
+            out = out.join(_hinted(own), c == F.col(f"{PREFIX}_v"), "left")
             new = F.coalesce(F.col(f"{PREFIX}_n"), c)
         elif step.action == "convert_na":
             new = curation.convert_na(c, [step.pattern])

@@ -11,6 +11,7 @@ from sievework.functions.text import BOOLEAN_WORDS, as_number, iso_date, trim
 
 # What is suggested for an observation and how soon.
 ACTIONS = {"missing_pattern": ("convert_na", 3), "duplicate": ("flag", 1), "constraint_violation": ("flag", 2), "cross_column_inconsistency": ("flag", 2), "pattern_violation": ("flag", 3)}
+STEP = "__step"
 PENALTY = {"error": 0.1, "warning": 0.02, "info": 0.005}
 
 
@@ -79,8 +80,11 @@ def coerce(c: Column, kind: str) -> Column:
 
 def apply_operations(rows: DataFrame, operations: list[tuple[str, str, dict]]) -> tuple[DataFrame, DataFrame]:
     """The curated rows and the audit: _row_id, column, original, new, reason of every changed cell.  Operations are
-    (action, column, parameters) in order, each seeing what those before have done; all are one projection chain."""
-    out, audits = rows, []
+    (action, column, parameters) in order, each seeing what those before have done; all are one projection chain, which
+    the audit reads once: each step leaves its change beside the row.  Columns whose names start with __step are refused."""
+    if any(c.startswith(STEP) for c in rows.columns):
+        raise ValueError(f"columns may not start with {STEP}")
+    out, changes, new_cell = rows, [], F.col(f"{STEP}_new")
     for action, column, given in operations:
         c = F.col(f"`{column}`")
         if action == "flag":
@@ -89,11 +93,12 @@ def apply_operations(rows: DataFrame, operations: list[tuple[str, str, dict]]) -
             out = out.withColumn(flag, F.when(given["where"], given.get("value", "flagged")).otherwise(old))
             continue
         new = {"standardize": lambda: standardize(c, given["mapping"]), "convert_na": lambda: convert_na(c, given["tokens"]), "coerce": lambda: coerce(c, given["kind"]), "convert_date": lambda: iso_date(c)}[action]()
-        changed = out.withColumn("_new", new)
-        audits.append(changed.filter(c != F.col("_new")).select("_row_id", F.lit(column).alias("column"), c.alias("original"), F.col("_new").alias("new"), F.lit(action).alias("reason")))
-        out = changed.withColumn(column, F.col("_new")).drop("_new")
-    empty = rows.sparkSession.createDataFrame([], "_row_id long, column string, original string, new string, reason string")
-    return out, reduce(DataFrame.unionByName, audits, empty)
+        change = F.struct(F.lit(column).alias("column"), c.alias("original"), new_cell.alias("new"), F.lit(action).alias("reason"))
+        changes.append(f"{STEP}_{len(changes)}")
+        out = out.withColumn(f"{STEP}_new", new).withColumn(changes[-1], F.when(c != new_cell, change)).withColumn(column, new_cell).drop(f"{STEP}_new")
+    if not changes:
+        return out, rows.sparkSession.createDataFrame([], "_row_id long, column string, original string, new string, reason string")
+    return out.drop(*changes), out.select("_row_id", F.inline(F.array_compact(F.array(*changes))))
 
 
 def with_audit_columns(curated: DataFrame, audit: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ for both engines.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from sievework.functions import text as T
 from sievework.operators import accession, checklist, domain, inference, profile, samples, taxonomy, terms, values
 from sievework.operators import validators as V
 from sievework.operators.values import frequent, to_text, value_dictionary
-from sievework.plans import apply, curation, decisions, evidence, fallback
+from sievework.plans import apply, curation, decisions, evidence, fallback, schema
 from sievework.plans.analyze import Analysis, analyze, quality_report
 from sievework.sources import delimited, quoted
 from sievework.sources.shared import new_folder
@@ -67,6 +68,14 @@ def _check(columns: list[str], check: Callable[[DataFrame, int], DataFrame], **w
     return lambda spark, sf_dir: check(*build(spark, sf_dir))
 
 
+def _rows(check: Callable[[DataFrame, int], DataFrame], **where: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _dirty(spark, sf_dir, **where)
+        return check(rows, rows.count())
+
+    return query
+
+
 def _d(columns: list[str], dirty: str = DIRTY_ORDERS, key: str = "order_id") -> str:
     """The value dictionary in SQL: table d, and one-row table t with the number of rows."""
     long = " UNION ALL ".join(f"SELECT '{c}' AS c, {c} AS v, {key} AS id FROM dirty" for c in columns)
@@ -74,9 +83,19 @@ def _d(columns: list[str], dirty: str = DIRTY_ORDERS, key: str = "order_id") ->
     return f"WITH dirty AS ({dirty}), t AS (SELECT count(*) AS total FROM dirty), d AS (SELECT c, v, count(*) AS n, min(id) AS first_row, {missing} AS missing FROM ({long}) GROUP BY c, v) "
 
 
+# How sure each detector is, by hand and not from the code that is checked.
+_SURE = {
+    "type_validator": "0.9", "range_validator": "0.85", "set_validator": "0.85", "uniqueness_validator": "0.95", "identifier_duplicate_validator": "0.95",
+    "statistical_outlier_validator": "0.85", "completeness_validator": "0.95", "consistency_validator": "0.88", "case_variant_validator": "0.9",
+    "typo_validator": "0.75", "semantic_equivalence_validator": "0.85", "date_format_validator": "0.9", "missing_pattern_validator": "0.88",
+    "regex_pattern_validator": "0.75", "cross_column_validator": "0.85", "title_case_validator": "0.85", "coordinate_validator": "0.95",
+    "duplicate_row_validator": "0.98", "mixs_compliance": "0.95",
+}
+
+
 def _obs(kind: str, severity: str, detector: str, found: str, confidence: str | None = None) -> str:
     """An observation over a subquery with c (column) and o (occurrences)."""
-    return f"SELECT '{kind}' AS type, {severity} AS severity, c AS \"column\", '{detector}' AS detector, CAST({confidence or V.CONFIDENCE[detector]} AS DOUBLE) AS confidence, CAST(o AS BIGINT) AS occurrences, round(o * CAST(100 AS DOUBLE) / total, 4) AS percentage FROM ({found}) f, t"
+    return f"SELECT '{kind}' AS type, {severity} AS severity, c AS \"column\", '{detector}' AS detector, CAST({confidence or _SURE[detector]} AS DOUBLE) AS confidence, CAST(o AS BIGINT) AS occurrences, round(o * CAST(100 AS DOUBLE) / total, 4) AS percentage FROM ({found}) f, t"
 
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$"
@@ -100,14 +119,14 @@ _add("profile_string", lambda s, d: profile.string_profile(value_dictionary(_dir
 _add("value_counts_topk", lambda s, d: frequent(value_dictionary(_dirty(s, d), ["status", "priority"]), 5).select("column", "value", "n", F.col("rank").cast("long").alias("rank")), _d(["status", "priority"]) + 'SELECT c AS "column", v AS value, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY n DESC, first_row) AS rank FROM d) WHERE rank <= 5')
 _TYPE = f"CASE WHEN lower(v) IN ('true','false','yes','no') THEN 'boolean' WHEN regexp_matches(v, '^[+-]?[0-9]+$') THEN 'integer' WHEN regexp_matches(v, '{_NUMBER}') THEN 'float' WHEN regexp_matches(v, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|^[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}|^[0-9]{{1,2}}-[0-9]{{1,2}}-[0-9]{{2,4}}|^[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}') THEN CASE WHEN contains(v, ':') OR contains(v, 'T') THEN 'datetime' ELSE 'date' END ELSE 'string' END"
 _add("type_vote", lambda s, d: profile.type_vote(value_dictionary(_dirty(s, d), TEXT)), _d(TEXT) + f", k AS (SELECT c, {_TYPE} AS t, sum(n) AS n FROM d WHERE NOT missing GROUP BY 1, 2), w AS (SELECT c, arg_max(t, n * 10 - list_position(['integer','float','boolean','date','datetime','string'], t)) AS t, max(n) AS n, sum(n) AS total, max(CASE WHEN t = 'float' THEN 1 ELSE 0 END) AS floats FROM k GROUP BY c) SELECT c AS \"column\", CASE WHEN t = 'integer' AND floats = 1 THEN 'float' ELSE t END AS inferred_type, round(CAST(n AS DOUBLE) / total * CASE WHEN t = 'integer' AND floats = 1 THEN CAST(0.95 AS DOUBLE) ELSE 1 END, 6) AS confidence FROM w")
-_FORM = "CASE " + " ".join(f"WHEN regexp_matches(v, '{p.replace(chr(92) + 'z', '$')}') THEN '{n}'" for p, n in profile.FORMATS) + " END"
+_FORM = "CASE WHEN v LIKE 'https://%' THEN 'url' WHEN regexp_matches(v, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') THEN 'iso_date' WHEN regexp_matches(v, '^[0-9]{2}/[0-9]{2}/[0-9]{4}$') THEN 'us_date' WHEN regexp_matches(v, '^[0-9]{5}$') THEN 'zip_code' WHEN regexp_matches(v, '^CUST-[0-9]{6}') THEN 'sample_id' WHEN lower(v) IN ('yes', 'no', 'y', 'n', 'f') THEN 'boolean' END"
 _add("format_vote", lambda s, d: profile.format_vote(value_dictionary(_dirty(s, d), TEXT)), _d(TEXT) + f", k AS (SELECT c, {_FORM} AS f, sum(n) AS n FROM d WHERE NOT missing GROUP BY 1, 2), u AS (SELECT c, sum(n) AS total FROM k GROUP BY c) SELECT k.c AS \"column\", arg_max(f, k.n) AS format, CAST(max(k.n) AS BIGINT) AS n FROM k JOIN u USING (c) WHERE f IS NOT NULL GROUP BY k.c, total HAVING max(k.n) >= floor(total * 0.8)")
-_ROLE = "CASE " + " ".join(f"WHEN regexp_matches(\"column\", '{p}') THEN '{r}'" for p, r in profile.ROLE_PATTERNS) + " ELSE 'unknown' END"
+_ROLE = "CASE \"column\" WHEN 'status' THEN 'grouping' WHEN 'treatment' THEN 'grouping' WHEN 'order_date' THEN 'metadata' ELSE 'unknown' END"
 _add("column_roles", lambda s, d: profile.counts(value_dictionary(_dirty(s, d), TEXT)).select("column", profile.role_of(F.col("column")).alias("role")), "SELECT \"column\", " + _ROLE + " AS role FROM (VALUES " + ", ".join(f"('{c}')" for c in TEXT) + ") x(\"column\")")
 
 # value checks
 _HALF_EMPTY = DIRTY_ORDERS.replace("% 17 = 0", "% 3 = 0")
-_add("completeness", _check(TEXT, V.completeness, sql=_HALF_EMPTY), _d(TEXT, _HALF_EMPTY) + _obs("completeness", "CASE WHEN o * 100.0 / total >= 20 THEN 'error' ELSE 'warning' END", "completeness_validator", "SELECT c, sum(n) AS o FROM d, t WHERE missing GROUP BY c, total HAVING sum(n) * 100.0 / total >= 5"))
+_add("completeness", _rows(lambda r, n: V.row_completeness(r, TEXT, n), sql=_HALF_EMPTY), _d(TEXT, _HALF_EMPTY) + _obs("completeness", "CASE WHEN o * 100.0 / total >= 20 THEN 'error' ELSE 'warning' END", "completeness_validator", "SELECT c, sum(n) AS o FROM d, t WHERE missing GROUP BY c, total HAVING sum(n) * 100.0 / total >= 5"))
 _add("type_mismatch", _check(["price"], lambda v, n: V.type_mismatch(v, {"price": "integer"}, n)), _d(["price"]) + _obs("type_mismatch", "CASE WHEN o * 100.0 / total > 10 THEN 'error' ELSE 'warning' END", "type_validator", "SELECT c, sum(n) AS o FROM d WHERE NOT missing AND NOT regexp_matches(trim(v), '^[+-]?[0-9]+$') GROUP BY c"))
 _add("range_violation", _check(["price"], lambda v, n: V.out_of_range(v, {"price": (1000, 200000)}, n)), _d(["price"]) + _obs("outlier", "'info'", "range_validator", f"SELECT c, sum(n) AS o FROM d WHERE NOT missing AND ({_NUM} < 1000 OR {_NUM} > 200000) GROUP BY c"))
 _add("set_violation", _check(["status"], lambda v, n: V.not_in_set(v, {"status": ["O", "F", "P"]}, n)), _d(["status"]) + _obs("constraint_violation", "'warning'", "set_validator", "SELECT c, sum(n) AS o FROM d WHERE NOT missing AND trim(v) NOT IN ('O','F','P') GROUP BY c"))
@@ -134,6 +153,7 @@ _add("missing_patterns", _check(["status", "price"], V.missing_patterns), _d(["s
 _add("url_pattern", _check(["url"], lambda v, n: V.name_patterns(v, ["url"], n)), _d(["url"]) + _obs("pattern_violation", "CASE WHEN o * 100.0 / there > 10 THEN 'warning' ELSE 'info' END", "regex_pattern_validator", r"SELECT c, sum(CASE WHEN regexp_matches(trim(v), '^https?://[^\s]+$') THEN 0 ELSE n END) AS o, sum(n) AS there FROM d WHERE NOT missing GROUP BY c HAVING o > 0 AND o * 2 <= there"))
 _SHAPE = "regexp_replace(regexp_replace(regexp_replace(trim(v), '[a-z]', 'a', 'g'), '[A-Z]', 'A', 'g'), '[0-9]', '#', 'g')"
 _add("id_shape", _check(["customer_code"], lambda v, n: V.id_shapes(v, ["customer_code"], n)), _d(["customer_code"]) + _obs("inconsistency", "'warning'", "regex_pattern_validator", f"SELECT c, sum(n) - max(n) AS o FROM (SELECT c, {_SHAPE} AS s, sum(n) AS n FROM d WHERE NOT missing GROUP BY 1, 2) GROUP BY c HAVING count(*) > 1 AND max(n) >= 0.7 * sum(n)", "0.80"))
+_add("mixed_dates", _check(["order_date"], lambda v, n: V.mixed_dates(v, ["order_date"], n)), _d(["order_date"]) + "SELECT type, severity, \"column\", detector, confidence, occurrences, CAST(100 AS DOUBLE) AS percentage FROM (" + _obs("inconsistency", "'warning'", "date_format_validator", f"SELECT c, sum(n) AS o FROM (SELECT c, {_WAY} AS way, sum(n) AS n FROM d WHERE NOT missing GROUP BY 1, 2) WHERE way IS NOT NULL GROUP BY c HAVING count(*) > 1") + ")")
 _add("title_case", _check(["treatment"], lambda v, n: V.small_titles(v, ["treatment"], n)), _d(["treatment"]) + _obs("inconsistency", "'info'", "title_case_validator", "SELECT c, sum(n) AS o FROM d WHERE NOT missing AND regexp_matches(v, '^[a-z]') GROUP BY c"))
 _add("latitude_range", _check(["latitude"], lambda v, n: V.bad_coordinates(v, "latitude", 90, n)), _d(["latitude"]) + _obs("outlier", "'error'", "coordinate_validator", "SELECT c, sum(n) AS o FROM d WHERE NOT missing AND abs(CAST(regexp_replace(trim(v), '\\s*[NSEW]$', '') AS DOUBLE)) > 90 GROUP BY c"))
 
@@ -144,14 +164,6 @@ _add("longitude_range", _check(["longitude"], lambda v, n: V.bad_coordinates(v,
 _PEOPLE = {"sql": DIRTY_PEOPLE, "source": "customer", "key": "person_id"}
 
 
-def _rows(check: Callable[[DataFrame, int], DataFrame], **where: str) -> Callable[[SparkSession, str], DataFrame]:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = _dirty(spark, sf_dir, **where)
-        return check(rows, rows.count())
-
-    return query
-
-
 _P = f"WITH dirty AS ({DIRTY_PEOPLE}), t AS (SELECT count(*) AS total FROM dirty) "
 _PLAIN = "CASE WHEN regexp_matches({0}, '^[0-9]+/[0-9]+/[0-9]{{4}}$') THEN split_part({0}, '/', 3) || '-' || lpad(split_part({0}, '/', 1), 2, '0') || '-' || lpad(split_part({0}, '/', 2), 2, '0') ELSE {0} END"
 _add("date_order", _rows(lambda r, n: V.late_start(r, "start_date", "end_date", n), **_PEOPLE), _P + _obs("cross_column_inconsistency", "'warning'", "cross_column_validator", f"SELECT 'start_date vs end_date' AS c, count(*) AS o FROM dirty WHERE {_PLAIN.format('start_date')} > {_PLAIN.format('end_date')} HAVING count(*) > 0"))
@@ -211,6 +223,7 @@ def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("audit_columns", _audited, f"WITH dirty AS ({DIRTY_ORDERS}), x AS (SELECT order_id, price AS old, {_PRICE} AS price FROM dirty) SELECT order_id, price, CASE WHEN old <> price THEN 'price=' || price END AS _modified, CASE WHEN old <> price THEN 'price=' || old END AS _original, CASE WHEN old <> price THEN 'price=coerce' END AS _reason FROM x")
+_add("coerced", lambda s, d: _dirty(s, d).select(F.col("_row_id").alias("order_id"), *[curation.coerce(F.col(c), k).alias(f"{c}_{k}") for c, k in (("price", "integer"), ("price", "float"), ("answer", "boolean"), ("status", "string"))]), f"WITH dirty AS ({DIRTY_ORDERS}) SELECT order_id, {_PRICE} AS price_integer, CASE WHEN price IN ('n/a', 'abc') THEN '' ELSE price END AS price_float, CASE WHEN answer IN ('yes', 'Y') THEN 'true' WHEN answer IN ('no', 'N') THEN 'false' ELSE '' END AS answer_boolean, status AS status_string FROM dirty")
 _add("page_slice", lambda s, d: _table(s, d, "orders").orderBy("o_orderkey").offset(200).limit(100).select("o_orderkey", "o_orderstatus"), "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 200")
 _add("windowed_rates", lambda s, d: windowed_rates(_table(s, d, "events"), 1.0, 50.0), "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, count(*) FILTER (value IS NULL) AS n_missing, count(*) FILTER (value < 1 OR value > 50) AS n_outside FROM events GROUP BY 1, 2")
 
@@ -372,7 +385,8 @@ _add("readiness", lambda s, d: samples.readiness(_dirty(s, d, **_SW), _READY, "c
 # profiles beyond counts
 _add("sample_values", lambda s, d: profile.sample_values(value_dictionary(_dirty(s, d), ["status", "priority"])), _d(["status", "priority"]) + 'SELECT c AS "column", list(v ORDER BY first_row) AS sample_values FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY first_row) AS k FROM d WHERE NOT missing) WHERE k <= 5 GROUP BY c')
 _ORGANISM = DIRTY_SAMPLES.replace("FROM customer", ", CASE c_custkey % 6 WHEN 0 THEN 'Homo sapiens' WHEN 1 THEN 'homo sapiens' WHEN 2 THEN 'E. coli' WHEN 3 THEN 'unknown' WHEN 4 THEN 'Mus muscullus' ELSE 'Gallus gallus' END AS organism FROM customer")
-_add("submission_readiness", lambda s, d: samples.submission_readiness(_dirty(s, d, **_SW | {"sql": _ORGANISM}), _READY, "collection_date", "lat_lon", "organism"))
+_SUBMITTED = f"SELECT samples, n_duplicate, n_bad_date, n_bad_place, n_bad_organism, n_bad_null, CAST(0 AS BIGINT) AS n_mismatch, CAST(floor(greatest(0, 100 - (n_duplicate * 30 + n_bad_organism * 25 + n_bad_date * 10 + n_bad_place * 10 + n_bad_null * 5) / CAST(samples AS DOUBLE))) AS INTEGER) AS score, n_duplicate = 0 AND n_bad_organism = 0 AS is_ready FROM ({ORACLE_SQL['readiness']}), (SELECT count(*) FILTER (c_custkey % 6 NOT IN (0, 5)) AS n_bad_organism, count(*) FILTER (c_custkey % 5 NOT IN (0, 1)) + count(*) FILTER (c_custkey % 6 = 3) AS n_bad_null FROM customer)"
+_add("submission_readiness", lambda s, d: samples.submission_readiness(_dirty(s, d, **_SW | {"sql": _ORGANISM}), _READY, "collection_date", "lat_lon", "organism"), _SUBMITTED)
 
 _HINTED = "id,date,time,count,total,mean,avg,sum,min,max,std,var,pct,percent,num,name,type,status,group,category".split(",")
 
@@ -484,6 +498,12 @@ _add("fused_schema", lambda s, d: inference.fused(value_dictionary(_dirty(s, d,
 _QUART = ", ".join(f"max(CASE WHEN k = floor({p} * (n - 1) + 0.5) THEN v END) AS {q}" for p, q in ((0.25, "q1"), (0.75, "q3")))
 _add("far_values", lambda s, d: inference.far_values(_table(s, d, "events"), "value"), f"WITH r AS (SELECT value AS v, row_number() OVER (ORDER BY value) - 1 AS k, count(*) OVER () AS n FROM events WHERE value IS NOT NULL), q AS (SELECT {_QUART}, avg(v) AS m, stddev_pop(v) AS s FROM r), b AS (SELECT v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1) AS i, abs(v - m) / s > 3 AS z FROM r, q) SELECT 'value' AS \"column\", count(*) FILTER (i) AS n_iqr, count(*) FILTER (z) AS n_z, count(*) FILTER (i OR z) AS occurrences FROM b")
 
+_add("schema_selects", lambda s, d: schema.table_schema(value_dictionary(_dirty(s, d, **_CW), _CCOLS), _CCOLS).select("column", "position", "role", F.explode(F.array_compact(F.array(*[F.when(c, k) for k, c in (("name", schema.is_named("digits")), ("position", schema.is_at(2)), ("role", schema.has_role("identifier")), ("identifier", schema.is_identifier()))]))).alias("asked")), "WITH s AS (SELECT f.\"column\", position, role, is_unique, nullable FROM (" + ORACLE_SQL["fused_schema"] + ") f JOIN (VALUES ('digits', 0), ('letters', 1), ('mixed', 2), ('most', 3), ('odd', 4), ('contact', 5)) p(c, position) ON f.\"column\" = c) " + " UNION ALL ".join(f"SELECT \"column\", position, role, '{k}' AS asked FROM s WHERE {w}" for k, w in (("name", "\"column\" = 'digits'"), ("position", "position = 2"), ("role", "role = 'identifier'"), ("identifier", "role = 'identifier' AND is_unique AND NOT nullable"))))
+_MOMENTS = ["price", "latitude", "status"]
+_RANKED = f"r AS (SELECT c, CAST(v AS DOUBLE) AS x, sum(n) AS n FROM d WHERE NOT missing AND regexp_matches(v, '{_NUMBER}') GROUP BY 1, 2), k AS (SELECT c, x, n, sum(n) OVER (PARTITION BY c ORDER BY x) AS upto, sum(n) OVER (PARTITION BY c) AS all_n FROM r), m AS (SELECT c, sum(x * n) / sum(n) AS mean FROM k GROUP BY c)"
+_AT = ", ".join(f"min(CASE WHEN upto > floor({p} * (all_n - 1) + 0.5) THEN x END) AS {q}" for p, q in ((0.25, "q1"), (0.5, "median"), (0.75, "q3")))
+_add("text_moments", lambda s, d: inference.text_moments(value_dictionary(_dirty(s, d), _MOMENTS)).select("column", "n", "low", "high", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "q1", "median", "q3"), _d(_MOMENTS).rstrip() + f", {_RANKED} SELECT k.c AS \"column\", CAST(max(all_n) AS BIGINT) AS n, min(x) AS low, max(x) AS high, round(max(mean), 4) AS mean, round(sqrt(sum(n * (x - mean) * (x - mean)) / max(all_n)), 4) AS std, {_AT} FROM k JOIN m ON m.c = k.c GROUP BY k.c")
+
 # columns of life science
 _SCIENCE = ["organism", "host_taxid", "Sample_Species", "order", "env_broad_scale", "my_env_scale_2", "body_site_left", "tissue", "diagnosis", "health_status", "biosample_accession", "sample_accession", "run_accession", "accession", "uniprot", "gene_id", "terror", "price", "age"]
 
@@ -537,6 +557,8 @@ def _looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("organism_lookup", _looked_up, _named(_ASKED, "SELECT * FROM (VALUES ('human', 'case_error', 'Homo sapiens'), ('Homo sapiens', 'valid', 'Homo sapiens'), ('HIV', 'case_error', 'Human immunodeficiency virus 1'), ('L. reuteri', 'case_error', 'Lactobacillus reuteri'), ('C difficile', 'abbreviation', 'Clostridioides difficile'), ('candida', 'case_error', 'Candida'), ('Zea may', 'possible_typo', 'Zea mays'), ('rocks', 'unknown', NULL)) t(value, status, name)", "value"))
+_TAXIDS = ["9606", " 10090", "562", "7", "x9"]
+_add("taxid_lookup", lambda s, d: taxonomy.by_taxid(value_dictionary(_listed(s, d, _TAXIDS, "taxid")), "taxid"), "SELECT taxid, count(*) AS n, name, rank FROM customer JOIN (VALUES (0, 9606, 'Homo sapiens', 'species'), (1, 10090, 'Mus musculus', 'species'), (2, 562, 'Escherichia coli', 'species'), (3, 7, NULL, NULL)) t(k, taxid, name, rank) ON c_custkey % 5 = k GROUP BY taxid, name, rank")
 _TEXTS = ["Prairie", "ocean biome", "forest", "colitis ulcerative", "nothing known", "lung carcinoma", "asthma"]
 
 
@@ -552,6 +574,21 @@ _add("organism_ranks", lambda s, d: taxonomy.by_rank(taxonomy.names(s).join(_loo
 _add("table_page", lambda s, d: values.page(_dirty(s, d), 200, 1000).select(F.col("_row_id").alias("order_id"), "status", "total_rows", "has_more"), f"SELECT order_id, status, total_rows, total_rows > 700 AS has_more FROM (SELECT order_id, status, count(*) OVER () AS total_rows, row_number() OVER (ORDER BY order_id) AS k FROM ({DIRTY_ORDERS})) WHERE k BETWEEN 201 AND 700")
 
 
+# suggestions for each kind of observation
+_KINDS = ["unique_violation", "identifier_duplicates", "completeness", "pregnant_males", "date_order", "bmi", "url_pattern", "title_case", "mixed_dates", "latitude_range", "range_violation"]
+
+
+def _suggested_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    observed = reduce(DataFrame.unionByName, (QUERIES[n](spark, sf_dir) for n in _KINDS))
+    observed = curation.number_observations(observed)
+    return apply.parameters(curation.suggestions(observed), observed).select("observation_id", "column", "action", "priority", "flag_column", "flag_value")
+
+
+_KINDS_UNION = " UNION ALL ".join(f"(SELECT type, severity, \"column\", detector, occurrences, percentage FROM ({ORACLE_SQL[n]}))" for n in _KINDS)
+_KIND_ACTION = "CASE WHEN detector = 'date_format_validator' THEN 'convert_date' WHEN type = 'inconsistency' THEN 'standardize' ELSE 'flag' END AS action, CAST(CASE type WHEN 'duplicate' THEN 1 WHEN 'pattern_violation' THEN 3 WHEN 'completeness' THEN 4 WHEN 'outlier' THEN CASE severity WHEN 'error' THEN 2 ELSE 4 END ELSE 2 END AS INTEGER) AS priority"
+_KIND_FLAG = "CASE type WHEN 'cross_column_inconsistency' THEN 'cross_column_issue' WHEN 'duplicate' THEN \"column\" || '_duplicate' WHEN 'pattern_violation' THEN \"column\" || '_invalid_format' WHEN 'outlier' THEN \"column\" || '_flagged' END AS flag_column, CASE WHEN type = 'outlier' THEN CASE severity WHEN 'error' THEN 'invalid_value' ELSE 'outlier' END WHEN type NOT IN ('inconsistency', 'completeness') THEN type END AS flag_value"
+_add("suggestion_kinds", _suggested_kinds, f"SELECT observation_id, \"column\", {_KIND_ACTION}, {_KIND_FLAG} FROM (SELECT *, row_number() OVER (ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, detector, \"column\", type, occurrences) AS observation_id FROM ({_KINDS_UNION})) WHERE type <> 'completeness' OR percentage >= 20")
+
 # from decisions to the curated table
 def _planned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Observations, suggestions and decisions: whatever standardizes, coerces or empties is accepted."""

@@ -45,9 +45,11 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, header: bool = True, max_rows: int | None = None, line_feeds: bool = True) -> DataFrame:
     """All cells as text (short rows filled with empty ones, long ones cut) and _row_id from 0 in file order; of these
-    rows the first max_rows.  Without line feeds inside cells (line_feeds false) Spark splits large files."""
+    rows the first max_rows.  A file without lines, columns or rows is an error.  Without line feeds inside cells (line_feeds false) Spark splits large files."""
     d = delimiter or sniff(spark, path)
     raw = spark.read.option("sep", d).option("header", header).option("multiLine", line_feeds).option("quote", '"').option("escape", '"').csv(path)
+    if not raw.columns or raw.isEmpty():
+        raise ValueError(f"{path}: no {'rows' if raw.columns else 'columns'}")
     if not header:
         raw = raw.toDF(*[f"column_{k + 1}" for k in range(len(raw.columns))])
     rows = numbered(raw.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns]))

@@ -9,7 +9,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.operators import inference, samples
+from sievework.operators import inference, profile, samples
 from sievework.operators.values import value_dictionary
 from sievework.plans import apply, checks, curation, decisions, evidence
 from sievework.plans.analyze import analyze, quality_report
@@ -251,3 +251,42 @@ def test_modified_decisions(spark):
     done = apply.apply_decided(rows, plan, apply.mappings(value_dictionary(rows, ["kind"])), {"price": "float"}, changes_of=own)
     assert sorted(tuple(r) for r in done.rows.collect()) == [(1, "alpha", "-5", "look"), (2, "alpha", "", ""), (3, "alpha", "", "")]
     assert decisions.progress(suggested, decided).first().n_modified == 3
+
+
+def test_empty_files_are_errors(spark, tmp_path):
+    for name, text in (("none", ""), ("blank", "\n\n"), ("header", "a,b\n")):
+        path = tmp_path / f"{name}.csv"
+        path.write_text(text)
+        with pytest.raises(ValueError):
+            delimited.read_delimited(spark, str(path))
+        with pytest.raises(ValueError):
+            delimited.read_delimited(spark, str(path), ",")
+
+
+def test_moments_of_texts(spark):
+    rows = spark.createDataFrame([(k, v, w) for k, (v, w) in enumerate([("1", "x"), ("2", ""), (" 3", "x"), ("4e1", "n/a"), ("1", "y"), ("-inf", "z")])], "_row_id long, a string, b string")
+    (found,) = inference.text_moments(value_dictionary(rows.filter("a <> '-inf'"))).collect()
+    assert (found["column"], found.n, found.low, found.high, found.q1, found.median, found.q3) == ("a", 4, 1.0, 40.0, 1.0, 2.0, 2.0)
+    assert found.mean == 11.0 and abs(found.std - (1122 / 4) ** 0.5) < 1e-9
+    large = spark.createDataFrame([(k, str(10**9 + k % 2)) for k in range(10)], "_row_id long, a string")
+    assert inference.text_moments(value_dictionary(large)).first().std == 0.5
+    assert inference.text_moments(value_dictionary(rows, ["b"])).isEmpty()
+
+
+def test_small_mappings_are_broadcast(spark, monkeypatch):
+    mapping = spark.createDataFrame([("a", "b"), (None, "c")], "value string, new string")
+    hint = lambda: "broadcast" in apply._hinted(mapping)._jdf.queryExecution().logical().toString().lower()
+    assert hint()
+    monkeypatch.setattr(apply, "BROADCAST_BYTES", 8)
+    assert not hint()
+
+
+def test_cheap_tests_of_forms_lose_nothing(spark):
+    """Each form's cheap test holds wherever its pattern does."""
+    texts = ["a@b.org", "http://x", "https://x", "0f0f0f0f-0f0f-0f0f-0f0f-0f0f0f0f0f0f", "2024-01-02", "1/2/2024", "11/22/2024", "5551234567", "+1-(555)-123-4567", "+1 (555) 123-4567", "12345", "12345-6789", "AB", "ABC123", "y", "false", "AB12"]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    for pattern, name in profile.FORMATS:
+        fits = F.col("v").rlike(pattern)
+        assert df.filter(fits).count() > 0 or name in ("iso_datetime", "sample_id_dotted")
+        if name in profile.CHEAP:
+            assert df.filter(fits & ~profile.CHEAP[name](F.col("v"))).isEmpty()
