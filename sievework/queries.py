@@ -16,7 +16,7 @@ from sievework.functions import text as T
 from sievework.operators import accession, checklist, domain, inference, profile, samples, taxonomy, terms, values
 from sievework.operators import validators as V
 from sievework.operators.values import frequent, to_text, value_dictionary
-from sievework.plans import apply, curation, decisions, evidence, fallback, schema
+from sievework.plans import apply, curation, decisions, evidence, explain, fallback, schema
 from sievework.plans.analyze import Analysis, analyze, quality_report
 from sievework.sources import delimited, quoted
 from sievework.sources.shared import new_folder
@@ -637,6 +637,42 @@ _add("status_report", _reported, f"SELECT 'observations' AS measure, severity AS
 _add("observation_profiles", lambda s, d: apply.with_profile(QUERIES["case_variants"](s, d).select("column", "detector"), inference.semantic_types(value_dictionary(_dirty(s, d), TEXT)).withColumn("semantic_role", profile.role_of(F.col("column")))), f"SELECT f.\"column\", detector, 'string' AS inferred_type, 'categorical' AS semantic_type, {_ROLE.replace(chr(34) + 'column' + chr(34), 'f.' + chr(34) + 'column' + chr(34))} AS semantic_role FROM ({ORACLE_SQL['case_variants']}) f")
 
 
+# texts about columns and observations
+def _told(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Numbered observations and the profile of their columns."""
+    return curation.number_observations(_observations(spark, sf_dir)), profile.schema_profile(value_dictionary(_dirty(spark, sf_dir), TEXT))
+
+
+_BASE = "split_part(\"column\", '=', 1)"
+_WHY = f"""CASE type WHEN 'missing_pattern' THEN '''' || {_BASE} || ''' spells missing data as ordinary text, which analyses of clinical would count as values.'
+  WHEN 'inconsistency' THEN '''' || {_BASE} || ''' (' || t || ') writes the same thing in more than one way, so groups of it fall apart.'
+  WHEN 'outlier' THEN '''' || {_BASE} || ''' (' || t || ') has values far from the others: slips of entry, or rare cases that are right.'
+  WHEN 'type_mismatch' THEN '''' || {_BASE} || ''' is mostly ' || t || ', but some of its values cannot be read as that.'
+  ELSE '''' || {_BASE} || ''' has a finding of kind ' || type || ' that may lower the quality of the data; see its evidence.' END"""
+_add("explained_observations", lambda s, d: explain.explained(*_told(s, d), "clinical").select("observation_id", "type", "column", "explanation"), f"SELECT observation_id, type, \"column\", {_WHY} AS explanation FROM (SELECT n.*, coalesce(v.inferred_type, 'unknown') AS t FROM ({_NUMBERED}) n LEFT JOIN ({ORACLE_SQL['type_vote']}) v ON v.\"column\" = split_part(n.\"column\", '=', 1))")
+_DO = f"""CASE type WHEN 'missing_pattern' THEN 'Turn the spellings of missing data in ''' || {_BASE} || ''' into nulls.'
+  WHEN 'outlier' THEN 'Look at the far values of ''' || {_BASE} || ''' before trusting them.'
+  WHEN 'type_mismatch' THEN 'Read ''' || {_BASE} || ''' as its type, and look at what cannot be read.'
+  WHEN 'completeness' THEN 'Say why ''' || {_BASE} || ''' has gaps, or fill them. Percent missing: ' || round(percentage, 1) || '.'
+  WHEN 'inconsistency' THEN CASE detector WHEN 'case_variant_validator' THEN 'Write ''' || {_BASE} || ''' in one case.' WHEN 'semantic_equivalence_validator' THEN 'Use one word for each meaning in ''' || {_BASE} || '''.' ELSE 'Write the values of ''' || {_BASE} || ''' in one way.' END END"""
+_PROPOSED = f"SELECT observation_id, CASE type WHEN 'missing_pattern' THEN 'convert_na' WHEN 'inconsistency' THEN 'standardize' WHEN 'type_mismatch' THEN 'coerce' ELSE 'flag' END AS action, CAST(CASE type WHEN 'missing_pattern' THEN 2 WHEN 'outlier' THEN 4 ELSE 3 END AS INTEGER) AS priority, CAST(CASE type WHEN 'missing_pattern' THEN 0.9 WHEN 'inconsistency' THEN 0.85 WHEN 'type_mismatch' THEN 0.75 ELSE 0.7 END AS DOUBLE) AS confidence, {_DO} AS rationale FROM ({_NUMBERED}) WHERE type IN ('missing_pattern', 'inconsistency', 'outlier', 'type_mismatch', 'completeness')"
+_add("proposed_fixes", lambda s, d: explain.proposals(_told(s, d)[0]), _PROPOSED)
+
+
+def _merged_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules' suggestions with those of the explainer: of two for one observation the longer rationale stays."""
+    observed = _told(spark, sf_dir)[0]
+    rules = curation.suggestions(observed).join(observed.select("observation_id", "type"), "observation_id").select("observation_id", "action", F.concat(F.lit("rule for "), F.col("type")).alias("rationale"))
+    return decisions.merge_suggestions(rules, explain.proposals(observed).select("observation_id", "action", "rationale"))
+
+
+_add("merged_proposals", _merged_proposals, f"SELECT observation_id, coalesce(s.action, p.action) AS action, CASE WHEN s.action IS NULL OR length(p.rationale) > length('rule for ' || type) THEN p.rationale ELSE 'rule for ' || type END AS rationale FROM (SELECT * FROM ({_SUGGEST}) WHERE action IS NOT NULL) s FULL JOIN ({_PROPOSED}) p USING (observation_id) JOIN (SELECT observation_id, type FROM ({_NUMBERED})) n USING (observation_id)")
+_FACTORS = f"SELECT observation_id, confidence, 0.1 AS a, CASE WHEN type IN ('type_mismatch', 'constraint_violation') THEN 0.1 WHEN type = 'outlier' THEN -0.1 WHEN type = 'inconsistency' THEN 0 END AS b, CASE WHEN occurrences > 5 THEN 0.05 END AS c FROM ({_NUMBERED})"
+_add("confidence_factors", lambda s, d: explain.factors(_told(s, d)[0], "clinical"), " UNION ALL ".join(f"SELECT observation_id, '{n}' AS factor, CAST({c} AS DOUBLE) AS impact FROM ({_FACTORS}) WHERE {c} IS NOT NULL" for n, c in (("domain", "a"), ("kind", "b"), ("evidence", "c"))))
+_add("calibration_reasons", lambda s, d: explain.reasoned(_told(s, d)[0], "clinical").select("observation_id", "calibrated", "reasoning"), f"SELECT observation_id, k AS calibrated, 'Confidence ' || CASE WHEN moved >= 0 THEN 'raised' ELSE 'lowered' END || ' from ' || CAST(round(confidence * 100) AS INTEGER) || '% to ' || CAST(round(k * 100) AS INTEGER) || '% for clinical data.' AS reasoning FROM (SELECT observation_id, confidence, a + coalesce(b, 0) + coalesce(c, 0) AS moved, round(greatest(0, least(1, CAST(confidence + a + coalesce(b, 0) + coalesce(c, 0) AS DOUBLE))), 6) AS k FROM ({_FACTORS}))")
+_add("column_insights", lambda s, d: explain.column_insights(_told(s, d)[1], "clinical").select("column", "insight"), f"SELECT v.\"column\", '''' || v.\"column\" || ''' looks like ' || {_ROLE.replace(chr(34) + 'column' + chr(34), 'v.' + chr(34) + 'column' + chr(34))} || ' in clinical data: ' || inferred_type || ' with ' || n || ' distinct values.' AS insight FROM ({ORACLE_SQL['type_vote']}) v JOIN ({_d(TEXT)} SELECT c, count(*) AS n FROM d WHERE NOT missing GROUP BY c) u ON u.c = v.\"column\"")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality report of the orders table with planted defects."""
     return QUERIES["quality_report"](spark, sf_dir)
