@@ -37,15 +37,22 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path.toString()
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends, and the shuffles behind it are freed."""
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder whose rows are needed no more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends, and the shuffles behind it are freed.  With a path of
+    new_folder it is added to what is there, and all of that is read."""
     spark = df.sparkSession
-    path = new_folder(spark, name)
+    path = path or new_folder(spark, name)
     before = {k: spark.conf.get(k, None) for k in _OPTIONS}
     for k, v in _OPTIONS.items():
         spark.conf.set(k, v)
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.mode("append").option("compression", "zstd").parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
