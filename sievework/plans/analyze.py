@@ -1,8 +1,9 @@
 """The whole analysis of one table: value dictionary, profile, every check that applies, observations.
 
-Rows are read once: their cells and what the checks of rows ask are grouped together.  The groups are kept for as long as
-the analysis runs.  Then follow one aggregation for the profile, the rounds that find quartiles, and one pass for all
-checks of values.  What comes to the driver has a row for each column and check; observations are few and local.
+Cells are grouped to the value dictionary, which is written to the shared folder: the profile, the rounds that find
+quartiles, the one pass for all checks of values and whatever is asked of an analysis later read it there.  What the checks
+of rows ask is grouped apart and only summed.  Both are cut by rows, so that a task's groups do not follow the input.  What
+comes to the driver has a row for each column and check; observations are few and local.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from sievework.operators import profile, values
 from sievework.operators import validators as V
 from sievework.plans import checks as K
 from sievework.plans.curation import number_observations
+from sievework.sources.shared import parts, sized, staged
 
 OBSERVED = "check string, type string, severity string, column string, detector string, confidence double, occurrences long, share double"
 
@@ -56,24 +58,22 @@ def analyze(df: DataFrame, key: str, checks: list[K.Check] | None = None, row_ch
     if table.identifier == key:
         rows = rows.withColumn(key, F.col("_row_id").cast("string"))
     spark = df.sparkSession
-    groups = K.grouped(K.entries(rows, table, row_checks))
-    held = groups.persist()
-    try:
-        dictionary = held.filter("check = ''").select("column", "value", "n", "first_row").withColumn("missing", is_missing(F.col("value")))
+    n = rows.count()
+    with sized(spark, n):
+        cut = rows.repartition(parts(n)) if rows.rdd.getNumPartitions() < parts(n) else rows
+        cells = K.grouped(K.entries(cut, table, [])).select("column", "value", "n", "first_row")
+        dictionary = staged(cells.withColumn("missing", is_missing(F.col("value"))), "values")
         profiled = profile.schema_profile(dictionary)
         table.profile = {r["column"]: r for r in profiled.collect()}
         table.total = max((p["count"] for p in table.profile.values()), default=0)
-        found = _rows_checked(held, table, row_checks) + _values_checked(dictionary, table, checks)
-        schema = profiled.schema
-    finally:
-        held.unpersist()
-    plain = groups.filter("check = ''").select("column", "value", "n", "first_row").withColumn("missing", is_missing(F.col("value")))
-    return Analysis(rows, plain, spark.createDataFrame(list(table.profile.values()), schema), _observed(spark, found, table.total), table, checks, row_checks)
+        found = _rows_checked(K.grouped(K.asked_of_rows(cut, table, row_checks)), table, row_checks) + _values_checked(dictionary, table, checks)
+    schema = profiled.schema
+    return Analysis(rows, dictionary, spark.createDataFrame(list(table.profile.values()), schema), _observed(spark, found, table.total), table, checks, row_checks)
 
 
 def _rows_checked(groups: DataFrame, table: K.Table, row_checks: list[K.RowCheck]) -> list[tuple]:
     n = F.col("n")
-    sums = groups.filter("check <> ''").groupBy("check", "column").agg(F.count("*").alias("groups"), F.sum(n).alias("total"), F.max(n).alias("most"), F.sum(F.when(F.col("differs"), 1).otherwise(0)).alias("spelled"), F.sum(n - 1).alias("repeated"))
+    sums = groups.groupBy("check", "column").agg(F.count("*").alias("groups"), F.sum(n).alias("total"), F.max(n).alias("most"), F.sum(F.when(F.col("differs"), 1).otherwise(0)).alias("spelled"), F.sum(n - 1).alias("repeated"))
     got = {(r.check, r["column"]): K.Tally(*r[2:]) for r in sums.collect()}
     return [_seen(c, label, *f) for c in row_checks for label in c.columns(table) if (c.name, label) in got for f in c.findings(got[c.name, label], table, label)]
 

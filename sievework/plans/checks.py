@@ -250,15 +250,21 @@ ROW_CHECKS: list[RowCheck] = [
 ]
 
 
-def entries(rows: DataFrame, table: Table, row_checks: list[RowCheck]) -> DataFrame:
+def entries(rows: DataFrame, table: Table, row_checks: list[RowCheck], cells: bool = True) -> DataFrame:
     """_row_id, check, column, value and other: a cell for each column (check is empty) and one for each check of rows that
     the row has something for."""
     none = F.lit(None).cast("string")
     entry = lambda check, column, value, other=none: F.struct(F.lit(check).alias("check"), F.lit(column).alias("column"), value.alias("value"), other.alias("other"))
-    cells = [entry("", c, F.col(f"`{c}`")) for c in table.columns]
+    own_cells = [entry("", c, F.col(f"`{c}`")) for c in table.columns if cells]
     whole = [entry(k.name, label, k.key(*own), k.other(*own) if k.other else none) for k in row_checks if k.key for label, own in k.columns(table).items()]
     held = [F.when(k.bad(*own), entry(k.name, label, F.lit(""))) for k in row_checks if k.bad for label, own in k.columns(table).items()]
-    return rows.select("_row_id", F.explode(F.array(*cells, *whole, *held)).alias("e")).filter("e is not null").select("_row_id", "e.*")
+    none_at_all = [] if own_cells or whole or held else [F.lit(None).cast("struct<check:string,column:string,value:string,other:string>")]
+    return rows.select("_row_id", F.explode(F.array(*own_cells, *whole, *held, *none_at_all)).alias("e")).filter("e is not null").select("_row_id", "e.*")
+
+
+def asked_of_rows(rows: DataFrame, table: Table, row_checks: list[RowCheck]) -> DataFrame:
+    """The entries of checks of rows alone."""
+    return entries(rows, table, row_checks, cells=False)
 
 
 def _differs(text: str) -> Column:
