@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.text import trim
+from sievework.sources.shared import staged
 
 # Fixed value: how descriptions write a pair.
 ARROW = "'([^']*)' → '([^']*)'"
@@ -29,7 +30,8 @@ def from_evidence(observations: DataFrame) -> DataFrame:
 
 def from_data(observations: DataFrame, values: DataFrame) -> DataFrame:
     """observation_id, value, new from the spellings of the observations' columns."""
-    spelled = values.filter("not missing").groupBy("column", F.lower(trim(F.col("value"))).alias("g"), trim(F.col("value")).alias("value")).agg(F.sum("n").alias("n"), F.min("first_row").alias("first_row"))
+    asked = F.broadcast(observations.select("column").distinct())  # a row for each column at most
+    spelled = values.filter("not missing").join(asked, "column", "left_semi").groupBy("column", F.lower(trim(F.col("value"))).alias("g"), trim(F.col("value")).alias("value")).agg(F.sum("n").alias("n"), F.min("first_row").alias("first_row"))
     mine = observations.select("observation_id", "column").join(spelled, "column")
     best = mine.groupBy("observation_id", "g").agg(F.max_by("value", F.struct("n", "first_row")).alias("new"))
     return mine.join(best, ["observation_id", "g"]).filter("value <> new").select("observation_id", "value", "new")
@@ -45,7 +47,8 @@ def from_text(observations: DataFrame) -> DataFrame:
 def fallback_mapping(observations: DataFrame, values: DataFrame) -> DataFrame:
     """observation_id, value, new and source (evidence, data, text) for observations of inconsistency: observation_id, type,
     column, description and value_counts.  A later source is asked only where those before it say nothing."""
-    asked = observations.filter("type = 'inconsistency'")
+    # Every source reads the observations, and what made their counts may be a whole analysis.
+    asked = staged(observations.filter("type = 'inconsistency'"), "asked")
     by_evidence = from_evidence(asked).withColumn("source", F.lit("evidence"))
     left = asked.join(by_evidence.select("observation_id").distinct(), "observation_id", "left_anti")
     variants, typos = left.filter("lower(description) like '%case variant%'"), left.filter("lower(description) not like '%case variant%' and description like '%typo%'")
