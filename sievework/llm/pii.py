@@ -148,22 +148,28 @@ def _names(text: str, patterns: dict[str, object], spans: _Spans) -> None:
         if spans.free(start, end):
             taken.add(start, end, sex, text[start:end].casefold())
     sexes = {name: sex for _, _, sex, name in reversed(taken.all) if sex != "n"}
-    # full names by each of their outer parts, in the order of the text
-    full: dict[str, list[tuple[int, str, str]]] = {}
+    # full names by each of their outer parts, then by gender and by whether the part is the last: places and names in order
+    full: dict[str, dict[tuple[str, bool], tuple[list[int], list[str]]]] = {}
     for start, _, sex, name in taken.all:
         parts = name.split(" ")
         if len(parts) > 1:
             for part in {parts[0], parts[-1]}:
-                full.setdefault(part, []).append((start, sexes.get(name, sex), name))
+                starts, names = full.setdefault(part, {}).setdefault((sexes.get(name, sex), parts[-1] == part), ([], []))
+                starts.append(start)
+                names.append(name)
 
     def whole(part: str, at: int, sex: str, family: bool) -> tuple[str, str] | None:
-        """The name that a part at a place belongs to."""
-        like = full.get(part, ())
-        k = bisect_left(like, (at,))
-        for _, other, name in [*reversed(like[max(0, k - 8) : k]), *like[k : k + 8]]:
-            if (sex in ("n", other) or other == "n") and not (family and name.split(" ")[-1] != part):
-                return other, name
-        return None
+        """The name that a part at a place belongs to: of all that fit the nearest before, else the first after."""
+        before, after = [], []
+        for (other, last), (starts, names) in full.get(part, {}).items():
+            if (sex in ("n", other) or other == "n") and (last or not family):
+                k = bisect_left(starts, at)
+                if k:
+                    before.append((starts[k - 1], other, names[k - 1]))
+                if k < len(starts):
+                    after.append((starts[k], other, names[k]))
+        best = max(before) if before else min(after, default=None)
+        return best and best[1:]
 
     for start, end, sex, name in taken.all:
         sex, name = (" " not in name and whole(name, start, sex, True)) or (sexes.get(name, sex), name)
